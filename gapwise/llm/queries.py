@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwise.llm import decontaminate, langid, licenses, linededup, mixing, ngramjoin, quality
+from gapwise.llm import decontaminate, langid, licenses, linededup, mixing, ngramjoin, ppm, quality
 from gapwise.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.ppm_score(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_decontaminate": op2_decontaminate,
         "op3_mix": op3_mix,
+        "op4_ppm_score": op4_ppm_score,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_line_dedup": op8_line_dedup,
         "op9_language_id": op9_language_id,
