@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwise.llm import decontaminate, langid, licenses, linededup, mixing, ngramjoin, ppm, quality
+from gapwise.llm import decontaminate, langid, licenses, linededup, mixing, ngramjoin, pii, ppm, quality
 from gapwise.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "entities", "text")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix": op3_mix,
         "op4_ppm_score": op4_ppm_score,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_pii_surrogates": op7_pii_surrogates,
         "op8_line_dedup": op8_line_dedup,
         "op9_language_id": op9_language_id,
         "op10_quality": op10_quality,
