@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwise.llm import decontaminate, langid, licenses, linededup, mixing, ngramjoin, pii, ppm, quality
+from gapwise.llm import decontaminate, langid, licenses, linededup, mixing, ngramjoin, pii, ppm, quality, toolcalls
 from gapwise.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.ppm_score(table(spark, sf_dir, "documents"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_mix": op3_mix,
         "op4_ppm_score": op4_ppm_score,
+        "op5_tool_calls": op5_tool_calls,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_pii_surrogates": op7_pii_surrogates,
         "op8_line_dedup": op8_line_dedup,
