@@ -1 +1 @@
-"""See README."""
+"""DataFrame -> DataFrame transformations."""
