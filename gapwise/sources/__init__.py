@@ -1 +1 @@
-"""See README."""
+"""Sources and sinks."""

@@ -1 +1 @@
-"""See README."""
+"""Structured Streaming jobs."""
