@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapwise.llm import decontaminate as contamination
 from gapwise.llm import langid, linededup, mixing, ngramjoin
-from gapwise.llm.common import checkpoint, table
+from gapwise.llm.common import checkpoint, n_words, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,8 +18,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of windows of three lines are cut from the texts; n_chars is that of the text that stays."""
-    cut = linededup.dedup_lines(docs.select(*COLUMNS))
+    """Later occurrences of windows of three lines are cut from the texts; n_chars is that of the text that stays.
+
+    A document of which no word is left was a copy in whole and goes.
+    """
+    cut = linededup.dedup_lines(docs.select(*COLUMNS)).filter((F.col("n_removed") == 0) | (n_words(F.col("text")) > 0))
     kind = docs.schema["n_chars"].dataType
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
