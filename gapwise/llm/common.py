@@ -39,9 +39,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def clash_free(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that further ones of any name cannot clash with what an operator adds."""
-    return df.select(*columns)
+def without(df: DataFrame, *added: str) -> DataFrame:
+    """The frame without columns that have the names of those an operator adds (its own replace them)."""
+    names = {x.lower() for x in added}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Names a row by its id and text."""
+    return F.xxhash64(df["doc_id"], df["text"])
 
 
 def texts(column: pa.Array) -> list[bytes]:

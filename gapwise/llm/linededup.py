@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gapwise.llm.common import checkpoint, texts
+from gapwise.llm.common import checkpoint, row_hash, texts, without
 
 _SPACES = b" \t\n\v\f\r"
 
@@ -73,12 +74,11 @@ def dedup_lines(docs: DataFrame, n: int = 3) -> DataFrame:
     Lines are compared without white space around them; lines of nothing else belong to no window and stay. A text of
     fewer than n lines has no window and stays as it is; null stays null. Of equal windows the one in the document of
     lowest id (null last, then by a hash of id and text) and of the lowest place stays. Rows that repeat id and text
-    count as one document and are all cut alike. An empty table gives an empty result.
+    count as one document and are all cut alike. An empty table gives an empty result. A column n_removed is replaced.
     """
-    later = later_windows(docs, n)
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    later = later.select(F.col("doc_id").alias("_id"), F.col("row").alias("_later"), F.col("starts").alias("_starts"))
-    both = own.join(later, (own["_row"] == later["_later"]) & own["doc_id"].eqNullSafe(later["_id"]), "left")
+    later = later_windows(docs, n).select(F.col("doc_id").alias("_later_id"), F.col("row").alias("_later_row"), F.col("starts").alias("_later_starts"))
+    docs = without(docs, "n_removed", *later.columns)
+    both = docs.join(later, (row_hash(docs) == later["_later_row"]) & docs["doc_id"].eqNullSafe(later["_later_id"]), "left")
     at = docs.columns.index("text")
     names = [*docs.columns, "n_removed"]
 
@@ -93,9 +93,7 @@ def dedup_lines(docs: DataFrame, n: int = 3) -> DataFrame:
             columns = [pa.array(bodies, column.type) if i == at else batch.column(i) for i in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], names=names)
 
-    from pyspark.sql import types as T
-
-    return both.select(*(own[c] for c in docs.columns), "_starts").mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
+    return both.select(*(docs[f"`{c}`"] for c in docs.columns), "_later_starts").mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
 
 
 def line_dedup_digest(docs: DataFrame, n: int = 3) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import checkpoint, n_words
+from gapwise.llm.common import checkpoint, n_words, row_hash, without
 
 STATE = "source string, block long, doc_id long, size long, row long, whole int, p double"
 
@@ -138,11 +138,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its number among its copies.
 
-    Rows that repeat id and text share their copies, so that as many come out as all of them were given.
+    Rows that repeat id and text share their copies, so that as many come out as all of them were given. A column
+    copy is replaced.
     """
     got = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_taken")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_times")).filter("_copies > 0")
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    both = own.join(got, own["doc_id"].eqNullSafe(got["_id"]) & (own["_row"] == got["_taken"]))
-    once = both.filter("_times = 1").drop("_id", "_taken", "_times")
-    repeated = both.filter("_times > 1").drop("_id", "_taken", "_times").dropDuplicates(["doc_id", "_row"])
-    return once.unionByName(repeated).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    docs = without(docs, "copy", *got.columns)
+    both = docs.join(got, docs["doc_id"].eqNullSafe(got["_id"]) & (row_hash(docs) == got["_taken"]))
+    once = both.filter("_times = 1")
+    repeated = both.filter("_times > 1").dropDuplicates(["_id", "_taken"])
+    return once.unionByName(repeated).select(*(f"`{c}`" for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import WordHash, checkpoint, chunks, long_of, shingles, texts, word_arrays
+from gapwise.llm.common import WordHash, checkpoint, chunks, long_of, row_hash, shingles, texts, without, word_arrays
 from gapwise.llm.graph import components
 from gapwise.llm.tiles import by_tile, tiled
 
@@ -271,10 +271,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     best = got.filter("component is not null").groupBy("component").agg(F.min(rank).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.row").alias("_kept"))
     times = got.groupBy("doc_id", "row").count().select(F.col("doc_id").alias("_id2"), F.col("row").alias("_kept2"), "count")
-    best = best.join(times, best["_id"].eqNullSafe(times["_id2"]) & (best["_kept"] == times["_kept2"])).select("_id", "_kept", F.lit(True).alias("_first"), F.col("count").alias("_times"))
-    free = got.filter("component is null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_kept"), F.lit(False).alias("_first"), F.lit(1).cast("long").alias("_times")).distinct()
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    kept = own.join(best.unionByName(free), (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = kept.filter("_times = 1").select(*docs.columns)
-    repeated = kept.filter("_times > 1").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    best = best.join(times, best["_id"].eqNullSafe(times["_id2"]) & (best["_kept"] == times["_kept2"])).select("_id", "_kept", F.col("count").alias("_times"))
+    free = got.filter("component is null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_kept"), F.lit(1).cast("long").alias("_times")).distinct()
+    kept_rows = best.unionByName(free)
+    docs = without(docs, *kept_rows.columns)
+    names = [f"`{c}`" for c in docs.columns]
+    kept = docs.join(kept_rows, (row_hash(docs) == kept_rows["_kept"]) & docs["doc_id"].eqNullSafe(kept_rows["_id"]))
+    once = kept.filter("_times = 1").select(*names)
+    repeated = kept.filter("_times > 1").dropDuplicates(["_id", "_kept"]).select(*names)
     return once.unionByName(repeated)

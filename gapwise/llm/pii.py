@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import checkpoint, texts
+from gapwise.llm.common import checkpoint, texts, without
 
 #: Forms of address by gender, per script. A name after one of them is a person's.
 TITLES = {
@@ -274,9 +274,11 @@ def pseudonymise(docs: DataFrame, key: bytes = b"gapwise", most: int = 200_000)
 
     The same value gets the same surrogate everywhere, different values different ones. Null texts stay null, with no
     entities; repeated rows come out alike; an empty table gives an empty result. Retried entities are broadcast up
-    to ``most``; beyond that they are joined to the documents that hold them.
+    to ``most``; beyond that they are joined to the documents that hold them. Columns n_entities and entities are
+    replaced.
     """
     again = retried(docs, key)
+    docs = without(docs, "n_entities", "entities", "_text_hash", "_held_hash", "_x")
     at = docs.columns.index("text")
     names = [*docs.columns, "n_entities", "entities"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("entities", T.StringType())])
@@ -306,10 +308,11 @@ def pseudonymise(docs: DataFrame, key: bytes = b"gapwise", most: int = 200_000)
         for batch in batches:
             got = [(r, k, c) for r, x in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True) for k, c in {(k, c) for _, _, k, c in entities(x.decode("utf-8", "replace"))}]
             cols = list(zip(*got, strict=True)) if got else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["_row", "kind", "canon"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["_held_hash", "kind", "canon"])
 
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    held = keyed.filter("text is not null").select("_row", "text").mapInArrow(occurrences, "_row long, kind string, canon string").distinct().join(again, ["kind", "canon"])
-    held = held.groupBy("_row").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("x"))
-    both = keyed.join(held, "_row", "left").select(*docs.columns, F.col("x.kind").alias("_k"), F.col("x.canon").alias("_c"), F.col("x.attempt").alias("_n"))
+    hashed = docs.filter("text is not null").select(F.xxhash64("text").alias("_text_hash"), "text")
+    held = hashed.mapInArrow(occurrences, "_held_hash long, kind string, canon string").distinct().join(again, ["kind", "canon"])
+    held = held.groupBy("_held_hash").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_x"))
+    both = docs.join(held, F.xxhash64(docs["text"]) == held["_held_hash"], "left")
+    both = both.select(*(docs[f"`{c}`"] for c in docs.columns), F.col("_x.kind"), F.col("_x.canon"), F.col("_x.attempt"))
     return both.mapInArrow(apply, schema)
