@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a task turns into numpy arrays at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch. Spark's own bound is 10,000 rows, which can be any number of bytes where texts are long.
+BATCH_BYTES, _BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_arrow(df: DataFrame, one: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow over batches of about BATCH_BYTES at most, or of what the session already says."""
+    conf = df.sparkSession.conf
+    if _BATCH_KEY not in conf.getAll:
+        conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+    return df.mapInArrow(one, schema)
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text modulo ``mod``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

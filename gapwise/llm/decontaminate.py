@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import WordHash, chunks, long_of, shingles, texts, word_arrays
+from gapwise.llm.common import WordHash, chunks, in_arrow, long_of, shingles, texts, word_arrays
 
 
 class Sketches:
@@ -75,7 +75,7 @@ def item_shingles(items: DataFrame, id_column: str = "item_id", n: int = 5) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["item", "shingles"])
 
     own = items.filter(F.col("text").isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), "text")
-    return own.mapInArrow(emit, "item long, shingles array<long>").filter("size(shingles) > 0")
+    return own.transform(in_arrow, emit, "item long, shingles array<long>").filter("size(shingles) > 0")
 
 
 def blocks(items: DataFrame, least: float, n: int, most: int, id_column: str = "item_id") -> Iterator[Sketches]:
@@ -118,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int
                 at = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(item, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "row", "item_id", "containment"])
 
-        own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(search, f"doc_id {kind}, row long, item_id long, containment double")
+        own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").transform(in_arrow, search, f"doc_id {kind}, row long, item_id long, containment double")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -138,5 +138,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int
                     clean += [not shared.value.search(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, T.StructType(docs.schema.fields))
+        docs = docs.transform(in_arrow, keep, T.StructType(docs.schema.fields))
     return docs

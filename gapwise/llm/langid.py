@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import chunks, crc_mod, texts
+from gapwise.llm.common import chunks, crc_mod, in_arrow, texts
 
 
 @cache
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, train: Column, orders: int = 3, bits: int = 16, smooth:
         yield from flush()
 
     own = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    total = own.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    total = own.transform(in_arrow, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = total.toPandas()
     languages = sorted(got["lang"].unique())
     if len(languages) > most_languages:
@@ -136,7 +136,7 @@ def predict(docs: DataFrame, model: NaiveBayes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(p) if p else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").transform(in_arrow, score, f"doc_id {kind}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, mod: int = 4, held_out: int = 2, **options) -> DataFrame:
@@ -165,4 +165,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame
                 ok += [lang != "und" and x >= least for lang, x in zip(langs, p, strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(in_arrow, keep, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import texts
+from gapwise.llm.common import in_arrow, texts
 
 #: Base phrases and their labels (fixed by the contract of the query).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -126,7 +126,7 @@ def document_frequency(docs: DataFrame, index: LicenseIndex) -> tuple[int, dict[
                     df[w] += 1
         yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in df], "n": pa.array(df.values(), pa.int64())})
 
-    rows = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").transform(in_arrow, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {r["word"].encode(): r["n"] for r in rows}
     return df.pop(b"", 0), df
 
@@ -166,4 +166,4 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, probes: int = 32, slack:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_templates"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long")
+    return docs.select("doc_id", "text").transform(in_arrow, scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import checkpoint, row_hash, texts, without
+from gapwise.llm.common import checkpoint, in_arrow, row_hash, texts, without
 
 _SPACES = b" \t\n\v\f\r"
 
@@ -42,7 +42,7 @@ def window_table(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), *longs], names=["doc_id", "row", "pos", "h", "g"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(emit, f"doc_id {kind}, row long, pos int, h long, g long")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").transform(in_arrow, emit, f"doc_id {kind}, row long, pos int, h long, g long")
 
 
 def later_windows(docs: DataFrame, n: int = 3) -> DataFrame:
@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, n: int = 3) -> DataFrame:
             columns = [pa.array(bodies, column.type) if i == at else batch.column(i) for i in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], names=names)
 
-    return both.select(*(docs[f"`{c}`"] for c in docs.columns), "_later_starts").mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
+    return both.select(*(docs[f"`{c}`"] for c in docs.columns), "_later_starts").transform(in_arrow, cut, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
 
 
 def line_dedup_digest(docs: DataFrame, n: int = 3) -> DataFrame:

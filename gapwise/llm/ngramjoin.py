@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import WordHash, checkpoint, chunks, long_of, row_hash, shingles, texts, without, word_arrays
+from gapwise.llm.common import WordHash, checkpoint, chunks, in_arrow, long_of, row_hash, shingles, texts, without, word_arrays
 from gapwise.llm.graph import components
 from gapwise.llm.tiles import by_tile, tiled
 
@@ -118,7 +118,7 @@ def signed(docs: DataFrame, n: int, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(node, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "row", "node", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(emit, f"doc_id {kind}, row long, node binary, sig binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").transform(in_arrow, emit, f"doc_id {kind}, row long, node binary, sig binary")
 
 
 def likely_edges(nodes: DataFrame, trees: int, length: int, depth: int, least: float, most: int) -> DataFrame:
@@ -150,7 +150,7 @@ def likely_edges(nodes: DataFrame, trees: int, length: int, depth: int, least: f
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
             a.clear(), b.clear()
 
-    return tiled(members, "trie", "node", "n", most).mapInArrow(link, "a binary, b binary")
+    return tiled(members, "trie", "node", "n", most).transform(in_arrow, link, "a binary, b binary")
 
 
 def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, n: int, bits: int) -> DataFra
                 sets = [long_of(np.unique(flat[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column(0).slice(part.start, part.stop - part.start), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(emit, "row long, shingles array<long>")
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").transform(in_arrow, emit, "row long, shingles array<long>")
 
 
 def verified(members: DataFrame, least: float, most: int) -> DataFrame:
@@ -220,7 +220,7 @@ def verified(members: DataFrame, least: float, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(links, pa.int64()), pa.array(other, pa.binary())], names=["node", "links", "other"])
             node.clear(), links.clear(), other.clear()
 
-    return tiled(members, "cluster", "node", "n", most).mapInArrow(verify, "node binary, links long, other binary")
+    return tiled(members, "cluster", "node", "n", most).transform(in_arrow, verify, "node binary, links long, other binary")
 
 
 def classes(

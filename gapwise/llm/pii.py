@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import checkpoint, texts, without
+from gapwise.llm.common import checkpoint, in_arrow, texts, without
 
 #: Forms of address by gender, per script. A name after one of them is a person's.
 TITLES = {
@@ -241,7 +241,7 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
             got = sorted({(k, c) for x in texts(batch.column(0)) for _, _, k, c in entities(x.decode("utf-8", "replace")) if k in _DRAWN})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([c for _, c in got], pa.string())], names=["kind", "canon"])
 
-    return docs.filter("text is not null").select("text").mapInArrow(emit, "kind string, canon string").distinct()
+    return docs.filter("text is not null").select("text").transform(in_arrow, emit, "kind string, canon string").distinct()
 
 
 def retried(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
@@ -257,7 +257,7 @@ def retried(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     own = checkpoint(distinct_entities(docs).withColumn("attempt", F.lit(0)))
     values = own.select(space.alias("space"), F.col("canon").alias("new")).distinct()
     for _ in range(rounds):
-        given = own.mapInArrow(give, "kind string, canon string, attempt int, new string").withColumn("space", space)
+        given = own.transform(in_arrow, give, "kind string, canon string, attempt int, new string").withColumn("space", space)
         given = checkpoint(given)
         owner = given.groupBy("space", "new").agg(F.min(F.struct("attempt", "canon", "kind")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
         taken = given.join(owner, ["space", "new"]).filter(F.struct("attempt", "canon", "kind") != F.col("owner")).select("kind", "canon")
@@ -302,7 +302,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"gapwise", most: int = 200_000)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(kinds, pa.string())], names=names)
 
     if fixed is not None:
-        return docs.mapInArrow(apply, schema)
+        return docs.transform(in_arrow, apply, schema)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,8 +311,8 @@ def pseudonymise(docs: DataFrame, key: bytes = b"gapwise", most: int = 200_000)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["_held_hash", "kind", "canon"])
 
     hashed = docs.filter("text is not null").select(F.xxhash64("text").alias("_text_hash"), "text")
-    held = hashed.mapInArrow(occurrences, "_held_hash long, kind string, canon string").distinct().join(again, ["kind", "canon"])
+    held = hashed.transform(in_arrow, occurrences, "_held_hash long, kind string, canon string").distinct().join(again, ["kind", "canon"])
     held = held.groupBy("_held_hash").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_x"))
     both = docs.join(held, F.xxhash64(docs["text"]) == held["_held_hash"], "left")
     both = both.select(*(docs[f"`{c}`"] for c in docs.columns), F.col("_x.kind"), F.col("_x.canon"), F.col("_x.attempt"))
-    return both.mapInArrow(apply, schema)
+    return both.transform(in_arrow, apply, schema)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import checkpoint, chunks, crc_mod, texts
+from gapwise.llm.common import checkpoint, chunks, crc_mod, in_arrow, texts
 
 END = 0xFF  # in no UTF-8 text: stands before each text and ends it
 ORDER = 5  # bytes of the longest context; 7 at most, as a gram is held in 64 bits
@@ -200,7 +200,7 @@ def statistics(docs: DataFrame) -> tuple[int, int, int, np.ndarray]:
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([[-1, -2, -3], at]), pa.int64()), "n": pa.array(np.concatenate([[size, rows, words], pairs[at]]), pa.int64())})
 
-    got = docs.select("train", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    got = docs.select("train", "text").transform(in_arrow, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     found = {r["key"]: r["n"] for r in got}
     pairs = np.zeros(65536, np.int64)
     for k, n in found.items():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import checkpoint, texts
+from gapwise.llm.common import checkpoint, in_arrow, texts
 
 _SPACES = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -67,7 +67,7 @@ def counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(COUNTS)))], names=["doc_id", *COUNTS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "text").transform(in_arrow, count, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _ratio(a: str, b: str):
