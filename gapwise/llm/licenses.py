@@ -1,8 +1,8 @@
 """License scan by a positional index of rare licence words.
 
 Each template notice is a list of words. The index maps a licence word to its postings (template, position).
-A first pass counts in how many documents each licence word occurs; the second looks up each file's licence words
-of highest IDF, intersects their postings by relative position (an occurrence at p of a word at q votes for a
+A first pass counts in how many documents each licence word occurs; the second looks up all of a file's licence
+words, those of highest IDF first, intersects their postings by relative position (an occurrence at p of a word at q votes for a
 start at p - q), and accepts a start if enough of the template's words stand there and its mandatory key phrases
 follow one another inside the span.
 """
@@ -83,15 +83,14 @@ def places(words: list[bytes], phrase: list[bytes], where: dict[bytes, list[int]
     return [p - n + 1 for p in where.get(phrase[-1], ()) if lo <= p - n + 1 and p < hi and words[p - n + 1 : p + 1] == phrase]
 
 
-def match(words: list[bytes], index: LicenseIndex, idf: dict[bytes, float], probes: int, slack: int, least: float) -> list[tuple[str, float, int]]:
+def match(words: list[bytes], index: LicenseIndex, idf: dict[bytes, float], slack: int, least: float) -> list[tuple[str, float, int]]:
     """(label, share of the template's words found in place, start) of every accepted template, the best start of each."""
     where: dict[bytes, list[int]] = defaultdict(list)
     for p, w in enumerate(words):
         if w in index.vocabulary:
             where[w].append(p)
-    top = sorted(where, key=lambda w: (-idf.get(w, 0.0), w))[:probes]
     votes: dict[int, list[np.ndarray]] = defaultdict(list)
-    for w in top:
+    for w in sorted(where, key=lambda w: (-idf.get(w, 0.0), w)):
         at = np.array(where[w])
         for t, q in index.postings[w]:
             votes[t].append(at - q)
@@ -131,13 +130,13 @@ def document_frequency(docs: DataFrame, index: LicenseIndex) -> tuple[int, dict[
     return df.pop(b"", 0), df
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, probes: int = 32, slack: int = 2, least: float = 0.7) -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, slack: int = 2, least: float = 0.7) -> DataFrame:
     """One row per document: its licence labels, base phrases and best template score.
 
     doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_templates. A null or empty text has
     no words, empty labels and score 0; repeated rows are scanned each; further columns are ignored. A base phrase
-    that no template confirms scores 0.5. probes: licence words of highest IDF that are looked up for a file.
-    slack: words by which a template word may be out of place. least: share of the template's words needed.
+    that no template confirms scores 0.5. slack: words by which a template word may be out of place. least: share of
+    the template's words needed.
     """
     index = LicenseIndex(templates)
     total, df = document_frequency(docs, index)
@@ -158,7 +157,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, probes: int = 32, slack:
                             if at := places(words, phrase, where):
                                 starts += at
                                 labels.add(label)
-                    hits = match(words, index, idf, probes, slack, least)
+                    hits = match(words, index, idf, slack, least)
                 score = max([x[1] for x in hits] + [0.5 * bool(starts)])
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x in hits})), score, len(hits)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8

@@ -82,6 +82,13 @@ def test_license_templates_are_found_with_edits(spark):
     assert got[99].labels == "" and got[100].n_words == 0 and got[100].score == 0
 
 
+def test_license_scan_of_a_file_with_all_notices(spark):
+    text = " filler words here ".join(text for _, text, _ in licenses.TEMPLATES)
+    got = by_id(licenses.license_scan(spark.createDataFrame([(0, text)], "doc_id long, text string")))
+    assert set(got[0].labels.split(",")) == {label for label, _, _ in licenses.TEMPLATES}
+    assert got[0].n_templates == len(licenses.TEMPLATES) and got[0].score == 1
+
+
 def test_contamination_is_exact(spark, docs):
     items = duckdb.sql(f"SELECT item_id, text FROM '{FOLDER}/benchmark.parquet'").fetchall()
     d, b = sets([x[1] for x in docs], False), sets([x[1] for x in items], False)
