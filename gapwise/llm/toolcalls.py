@@ -13,6 +13,8 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +48,15 @@ def _needs(x: Any) -> Iterator[str]:
         yield from _needs(y)
 
 
-def _call(x: Any) -> dict | None:
-    if not isinstance(x, dict):
-        return None
+def _call(x: Any) -> dict:
+    if not isinstance(x, dict):  # kept as it is
+        return {"id": None, "name": None, "arguments": canonical(x), "ok": False, "needs": []}
     inner = x["function"] if isinstance(x.get("function"), dict) else x
-    args = inner.get("arguments", {})
-    args = _load(args) if isinstance(args, str) else args
-    if inner.get("name") is None:
-        return None
-    # an identifier that is missing links to nothing
-    return {"id": None if x.get("id") is None else str(x["id"]), "name": str(inner["name"]), "arguments": canonical(args), "ok": isinstance(args, dict), "needs": sorted(set(_needs(args)))}
+    raw = inner.get("arguments", {})
+    args = _load(raw) if isinstance(raw, str) else raw
+    name = None if inner.get("name") is None else str(inner["name"])
+    # an identifier that is missing links to nothing; text that isn't JSON stays as it is
+    return {"id": None if x.get("id") is None else str(x["id"]), "name": name, "arguments": raw if args is None and isinstance(raw, str) else canonical(args), "ok": isinstance(args, dict), "needs": sorted(set(_needs(args)))}
 
 
 def _tool(x: Any) -> dict | None:
@@ -72,7 +73,7 @@ def parse(text: str | None) -> dict:
         return out
     if text.lstrip()[:1] == "{" and isinstance(x := _load(text), dict):
         if isinstance(x.get("tool_calls"), list):
-            out["calls"] = [c for y in x["tool_calls"] if (c := _call(y))]
+            out["calls"] = [_call(y) for y in x["tool_calls"]]
             out["content"] = x.get("content") if isinstance(x.get("content"), str) else None
         elif x.get("tool_call_id") is not None:
             out["results"] = [str(x["tool_call_id"])]
@@ -83,7 +84,7 @@ def parse(text: str | None) -> dict:
 
     def take(m: re.Match) -> str:
         x = _load(m[2])
-        if m[1] == "tool_call" and (c := _call(x)):
+        if m[1] == "tool_call" and (c := _call(x))["name"] is not None:
             out["calls"].append(c)
         elif m[1] == "tool_response" and isinstance(x, dict) and x.get("tool_call_id") is not None:
             out["results"].append(str(x["tool_call_id"]))
@@ -155,28 +156,77 @@ def _mapped(df: DataFrame, inputs: list[str], one, schema: str) -> DataFrame:
     return df.transform(in_arrow, run, T.StructType([*df.schema.fields, *added.fields]))
 
 
-def positions(edges: DataFrame, messages: DataFrame, most_links: int = 64) -> DataFrame:
+def settled(turns: list[int], before: list[int], after: list[int]) -> tuple[list[tuple[int, int]], list[bool]]:
+    """Place (turn, step) of each message of a conversation, and whether it lies on a cycle of links (before, after), in time linear in the links.
+
+    Strong components come out of the search (Tarjan's, without recursion) after all that follow them; in the
+    opposite order, each message is final before those that follow it. Links within a component don't count.
+    """
+    n = len(turns)
+    follow: list[list[int]] = [[] for _ in range(n)]
+    for u, v in zip(before, after, strict=True):
+        follow[u].append(v)
+    index, low, part, size = [-1] * n, [0] * n, [-1] * n, []
+    made, open_, count = [], [], 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        index[root] = low[root] = count
+        count += 1
+        open_.append(root)
+        path = [(root, iter(follow[root]))]
+        while path:
+            u, rest = path[-1]
+            for v in rest:
+                if index[v] < 0:
+                    index[v] = low[v] = count
+                    count += 1
+                    open_.append(v)
+                    path.append((v, iter(follow[v])))
+                    break
+                if part[v] < 0:
+                    low[u] = min(low[u], index[v])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[u])
+                if low[u] == index[u]:
+                    size.append(0)
+                    while part[u] < 0:
+                        v = open_.pop()
+                        part[v] = len(size) - 1
+                        size[-1] += 1
+                        made.append(v)
+    at = [(t, 0) for t in turns]
+    for u in reversed(made):
+        least = (at[u][0], at[u][1] + 1)
+        for v in follow[u]:
+            if part[v] != part[u] and at[v] < least:
+                at[v] = least
+    return at, [size[k] > 1 for k in part]
+
+
+def positions(edges: DataFrame, messages: DataFrame) -> DataFrame:
     """conv_id, row, at (turn, step), cyclic of the messages that edges (conv_id, before, after) move.
 
     A message comes at its own turn, or, where one that must come before it isn't earlier, right after that one.
-    Each round moves along one more link of such a chain. A chain has fewer links than its conversation has such
-    messages; what would move further, or still moves after most_links rounds, is marked as a cycle and left.
+    Messages on a cycle are marked and don't wait for each other. Conversations whose links all lead to a later turn
+    stay as they are; the links of any other one, without text, are one group.
     """
-    own = messages.join(messages.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id")
-    at = checkpoint(own.select("conv_id", "row", "n", F.struct("turn", F.lit(0).alias("step")).alias("at"), F.lit(False).alias("cyclic")))
-    for left in range(most_links, -1, -1):
-        before = edges.join(at.select("conv_id", F.col("row").alias("before"), F.struct("at.turn", (F.col("at.step") + 1).alias("step")).alias("least")), ["conv_id", "before"])
-        least = before.groupBy("conv_id", F.col("after").alias("row")).agg(F.max("least").alias("least"))
-        # a message of a later turn is after it as it is
-        moved = checkpoint(least.join(at.filter("not cyclic"), ["conv_id", "row"]).filter(F.col("least") > F.col("at")).select("conv_id", "row", F.col("least").alias("new")))
-        if moved.isEmpty():
-            break
-        stuck = F.col("new").isNotNull() & ((F.col("new.step") >= F.col("n")) | F.lit(left == 0))
-        at = at.join(moved, ["conv_id", "row"], "left").select(
-            "conv_id", "row", "n", F.when(stuck, F.col("at")).otherwise(F.coalesce("new", "at")).alias("at"), (F.col("cyclic") | F.coalesce(stuck, F.lit(False))).alias("cyclic")
-        )
-        at = checkpoint(at)
-    return at.drop("n")
+    own = messages.select("conv_id", "row", "turn")
+    links = edges.join(own.select("conv_id", F.col("row").alias("before"), F.col("turn").alias("turn_before")), ["conv_id", "before"])
+    links = links.join(own.select("conv_id", F.col("row").alias("after"), F.col("turn").alias("turn_after")), ["conv_id", "after"])
+    moving = links.filter("turn_before >= turn_after").select("conv_id").distinct()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, first, at = np.unique(np.concatenate([rows["before"], rows["after"]]), return_index=True, return_inverse=True)
+        turns = np.concatenate([rows["turn_before"], rows["turn_after"]])[first]
+        places, cyclic = settled(turns.tolist(), at[: len(rows)].tolist(), at[len(rows) :].tolist())
+        return pd.DataFrame({"conv_id": rows["conv_id"].iloc[0], "row": ids, "turn": [x[0] for x in places], "step": [x[1] for x in places], "cyclic": cyclic})
+
+    made = links.join(moving, "conv_id", "left_semi").groupBy("conv_id").applyInPandas(run, "conv_id string, row long, turn long, step int, cyclic boolean")
+    made = made.select("conv_id", "row", F.struct("turn", "step").alias("new"), "cyclic")
+    return own.join(made, ["conv_id", "row"], "left").select("conv_id", "row", F.coalesce("new", F.struct("turn", F.lit(0).alias("step"))).alias("at"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
@@ -184,12 +234,12 @@ def format_chat(conversations: DataFrame) -> DataFrame:
 
     Sorted by order_turn, order_step and turn, a conversation's calls come before their results and results before
     the calls that need them. message is canonical JSON. problems, sorted and joined by commas: unanswered, answered
-    twice (repeated-result), an identifier used again (repeated-id) or missing (no-id), orphan-result,
-    unknown-tool, invalid-arguments, cycle. A tool without a schema in its conversation is unknown only if the
+    twice (repeated-result), an identifier used again (repeated-id) or missing (no-id), a missing name (no-name),
+    orphan-result, unknown-tool, invalid-arguments (text that isn't JSON is kept as it is), cycle. A tool without a schema in its conversation is unknown only if the
     conversation has schemas. Null texts have null content, empty ones empty; a null conv_id is a conversation of
     its own; a null turn comes first; repeated rows are one message that is returned as often; an empty table gives
-    an empty result; further columns are ignored. No conversation is gathered: joins go by conversation and
-    identifier, counts combine before their shuffle.
+    an empty result; further columns are ignored. Joins go by conversation and identifier, counts combine
+    before their shuffle; only the links of a conversation with one that isn't to a later turn are gathered (positions).
     """
     own = conversations.select("conv_id", "turn", "role", "text").withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
     # null-safe in joins
@@ -213,8 +263,8 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     linked = _mapped(linked, ["arguments", "ok", "schema"], judge, "wrong string")
     again = F.struct("turn", "row", "k") != F.col("first")
     problems = F.array_compact(F.array(
-        F.when(F.col("id").isNull(), "no-id"), F.when(again, "repeated-id"), F.when(F.col("id").isNotNull() & F.col("n_answers").isNull(), "unanswered"),
-        F.when(F.col("n_answers") > 1, "repeated-result"), F.when(F.col("has_tools") & F.col("schema").isNull(), "unknown-tool"), F.when(F.col("wrong").isNotNull(), "invalid-arguments"),
+        F.when(F.col("id").isNull(), "no-id"), F.when(F.col("name").isNull(), "no-name"), F.when(again, "repeated-id"), F.when(F.col("id").isNotNull() & F.col("n_answers").isNull(), "unanswered"),
+        F.when(F.col("n_answers") > 1, "repeated-result"), F.when(F.col("has_tools") & F.col("name").isNotNull() & F.col("schema").isNull(), "unknown-tool"), F.when(F.col("wrong").isNotNull(), "invalid-arguments"),
     ))
     by_call = linked.select("conv_id", "row", "k", "id", "needs", "wrong", (F.col("n_answers").isNotNull() & ~again).alias("linked"), "answer", problems.alias("problems"))
     by_call = checkpoint(by_call)

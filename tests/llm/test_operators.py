@@ -224,6 +224,55 @@ def test_tool_calls_of_the_tables(spark):
     assert {(r.conv_id, r.turn): (json.loads(r.message)["role"], json.loads(r.message)["content"]) for r in out} == want
 
 
+def test_tool_calls_of_a_long_chain_and_a_cycle(spark):
+    def call(id, *needs):
+        return json.dumps({"tool_calls": [{"id": id, "name": "f", "arguments": {f"x{k}": f"${y}" for k, y in enumerate(needs)}}]})
+
+    def answer(id):
+        return json.dumps({"tool_call_id": id, "content": "1"})
+
+    n = 100  # calls, the last one first, all turns null
+    rows = [(1, None, "assistant", call(f"c{i}", *[f"c{i - 1}"] * (i > 0))) for i in reversed(range(n))] + [(1, None, "tool", answer(f"c{i}")) for i in range(n)]
+    # p and q need each other; r needs q, and is on no cycle
+    rows += [(2, 3, "assistant", call("p", "q")), (2, 3, "tool", answer("p")), (2, 3, "assistant", call("q", "p")), (2, 3, "tool", answer("q")), (2, 1, "assistant", call("r", "q")), (2, 0, "tool", answer("r"))]
+    out = toolcalls.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    step = {}
+    for r in out:
+        m = json.loads(r.message)
+        step[r.conv_id, m.get("tool_call_id") or m["tool_calls"][0]["id"], r.role] = (r.order_turn, r.order_step, r.problems)
+    assert len(out) == len(rows)
+    assert all(step[1, f"c{i}", "assistant"] == (None, 2 * i, "") and step[1, f"c{i}", "tool"] == (None, 2 * i + 1, "") for i in range(n))
+    assert all(step[2, x, role] == (3, 0, "cycle") for x in "pq" for role in ("assistant", "tool"))
+    assert step[2, "r", "assistant"] == (3, 1, "") and step[2, "r", "tool"] == (3, 2, "")
+
+
+def test_settled_is_the_fixed_point():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(2, 9))
+        turns = rng.integers(0, 4, n).tolist()
+        edges = {(int(a), int(b)) for a, b in rng.integers(0, n, (int(rng.integers(1, 12)), 2)) if a != b}
+        reach = np.eye(n, dtype=bool)
+        for _ in range(n):
+            for a, b in edges:
+                reach[:, b] |= reach[:, a]
+        want = [(t, 0) for t in turns]
+        for _ in range(n):
+            for a, b in edges:
+                if not reach[b, a]:
+                    want[b] = max(want[b], (want[a][0], want[a][1] + 1))
+        at, cyclic = toolcalls.settled(turns, [a for a, _ in edges], [b for _, b in edges])
+        assert at == want and cyclic == [any(reach[i, j] and reach[j, i] for j in range(n) if j != i) for i in range(n)]
+
+
+def test_tool_calls_keep_what_is_malformed(spark):
+    text = json.dumps({"tool_calls": [{"id": "a", "arguments": {"x": 1}}, {"id": "b", "name": "f", "arguments": '{"city": "Par'}, "just text"]})
+    r = toolcalls.format_chat(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")).collect()[0]
+    calls = [(c["id"], c["function"]["name"], c["function"]["arguments"]) for c in json.loads(r.message)["tool_calls"]]
+    assert calls == [("a", None, '{"x":1}'), ("b", "f", '{"city": "Par'), (None, None, '"just text"')]
+    assert r.n_calls == 3 and r.n_invalid == 2 and r.problems == "invalid-arguments,no-id,no-name,unanswered"
+
+
 def test_schema_violations():
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"enum": ["x"]}}}, "additionalProperties": False}
     assert toolcalls.violation({"a": 1, "b": ["x"]}, schema) is None
