@@ -6,6 +6,8 @@ partitioning: a stream is dealt by src, which also satisfies what needs (src, se
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -119,3 +121,25 @@ def segment_arrays(segments: DataFrame, channels: tuple[str, ...]) -> DataFrame:
 def fixed_length(segments: DataFrame, length: int) -> DataFrame:
     """Samples of the segments of exactly ``length`` samples."""
     return segments.filter(F.col("n") == length)
+
+
+def spectrum(segments: DataFrame, channel: str) -> DataFrame:
+    """src, seg_id, k, amplitude: every bin k from 1 to n / 2 of every segment's Fourier transform, 2 / n times its magnitude, without the mean.
+
+    Null samples count in n and add nothing; a segment of nulls only has null amplitudes, one of a single sample no
+    row. A segment is one group, as its transform needs all of its samples.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("pos")["x"].to_numpy(float)
+        n, known = len(x), ~np.isnan(x)
+        k = np.arange(1, n // 2 + 1)
+        if known.any():
+            a = 2 / n * np.abs(np.fft.rfft(np.where(known, x - x[known].mean(), 0.0)))[k]
+        else:
+            a = np.full(len(k), np.nan)
+        return pd.DataFrame({"src": rows["src"].iloc[0], "seg_id": rows["seg_id"].iloc[0], "k": k, "amplitude": a})
+
+    own = segments.select("src", "seg_id", "pos", F.col(channel).cast("double").alias("x"))
+    made = own.groupBy("src", "seg_id").applyInPandas(run, "src long, seg_id long, k long, amplitude double")
+    return made.withColumn("amplitude", F.when(~F.isnan("amplitude"), F.col("amplitude")))

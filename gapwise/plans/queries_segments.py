@@ -220,6 +220,12 @@ def spectrum(t: Tables) -> DataFrame:
     return made.select("src", "seg_id", F.col("k").cast("long").alias("k"), R("a", 3).alias("amplitude"))
 
 
+@query()
+def spectrum_full(t: Tables) -> DataFrame:
+    """All segments and bins; spectrum is the part of them that its SQL states."""
+    return seg.spectrum(segments(t), "ch0").select("src", "seg_id", "k", R("amplitude", 6).alias("amplitude"))
+
+
 @query(f"WITH {KEYS} SELECT src, seg_id, 'src' || src || '_' || seg_id AS seg_uid, CAST(regexp_extract('src' || src || '_' || seg_id, '_(\\d+)$', 1) AS BIGINT) AS suffix, CASE state WHEN 0 THEN 'high' ELSE 'low' END AS state_name FROM k")
 def segment_key(t: Tables) -> DataFrame:
     own = segment_keys(t).withColumn("seg_uid", F.concat_ws("_", F.concat(F.lit("src"), "src"), "seg_id"))

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gapwise import plans
 from gapwise.operators import clean, conformal, evaluate, models, segments, stats, warning
 from gapwise.sources import io
 from gapwise.streaming import scorer
@@ -47,6 +49,20 @@ def test_correlation_is_null_without_spread_or_below_four(spark):
     assert [r["corr"] for r in segments.relation_windows(short, 3, 3).collect()] == [None]
 
 
+def test_spectrum_has_all_segments_and_bins(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    long, short = rng.normal(50, 10, 41).round(2).tolist(), rng.normal(50, 10, 12).round(2).tolist()
+    rows = [(1, i, T0 + dt.timedelta(seconds=t), v, "{}", "a") for i, (t, v) in enumerate(zip([*range(41), *range(200_000, 200_012)], long + short))]
+    rows.append((1, 99, T0 + dt.timedelta(seconds=500_000), 1.0, "{}", "a"))
+    spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, value double, props string, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.seg_id, r.k): r.amplitude for r in plans.QUERIES["spectrum_full"](spark, str(tmp_path)).collect()}
+    want = {}
+    for s, x in enumerate([long, short]):
+        for k in range(1, len(x) // 2 + 1):
+            want[s, k] = 2 / len(x) * abs(sum((v - sum(x) / len(x)) * complex(math.cos(2 * math.pi * k * i / len(x)), math.sin(2 * math.pi * k * i / len(x))) for i, v in enumerate(x)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_offset_methods(spark):
     seg = segments.gap_segments(stream(spark, [i / 10 for i in range(5)], [3, 5, 7, 9, 11]), 0.5)
     for method, want in {"mean": [-4, -2, 0, 2, 4], "expanding": [0, 1, 2, 3, 4], "detrend": [0] * 5}.items():
