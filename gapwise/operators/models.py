@@ -166,13 +166,42 @@ def kalman_scores(segments: DataFrame, channel: str, q: float, r: float) -> Data
     return made.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
-def isolation_forest(frame: DataFrame, train: Column, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 0) -> DataFrame:
-    """Isolation forest: trees are fitted on bounded samples of training rows, as the method says; all rows are scored.
+def tree_samples(rows: DataFrame, columns: list[str], keys: list[str], trees: int, sample: int, seed: int) -> DataFrame:
+    """tree and columns: for each tree ``sample`` rows without replacement (all, if there are fewer), drawn for each row and tree by hashes of the row's key.
 
-    The sample holds the rows of lowest hash, trees * sample at most, so reruns agree.
+    A row first draws in how many trees it is (binomial, with a share at which no tree comes out short: 10 standard
+    deviations over ``sample``), then in which; each tree keeps its rows of lowest hash.
     """
-    order = F.xxhash64(*columns, F.lit(seed))
-    picked = frame.filter(train).select(*columns).dropna().orderBy(order, *columns).limit(trees * sample).toPandas().to_numpy(float)
+    n = rows.count()
+    share = min(1.0, (sample + 10 * math.sqrt(sample)) / max(n, 1))
+    h = F.xxhash64(*keys, *columns, F.lit(seed))
+    if share < 1:
+        part, below, limits = (1 - share) ** trees, 0.0, []
+        for k in range(trees):
+            below += part
+            limits.append(below)
+            part *= (trees - k) / (k + 1) * share / (1 - share)
+        u = F.shiftrightunsigned(F.col("_h"), 11) / float(1 << 53)
+        own = rows.withColumn("_h", h).withColumn("_k", F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= u))).filter("_k > 0")
+    else:
+        own = rows.withColumn("_h", h).withColumn("_k", F.lit(trees))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.struct(F.xxhash64("_h", i).alias("draw"), i.alias("tree")))
+    own = own.select(*columns, *(k for k in keys if k not in columns), "_h", F.explode(F.slice(F.sort_array(draws), F.lit(1), F.col("_k"))).alias("_d"))
+    order = Window.partitionBy("_d.tree").orderBy(F.xxhash64("_h", "_d.tree", F.lit(1)), *keys, *columns)
+    return own.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= sample).select(F.col("_d.tree").alias("tree"), *columns)
+
+
+def isolation_forest(frame: DataFrame, train: Column, columns: list[str], trees: int = 300, sample: int = 256, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
+    """Isolation forest: each tree is fitted on its own sample of training rows, as the method says; all rows are scored.
+
+    keys: columns that name a row, so that rows of equal values have draws of their own and reruns agree. Without
+    them equal rows are numbered, which takes those of one value to one task.
+    """
+    rows = frame.filter(train).dropna(subset=columns)
+    if keys is None:
+        rows = rows.select(*columns).withColumn("_copy", F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0))))
+    drawn = tree_samples(rows, columns, keys or ["_copy"], trees, sample, seed).toPandas()
+    samples = [x.sort_values(columns)[columns].to_numpy(float) for _, x in drawn.groupby("tree")]
     rng = np.random.default_rng(seed)
     forest: list = []
 
@@ -187,9 +216,9 @@ def isolation_forest(frame: DataFrame, train: Column, columns: list[str], trees:
         cut = float(rng.uniform(x[:, c].min(), x[:, c].max()))
         return c, cut, grow(x[x[:, c] < cut], depth - 1), grow(x[x[:, c] >= cut], depth - 1)
 
-    size = min(sample, len(picked))
-    for _ in range(trees if size else 0):
-        forest.append(grow(picked[rng.choice(len(picked), size, replace=False)], max(1, math.ceil(math.log2(max(size, 2))))))
+    size = max(map(len, samples), default=0)
+    for x in samples:
+        forest.append(grow(x, max(1, math.ceil(math.log2(max(size, 2))))))
 
     def path(node, x: np.ndarray, out: np.ndarray, rows: np.ndarray, depth: int) -> None:
         if not isinstance(node, tuple):

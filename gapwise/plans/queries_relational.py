@@ -231,7 +231,7 @@ def kalman_score(t: Tables) -> DataFrame:
 
 @query()
 def isolation_forest_score(t: Tables) -> DataFrame:
-    out = models.isolation_forest(t.lineitem, F.col("l_returnflag") != "R", ["l_quantity", "l_extendedprice", "l_discount"])
+    out = models.isolation_forest(t.lineitem, F.col("l_returnflag") != "R", ["l_quantity", "l_extendedprice", "l_discount"], keys=["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", R("score", 6).alias("score"))
 
 

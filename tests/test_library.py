@@ -158,6 +158,19 @@ def test_isolation_forest_finds_a_far_point(spark):
     assert out.a == 9.0
 
 
+def test_isolation_forest_samples_rows_not_values(spark):
+    rows = [(i, 5.0 if i % 3 == 0 else i / 100, float(i % 3 == 0)) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "id long, a double, b double")
+    for keys in (["id"], None):
+        own = frame if keys else frame.drop("id").withColumn("_copy", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.lit(0))))
+        drawn = models.tree_samples(own, ["a", "b"], keys or ["_copy"], 60, 256, 0).toPandas()
+        sizes, share = drawn.groupby("tree").size(), drawn.groupby("tree")["b"].mean()
+        assert len(sizes) == 60 and (sizes == 256).all()
+        assert abs(share.mean() - 1 / 3) < 0.02 and (share > 0.15).all() and (share < 0.55).all() and share.nunique() > 5
+        scores = models.isolation_forest(frame, F.lit(True), ["a", "b"], trees=60, keys=keys).agg(F.countDistinct("score"), F.min("score"), F.max("score")).first()
+        assert scores[0] > 50 and scores[2] - scores[1] > 0.1
+
+
 def test_pca_error_of_a_plane_is_zero(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(0, 1, (100, 2))
