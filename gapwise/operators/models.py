@@ -135,12 +135,19 @@ def pca_error(frame: DataFrame, train: Column, columns: list[str], components: i
     fit = pca(frame.filter(train), columns)
     z = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(columns, fit["mean"], fit["scale"], strict=True)]
     v = fit["loadings"][:, :components]
-    scores = [sum((z[i] * float(v[i, j]) for i in range(len(z))), F.lit(0.0)) for j in range(components)]
-    own = frame.select("*", F.array(*scores).alias("_t"), F.array(*z).alias("_z"))
-    back = [sum((F.col("_t")[j] * float(v[i, j]) for j in range(components)), F.lit(0.0)) for i in range(len(z))]
-    spe = sum((F.pow(F.col("_z")[i] - back[i], 2) for i in range(len(z))), F.lit(0.0))
-    t2 = sum((F.pow(F.col("_t")[j], 2) / float(fit["values"][j]) for j in range(components)), F.lit(0.0))
-    return own.select(*frame.columns, spe.alias("spe"), t2.alias("t2"))
+    values = fit["values"][:components]
+
+    def errors(z: pd.Series) -> pd.DataFrame:
+        x = np.stack(z.to_list()) if len(z) else np.empty((0, len(v)))
+        t = x @ v
+        return pd.DataFrame({"spe": ((x - t @ v.T) ** 2).sum(axis=1), "t2": (t * t / values).sum(axis=1)})
+
+    # an expression of this many terms is more than Catalyst plans; rows with nulls get none
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    own = frame.select("*", F.pandas_udf(errors, "spe double, t2 double")(F.array(*(F.coalesce(x, F.lit(0.0)) for x in z))).alias("_e"), known.alias("_known"))
+    return own.select(*frame.columns, *(F.when(F.col("_known"), F.col(f"_e.{c}")).alias(c) for c in ("spe", "t2")))
 
 
 def kalman_scores(segments: DataFrame, channel: str, q: float, r: float) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,9 +87,38 @@ def ks_statistic(frame: DataFrame, value: str, group: str, *by: str) -> DataFram
     return counts.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
 
 
+#: Columns up to which gram is one aggregate of expressions.
+MOST_EXPRESSIONS = 24
+
+
+def gram_in_batches(rows: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """gram of k columns without null: each partition makes a count, sums and products about the first row's values; the k * (k + 1) sums are added in a groupBy."""
+    head = rows.first()
+    if head is None:
+        return 0, np.full(k, np.nan), np.full((k, k), np.nan)
+    about = np.array(head, float)  # against cancellation
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros((k + 1, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - about
+            n += len(x)
+            total[0] += x.sum(axis=0)
+            total[1:] += x.T @ x
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(-1, total.size), pa.int64()), "x": pa.array([float(n), *total.ravel()], pa.float64())})
+
+    made = rows.mapInArrow(sums, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    got = np.array([r["x"] for r in sorted(made, key=lambda r: r["i"])])
+    n, total = int(got[0]), got[1:].reshape(k + 1, k)
+    cov = (total[1:] - np.outer(total[0], total[0]) / n) / (n - 1) if n > 1 else np.full((k, k), np.nan)
+    return n, about + total[0] / n, cov
+
+
 def gram(frame: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows without null, mean and covariance matrix (n - 1) of columns, by one aggregate of k * (k + 3) / 2 sums."""
+    """Rows without null, mean and covariance matrix (n - 1) of columns, by one aggregate of k * (k + 3) / 2 sums; of many columns by batches."""
     own = frame.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    if len(columns) > MOST_EXPRESSIONS:
+        return gram_in_batches(own, len(columns))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = own.agg(F.count("*"), *(F.avg(c) for c in columns), *(F.covar_samp(columns[i], columns[j]) for i, j in pairs)).first()
     n, k = row[0], len(columns)

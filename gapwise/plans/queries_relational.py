@@ -219,7 +219,8 @@ def mahalanobis_score(t: Tables) -> DataFrame:
 
 @query()
 def pca_spe_t2(t: Tables) -> DataFrame:
-    cols = [f"x{i}" for i in range(16)]
+    size = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
+    cols = [f"x{i}" for i in range(size or 0)]
     own = t.embeddings.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)))
     return models.pca_error(own, F.col("label") != 0, cols, 4).select("vec_id", R("spe", 6).alias("spe"), R("t2", 6).alias("t2"))
 

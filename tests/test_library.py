@@ -171,6 +171,21 @@ def test_isolation_forest_samples_rows_not_values(spark):
         assert scores[0] > 50 and scores[2] - scores[1] > 0.1
 
 
+def test_pca_takes_all_dimensions(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    x = (rng.normal(0, 1, (400, 8)) @ rng.normal(0, 1, (8, 64)) + rng.normal(0, 0.1, (400, 64))).astype("float32")
+    label = [i % 5 for i in range(400)]
+    x[0, 40] += 9  # not a training row
+    spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.spe, r.t2) for r in plans.QUERIES["pca_spe_t2"](spark, str(tmp_path)).collect()}
+    train = x[np.array(label) != 0].astype(float)
+    z = (x - train.mean(axis=0)) / train.std(axis=0, ddof=1)
+    values, v = np.linalg.eigh(np.corrcoef(train.T))
+    t = z @ v[:, -4:]
+    want = np.column_stack([((z - t @ v[:, -4:].T) ** 2).sum(axis=1), (t * t / values[-4:]).sum(axis=1)])
+    assert np.allclose([got[i] for i in range(400)], want, atol=1e-4)
+
+
 def test_pca_error_of_a_plane_is_zero(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(0, 1, (100, 2))
