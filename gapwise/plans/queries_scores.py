@@ -127,16 +127,16 @@ def f1_grid(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {SCORES}, m AS (SELECT src, seg_id, max(score) AS stat FROM sc WHERE label = 0 GROUP BY src, seg_id), r AS (SELECT stat, row_number() OVER (ORDER BY stat DESC, src, seg_id) AS rk, count(*) OVER () AS total FROM m),
-g AS (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS target)
-SELECT target, total, CAST(floor(target * total + 1e-9) AS BIGINT) AS m, stat AS thr FROM r JOIN g ON rk = least(floor(target * total + 1e-9) + 1, total)""")
+goal AS (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS target)
+SELECT target, total, CAST(floor(target * total + 1e-9) AS BIGINT) AS m, stat AS thr FROM r JOIN goal ON rk = least(floor(target * total + 1e-9) + 1, total)""")
 def operating_point(t: Tables) -> DataFrame:
     return ev.operating_point(scores(t), [0.01, 0.05, 0.1])
 
 
 @query(f"""WITH {SCORES}, l AS (SELECT *, list_sort(list(score) OVER (PARTITION BY src, seg_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 'DESC') AS z FROM sc WHERE label = 0),
 m AS (SELECT src, seg_id, max(z[2]) AS stat FROM l GROUP BY src, seg_id), n AS (SELECT count(*) AS total FROM m),
-r AS (SELECT stat, row_number() OVER (ORDER BY stat DESC, src, seg_id) AS rk, count(*) OVER () AS last FROM m WHERE stat IS NOT NULL), g AS (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE]) AS target)
-SELECT target, total, CAST(floor(target * total + 1e-9) AS BIGINT) AS m, stat AS thr FROM n CROSS JOIN g JOIN r ON rk = least(floor(target * total + 1e-9) + 1, last)""")
+r AS (SELECT stat, row_number() OVER (ORDER BY stat DESC, src, seg_id) AS rk, count(*) OVER () AS last FROM m WHERE stat IS NOT NULL), goal AS (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE]) AS target)
+SELECT target, total, CAST(floor(target * total + 1e-9) AS BIGINT) AS m, stat AS thr FROM n CROSS JOIN goal JOIN r ON rk = least(floor(target * total + 1e-9) + 1, last)""")
 def operating_point_kofn(t: Tables) -> DataFrame:
     return ev.operating_point(scores(t), [0.01, 0.05], 2, 3)
 
