@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapwise.functions.storage import checkpoint, written  # noqa: F401
+
 #: Bytes of text that a task turns into numpy arrays at once.
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch. Spark's own bound is 10,000 rows, which can be any number of bytes where texts are long.
@@ -23,17 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names; one of our own only where it is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gapwise-"))
-    return df.checkpoint(eager=True)
-
-
 def in_arrow(df: DataFrame, one: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow over batches of about BATCH_BYTES at most, or of what the session already says."""
+    """mapInArrow over batches of about BATCH_BYTES at most, or of what the session already says.
+
+    The bound is an option of the session, read when the plan runs; it is set where it is unset, and stays.
+    """
     conf = df.sparkSession.conf
     if _BATCH_KEY not in conf.getAll:
         conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
@@ -56,9 +51,43 @@ def without(df: DataFrame, *added: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
 
 
-def row_hash(df: DataFrame) -> Column:
-    """Names a row by its id and text."""
-    return F.xxhash64(df["doc_id"], df["text"])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.MapType):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
+def row_key(df: DataFrame) -> Column:
+    """Names a row by all its columns, so that rows of one name are the same; nulls of different columns differ."""
+    parts: list[Column] = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        parts += [c.isNull(), F.to_json(F.struct(c)) if _has_map(f.dataType) else c]
+    return F.xxhash64(*parts)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """doc: the whole row; key: its name. Columns of a row's own can't clash with what an operator adds beside."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), row_key(df).alias("key"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, *more: Column) -> DataFrame:
+    """The columns of ``like`` out of doc, and more."""
+    return df.select(*(F.col(f"doc.`{c}`").alias(c) for c in like.columns), *more)
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -1,10 +1,12 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
 
-Items are parted by size (powers of two of their number of shingles). In a part with at most u shingles an item
-keeps its k = floor((1 - t) u) + 1 smallest shingle hashes as its MinHash sketch: an item of which a share t is in
-a document misses at most (1 - t) u of its shingles, so one of its k minima at least is found there. The document's
-side is not reduced to a sketch of fixed length: an item of 30 shingles in a document of 20,000 has a Jaccard
-similarity of 0.0015, at which banded signatures of 256 values find a third of the pairs only.
+Signatures are one-permutation MinHashes with a number of bins that is a power of two: the hash space is cut into
+bins, and the least hash of each is kept. Items are parted by size, and so are documents: an item of 2^j to
+2^(j+1) - 1 shingles is searched in a document of 2^i to 2^(i+1) - 1 with 2^(i - j + c) bins on both sides, as many as
+make it all but certain that an item of which a share t is in the document has an equal least hash in one bin at
+least. So long items are found by small signatures, and short items in long documents by large ones. A hash that is
+the least of its bin stays so in smaller bins; that gives each hash a level, from which on it is in the signature,
+and one sorted table serves all partitions. Pairs that meet are verified by all their shingles.
 """
 
 from __future__ import annotations
@@ -13,53 +15,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import WordHash, chunks, in_arrow, long_of, shingles, texts, word_arrays
+from gapwise.llm.common import WordHash, checkpoint, chunks, in_arrow, long_of, shingles, texts, word_arrays
+
+#: Bins to an item's least number of shingles in its share of the document, as a power of two. With t = 0.8 an item
+#: and a document agree in over 10 bins on average then, at the sizes that are worst for it.
+BINS = 5
+
+
+def levels(values: np.ndarray) -> np.ndarray:
+    """For sorted distinct hashes, the least m at which each is the least of its bin among 2^m bins of equal width."""
+    if not len(values):
+        return np.empty(0, np.int64)
+    # a hash is the least of its bin once its bin and that of the hash before it differ
+    change = values[1:] ^ values[:-1]
+    top = np.minimum(np.frexp(change.astype(np.float64))[1].astype(np.int64), 64)  # bits up to the highest that differs, or one more
+    top = np.where(change >> (top - 1).astype(np.uint64) == 0, top - 1, top)
+    return np.concatenate([[0], 65 - top])
+
+
+def size_part(n: np.ndarray | int) -> np.ndarray:
+    """k of sizes from 2^k to 2^(k + 1) - 1."""
+    return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
 class Sketches:
-    """Sketch postings and whole shingle sets of a block of items."""
+    """Signatures and whole shingle sets of a block of items."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], least: float):
         self.ids, self.least = np.array(ids, np.int64), least
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        #: Size part by item: sets of 2 ** part to 2 ** (part + 1) - 1 shingles.
-        self.parts = np.floor(np.log2(np.maximum(self.sizes, 1))).astype(np.int64)
-        kept = []
-        for s, part in zip(sets, self.parts.tolist(), strict=True):
-            most = 2 ** (part + 1) - 1
-            kept.append(np.sort(s)[: int(np.floor((1 - least) * most + 1e-9)) + 1])
-        item = np.repeat(np.arange(len(sets)), [len(x) for x in kept])
-        flat = np.concatenate(kept) if kept else np.empty(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.sketch, self.sketch_item = flat[order], item[order]
+        self.parts = size_part(self.sizes)
+        self.smallest = int(self.parts.min()) if len(sets) else 0
+        sets = [np.sort(s) for s in sets]
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        self.item = np.repeat(np.arange(len(sets)), self.sizes)
+        level = np.concatenate([levels(s) for s in sets]) if sets else np.empty(0, np.int64)
+        item = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
-        self.full, self.item = flat[order], self.item[order]
-        #: Bit table by the low bits of the sketch hashes, to look up the few shingles that may be in it only.
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.sketch & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    @staticmethod
-    def _hits(keys: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Owners of every key that is among ``wanted`` (distinct, any order), once for each."""
-        lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+        self.full, self.item, self.level = flat[order], item[order], level[order]
+        #: Bit table by the low bits of the hashes, to look up the few shingles that may be an item's only.
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.full & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def _hits(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table of every hash that is among ``wanted`` (distinct), and which of them it is."""
+        lo, hi = np.searchsorted(self.full, wanted, "left"), np.searchsorted(self.full, wanted, "right")
         n = hi - lo
-        return owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.empty(0, np.int64)
+        return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), np.repeat(np.arange(len(wanted)), n)
 
     def search(self, doc: np.ndarray) -> list[tuple[int, float]]:
         """(item, containment) of the items that a document's shingles contain to the least share."""
-        may = doc[self.bits[(doc & np.uint64((1 << 20) - 1)).astype(np.int64)]]
-        if not len(may):
+        if not len(self.full) or not len(doc):
             return []
-        candidates = np.unique(self._hits(self.sketch, self.sketch_item, np.unique(may)))
+        may = self.bits[(doc & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        if not may.any() or not len(self._hits(np.unique(doc[may]))[0]):
+            return []
+        doc = np.unique(doc)
+        bins = int(size_part(len(doc))) + BINS
+        level = levels(doc)
+        # the signature for the smallest items holds those for all others
+        kept = np.flatnonzero((level <= bins - self.smallest) & self.bits[(doc & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        at, which = self._hits(doc[kept])
+        own = bins - self.parts[self.item[at]]
+        met = (self.level[at] <= own) & (level[kept[which]] <= own)
+        candidates = np.unique(self.item[at[met]])
         if not len(candidates):
             return []
-        found = np.bincount(self._hits(self.full, self.item, np.unique(doc)), minlength=len(self.ids))
+        found = np.bincount(self.item[self._hits(doc)[0]], minlength=len(self.ids))
         share = found[candidates] / self.sizes[candidates]
         return [(int(self.ids[i]), float(x)) for i, x in zip(candidates, share, strict=True) if x >= self.least - 1e-12]
 
@@ -78,56 +104,69 @@ def item_shingles(items: DataFrame, id_column: str = "item_id", n: int = 5) -> D
     return own.transform(in_arrow, emit, "item long, shingles array<long>").filter("size(shingles) > 0")
 
 
-def blocks(items: DataFrame, least: float, n: int, most: int, id_column: str = "item_id") -> Iterator[Sketches]:
-    """Sketches of all items, in blocks of about ``most`` shingles each, so that what is broadcast is bounded."""
+def blocks(items: DataFrame, least: float, n: int, most: int, id_column: str = "item_id") -> tuple[int, Iterator[Broadcast]]:
+    """Number of blocks of about ``most`` shingles of items each, and a broadcast of each, which is there until the next one is asked for."""
     own = item_shingles(items, id_column, n)
     total = own.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
     k = max(1, -(-total // most))
-    for b in range(k):
-        rows = own.filter(F.pmod(F.xxhash64("item", "shingles"), F.lit(k)) == b).collect()
-        yield Sketches([r["item"] for r in rows], [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows], least)
+
+    def each() -> Iterator[Broadcast]:
+        for b in range(k):
+            rows = own.filter(F.pmod(F.xxhash64("item", "shingles"), F.lit(k)) == b).collect()
+            made = Sketches([r["item"] for r in rows], [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows], least)
+            shared = items.sparkSession.sparkContext.broadcast(made)
+            yield shared
+            if k > 1:
+                shared.unpersist()
+
+    return k, each()
 
 
 def contamination(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int = 5, most: int = 4_000_000, id_column: str = "item_id") -> DataFrame:
-    """doc_id, row, item_id, containment: every pair of a document and an item of which it holds the share ``least`` or more.
+    """doc_id, item_id, containment: every pair of a document and an item of which it holds the share ``least`` or more.
 
     Words are compared in lower case without punctuation. Items of fewer than n words are no evidence and match
-    nothing; null and empty texts hold nothing; items of a null id are left out; repeated documents are reported
-    each, repeated items as one pair of the higher share; empty tables give an empty result. Items are searched in
-    blocks that fit a broadcast, each against all documents.
+    nothing; null and empty texts hold nothing; items of a null id are left out; ids of items are whole numbers, those
+    of documents of any type; repeated documents are reported each, repeated items as one pair of the higher share;
+    texts of any length are searched whole; empty tables give an empty result; further columns are ignored. Items are
+    searched in blocks that fit a broadcast, each against all documents, one after another.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
+    k, each = blocks(items, least, n, most, id_column)
     out = None
-    for block in blocks(items, least, n, most, id_column):
-        shared = spark.sparkContext.broadcast(block)
+    for shared in each:
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache = WordHash()
             for batch in batches:
-                bodies, owner, item, share = texts(batch.column(2)), [], [], []
+                bodies, owner, item, share = texts(batch.column(1)), [], [], []
                 for part in chunks([len(x) for x in bodies]):
                     flat, at = shingles(word_arrays(bodies[part], cache), n, short=False)
-                    for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True), part.start):
+                    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True), part.start):
                         best: dict[int, float] = {}
-                        for i, x in shared.value.search(flat[a:b]):
-                            best[i] = max(x, best.get(i, 0.0))
-                        owner += [k] * len(best)
+                        for found, x in shared.value.search(flat[a:b]):
+                            best[found] = max(x, best.get(found, 0.0))
+                        owner += [i] * len(best)
                         item += best.keys()
                         share += best.values()
                 at = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(item, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "row", "item_id", "containment"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(item, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "containment"])
 
-        own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").transform(in_arrow, search, f"doc_id {kind}, row long, item_id long, containment double")
+        own = docs.select("doc_id", "text").transform(in_arrow, search, f"doc_id {kind}, item_id long, containment double")
+        own = checkpoint(own) if k > 1 else own
         out = own if out is None else out.unionByName(own)
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int = 5, most: int = 4_000_000) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no item. Searched block by block where they lie; no row is shuffled."""
+    """Rows of ``docs``, all columns, that hold no item; nulls, empty, short and long texts as in contamination().
+
+    Searched block by block where they lie; no row is shuffled. Repeated rows are judged alike, and columns of any
+    name stay. With more than one block what is left is checkpointed after each, so that one block is held at a time.
+    """
     at = docs.columns.index("text")
-    for block in blocks(items, least, n, most):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    k, each = blocks(items, least, n, most)
+    for shared in each:
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache = WordHash()
@@ -139,4 +178,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, n: int
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.transform(in_arrow, keep, T.StructType(docs.schema.fields))
+        docs = checkpoint(docs) if k > 1 else docs
     return docs

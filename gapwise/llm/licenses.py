@@ -2,9 +2,10 @@
 
 Each template notice is a list of words. The index maps a licence word to its postings (template, position).
 A first pass counts in how many documents each licence word occurs; the second looks up all of a file's licence
-words, those of highest IDF first, intersects their postings by relative position (an occurrence at p of a word at q votes for a
-start at p - q), and accepts a start if enough of the template's words stand there and its mandatory key phrases
-follow one another inside the span.
+words, those of highest IDF first, and intersects their postings by relative position: an occurrence at p of a word
+at q votes for a start at p - q, and a start goes on only if so many of the template's postings vote for it that
+enough of its words can stand there. It is accepted if they do, and if the template's mandatory key phrases follow
+one another inside the span.
 """
 
 from __future__ import annotations
@@ -27,13 +28,28 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "licensed under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+        "files to deal in the software without restriction",
+        ["permission is hereby granted free of charge", "without restriction"],
+    ),
     ("apache", "licensed under the apache license version 2 0", ["apache license"]),
     ("gpl", "licensed under the gnu general public license version 3", ["general public license"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["free software", "general public license"]),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+        "as published by the free software foundation",
+        ["free software", "general public license"],
+    ),
     ("lgpl", "licensed under the gnu lesser general public license version 2 1", ["lesser general public license"]),
     ("agpl", "licensed under the gnu affero general public license version 3", ["affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met",
+        ["redistribution and use in source and binary forms"],
+    ),
     ("bsd", "licensed under the bsd 3 clause license", ["bsd 3 clause"]),
     ("bsd", "licensed under the bsd 2 clause license", ["bsd 2 clause"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
@@ -47,7 +63,12 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
     ("epl", "made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
     ("bsl", "distributed under the boost software license version 1 0", ["boost software license"]),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["without any express or implied warranty"]),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for "
+        "any damages arising from the use of this software",
+        ["without any express or implied warranty"],
+    ),
 ]
 
 #: Words too general to point at a licence; they are not in the index.
@@ -75,6 +96,8 @@ class LicenseIndex:
                     self.postings[w].append((t, q))
         self.postings = dict(self.postings)
         self.vocabulary = frozenset(self.postings)
+        #: Postings of each template.
+        self.rare = [sum(w in self.vocabulary for w in words) for words in self.words]
 
 
 def places(words: list[bytes], phrase: list[bytes], where: dict[bytes, list[int]], lo: int = 0, hi: int | None = None) -> list[int]:
@@ -83,8 +106,17 @@ def places(words: list[bytes], phrase: list[bytes], where: dict[bytes, list[int]
     return [p - n + 1 for p in where.get(phrase[-1], ()) if lo <= p - n + 1 and p < hi and words[p - n + 1 : p + 1] == phrase]
 
 
+def agreeing(lists: list[np.ndarray], slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts that postings vote for, and how many postings vote for each within ``slack`` words. lists: sorted votes of each posting."""
+    starts = np.unique(np.concatenate(lists))
+    votes = np.zeros(len(starts), np.int64)
+    for own in lists:
+        votes += np.searchsorted(own, starts + slack, "right") > np.searchsorted(own, starts - slack, "left")
+    return starts, votes
+
+
 def match(words: list[bytes], index: LicenseIndex, idf: dict[bytes, float], slack: int, least: float) -> list[tuple[str, float, int]]:
-    """(label, share of the template's words found in place, start) of every accepted template, the best start of each."""
+    """(label, share of the template's words found in place, start) of every accepted template, the best start of each (of ties the first)."""
     where: dict[bytes, list[int]] = defaultdict(list)
     for p, w in enumerate(words):
         if w in index.vocabulary:
@@ -96,18 +128,21 @@ def match(words: list[bytes], index: LicenseIndex, idf: dict[bytes, float], slac
             votes[t].append(at - q)
     out = []
     for t, lists in votes.items():
-        starts, n = np.unique(np.concatenate(lists), return_counts=True)
-        body, best = index.words[t], (0.0, 0)
-        tails = {k[-1] for k in index.keys[t]} - index.vocabulary
+        body = index.words[t]
+        # of all words (1 - least) may be missing, so no more of the rare ones
+        need = max(1, index.rare[t] - math.floor((1 - least) * len(body) + 1e-9))
+        if len(lists) < need:
+            continue
+        starts, n = agreeing(lists, slack)
+        starts, n = starts[n >= need], n[n >= need]
+        best, tails = (0.0, 0), {k[-1] for k in index.keys[t]}
         for start in starts[np.argsort(-n, kind="stable")].tolist():
             lo, hi = max(0, start - slack), min(len(words), start + len(body) + slack)
-            span = {w: [p for p in range(lo, hi) if words[p] == w] for w in tails | {k[-1] for k in index.keys[t]}}
+            span = {w: [p for p in range(lo, hi) if words[p] == w] for w in tails}
             if not all(places(words, k, span, lo, hi) for k in index.keys[t]):
                 continue
             hit = sum(w in words[max(0, start + i - slack) : start + i + slack + 1] for i, w in enumerate(body) if start + i + slack >= 0)
             best = max(best, (hit / len(body), -start))
-            if best[0] == 1.0:
-                break
         if best[0] >= least:
             out.append((index.labels[t], best[0], -best[1]))
     return out
@@ -134,9 +169,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, slack: int = 2, least: fl
     """One row per document: its licence labels, base phrases and best template score.
 
     doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_templates. A null or empty text has
-    no words, empty labels and score 0; repeated rows are scanned each; further columns are ignored. A base phrase
-    that no template confirms scores 0.5. slack: words by which a template word may be out of place. least: share of
-    the template's words needed.
+    no words, empty labels and score 0; texts of any length are scanned whole; repeated rows are scanned each; of a
+    template's starts the best counts, of ties the first; an empty table gives an empty result; further columns are
+    ignored. A base phrase that no template confirms scores 0.5. slack: words by which a template word may be out of
+    place. least: share of the template's words needed.
     """
     index = LicenseIndex(templates)
     total, df = document_frequency(docs, index)

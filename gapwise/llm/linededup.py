@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import checkpoint, in_arrow, row_hash, texts, without
+from gapwise.llm.common import checkpoint, fresh, in_arrow, texts, without, written
 
 _SPACES = b" \t\n\v\f\r"
 
@@ -45,18 +45,22 @@ def window_table(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").transform(in_arrow, emit, f"doc_id {kind}, row long, pos int, h long, g long")
 
 
-def later_windows(docs: DataFrame, n: int = 3) -> DataFrame:
+def later_windows(docs: DataFrame, n: int = 3, salted: int = 4096) -> DataFrame:
     """doc_id, row, starts: of each document with any, the windows that occur before, in a document of lower id or higher up.
 
-    Windows that occur once are dropped early: a first count carries 64 bits of the hash only and combines before its
-    shuffle; windows of a repeated hash alone are then compared by all 128 bits.
+    Windows that occur once are dropped early, by 64 bits of the hash; those of a repeated hash are then compared by
+    all 128 bits. The places of a frequent window are dealt to as many parts as they fill with ``salted`` each, and its
+    first place is sent to every part.
     """
-    repeated = window_table(docs, n).groupBy("h").count().filter("count > 1").select("h")
-    held = checkpoint(window_table(docs, n).join(repeated, "h", "left_semi"))
+    every = written(window_table(docs, n))
+    repeated = every.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
+    held = checkpoint(every.join(repeated, "h"))
     # a null id comes after all others
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "pos")
-    first = held.groupBy("h", "g").agg(F.min(place).alias("first"))
-    later = held.join(first, ["h", "g"]).filter(place > F.col("first"))
+    parts = F.ceil(F.col("times") / F.lit(salted)).cast("long")
+    first = held.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(parts).alias("parts"))
+    first = first.select("h", "g", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    later = held.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), parts)).join(first, ["h", "g", "salt"]).filter(place > F.col("first"))
     return later.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("starts"))  # as many as the document has lines
 
 
@@ -74,11 +78,13 @@ def dedup_lines(docs: DataFrame, n: int = 3) -> DataFrame:
     Lines are compared without white space around them; lines of nothing else belong to no window and stay. A text of
     fewer than n lines has no window and stays as it is; null stays null. Of equal windows the one in the document of
     lowest id (null last, then by a hash of id and text) and of the lowest place stays. Rows that repeat id and text
-    count as one document and are all cut alike. An empty table gives an empty result. A column n_removed is replaced.
+    count as one document and are all cut alike. Texts of any length are read whole. An empty table gives an empty
+    result. A column n_removed is replaced; columns of other names stay, whatever they are called.
     """
-    later = later_windows(docs, n).select(F.col("doc_id").alias("_later_id"), F.col("row").alias("_later_row"), F.col("starts").alias("_later_starts"))
-    docs = without(docs, "n_removed", *later.columns)
-    both = docs.join(later, (row_hash(docs) == later["_later_row"]) & docs["doc_id"].eqNullSafe(later["_later_id"]), "left")
+    later = later_windows(docs, n)
+    docs = without(docs, "n_removed")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", F.xxhash64("doc_id", "text").alias("row"))
+    both = own.alias("a").join(later.alias("b"), (F.col("a.row") == F.col("b.row")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
     at = docs.columns.index("text")
     names = [*docs.columns, "n_removed"]
 
@@ -93,7 +99,7 @@ def dedup_lines(docs: DataFrame, n: int = 3) -> DataFrame:
             columns = [pa.array(bodies, column.type) if i == at else batch.column(i) for i in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], names=names)
 
-    return both.select(*(docs[f"`{c}`"] for c in docs.columns), "_later_starts").transform(in_arrow, cut, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
+    return both.select("doc.*", F.col("starts").alias(*fresh(docs, "starts"))).transform(in_arrow, cut, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
 
 
 def line_dedup_digest(docs: DataFrame, n: int = 3) -> DataFrame:

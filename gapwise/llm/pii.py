@@ -1,9 +1,12 @@
 """PII: surrogates of detected entities that keep type, gender, script and format, keyed so that they keep coreference.
 
-Numbers (phones, cards, IPs, SSNs, IBANs) go through a keyed permutation of the digits that are free in their
-format, so that different ones stay different. E-mails, names and secrets get keyed pseudo-random letters of the
-same classes; a check over all distinct entities finds surrogates that two entities share or that are the value of
-another entity, and gives the later of them another attempt.
+Numbers (phones, cards, IPs, SSNs, IBANs) go through a keyed permutation of the numbers of their format, so that
+different ones stay different. E-mails, names and secrets get keyed pseudo-random letters of the same classes. A check
+over all distinct entities finds surrogates that two entities share or that are the value of another entity, and gives
+the later of them another attempt.
+
+A name is detected after a form of address or a phrase that introduces one, a phone number by its format. A text's
+detected names and phones are then looked for in all of it, without title or format, so that no mention is left.
 """
 
 from __future__ import annotations
@@ -13,14 +16,14 @@ import ipaddress
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.llm.common import checkpoint, in_arrow, texts, without
+from gapwise.llm.common import checkpoint, fresh, in_arrow, row_key, texts, without
 
 #: Forms of address by gender, per script. A name after one of them is a person's.
 TITLES = {
@@ -28,14 +31,22 @@ TITLES = {
     "m": ["Mr.", "Mr", "Herr", "Monsieur", "Señor", "Sr.", "Signor", "Господин", "Κύριος"],
     "n": ["Dr.", "Prof."],
 }
-_GENDER = {t: g for g, words in TITLES.items() for t in words}
-#: Syllables from which names are built, and endings by gender, per script.
+#: Phrases that introduce a person.
+PHRASES = ["My name is", "my name is", "Full name:", "Name:", "Ich heiße", "ich heiße", "Je m'appelle", "je m'appelle", "Me llamo", "me llamo", "Меня зовут", "меня зовут"]
+_GENDER = {t: g for g, words in TITLES.items() for t in words} | dict.fromkeys(PHRASES, "n")
+#: Syllables from which names are built, and endings by gender, per script: of given names, and of surnames.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mi na ne ni pa pe ra re ri ro sa se ta te ti va ve vi".split(),
     "cyrillic": "ба ве го да жа за ка ле ма на по ра се та фе ха бо ви де ко ло ме ни па ро са те ва ри до".split(),
     "greek": "βα γε δα ζη θα κα λε μα νι πα ρο σα τε φι χα βο δε κο λο μι να πε ρα σο τα".split(),
 }
-ENDINGS = {"latin": {"f": "a", "m": "o", "n": "en"}, "cyrillic": {"f": "а", "m": "ов", "n": "ин"}, "greek": {"f": "α", "m": "ος", "n": "ης"}}
+ENDINGS = {"latin": {"f": "a", "m": "o", "n": "en"}, "cyrillic": {"f": "а", "m": "ей", "n": "ень"}, "greek": {"f": "α", "m": "ος", "n": "ης"}}
+SURNAMES = {"latin": {"f": "en", "m": "en", "n": "en"}, "cyrillic": {"f": "ова", "m": "ов", "n": "енко"}, "greek": {"f": "ου", "m": "ος", "n": "ης"}}
+#: Endings of surnames that tell gender, with what they are without it; a family's forms have one root.
+_FORMS = {
+    "cyrillic": [("ская", "f", "ск"), ("ский", "m", "ск"), ("ова", "f", "ов"), ("ева", "f", "ев"), ("ёва", "f", "ёв"), ("ина", "f", "ин"), ("ов", "m", "ов"), ("ев", "m", "ев"), ("ёв", "m", "ёв"), ("ин", "m", "ин")],
+    "greek": [("ου", "f", ""), ("ος", "m", "")],
+}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _WITH_DIGITS = re.compile(
@@ -48,7 +59,13 @@ _WITH_DIGITS = re.compile(
 )
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")
 _QUOTED = re.compile(r"""(?i:\b(?:token|secret|password|passwd|api_?key)["']?\s{0,4}[=:]\s{0,4}["'])([^"'\s]{8,200})["']""")
-_NAME = re.compile(r"(?<!\w)(" + "|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)) + r") ([^\W\d_]{2,40}(?:-[^\W\d_]{2,40})?)(?: ([^\W\d_]{2,40}(?:-[^\W\d_]{2,40})?))?(?!\w)")
+_WORD = r"[^\W\d_]{2,40}(?:-[^\W\d_]{2,40})*"
+_NAME = re.compile(r"(?<!\w)(" + "|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)) + rf") ({_WORD})(?: ({_WORD}))?(?!\w)")
+#: Country codes of one and of two digits; all others have three (E.164, fixed values).
+_ONE_DIGIT = ("1", "7")
+_TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Networks whose addresses stay in them (fixed values); all others are one class.
+_NETWORKS = [ipaddress.ip_network(x) for x in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "224.0.0.0/4", "240.0.0.0/4", "0.0.0.0/8")]
 
 
 def _hash(key: bytes, *parts: object) -> int:
@@ -67,8 +84,24 @@ def permuted(value: int, size: int, key: bytes, *tweak: object) -> int:
             return value
 
 
-def _digits(text: str, key: bytes, *tweak: object) -> str:
-    return str(permuted(int(text), 10 ** len(text), key, len(text), *tweak)).zfill(len(text)) if text else ""
+def _digits(text: str, key: bytes, *tweak: object, alike: Callable[[str], object] = len) -> str:
+    """The digits permuted among those of their length that are ``alike``."""
+    out = text
+    while text:
+        out = str(permuted(int(out), 10 ** len(text), key, len(text), *tweak)).zfill(len(text))
+        if alike(out) == alike(text):
+            return out
+    return out
+
+
+def _dialled(digits: str) -> object:
+    """The class of a national number: of ten digits, whether area and exchange begin with 2 to 9; else whether it begins with 0."""
+    return digits[0] in "01" or digits[3] in "01" if len(digits) == 10 else digits[0] == "0"
+
+
+def country_code(digits: str) -> str:
+    """The country code that the digits of an international number begin with."""
+    return digits[:1] if digits[:1] in _ONE_DIGIT else digits[:2] if digits[:2] in _TWO_DIGITS else digits[:3]
 
 
 def _luhn(digits: str) -> int:
@@ -81,9 +114,20 @@ def _iban_check(country: str, rest: str) -> str:
     return str(98 - int("".join(str(int(c, 36)) for c in f"{rest}{country}00")) % 97).zfill(2)
 
 
-def _kind(ip: str) -> tuple:
-    x = ipaddress.ip_address(ip)
-    return x.is_private, x.is_multicast, x.is_reserved, x.is_loopback, x.is_link_local
+def _network(n: int) -> tuple[int, int] | None:
+    """First address and size of the network of _NETWORKS that an address is in."""
+    for net in _NETWORKS:
+        if int(net.network_address) <= n <= int(net.broadcast_address):
+            return int(net.network_address), net.num_addresses
+    return None
+
+
+def surname_form(word: str) -> tuple[str, str]:
+    """Root and gender (n: none) of a surname in lower case."""
+    for ending, gender, root in _FORMS.get(script_of(word), ()):
+        if word.endswith(ending) and len(word) > len(ending) + 1:
+            return word.removesuffix(ending) + root, gender
+    return word, "n"
 
 
 def script_of(word: str) -> str:
@@ -113,26 +157,26 @@ def _letters(text: str, seed: int) -> str:
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
-    """The canonical surrogate of a canonical value. Permuted kinds need one attempt only."""
+    """The canonical surrogate of a canonical value; each attempt is another one. Names come without their last letters, which go by gender."""
     if kind == "ip":
-        n = int(ipaddress.ip_address(canon))
-        for _ in range(1 << 20):
-            n = permuted(n, 1 << 32, key, "ip")
-            if _kind(str(ipaddress.ip_address(n))) == _kind(canon):
-                break
-        return str(ipaddress.ip_address(n))
+        n, net = int(ipaddress.ip_address(canon)), _network(int(ipaddress.ip_address(canon)))
+        if net:
+            return str(ipaddress.ip_address(net[0] + permuted(n - net[0], net[1], key, "ip", net[0], attempt)))
+        while True:
+            n = permuted(n, 1 << 32, key, "ip", attempt)
+            if _network(n) is None:
+                return str(ipaddress.ip_address(n))
     if kind == "ssn":
-        return _digits(canon, key, "ssn")
+        return _digits(canon, key, "ssn", attempt)
     if kind == "card":
-        middle = _digits(canon[1:-1], key, "card", canon[0])
+        middle = _digits(canon[1:-1], key, "card", canon[0], attempt)
         return canon[0] + middle + str((_luhn(canon[0] + middle) + int(canon[-1]) - _luhn(canon[:-1])) % 10)
     if kind == "phone":
-        code, _, rest = canon.rpartition(" ")
-        return f"{code} {_digits(rest, key, 'phone', code)}"
+        return _digits(canon, key, "phone", attempt, alike=_dialled)
     if kind == "iban":
         country, rest = canon[:2], canon[4:]
         own = "".join(c for c in rest if c.isdigit())
-        new = iter(_digits(own, key, "iban", country))
+        new = iter(_digits(own, key, "iban", country, attempt))
         rest = "".join(next(new) if c.isdigit() else c for c in rest)
         return country + _iban_check(country, rest) + rest
     seed = _hash(key, kind, canon, attempt)
@@ -143,14 +187,11 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     if kind == "secret":
         head = next((p for p in ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-") if canon.startswith(p)), "")
         return head + _letters(canon[len(head) :] + "x" * max(0, attempt - 3), seed)
-    # name:<g>, given:<gender> or surname of a script
-    what, _, gender = kind.partition(":")
-    script = script_of(canon)
-    own, out = SYLLABLES[script], ""
-    for _ in range((2 if what == "given" else 3) + attempt):
+    own, out = SYLLABLES[script_of(canon)], ""  # given or surname
+    for _ in range((2 if kind == "given" else 3) + attempt):
         seed, k = divmod(seed, len(own))
         out += own[k]
-    return out + ENDINGS[script][gender or "n"]
+    return out
 
 
 def _shape(new: str, old: str) -> str:
@@ -163,57 +204,78 @@ def _cased(new: str, old: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[0].isupper() else new
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical value) of what is found, in order, without overlaps."""
-    found: list[tuple[int, int, str, str]] = []
+def _phone(value: str) -> str | None:
+    """The national number of a written phone number, without country code and trunk zeros; null for too short or long ones."""
+    digits = "".join(c for c in value if c.isdigit())
+    if not 8 <= len(digits) <= 15:
+        return None
+    if value[0] == "+":
+        head = re.match(r"\+(\d{1,3})[ .(-]", value)
+        digits = digits[len(head[1] if head else country_code(digits)) :]
+    elif len(digits) == 11 and digits[0] == "1":
+        digits = digits[1:]
+    return digits.lstrip("0") or None
+
+
+def entities(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, canonical value, gender) of what is found, in order, without overlaps; gender of names only."""
+    found: list[tuple[int, int, str, str, str]] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
-    found += [(m.start(1), m.end(1), "secret", m[1]) for m in _QUOTED.finditer(text)] if '"' in text or "'" in text else []
+        found += [(m.start(), m.end(), "email", m[0].lower(), "") for m in _EMAIL.finditer(text)]
+    found += [(m.start(1), m.end(1), "secret", m[1], "") for m in _QUOTED.finditer(text)] if '"' in text or "'" in text else []
     if any(d in text for d in "0123456789"):
         for m in _WITH_DIGITS.finditer(text):
             kind, value = m.lastgroup, m[0]
-            canon = value
+            canon: str | None = value
             if kind in ("ssn", "card"):
                 canon = "".join(c for c in value if c.isdigit())
             elif kind == "phone":
-                digits = "".join(c for c in value if c.isdigit())
-                if not 8 <= len(digits) <= 15:
-                    continue
-                head = re.match(r"\+(\d{1,3})[ .(-]", value)
-                code = f"+{head[1]}" if head else "+" if value[0] == "+" else ""
-                canon = f"{code} {digits[len(code[1:]):]}"
+                canon = _phone(value)
             elif kind == "iban":
                 canon = value.replace(" ", "")
                 if _iban_check(canon[:2], canon[4:]) != canon[2:4]:
                     continue
-            found.append((m.start(), m.end(), kind, canon))
+            if canon is not None:
+                found.append((m.start(), m.end(), kind, canon, ""))
+    names: dict[str, tuple[str, str, str]] = {}  # word in lower case -> kind, canonical value, gender
     if any(t in text for t in _GENDER):
         for m in _NAME.finditer(text):
-            words = [k for k in (2, 3) if m[k] and m[k][0].isupper()]
-            if m[3] and 3 not in words:
-                words = words[:1]
-            if 2 not in words:
+            words = [m[k] for k in (2, 3) if m[k] and m[k][0].isupper()]
+            if not m[2][0].isupper():
                 continue
-            if len(words) == 2:
-                found.append((m.start(2), m.end(2), f"given:{_GENDER[m[1]]}", m[2].lower()))
-            last = words[-1]
-            found.append((m.start(last), m.end(last), "surname", m[last].lower()))
+            gender = _GENDER[m[1]]
+            root, told = surname_form(words[-1].lower())
+            gender = told if gender == "n" else gender
+            for word in words[:-1]:
+                for piece in word.lower().split("-"):
+                    names.setdefault(piece, ("given", piece, gender))
+            for piece in words[-1].lower().split("-"):
+                root, told = surname_form(piece)
+                names.setdefault(piece, ("surname", root, told if told != "n" else gender))
+    if names:
+        mention = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", re.I)
+        found += [(m.start(), m.end(), *names[m[0].lower()]) for m in mention.finditer(text) if m[0][0].isupper() and m[0].lower() in names]
+    bare = {x[3] for x in found if x[2] == "phone"}
+    if bare:
+        found += [(m.start(), m.end(), "phone", c, "") for m in re.finditer(r"(?<![\w+])\d{8,15}(?!\w)", text) if (c := _phone(m[0])) in bare]
     found.sort(key=lambda x: (x[0], -x[1]))
-    out: list[tuple[int, int, str, str]] = []
+    out: list[tuple[int, int, str, str, str]] = []
     for x in found:
         if not out or x[0] >= out[-1][1]:
             out.append(x)
     return out
 
 
-def written(kind: str, old: str, new: str) -> str:
-    """A canonical surrogate in the original's format."""
+def written(kind: str, gender: str, old: str, new: str) -> str:
+    """A canonical surrogate in the original's format, a name with the ending of its gender."""
     if kind in ("ssn", "card", "iban"):
         return _shape(new, old)
     if kind == "phone":
-        return _shape(new.replace(" ", "").lstrip("+"), old)
-    if kind == "surname" or kind.startswith("given"):
-        return _cased(new, old)
+        # the last digits are the national number; a country code and trunk zeros before it stay
+        digits = "".join(c for c in old if c.isdigit())
+        return _shape(digits[: len(digits) - len(new)] + new, old)
+    if kind in ("given", "surname"):
+        return _cased(new + (ENDINGS if kind == "given" else SURNAMES)[script_of(old)][gender], old)
     return new
 
 
@@ -223,22 +285,23 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
     if not found:
         return text, []
     out, at = [], 0
-    for start, end, kind, canon in found:
-        out += [text[at:start], written(kind, text[start:end], surrogate(key, kind, canon, attempts.get((kind, canon), 0)))]
+    for start, end, kind, canon, gender in found:
+        out += [text[at:start], written(kind, gender, text[start:end], surrogate(key, kind, canon, attempts.get((kind, canon), 0)))]
         at = end
-    return "".join([*out, text[at:]]), [k for _, _, k, _ in found]
+    return "".join([*out, text[at:]]), [k for _, _, k, _, _ in found]
 
 
-#: Kinds without a permutation, which the check goes over.
-_DRAWN = ("email", "secret", "surname", "given:f", "given:m", "given:n")
+def _stem(word: str) -> str:
+    """What a name's surrogate is compared by: the root of a surname."""
+    return surname_form(word)[0]
 
 
 def distinct_entities(docs: DataFrame) -> DataFrame:
-    """kind, canon of all entities whose surrogates are drawn."""
+    """kind, canon of all entities."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = sorted({(k, c) for x in texts(batch.column(0)) for _, _, k, c in entities(x.decode("utf-8", "replace")) if k in _DRAWN})
+            got = sorted({(k, c) for x in texts(batch.column(0)) for _, _, k, c, _ in entities(x.decode("utf-8", "replace"))})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([c for _, c in got], pa.string())], names=["kind", "canon"])
 
     return docs.filter("text is not null").select("text").transform(in_arrow, emit, "kind string, canon string").distinct()
@@ -249,19 +312,19 @@ def retried(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [surrogate(key, k, c, n) for k, c, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            new = []
+            for k, c, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x = surrogate(key, k, c, n)
+                new.append(_stem(x + SURNAMES[script_of(c)]["m"]) if k == "surname" else x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "canon", "attempt", "new"])
 
-    # given names of all genders share a space of values
-    space = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind"))
     own = checkpoint(distinct_entities(docs).withColumn("attempt", F.lit(0)))
-    values = own.select(space.alias("space"), F.col("canon").alias("new")).distinct()
+    values = own.select("kind", F.col("canon").alias("new"))
     for _ in range(rounds):
-        given = own.transform(in_arrow, give, "kind string, canon string, attempt int, new string").withColumn("space", space)
-        given = checkpoint(given)
-        owner = given.groupBy("space", "new").agg(F.min(F.struct("attempt", "canon", "kind")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
-        taken = given.join(owner, ["space", "new"]).filter(F.struct("attempt", "canon", "kind") != F.col("owner")).select("kind", "canon")
-        taken = checkpoint(taken.unionByName(given.join(values, ["space", "new"], "left_semi").select("kind", "canon")).distinct())
+        given = checkpoint(own.transform(in_arrow, give, "kind string, canon string, attempt int, new string"))
+        owner = given.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
+        taken = given.join(owner, ["kind", "new"]).filter(F.struct("attempt", "canon") != F.col("owner")).select("kind", "canon")
+        taken = checkpoint(taken.unionByName(given.join(values, ["kind", "new"], "left_semi").select("kind", "canon")).distinct())
         if taken.isEmpty():
             return own.filter("attempt > 0")
         own = own.join(taken.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
@@ -269,17 +332,19 @@ def retried(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"gapwise", most: int = 200_000) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, most: int = 200_000) -> DataFrame:
     """Rows of ``docs``, all columns, with surrogates in text; plus n_entities and entities (kind=count, sorted, comma-joined).
 
-    The same value gets the same surrogate everywhere, different values different ones. Null texts stay null, with no
-    entities; repeated rows come out alike; an empty table gives an empty result. Retried entities are broadcast up
-    to ``most``; beyond that they are joined to the documents that hold them. Columns n_entities and entities are
-    replaced.
+    key: a secret; who knows it can undo the permutations. The same value gets the same surrogate everywhere, different
+    values different ones, none of them the value of another entity. Null texts stay null, with no entities; texts of
+    any length are read whole; where two kinds of entity overlap the one that begins first counts, of those the longer;
+    repeated rows come out alike; an empty table gives an empty result. Retried entities are broadcast up to ``most``;
+    beyond that they are joined to the documents that hold them. Columns n_entities and entities are replaced; columns
+    of other names stay, whatever they are called.
     """
-    again = retried(docs, key)
-    docs = without(docs, "n_entities", "entities", "_text_hash", "_held_hash", "_x")
-    at = docs.columns.index("text")
+    again = checkpoint(retried(docs, key))
+    docs = without(docs, "n_entities", "entities")
+    at, width = docs.columns.index("text"), len(docs.columns)
     names = [*docs.columns, "n_entities", "entities"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("entities", T.StringType())])
     few = again.limit(most + 1).collect()
@@ -288,17 +353,14 @@ def pseudonymise(docs: DataFrame, key: bytes = b"gapwise", most: int = 200_000)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
-            own = None
-            if fixed is None:
-                triples = zip(*(batch.column(len(names) - 2 + i).to_pylist() for i in range(3)), strict=True)
-                own = [{(k, c): n for k, c, n in zip(*x, strict=True)} if x[0] else {} for x in triples]
+            own = [{(x["kind"], x["canon"]): x["attempt"] for x in held or ()} for held in batch.column(width).to_pylist()] if fixed is None else None
             new, n, kinds = [], [], []
             for i, (text, ok) in enumerate(zip(texts(column), column.is_valid().to_pylist(), strict=True)):
                 body, found = replaced(text.decode("utf-8", "replace"), key, fixed if own is None else own[i]) if ok else (None, [])
                 new.append(body)
                 n.append(len(found))
                 kinds.append(",".join(f"{k}={v}" for k, v in sorted(Counter(found).items())))
-            columns = [pa.array(new, column.type) if i == at else batch.column(i) for i in range(len(names) - 2)]
+            columns = [pa.array(new, column.type) if i == at else batch.column(i) for i in range(width)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(kinds, pa.string())], names=names)
 
     if fixed is not None:
@@ -306,13 +368,11 @@ def pseudonymise(docs: DataFrame, key: bytes = b"gapwise", most: int = 200_000)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(r, k, c) for r, x in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True) for k, c in {(k, c) for _, _, k, c in entities(x.decode("utf-8", "replace"))}]
+            got = [(r, k, c) for r, x in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True) for k, c in {(k, c) for _, _, k, c, _ in entities(x.decode("utf-8", "replace"))}]
             cols = list(zip(*got, strict=True)) if got else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["_held_hash", "kind", "canon"])
-
-    hashed = docs.filter("text is not null").select(F.xxhash64("text").alias("_text_hash"), "text")
-    held = hashed.transform(in_arrow, occurrences, "_held_hash long, kind string, canon string").distinct().join(again, ["kind", "canon"])
-    held = held.groupBy("_held_hash").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_x"))
-    both = docs.join(held, F.xxhash64(docs["text"]) == held["_held_hash"], "left")
-    both = both.select(*(docs[f"`{c}`"] for c in docs.columns), F.col("_x.kind"), F.col("_x.canon"), F.col("_x.attempt"))
-    return both.transform(in_arrow, apply, schema)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["key", "kind", "canon"])
+
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), row_key(docs).alias("key"))
+    held = own.filter("doc.text is not null").select("key", "doc.text").transform(in_arrow, occurrences, "key long, kind string, canon string").distinct().join(again, ["kind", "canon"])
+    held = held.groupBy("key").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("held"))  # as many as a text has entities
+    return own.join(held, "key", "left").select("doc.*", F.col("held").alias(*fresh(docs, "held"))).transform(in_arrow, apply, schema)

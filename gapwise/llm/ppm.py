@@ -1,30 +1,31 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 The model is a trie of byte contexts of up to five bytes, learnt from the training rows. A symbol's probability
-starts at the longest context seen; a symbol not seen there costs an escape (method D: half a count of each distinct symbol) and is looked for one byte
-shorter, where the symbols of the longer context are excluded; at last come the bytes never seen at all.
-
-Neither the trie nor the vocabulary of words fits a task, and neither is broadcast. Documents are dealt into blocks
-of bounded size. A block sends its distinct grams (a context and a symbol) and words, with training counts, packed by bucket; the
-bucket of a gram is that of its last two context bytes, so that a bucket holds all longer contexts of its own and
-can work out probabilities by itself (contexts of one byte and of none are a table of 65,536 counts). The answers go
-back to the blocks, which then score their documents.
+starts at the longest context seen; a symbol not seen there costs an escape (method D: half a count of each distinct
+symbol) and is looked for one byte shorter, where the symbols of the longer context are excluded; at last come the
+bytes never seen at all.
+
+Neither the trie nor the vocabulary of words fits a task, and neither is broadcast. The trie is a table of grams (a
+context of five bytes and a symbol) with their counts. Documents are dealt into blocks of bounded size; a block gives
+its distinct grams and words, with training counts, which are added up by an aggregate. Grams that share the last
+three context bytes, of which there are 2^24 at most however large the corpus is, follow one another in a partition,
+and their probabilities are worked out together; contexts of two bytes, one and none are a table of 2^24 counts at
+most, far fewer in text, which is broadcast. A join gives each block the probabilities of its grams, and it scores its
+documents.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import checkpoint, chunks, crc_mod, in_arrow, texts
+from gapwise.llm.common import chunks, crc_mod, in_arrow, texts, written
 
 END = 0xFF  # in no UTF-8 text: stands before each text and ends it
 ORDER = 5  # bytes of the longest context; 7 at most, as a gram is held in 64 bits
@@ -90,28 +91,39 @@ class Slots:
         return at
 
 
-def log_probabilities(grams: np.ndarray, count: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
+class Low:
+    """Grams of contexts of two bytes, one and none with their counts, and the contexts' totals: levels[k] and contexts[k] as in log_probabilities()."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.levels = {2: summed(keys[n > 0], n[n > 0])}
+        for k in (1, 0):
+            keys, n = self.levels[k + 1]
+            self.levels[k] = summed(keys & np.uint64((1 << 8 * (k + 1)) - 1), n)
+        self.contexts = {k: context_totals(self.levels, k) for k in (2, 1, 0)}
+
+
+def context_totals(levels: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of k bytes; of each, the sum of its symbols' counts, how many symbols, and the sum of these symbols' counts one byte shorter."""
+    keys, n = levels[k]
+    below = lookup(*levels[k - 1], keys & np.uint64((1 << 8 * k) - 1)) if k else np.zeros(len(keys), np.int64)
+    ctx = keys >> np.uint64(8)
+    names, total = summed(ctx, n)
+    return names, total, summed(ctx, np.ones(len(ctx), np.int64))[1], summed(ctx, below)[1]
+
+
+def log_probabilities(grams: np.ndarray, count: np.ndarray, low: Low, order: int = ORDER) -> np.ndarray:
     """log10 of the PPM probability of each gram's symbol after its context.
 
-    grams: distinct, with all grams of a context of two bytes or none; count: in the training rows, 0 if not there;
-    pairs: the training counts of (context byte, symbol), 256 x 256.
+    grams: distinct, with all grams of a context of three bytes or none; count: in the training rows, 0 if not there.
     """
     seen = count > 0
-    levels: dict[int, tuple[np.ndarray, np.ndarray]] = {order: summed(grams[seen], count[seen])}
-    for k in range(order - 1, 1, -1):
+    levels, contexts = dict(low.levels), dict(low.contexts)
+    levels[order] = summed(grams[seen], count[seen])
+    for k in range(order - 1, 2, -1):
         keys, n = levels[k + 1]
         levels[k] = summed(keys & np.uint64((1 << 8 * (k + 1)) - 1), n)
-    keys = np.flatnonzero(pairs.ravel())
-    levels[1] = (keys.astype(np.uint64), pairs.ravel()[keys])
-    single = pairs.sum(axis=0)
-    keys = np.flatnonzero(single)
-    levels[0] = (keys.astype(np.uint64), single[keys])
-    contexts = {}
-    for k, (keys, n) in levels.items():
-        ctx = keys >> np.uint64(8)
-        below = lookup(*levels[k - 1], keys & np.uint64((1 << 8 * k) - 1)) if k else np.zeros(len(keys), np.int64)
-        names, total = summed(ctx, n)
-        contexts[k] = (names, total, summed(ctx, np.ones(len(ctx), np.int64))[1], summed(ctx, below)[1])
+    for k in range(order, 2, -1):
+        contexts[k] = context_totals(levels, k)
     out = np.zeros(len(grams))
     todo = np.arange(len(grams))
     skipped_n = np.zeros(len(grams), np.int64)  # of the symbols that the longer context excludes: counts here, and how many
@@ -135,130 +147,97 @@ def log_probabilities(grams: np.ndarray, count: np.ndarray, pairs: np.ndarray, o
     return out
 
 
-def _pack(array: np.ndarray) -> bytes:
-    return zstandard.compress(array.tobytes(), 1)
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
-
-
-class Block:
-    """The distinct grams and words of a block, by bucket, in an order that depends on the block's texts alone."""
-
-    def __init__(self, bodies: list[bytes], train: list[bool], buckets: int):
-        keys, counts, held, words = [], [], [], Counter()
-        other: set[bytes] = set()
-        for flag in (True, False):
-            own = [x for x, t in zip(bodies, train, strict=True) if t is flag]
-            for part in chunks([len(x) for x in own], PIECE):
-                code = np.sort(gram_codes(own[part])[0])
-                at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                keys.append(code[at])
-                counts.append(np.diff(np.append(at, len(code))) if flag else np.zeros(len(at), np.int64))
-                for x in own[part]:
-                    (words if flag else other).update(x.split())
-        self.grams, self.gram_n = summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        bucket = (((self.grams >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
-        self.gram_order = np.argsort(bucket, kind="stable")
-        self.gram_at = np.searchsorted(bucket[self.gram_order], np.arange(buckets + 1, dtype=np.uint64))
-        self.words = sorted(words.keys() | other)
-        self.word_n = np.fromiter((words.get(w, 0) for w in self.words), np.int64, len(self.words))
-        bucket = np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % buckets
-        self.word_order = np.argsort(bucket, kind="stable")
-        self.word_at = np.searchsorted(bucket[self.word_order], np.arange(buckets + 1))
-
-    def messages(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        for r in range(len(self.gram_at) - 1):
-            g, w = self.gram_order[self.gram_at[r] : self.gram_at[r + 1]], self.word_order[self.word_at[r] : self.word_at[r + 1]]
-            if len(g) or len(w):
-                yield r, _pack(self.grams[g]), _pack(self.gram_n[g]), zstandard.compress(b" ".join(self.words[i] for i in w), 1), _pack(self.word_n[w])
-
-    def answers(self, got: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each gram and training count of each word."""
-        p, c = np.zeros(len(self.grams)), np.zeros(len(self.words), np.int64)
-        for r, (grams, words) in got.items():
-            p[self.gram_order[self.gram_at[r] : self.gram_at[r + 1]]] = _unpack(grams, np.float32)
-            c[self.word_order[self.word_at[r] : self.word_at[r + 1]]] = _unpack(words, np.int64)
-        return p, c
-
-
-def statistics(docs: DataFrame) -> tuple[int, int, int, np.ndarray]:
-    """Bytes of all texts; training rows, words in them, and their counts of (context byte, symbol)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, size, rows, words = np.zeros(65536, np.int64), 0, 0, 0
-        for batch in batches:
-            bodies, train = lowered(batch.column(1)), batch.column(0).to_pylist()
-            size += sum(map(len, bodies))
-            own = [x for x, t in zip(bodies, train, strict=True) if t]
-            rows += len(own)
-            words += sum(len(x.split()) for x in own)
-            for part in chunks([len(x) for x in own], PIECE):
-                flat = np.frombuffer(b"".join(x for text in own[part] for x in (bytes([END]), text)) + bytes([END]), np.uint8).astype(np.uint16)
-                pairs += np.bincount((flat[:-1] << 8) | flat[1:], minlength=65536)
-        at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([[-1, -2, -3], at]), pa.int64()), "n": pa.array(np.concatenate([[size, rows, words], pairs[at]]), pa.int64())})
-
-    got = docs.select("train", "text").transform(in_arrow, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    found = {r["key"]: r["n"] for r in got}
-    pairs = np.zeros(65536, np.int64)
-    for k, n in found.items():
-        if k >= 0:
-            pairs[k] = n
-    return found.get(-1, 0), found.get(-2, 0), found.get(-3, 0), pairs.reshape(256, 256)
+def distinct_grams(bodies: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of texts and their counts in those to learn from."""
+    keys, counts = [], []
+    for flag in (True, False):
+        own = [x for x, t in zip(bodies, train, strict=True) if t is flag]
+        for part in chunks([len(x) for x in own], PIECE):
+            code = np.sort(gram_codes(own[part])[0])
+            at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            keys.append(code[at])
+            counts.append(np.diff(np.append(at, len(code))) if flag else np.zeros(len(at), np.int64))
+    return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def ppm_score(docs: DataFrame, mod: int = 10, held_out: int = 0, block_bytes: int = 28 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id) modulo ``mod`` is not ``held_out`` (a null id counts as empty text there).
-    score: log10 of the PPM probability of the bytes, A-Z in lower case, of the text and of its end; base_score: smoothed unigram words and an
-    end. Null texts count as empty, of which the end alone is scored; repeated rows are learnt from and scored each;
-    without training rows all bytes are alike; an empty table gives an empty result; further columns are ignored.
+    score: log10 of the PPM probability of the bytes, A-Z in lower case, of the text and of its end; base_score:
+    smoothed unigram words and an end. Null texts count as empty, of which the end alone is scored; repeated rows are
+    learnt from and scored each; texts of any length count whole, though one must fit a task; without training rows
+    all bytes are alike; an empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", (crc_mod(F.col("doc_id"), mod) != held_out).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    size, rows, words, pairs = statistics(own)
-    n_blocks = buckets = max(1, -(-size // block_bytes))
-    shared = spark.sparkContext.broadcast(pairs)  # 65,536 counts
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        block = Block(lowered(table.column("text")), table.column("train").to_pylist(), buckets)
-        columns = list(zip(*block.messages(), strict=True))
-        kinds = [pa.int64(), *[pa.binary()] * 4]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(columns[0]), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["block", "bucket", "grams", "gram_n", "words", "word_n"])
-
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        asked = [_unpack(x, np.uint64) for x in table.column("grams").to_pylist()]
-        grams, count = summed(np.concatenate(asked), np.concatenate([_unpack(x, np.int64) for x in table.column("gram_n").to_pylist()]))
-        p = log_probabilities(grams, count, shared.value)
-        p_out = [_pack(p[np.searchsorted(grams, x)].astype(np.float32)) for x in asked]
-        total: dict[bytes, int] = {}
-        names = [zstandard.decompress(x).split() for x in table.column("words").to_pylist()]
-        for own_words, n in zip(names, table.column("word_n").to_pylist(), strict=True):
-            for w, k in zip(own_words, _unpack(n, np.int64).tolist(), strict=True):
-                total[w] = total.get(w, 0) + k
-        c_out = [_pack(np.fromiter(map(total.__getitem__, x), np.int64, len(x))) for x in names]
-        distinct = [sum(k > 0 for k in total.values())] + [0] * (table.num_rows - 1)
-        return pa.Table.from_arrays([table.column("block"), pa.array([key[0].as_py()] * table.num_rows, pa.int64()), pa.array(p_out, pa.binary()), pa.array(c_out, pa.binary()), pa.array(distinct, pa.int64())], names=["block", "bucket", "p", "c", "distinct"])
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "block long, bucket long, grams binary, gram_n binary, words binary, word_n binary")
-    answers = checkpoint(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, p binary, c binary, distinct long"))
-    vocabulary = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] + (rows > 0)
-    train_tokens = words + rows
+    size, rows = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
+    n_blocks = max(1, -(-size // block_bytes))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        bodies, train = lowered(table.column("text")), table.column("train").to_pylist()
+        grams, n = distinct_grams(bodies, train)
+        words: Counter = Counter()
+        for x, t in zip(bodies, train, strict=True):
+            words.update(x.split() if t else dict.fromkeys(x.split(), 0))
+        total = len(grams) + len(words)
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.full(total, key[0].as_py(), np.int32)), pa.concat_arrays([pa.array(grams.view(np.int64)), pa.nulls(len(words), pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(grams), pa.binary()), pa.array(list(words), pa.binary())]),
+                pa.concat_arrays([pa.array(n), pa.array(list(words.values()), pa.int64())]),
+            ],
+            names=["block", "gram", "word", "n"],
+        )
+
+    held = written(dealt.groupBy("block").applyInArrow(gather, "block int, gram long, word binary, n long"))
+    # the join below takes the same partitioning; a gram is there once a block at most
+    by_gram = held.filter("gram is not null").select("block", "gram", "n").repartition("gram")
+    by_word = held.filter("word is not null").select("block", "word", "n").repartition("word")
+    grams = written(by_gram.groupBy("gram").agg(F.sum("n").alias("n")))
+    words = by_word.groupBy("word").agg(F.sum("n").alias("c"))
+    tokens, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    train_tokens, vocabulary = tokens + rows, vocabulary + (rows > 0)
     cost = math.log10(train_tokens + 0.1 * (vocabulary + 1))
 
+    few = grams.filter("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 24) - 1)).alias("g")).agg(F.sum("n").alias("n")).toPandas()  # 2^24 rows at most
+    shared = spark.sparkContext.broadcast(Low(few["g"].to_numpy(np.int64).astype(np.uint64), few["n"].to_numpy(np.int64)))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            p = log_probabilities(keys.view(np.uint64), n, shared.value).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p)], names=["gram", "p"])
+
+        keys, n, context = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            keys, n, context = (np.concatenate([x, np.array(batch.column(c))]) for x, c in ((keys, "gram"), (n, "n"), (context, "context")))
+            last = int(np.searchsorted(context, context[-1])) if len(context) else 0  # the last context may go on
+            if last:
+                yield made(keys[:last], n[:last])
+                keys, n, context = keys[last:], n[last:], context[last:]
+        if len(keys):
+            yield made(keys, n)
+
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 24) - 1))
+    ordered = grams.withColumn("context", context).repartition("context").sortWithinPartitions("context")
+    rated = ordered.transform(in_arrow, rate, "gram long, p float")
+    none = F.lit(None)
+    answers = by_gram.join(rated, "gram").select("block", "gram", "p", none.cast("binary").alias("word"), none.cast("long").alias("c")).unionByName(
+        by_word.join(words, "word").select("block", none.cast("long").alias("gram"), none.cast("float").alias("p"), "word", "c")
+    )
+
     def score(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         bodies = lowered(table.column("text"))
-        block = Block(bodies, table.column("train").to_pylist(), buckets)
-        p, c = block.answers({r: (x, y) for r, x, y in zip(*(got.column(k).to_pylist() for k in ("bucket", "p", "c")), strict=True)})
-        slots = Slots(block.grams)
-        word_log = dict(zip(block.words, np.log10(c + 0.1).tolist(), strict=True))
+        known = got.filter(got.column("gram").is_valid())
+        codes, p = known.column("gram").to_numpy().view(np.uint64), known.column("p").to_numpy().astype(np.float64)
+        order = np.argsort(codes)
+        slots, p = Slots(codes[order]), p[order]
+        known = got.filter(got.column("word").is_valid())
+        word_log = dict(zip(known.column("word").to_pylist(), np.log10(known.column("c").to_numpy() + 0.1).tolist(), strict=True))
         end_log = math.log10(rows + 0.1)
-        scores, base, n, known = [], [], [], []
+        scores, base, n, n_known = [], [], [], []
         for part in chunks([len(x) for x in bodies], PIECE):
             code, at = gram_codes(bodies[part])
             scores.append(np.add.reduceat(p[slots.find(code)], at[:-1]))
@@ -267,8 +246,9 @@ def ppm_score(docs: DataFrame, mod: int = 10, held_out: int = 0, block_bytes: in
                 logs = np.fromiter(map(word_log.__getitem__, own_words), np.float64, len(own_words))
                 base.append(float(logs.sum()) + end_log - (len(own_words) + 1) * cost)
                 n.append(len(own_words) + 1)
-                known.append(int((logs > -0.5).sum()) + (rows > 0))
-        return pa.Table.from_arrays([table.column("doc_id"), table.column("train"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64())], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+                n_known.append(int((logs > -0.5).sum()) + (rows > 0))
+        columns = [table.column("doc_id"), table.column("train"), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64())]
+        return pa.Table.from_arrays(columns, names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,11 @@ from gapwise.llm.common import checkpoint, in_arrow, texts
 
 _SPACES = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_distinct"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_plain", "n_marks", "n_ends"]
 
-#: Frequent function words of a few languages, for one rule.
-STOPS = frozenset(b"the of and to in a is that it for on as with by this be are de la le et les des que el en los las un una der die das und ist von zu den mit".split())
+#: A word of letters (of any script, as bytes beyond ASCII), with quotes, brackets or punctuation around it at most.
+_PLAIN = re.compile(rb"(?<!\S)[\"'(\[]*[A-Za-z\x80-\xff]+(?:['-][A-Za-z\x80-\xff]+)*[.,;:!?\"')\]]*(?!\S)")
+_NOT_MARKS = bytes(range(0x80, 0x100)) + b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + _SPACES
 
 
 def repeat_words(words: list[bytes], n: int = 3) -> int:
@@ -49,12 +51,12 @@ def measure(text: bytes) -> tuple[int, ...]:
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip(_SPACES)]
     points = len(text) - len(text.translate(None, bytes(range(0x80, 0xC0)))) if not text.isascii() else 0
-    low = [w.lower() for w in words]
     upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     letters = upper + len(text) - len(text.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
     return (
         len(words), len(text) - points - (len(text) - len(text.translate(None, _SPACES))), len(text) - len(text.translate(None, _SYMBOLS)),
-        len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, letters, sum(w in STOPS for w in low), len(set(low)),
+        len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, letters, len(_PLAIN.findall(text)), len(text.translate(None, _NOT_MARKS)),
+        sum(x.rstrip(_SPACES).endswith((b".", b"!", b"?", b":", b'"')) for x in lines),
     )
 
 
@@ -82,15 +84,18 @@ def votes() -> list:
     """Each rule's vote: 1 good, -1 bad, 0 abstains. At most 9 of them, so that there are 3 ** 9 patterns at most."""
     n, word_len = F.col("n_words"), _ratio("word_chars", "n_words")
     symbols, dup = _ratio("n_symbols", "n_words"), _ratio("n_dup_lines", "n_lines")
-    repeat, upper, stops = _ratio("n_repeat_words", "n_words"), _ratio("n_upper", "n_letters"), _ratio("n_stops", "n_words")
+    repeat, upper, plain = _ratio("n_repeat_words", "n_words"), _ratio("n_upper", "n_letters"), _ratio("n_plain", "n_words")
+    marks, ends = _ratio("n_marks", "word_chars"), _ratio("n_ends", "n_lines")
     return [
         _vote(n >= 100, n < 50).alias("v_length"),
-        _vote(word_len.between(3, 9), ~word_len.between(2, 14)).alias("v_word_length"),
+        _vote(word_len.between(3, 10), ~word_len.between(2, 14)).alias("v_word_length"),
         _vote(symbols < 0.02, symbols > 0.1).alias("v_symbols"),
         _vote((dup < 0.05) & (F.col("n_lines") >= 4), dup > 0.3).alias("v_dup_lines"),
         _vote(repeat < 0.05, repeat > 0.3).alias("v_repeats"),
         _vote(upper < 0.2, upper > 0.6).alias("v_upper"),
-        _vote(stops > 0.1, stops < 0.005).alias("v_stops"),
+        _vote(plain > 0.9, plain < 0.6).alias("v_plain_words"),
+        _vote(marks < 0.06, marks > 0.12).alias("v_marks"),
+        _vote(ends > 0.8, ends < 0.3).alias("v_line_ends"),
     ]
 
 
@@ -122,8 +127,9 @@ def weak_supervision(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per document: counts, votes' posterior quality and whether it is kept.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior. Null and empty
-    texts have no words and fail the base rule; repeated rows are judged each and alike; an empty table gives an empty
-    result; further columns are ignored. EM sees all rows, as counts of at most 3 ** 9 vote patterns.
+    texts have no words and fail the base rule; texts of any length are measured whole; repeated rows, and rows whose
+    rules vote alike, are judged alike; an empty table gives an empty result; further columns are ignored. EM sees all
+    rows, as counts of at most 3 ** 9 vote patterns.
     """
     rules = votes()
     names = [f"v{k}" for k in range(len(rules))]

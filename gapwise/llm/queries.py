@@ -35,8 +35,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+#: Key of op7 where the session names none. It is no secret, so it is for tests and checks.
+OPEN_KEY = "not a secret"
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "entities", "text")
+    key = spark.conf.get("spark.gapwise.pii.key", OPEN_KEY).encode()
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "n_entities", "entities", "text")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
