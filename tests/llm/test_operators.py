@@ -341,7 +341,7 @@ def test_jaccard_join_of_a_group_in_many_tiles(spark):
 def test_forest_shortens_prefixes_until_the_recall_is_reached():
     forest = ngramjoin.Forest(16, 8, 0.8, 0.14)
     alike, edge = {127: 1000.0}, {104: 1000.0}
-    assert forest.recall(alike, 8, 8) > 0.999 > 0.96 > forest.recall(edge, 8, 8)
+    assert forest.recall(alike, 8, 8) > 0.999 > 0.97 > forest.recall(edge, 8, 8)
     assert forest.shorter(edge, 8, 0.9995) < forest.shorter(alike, 8, 0.9995) < 8
     d = forest.shorter(edge, 8, 0.9995)
     assert forest.found(0.8125, d) >= 0.9995 > forest.found(0.8125, d + 1)
