@@ -16,20 +16,29 @@ documents.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import chunks, crc_mod, in_arrow, texts, written
+from gapwise.functions.storage import bucketed
+from gapwise.llm.common import chunks, crc_mod, in_arrow, texts
 
 END = 0xFF  # in no UTF-8 text: stands before each text and ends it
 ORDER = 5  # bytes of the longest context; 7 at most, as a gram is held in 64 bits
 PIECE = 1 << 20
+#: Buckets of a table at most; Spark's own bound is 100,000.
+MOST_BUCKETS = 50_000
+#: Answers that are packed together before they are sent, by the block that they are for.
+PACKED = "block long, keys binary, found binary, words binary"
+PACKED_ROWS = 1_000_000
 
 
 def gram_codes(docs: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +169,46 @@ def distinct_grams(bodies: list[bytes], train: list[bool]) -> tuple[np.ndarray,
     return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
+def _packed(array: np.ndarray) -> bytes:
+    return zstandard.compress(array.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of each block, of as many batches as fit PACKED_ROWS together."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if held and (batch is None or sum(x.num_rows for x in held) + batch.num_rows > PACKED_ROWS):
+            table = pa.Table.from_batches(held)
+            block = table.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))
+            table = table.take(pa.array(order))
+            for i, j in itertools.pairwise([*at.tolist(), len(order)]):
+                yield int(block[order[i]]), table.slice(i, j - i)
+            held = []
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+
+
+def pack_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of a block, in order, as differences, and their probabilities."""
+    for block, rows in _by_block(batches):
+        keys, p = rows.column("key").to_numpy().view(np.uint64), rows.column("p").to_numpy()
+        order = np.argsort(keys)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "keys": [_packed(np.diff(keys[order], prepend=np.uint64(0)))], "found": [_packed(p[order])], "words": pa.array([None], pa.binary())})
+
+
+def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a block, which hold no space, and their counts."""
+    for block, rows in _by_block(batches):
+        words = zstandard.compress(b" ".join(rows.column("word").to_pylist()), 1)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "keys": pa.array([None], pa.binary()), "found": [_packed(rows.column("c").to_numpy())], "words": [words]})
+
+
 def ppm_score(docs: DataFrame, mod: int = 10, held_out: int = 0, block_bytes: int = 28 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -174,7 +223,8 @@ def ppm_score(docs: DataFrame, mod: int = 10, held_out: int = 0, block_bytes: in
     own = docs.select("doc_id", (crc_mod(F.col("doc_id"), mod) != held_out).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     size, rows = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     n_blocks = max(1, -(-size // block_bytes))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    buckets = min(n_blocks, MOST_BUCKETS)
+    dealt = bucketed(own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))), buckets, "block")
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         bodies, train = lowered(table.column("text")), table.column("train").to_pylist()
@@ -182,37 +232,33 @@ def ppm_score(docs: DataFrame, mod: int = 10, held_out: int = 0, block_bytes: in
         words: Counter = Counter()
         for x, t in zip(bodies, train, strict=True):
             words.update(x.split() if t else dict.fromkeys(x.split(), 0))
-        total = len(grams) + len(words)
-        return pa.Table.from_arrays(
-            [
-                pa.array(np.full(total, key[0].as_py(), np.int32)), pa.concat_arrays([pa.array(grams.view(np.int64)), pa.nulls(len(words), pa.int64())]),
-                pa.concat_arrays([pa.nulls(len(grams), pa.binary()), pa.array(list(words), pa.binary())]),
-                pa.concat_arrays([pa.array(n), pa.array(list(words.values()), pa.int64())]),
-            ],
-            names=["block", "gram", "word", "n"],
-        )
-
-    held = written(dealt.groupBy("block").applyInArrow(gather, "block int, gram long, word binary, n long"))
-    # the join below takes the same partitioning; a gram is there once a block at most
-    by_gram = held.filter("gram is not null").select("block", "gram", "n").repartition("gram")
-    by_word = held.filter("word is not null").select("block", "word", "n").repartition("word")
-    grams = written(by_gram.groupBy("gram").agg(F.sum("n").alias("n")))
-    words = by_word.groupBy("word").agg(F.sum("n").alias("c"))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        columns = [
+            pa.array(np.concatenate([grams, hashes]).view(np.int64)), pa.array(np.full(len(grams) + len(words), key[0].as_py(), np.int64)),
+            pa.concat_arrays([pa.array(n), pa.array(list(words.values()), pa.int64())]), pa.concat_arrays([pa.nulls(len(grams), pa.binary()), pa.array(list(words), pa.binary())]),
+        ]
+        return pa.Table.from_arrays(columns, names=["key", "block", "n", "word"])
+
+    # a gram is there once a block at most, as is a word, whose key is a hash
+    held = bucketed(dealt.groupBy("block").applyInArrow(gather, "key long, block long, n long, word binary"), buckets, "key")
+    by_gram, by_word = held.filter("word is null").drop("word"), held.filter("word is not null")
+    grams = by_gram.groupBy("key").agg(F.sum("n").alias("n"))
+    words = by_word.groupBy("key", "word").agg(F.sum("n").alias("c"))
     tokens, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     train_tokens, vocabulary = tokens + rows, vocabulary + (rows > 0)
     cost = math.log10(train_tokens + 0.1 * (vocabulary + 1))
 
-    few = grams.filter("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 24) - 1)).alias("g")).agg(F.sum("n").alias("n")).toPandas()  # 2^24 rows at most
+    few = by_gram.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 24) - 1)).alias("g")).agg(F.sum("n").alias("n")).toPandas()  # 2^24 rows at most
     shared = spark.sparkContext.broadcast(Low(few["g"].to_numpy(np.int64).astype(np.uint64), few["n"].to_numpy(np.int64)))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             p = log_probabilities(keys.view(np.uint64), n, shared.value).astype(np.float32)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p)], names=["gram", "p"])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p)], names=["key", "p"])
 
         keys, n, context = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            keys, n, context = (np.concatenate([x, np.array(batch.column(c))]) for x, c in ((keys, "gram"), (n, "n"), (context, "context")))
+            keys, n, context = (np.concatenate([x, np.array(batch.column(c))]) for x, c in ((keys, "key"), (n, "n"), (context, "context")))
             last = int(np.searchsorted(context, context[-1])) if len(context) else 0  # the last context may go on
             if last:
                 yield made(keys[:last], n[:last])
@@ -220,22 +266,24 @@ def ppm_score(docs: DataFrame, mod: int = 10, held_out: int = 0, block_bytes: in
         if len(keys):
             yield made(keys, n)
 
-    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 24) - 1))
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 24) - 1))
     ordered = grams.withColumn("context", context).repartition("context").sortWithinPartitions("context")
-    rated = ordered.transform(in_arrow, rate, "gram long, p float")
-    none = F.lit(None)
-    answers = by_gram.join(rated, "gram").select("block", "gram", "p", none.cast("binary").alias("word"), none.cast("long").alias("c")).unionByName(
-        by_word.join(words, "word").select("block", none.cast("long").alias("gram"), none.cast("float").alias("p"), "word", "c")
-    )
+    rated = ordered.transform(in_arrow, rate, "key long, p float")
+    answers = by_gram.drop("n").join(rated, "key").transform(in_arrow, pack_grams, PACKED)
+    answers = answers.unionByName(by_word.drop("n").join(words, ["key", "word"]).select("block", "word", "c").transform(in_arrow, pack_words, PACKED))
 
     def score(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         bodies = lowered(table.column("text"))
-        known = got.filter(got.column("gram").is_valid())
-        codes, p = known.column("gram").to_numpy().view(np.uint64), known.column("p").to_numpy().astype(np.float64)
+        codes, p, word_log = [], [], {}
+        for k, v, w in zip(*(got.column(c).to_pylist() for c in ("keys", "found", "words")), strict=True):
+            if w is None:
+                codes.append(_unpacked(k, np.uint64).cumsum(dtype=np.uint64))
+                p.append(_unpacked(v, np.float32).astype(np.float64))
+            else:
+                word_log.update(zip(zstandard.decompress(w).split(), np.log10(_unpacked(v, np.int64) + 0.1).tolist(), strict=True))
+        codes, p = np.concatenate(codes), np.concatenate(p)
         order = np.argsort(codes)
         slots, p = Slots(codes[order]), p[order]
-        known = got.filter(got.column("word").is_valid())
-        word_log = dict(zip(known.column("word").to_pylist(), np.log10(known.column("c").to_numpy() + 0.1).tolist(), strict=True))
         end_log = math.log10(rows + 0.1)
         scores, base, n, n_known = [], [], [], []
         for part in chunks([len(x) for x in bodies], PIECE):
