@@ -34,8 +34,8 @@ from gapwise.llm.common import chunks, crc_mod, in_arrow, texts
 END = 0xFF  # in no UTF-8 text: stands before each text and ends it
 ORDER = 5  # bytes of the longest context; 7 at most, as a gram is held in 64 bits
 PIECE = 1 << 20
-#: Buckets of a table at most; Spark's own bound is 100,000.
-MOST_BUCKETS = 50_000
+#: Buckets of the table of grams, so that few blocks use many cores too; Spark's own bound is 100,000.
+LEAST_BUCKETS, MOST_BUCKETS = 32, 50_000
 #: Answers that are packed together before they are sent, by the block that they are for.
 PACKED = "block long, keys binary, found binary, words binary"
 PACKED_ROWS = 1_000_000
@@ -223,8 +223,8 @@ def ppm_score(docs: DataFrame, mod: int = 10, held_out: int = 0, block_bytes: in
     own = docs.select("doc_id", (crc_mod(F.col("doc_id"), mod) != held_out).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     size, rows = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     n_blocks = max(1, -(-size // block_bytes))
-    buckets = min(n_blocks, MOST_BUCKETS)
-    dealt = bucketed(own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))), buckets, "block")
+    buckets = min(max(n_blocks, LEAST_BUCKETS), MOST_BUCKETS)
+    dealt = bucketed(own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))), min(n_blocks, MOST_BUCKETS), "block")
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         bodies, train = lowered(table.column("text")), table.column("train").to_pylist()
