@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapwise.operators.order import quantiles
 from gapwise.operators.segments import in_segment
 
 
@@ -35,7 +36,8 @@ def remove_offset(segments: DataFrame, channel: str, method: str, baseline: floa
 def fit_baseline(segments: DataFrame, channel: str, least: int = 17) -> float | None:
     """Median of the means of segments of ``least`` samples or more."""
     means = segments.groupBy("src", "seg_id").agg(F.avg(channel).alias("m"), F.count("*").alias("n")).filter(F.col("n") >= least)
-    return means.agg(F.median("m")).first()[0]
+    found = quantiles(means, "m", [0.5]).first()
+    return None if found is None else found[0]
 
 
 def first_difference(segments: DataFrame, *channels: str) -> DataFrame:
@@ -59,8 +61,9 @@ def min_max_scaled(frame: DataFrame, train: Column, channel: str) -> DataFrame:
 
 def imputed(frame: DataFrame, train: Column, *channels: str) -> DataFrame:
     """Nulls of channels filled by the training rows' median."""
-    stats = frame.filter(train).agg(*(F.median(c).alias(f"_f_{c}") for c in channels))
-    own = frame.crossJoin(F.broadcast(stats))
+    own = frame
+    for c in channels:
+        own = own.join(F.broadcast(quantiles(frame.filter(train), c, [0.5], names=[f"_f_{c}"])), how="left")  # one row, or none
     return own.withColumns({c: F.coalesce(F.col(c), F.col(f"_f_{c}")) for c in channels}).drop(*(f"_f_{c}" for c in channels))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapwise.operators.order import cumulative, ranked_counts
+
 
 def calibration_split(segments: DataFrame, fraction: float) -> DataFrame:
     """Marks the latest max(1, floor(fraction * n + 0.5)) segments of each stream as calibration."""
@@ -16,20 +18,21 @@ def calibration_split(segments: DataFrame, fraction: float) -> DataFrame:
 def p_values(test: DataFrame, calibration: DataFrame, by: str) -> DataFrame:
     """(1 + calibration scores of the same group at or above the score) / (n + 1).
 
-    Both sets are merged and counted in one running sum by descending score, in which calibration scores precede
-    test scores of the same value; no pair of rows is made.
+    Both sets are counted by distinct score, and calibration scores summed in descending order; no pair of rows is made.
     """
-    both = test.select("*", F.lit(0).alias("_c")).unionByName(calibration.select(by, "score", F.lit(1).alias("_c")), allowMissingColumns=True)
-    w = Window.partitionBy(by)
-    above = F.sum("_c").over(w.orderBy(F.desc("score"), F.desc("_c")).rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_c").over(w)
-    return both.withColumn("n_cal", n).withColumn("p", (1 + above) / (n + 1)).filter("_c = 0").drop("_c")
+    both = test.select(by, "score", F.lit(0).alias("_c")).unionByName(calibration.select(by, "score", F.lit(1).alias("_c")))
+    counts = both.groupBy(by, "score").agg(F.sum("_c").alias("_k"))
+    own = cumulative(counts, [F.desc("score")], {"_above": F.col("_k")}, [by])
+    totals = calibration.groupBy(by).agg(F.count("*").alias("n_cal"))
+    own = own.join(F.broadcast(totals), by, "left").select(by, "score", (F.col("_above") + F.col("_k")).alias("_at"), F.coalesce("n_cal", F.lit(0).cast("long")).alias("n_cal"))
+    return test.join(own, [by, "score"]).select(*test.columns, "n_cal", ((1 + F.col("_at")) / (F.col("n_cal") + 1)).alias("p"))
 
 
 def thresholds(calibration: DataFrame, by: str, alpha: float) -> DataFrame:
     """Per group the order statistic n + 1 - floor((n + 1) alpha + 1e-9); infinity, and not attainable, if that floor is 0."""
-    w = Window.partitionBy(by)
-    ranked = calibration.withColumn("_i", F.row_number().over(w.orderBy("score"))).withColumn("_n", F.count("*").over(w))
-    allowed = F.floor((F.col("_n") + 1) * alpha + 1e-9)
-    own = ranked.groupBy(by).agg(F.max("_n").alias("n_cal"), F.max(F.when(F.col("_i") == F.col("_n") + 1 - allowed, F.col("score"))).alias("thr"), F.max(allowed).alias("allowed"))
+    counts = ranked_counts(calibration, "score", [by])
+    allowed = F.floor((F.col("total") + 1) * alpha + 1e-9)
+    at = F.col("total") + 1 - allowed
+    hit = (F.col("before") < at) & (at <= F.col("before") + F.col("n"))
+    own = counts.groupBy(by).agg(F.max("total").alias("n_cal"), F.max(F.when(hit, F.col("score"))).alias("thr"), F.max(allowed).alias("allowed"))
     return own.select(by, "n_cal", F.coalesce("thr", F.lit(float("inf"))).alias("thr"), (F.col("allowed") > 0).alias("attainable"))

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.functions import average_rank, ratio
+from gapwise.operators.order import quantiles, ranked_counts
 
 SEGMENT = ("src", "seg_id")
 
 
 def normal_threshold(scores: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:
     """Exact quantile (linear interpolation) of the scores of normal rows, per group."""
-    own = scores.filter("label = 0 and score is not null")
-    return own.groupBy(*by).agg(F.percentile("score", q).alias("thr"))
+    return quantiles(scores.filter("label = 0"), "score", [q], by, ["thr"])
 
 
 def with_threshold(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -40,21 +40,18 @@ def auc(scores: DataFrame, by: Sequence[str] = (), score: str = "score") -> Data
 
     Rows are first counted by score and label, so that what is sorted is no longer than the distinct scores.
     """
-    counts = scores.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(score)
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", average_rank(before + 1, F.col("n")))
+    counts = ranked_counts(scores, score, by, more={"pos": F.sum(F.col("label").cast("long"))})
+    ranked = counts.withColumn("rank", average_rank(F.col("before") + 1, F.col("n")))
     own = ranked.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("m"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
-    return own.select(*by, F.when((F.col("p") > 0) & (F.col("m") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("m"))).alias("auc"), F.col("p").alias("n_pos"), F.col("m").alias("n_neg"))
+    area = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("m"))
+    return own.select(*by, F.when((F.col("p") > 0) & (F.col("m") > 0), area).alias("auc"), F.col("p").alias("n_pos"), F.col("m").alias("n_neg"))
 
 
 def roc_points(scores: DataFrame) -> DataFrame:
     """thr, tpr, fpr, precision at each distinct score, counting scores from it up."""
-    counts = scores.filter("score is not null").groupBy(F.col("score").alias("thr")).agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    totals = counts.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
-    w = Window.orderBy(F.desc("thr"))
-    own = counts.withColumn("tp", F.sum("pos").over(w)).withColumn("up", F.sum("n").over(w)).crossJoin(F.broadcast(totals))
-    return own.select("thr", ratio("tp", "p").alias("tpr"), ratio(F.col("up") - F.col("tp"), F.col("all") - F.col("p")).alias("fpr"), ratio("tp", "up").alias("precision"))
+    own = ranked_counts(scores, "score", descending=True, more={"pos": F.sum(F.col("label").cast("long"))})
+    tp, up = F.col("before_pos") + F.col("pos"), F.col("before") + F.col("n")
+    return own.select(F.col("score").alias("thr"), ratio(tp, F.col("total_pos")).alias("tpr"), ratio(up - tp, F.col("total") - F.col("total_pos")).alias("fpr"), ratio(tp, up).alias("precision"))
 
 
 def exceed_runs(scores: DataFrame, n: int) -> DataFrame:
@@ -74,7 +71,10 @@ def segment_alarms(scores: DataFrame, rule: str = "any", k: int = 2, n: int = 3,
     own = scores.withColumn("_i", F.row_number().over(order)).withColumn("_used", F.col("_i") > skip_first)
     own = own.withColumn("score", F.when(F.col("_used"), F.col("score")))
     if rule == "quantile":
-        made = own.groupBy(*SEGMENT).agg(F.max("label").alias("label"), F.count_if("_used").alias("n_used"), F.percentile("score", q).alias("s"), F.max("thr").alias("thr"), F.max(F.when(F.col("_used"), F.col("t"))).alias("last"))
+        made = own.groupBy(*SEGMENT).agg(
+            F.max("label").alias("label"), F.count_if("_used").alias("n_used"), F.percentile("score", q).alias("s"), F.max("thr").alias("thr"),
+            F.max(F.when(F.col("_used"), F.col("t"))).alias("last"),
+        )
         made = made.withColumn("alarm", F.coalesce(F.col("s") > F.col("thr"), F.lit(False))).withColumn("first_t", F.when(F.col("alarm"), F.col("last")))
     else:
         width, least = (1, 1) if rule == "any" else (n, k)
@@ -111,12 +111,13 @@ def operating_point(scores: DataFrame, targets: Sequence[float], k: int = 1, n:
     A segment alarms above its statistic only, so the threshold is the (m + 1)-th largest statistic, where m is the
     largest count of segments within the target; the lowest statistic if all may alarm.
     """
-    stats = segment_statistic(scores.filter("label = 0"), k, n).filter("stat is not null")
-    total = segment_statistic(scores.filter("label = 0"), k, n).agg(F.count("*").alias("total"))
-    ranked = stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("stat"), *SEGMENT)))
+    stats = segment_statistic(scores.filter("label = 0"), k, n)
+    counts = ranked_counts(stats, "stat", descending=True)
+    total = stats.agg(F.count("*").alias("total"))
     own = total.withColumn("target", F.explode(F.array(*map(F.lit, targets)))).withColumn("m", F.floor(F.col("target") * F.col("total") + 1e-9))
-    own = own.join(ranked.agg(F.max("rank").alias("last")).crossJoin(own), ["target", "total", "m"])
-    return own.join(ranked.select("rank", F.col("stat").alias("thr")), F.least(F.col("m") + 1, F.col("last")) == F.col("rank")).select("target", "total", "m", "thr")
+    made = counts.select("stat", "before", "n", F.col("total").alias("last")).crossJoin(F.broadcast(own))
+    at = F.least(F.col("m") + 1, F.col("last"))
+    return made.filter((F.col("before") < at) & (at <= F.col("before") + F.col("n"))).select("target", "total", "m", F.col("stat").alias("thr"))
 
 
 def error_cases(scores: DataFrame, alarms: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapwise.functions.storage import written
+from gapwise.operators.order import quantiles, ranked_counts
 from gapwise.operators.segments import in_segment
 from gapwise.operators.stats import gram, pca
 
@@ -27,38 +31,79 @@ def naive_scores(segments: DataFrame, train: Column, channel: str) -> DataFrame:
     return own.crossJoin(F.broadcast(scale)).withColumn("score", F.pow(F.col("step") / F.col("_sd"), 2)).drop("_sd")
 
 
+class Moments:
+    """Rows, means and products about the means of columns; sums of two sets are exact."""
+
+    def __init__(self, n: int, mean: np.ndarray, products: np.ndarray):
+        self.n, self.mean, self.products = n, mean, products
+
+    def __add__(self, other: Moments) -> Moments:
+        if not self.n or not other.n:
+            return self if self.n else other
+        n, away = self.n + other.n, other.mean - self.mean
+        return Moments(n, self.mean + away * other.n / n, self.products + other.products + np.outer(away, away) * self.n * other.n / n)
+
+    def ridge(self, k: int, target: int, alpha: float) -> tuple[np.ndarray, float]:
+        """Coefficients of the first k columns and intercept of a ridge regression of a column (the intercept isn't penalised)."""
+        coef = np.linalg.solve(self.products[:k, :k] + alpha * np.eye(k), self.products[:k, target])
+        return coef, float(self.mean[target] - self.mean[:k] @ coef)
+
+    def error(self, k: int, target: int, fit: tuple[np.ndarray, float]) -> float:
+        """Mean squared error of such a fit on these rows."""
+        coef, intercept = fit
+        away = self.mean[target] - self.mean[:k] @ coef - intercept
+        spread = self.products[target, target] - 2 * coef @ self.products[:k, target] + coef @ self.products[:k, :k] @ coef
+        return max(0.0, spread / self.n + away * away) if self.n else math.nan
+
+
+def moments(rows: DataFrame, columns: list[str], flag: Column) -> dict[bool, Moments]:
+    """Moments of the rows without null, for each value of a flag, by one aggregate."""
+    own = rows.select(flag.alias("_f"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    got = own.groupBy("_f").agg(F.count("*"), *(F.avg(c) for c in columns), *(F.covar_pop(columns[i], columns[j]) for i, j in pairs)).collect()
+    out = dict.fromkeys((False, True), Moments(0, np.zeros(k), np.zeros((k, k))))
+    for row in got:
+        products = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[2 + k :], strict=True):
+            products[i, j] = products[j, i] = x * row[1]
+        out[row[0]] = Moments(row[1], np.array(row[2 : 2 + k]), products)
+    return out
+
+
 def ridge_fit(train: DataFrame, inputs: list[str], target: str, alpha: float) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of a ridge regression from centred second moments (the intercept isn't penalised)."""
-    n, mean, cov = gram(train, [*inputs, target])
-    k = len(inputs)
-    coef = np.linalg.solve(cov[:k, :k] * (n - 1) + alpha * np.eye(k), cov[:k, k] * (n - 1))
-    return coef, float(mean[k] - mean[:k] @ coef)
+    """Coefficients and intercept of a ridge regression (the intercept isn't penalised)."""
+    return moments(train, [*inputs, target], F.lit(True))[True].ridge(len(inputs), len(inputs), alpha)
+
+
+ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
-def ridge_var(segments: DataFrame, channels: list[str], p: int, train: Column, validation: Column, alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0)) -> tuple[dict, DataFrame]:
+def ridge_var(segments: DataFrame, channels: list[str], p: int, train: Column, validation: Column, alphas: tuple[float, ...] = ALPHAS) -> tuple[dict, DataFrame]:
     """Vector autoregression of order p by ridge; alpha is chosen on the validation rows and the fit repeated on both.
 
-    Returns parameters and the frame with score: the mean over channels of the squared error in units of the
-    training residuals' standard deviation; null for a segment's first p samples.
+    All fits and losses follow from the moments of inputs and targets in the training and the validation rows, which
+    one pass gives. Returns parameters and the frame with score: the mean over channels of the squared error in units
+    of the training residuals' standard deviation; null for a segment's first p samples.
     """
     lagged = lag_pairs(segments, channels, p)
     inputs = [f"{c}_l{i}" for i in range(1, p + 1) for c in channels]
-
-    def predicted(coef: np.ndarray, intercept: float) -> Column:
-        return sum((F.col(c) * float(w) for c, w in zip(inputs, coef, strict=True)), F.lit(intercept))
-
-    def errors(rows: DataFrame, fits: dict[str, tuple[np.ndarray, float]]) -> list[float]:
-        return list(rows.agg(*(F.avg(F.pow(F.col(c) - predicted(*fits[c]), 2)) for c in channels)).first())
-
-    trials = {a: {c: ridge_fit(lagged.filter(train & ~validation), inputs, c, a) for c in channels} for a in alphas}
-    loss = {a: sum(errors(lagged.filter(train & validation), f)) for a, f in trials.items()}
+    k = len(inputs)
+    found = moments(lagged.filter(train), [*inputs, *channels], validation)
+    both, targets = found[False] + found[True], range(k, k + len(channels))
+    loss = {a: sum(found[True].error(k, t, found[False].ridge(k, t, a)) for t in targets) if found[False].n and found[True].n else 0.0 for a in alphas}
     alpha = min(alphas, key=lambda a: (loss[a], a))
-    fits = {c: ridge_fit(lagged.filter(train), inputs, c, alpha) for c in channels}
-    sd = [max(math.sqrt(e), 1e-6) for e in errors(lagged.filter(train), fits)]
-    score = sum((F.pow((F.col(c) - predicted(*fits[c])) / s, 2) for c, s in zip(channels, sd, strict=True)), F.lit(0.0)) / len(channels)
-    made = lagged.select(*segments.columns, score.alias("score"))
-    early = segments.filter(F.col("pos") < p).withColumn("score", F.lit(None).cast("double"))
-    return {"alpha": alpha, "fits": fits, "sd": sd, "loss": loss}, made.unionByName(early)
+    fits = {c: both.ridge(k, t, alpha) for c, t in zip(channels, targets, strict=True)}
+    sd = [max(math.sqrt(both.error(k, t, fits[c])), 1e-6) for c, t in zip(channels, targets, strict=True)]
+    score = F.lit(0.0)
+    for c, s in zip(channels, sd, strict=True):
+        guess = sum((F.col(x) * float(w) for x, w in zip(inputs, fits[c][0], strict=True)), F.lit(fits[c][1]))
+        score = score + F.pow((F.col(c) - guess) / s, 2) / len(channels)
+    w = in_segment()
+    early = F.col("pos") < p
+    lags = {f"{c}_l{i}": F.lag(c, i).over(w) for i in range(1, p + 1) for c in channels}
+    made = segments.withColumns(lags).select(*segments.columns, F.when(~early, score).alias("score"))
+    return {"alpha": alpha, "fits": fits, "sd": sd, "loss": loss}, made
 
 
 def hbos(frame: DataFrame, train: Column, columns: list[str], bins: int = 10) -> DataFrame:
@@ -81,8 +126,9 @@ def copod(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Copula score: over columns, the larger of the tail probabilities' -ln sums (left, right, and the side that skewness tells)."""
     own = frame
     for c in columns:
-        w = Window.orderBy(c)
-        own = own.withColumn(f"_l_{c}", -F.log(F.cume_dist().over(w))).withColumn(f"_r_{c}", -F.log(F.cume_dist().over(Window.orderBy(F.desc(c)))))
+        n = ranked_counts(frame, c)
+        tails = {f"_l_{c}": (F.col("before") + F.col("n")) / F.col("total"), f"_r_{c}": (F.col("total") - F.col("before")) / F.col("total")}
+        own = own.join(n.select(c, *((-F.log(x)).alias(k) for k, x in tails.items())), c)
     skew = own.agg(*(F.skewness(c).alias(f"_s_{c}") for c in columns))
     own = own.crossJoin(F.broadcast(skew))
     left = sum((F.col(f"_l_{c}") for c in columns), F.lit(0.0))
@@ -107,23 +153,23 @@ def mahalanobis(frame: DataFrame, train: Column, columns: list[str], ridge: floa
 def robust_mcd(frame: DataFrame, train: Column, columns: list[str], support: float = 0.75, steps: int = 20) -> tuple[dict, DataFrame]:
     """Minimum covariance determinant by concentration steps over the whole training set, then squared distances.
 
-    A step fits location and covariance of the support share of rows nearest to the last fit: an exact quantile of
-    an expression and one aggregate, so no row leaves the executors. It starts from medians and robust scales and
-    ends when the determinant no longer falls.
+    A step fits location and covariance of the support share of rows nearest to the last fit, by a cut to 1 / 100,000
+    of the ranks and one aggregate, so no row leaves the executors; the training columns are written once. It starts
+    from medians and robust scales and ends when the determinant falls by less than a millionth.
     """
-    rows = frame.filter(train).select(*columns).dropna()
-    start = rows.agg(*(F.median(c) for c in columns), *(F.percentile(c, [0.25, 0.75]) for c in columns)).first()
+    rows = written(frame.filter(train).select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna())
     k = len(columns)
-    center = np.array(start[:k], float)
-    scale = np.array([max((q[1] - q[0]) / 1.349, 1e-6) for q in start[k:]])
+    start = rows.agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000) for c in columns)).first()
+    center = np.array([q[1] for q in start], float)
+    scale = np.array([max((q[2] - q[0]) / 1.349, 1e-6) for q in start])
     precision, last, dets = np.diag(1 / scale**2), math.inf, []
     for _ in range(steps):
         d = rows.withColumn("_d", quadratic_form(columns, center, precision))
-        cut = d.agg(F.percentile("_d", support)).first()[0]
+        cut = d.agg(F.percentile_approx("_d", support, 100_000)).first()[0]
         _, mean, cov = gram(d.filter(F.col("_d") <= cut), columns)
         cov = cov + 1e-9 * np.trace(cov) / k * np.eye(k)
         det = float(np.linalg.slogdet(cov)[1])
-        if det >= last - 1e-12:
+        if det >= last - 1e-6:
             break
         center, precision, last = mean, np.linalg.inv(cov), det
         dets.append(det)
@@ -150,26 +196,63 @@ def pca_error(frame: DataFrame, train: Column, columns: list[str], components: i
     return own.select(*frame.columns, *(F.when(F.col("_known"), F.col(f"_e.{c}")).alias(c) for c in ("spe", "t2")))
 
 
-def kalman_scores(segments: DataFrame, channel: str, q: float, r: float) -> DataFrame:
-    """Squared normalised innovation of a local-level filter along each segment; sequential, so a segment is one group."""
+def kalman_fit(segments: DataFrame, channels: list[str], train: Column, noise: float = 0.1) -> dict[str, np.ndarray]:
+    """A VAR(1) of the channels: transition a, intercept c, covariance q of its errors, and that of the observation r, ``noise`` times the diagonal of q."""
+    lagged = lag_pairs(segments, channels, 1)
+    inputs, k = [f"{c}_l1" for c in channels], len(channels)
+    m = moments(lagged.filter(train), [*inputs, *channels], F.lit(True))[True]
+    fits = [m.ridge(k, k + i, 1e-6) for i in range(k)]
+    a, c = np.array([f[0] for f in fits]), np.array([f[1] for f in fits])
+    xx, xy, yy = m.products[:k, :k], m.products[:k, k:], m.products[k:, k:]
+    q = (yy - a @ xy - (a @ xy).T + a @ xx @ a.T) / max(m.n, 1)
+    q = (q + q.T) / 2 + 1e-9 * max(np.trace(q) / k, 1e-12) * np.eye(k)
+    return {"a": a, "c": c, "q": q, "r": noise * np.diag(np.diag(q))}
+
+
+def innovations(x: np.ndarray, a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Mean squared normalised innovation of each sample of series (n, length, k), side by side; NaN for the first samples and after a series' end."""
+    n, length, k = x.shape
+    state, cov, out = x[:, 0].copy(), np.broadcast_to(r, (n, k, k)).copy(), np.full((n, length), np.nan)
+    for t in range(1, length):
+        state, cov = state @ a.T + c, a @ cov @ a.T + q
+        s = cov + r
+        e = x[:, t] - state
+        inverse = np.linalg.inv(s)
+        out[:, t] = np.einsum("ni,nij,nj->n", e, inverse, e) / k
+        gain = cov @ inverse
+        state, cov = state + np.einsum("nij,nj->ni", gain, e), cov - gain @ cov
+    return out
+
+
+def kalman_scores(segments: DataFrame, channels: list[str], fit: dict[str, np.ndarray]) -> DataFrame:
+    """src, seg_id, pos, score: the squared normalised innovation of a Kalman filter along each segment, null for its first sample.
+
+    Segments of a partition are filtered side by side, as many at a time as an Arrow batch holds; a segment must fit a task.
+    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        level, var, out = math.nan, 0.0, []
-        for x in rows["x"].to_numpy():
-            if math.isnan(level):
-                level, var = x, r
-                out.append(None)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            rows = pd.concat([x for x in (rest, batch) if x is not None], ignore_index=True) if batch is not None or rest is not None else None
+            if rows is None or not len(rows):
+                continue
+            key = rows[["src", "seg_id"]].to_numpy()
+            new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
+            starts = np.flatnonzero(new)
+            end = len(rows) if batch is None else int(starts[-1])  # the last segment may go on
+            rest = rows.iloc[end:] if batch is not None else None
+            starts = starts[starts < end]
+            if not len(starts):
                 continue
-            var += q
-            s = var + r
-            out.append((x - level) ** 2 / s)
-            gain = var / s
-            level, var = level + gain * (x - level), (1 - gain) * var
-        return rows.assign(score=pd.Series(out, index=rows.index, dtype="float64"))[["src", "seg_id", "pos", "score"]]
-
-    own = segments.select("src", "seg_id", "pos", F.col(channel).cast("double").alias("x"))
-    made = own.groupBy("src", "seg_id").applyInPandas(run, "src long, seg_id long, pos long, score double")
+            sizes = np.diff(np.append(starts, end))
+            x = np.zeros((len(starts), sizes.max(), len(channels)))
+            owner, at = np.repeat(np.arange(len(starts)), sizes), np.arange(end) - np.repeat(starts, sizes)
+            x[owner, at] = rows[channels].to_numpy(float)[:end]
+            yield rows.iloc[:end][["src", "seg_id", "pos"]].assign(score=innovations(x, **fit)[owner, at])
+
+    own = segments.select("src", "seg_id", "pos", *(F.col(c).cast("double").alias(c) for c in channels))
+    own = own.repartition("src", "seg_id").sortWithinPartitions("src", "seg_id", "pos")
+    made = own.mapInPandas(run, "src long, seg_id long, pos long, score double")
     return made.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
@@ -227,31 +310,53 @@ def isolation_forest(frame: DataFrame, train: Column, columns: list[str], trees:
     for x in samples:
         forest.append(grow(x, max(1, math.ceil(math.log2(max(size, 2))))))
 
-    def path(node, x: np.ndarray, out: np.ndarray, rows: np.ndarray, depth: int) -> None:
-        if not isinstance(node, tuple):
-            out[rows] += depth + node
-            return
-        low = x[rows, node[0]] < node[1]
-        path(node[2], x, out, rows[low], depth + 1)
-        path(node[3], x, out, rows[~low], depth + 1)
+    def flat(tree) -> tuple[np.ndarray, ...]:
+        """Column, cut, first child (its brother follows) and length of path of each node; a leaf is its own child."""
+        nodes, todo = [], [(tree, 0)]
+        while todo:
+            after = []
+            for node, depth in todo:
+                if isinstance(node, tuple):
+                    nodes.append((node[0], node[1], 0, 0.0))
+                    after += [(node[2], depth + 1), (node[3], depth + 1)]
+                else:
+                    nodes.append((-1, 0.0, 0, depth + node))
+            todo = after
+        column, cut, child, length = (np.array(z) for z in zip(*nodes, strict=True))
+        inner = np.flatnonzero(column >= 0)
+        child = np.arange(len(nodes))
+        child[inner] = 1 + 2 * np.arange(len(inner))  # level by level, so children follow in the order of their parents
+        return column, cut, child, length
+
+    trees_flat = [flat(tree) for tree in forest]
+    depth = max(1, math.ceil(math.log2(max(size, 2))))
 
     def score(*values: pd.Series) -> pd.Series:
         x = np.column_stack([v.to_numpy(float) for v in values])
         total = np.zeros(len(x))
-        for tree in forest:
-            path(tree, x, total, np.arange(len(x)), 0)
-        return pd.Series(2 ** (-total / max(len(forest), 1) / max(harmonic(size), 1e-9)))
+        for column, cut, child, length in trees_flat:
+            at = np.zeros(len(x), np.int64)
+            for _ in range(depth):
+                c = column[at]
+                at = np.where(c < 0, at, child[at] + (x[np.arange(len(x)), np.maximum(c, 0)] >= cut[at]))
+            total += length[at]
+        return pd.Series(2 ** (-total / max(len(trees_flat), 1) / max(harmonic(size), 1e-9)))
 
     return frame.withColumn("score", F.pandas_udf(score, "double")(*columns))
 
 
 def injected(segments: DataFrame, kind: str, strength: float, a: str, b: str, seed: int = 0) -> DataFrame:
-    """Samples with a synthetic fault: amplitude scales a, antiphase mixes a and -b, spike adds peaks at random samples, noise adds a normal deviate."""
+    """Samples with a synthetic fault: amplitude scales a, antiphase mixes a and -b, spike adds peaks at some samples, noise adds a normal deviate, current scales b's share of a.
+
+    What is random comes from a hash of the sample's key, so that it doesn't hang on how rows are dealt.
+    """
     x, y = F.col(a), F.col(b)
+    u = [(F.shiftrightunsigned(F.xxhash64("src", "seg_id", "pos", F.lit(seed + 1 + i)), 11) + 1) / float(1 << 53) for i in range(2)]
     new = {
         "amplitude": x * (1 + strength),
         "antiphase": (1 - strength) * x - strength * y,
         "spike": x + F.when(F.pmod(F.xxhash64("src", "seg_id", "pos", F.lit(seed)), F.lit(20)) == 0, strength).otherwise(0.0),
-        "noise": x + F.randn(seed) * strength,
+        "noise": x + F.sqrt(-2 * F.log(u[0])) * F.cos(2 * F.pi() * u[1]) * strength,
+        "current": x + y * strength,
     }[kind]
     return segments.withColumn(f"{a}_injected", new)

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapwise.operators.order import cumulative
+
 
 def fold_assignment(segments: DataFrame, folds: int, seed: int) -> DataFrame:
-    """Deals the segments of each label to folds in turn, in an order that a hash of key and seed gives. A table of segments, not of samples."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("src", "seg_id", F.lit(seed)), "src", "seg_id")
-    return segments.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    """Deals the segments of each label to folds in turn, in an order that a hash of key and seed gives."""
+    return _dealt(segments, folds, [F.xxhash64("src", "seg_id", F.lit(seed)), F.col("src"), F.col("seg_id")])
 
 
 def ordered_folds(segments: DataFrame, folds: int) -> DataFrame:
     """As fold_assignment(), in order of the segment key."""
-    order = Window.partitionBy("label").orderBy("src", "seg_id")
-    return segments.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    return _dealt(segments, folds, [F.col("src"), F.col("seg_id")])
+
+
+def _dealt(segments: DataFrame, folds: int, order: list[Column]) -> DataFrame:
+    own = cumulative(segments, order, {"_i": F.lit(1)}, ["label"])
+    return own.withColumn("fold", (F.col("_i") % folds).cast("int")).drop("_i")
 
 
 def block_assignment(segments: DataFrame, blocks: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.functions import average_rank, ratio
+from gapwise.operators.order import ranked_counts
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
@@ -24,9 +25,9 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
 
 
 def ranked(frame: DataFrame, value: str, *by: str) -> DataFrame:
-    """Adds rank, with ties shared, within groups."""
-    w = Window.partitionBy(*by)
-    return frame.withColumn("rank", average_rank(F.rank().over(w.orderBy(value)), F.count("*").over(Window.partitionBy(*by, value))))
+    """Adds rank, with ties shared, within groups; null values are left out."""
+    counts = ranked_counts(frame, value, by).select(*by, value, average_rank(F.col("before") + 1, F.col("n")).alias("rank"))
+    return frame.join(counts, [*by, value])
 
 
 def two_sample(frame: DataFrame, value: str, group: str, *by: str) -> DataFrame:
@@ -53,11 +54,16 @@ def correlation_pairs(frame: DataFrame, columns: list[str], method: str = "pears
     """a, b, rho of each unordered pair of columns, in one pass over (ranks of) the rows."""
     if method == "spearman":
         for c in columns:
-            w = Window.partitionBy(*by)
-            frame = frame.withColumn(c, average_rank(F.rank().over(w.orderBy(c)), F.count("*").over(Window.partitionBy(*by, c))))
+            rank = ranked_counts(frame, c, by).select(*by, c, average_rank(F.col("before") + 1, F.col("n")).alias("_r"))
+            frame = frame.join(rank, [*by, c]).drop(c).withColumnRenamed("_r", c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    made = frame.groupBy(*by).agg(*(F.when((F.max(a) > F.min(a)) & (F.max(b) > F.min(b)), ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias(f"{a}|{b}") for a, b in pairs))
-    return made.select(*by, F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs))).alias("x")).select(*by, "x.*")
+    made = frame.groupBy(*by).agg(*(_rho(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs))
+    return made.select(*by, F.explode(rows).alias("x")).select(*by, "x.*")
+
+
+def _rho(a: str, b: str) -> Column:
+    return F.when((F.max(a) > F.min(a)) & (F.max(b) > F.min(b)), ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def mann_kendall(series: DataFrame, by: str, t: str, value: str) -> DataFrame:
@@ -80,11 +86,9 @@ def theil_sen(series: DataFrame, by: str, t: str, value: str) -> DataFrame:
 
 def ks_statistic(frame: DataFrame, value: str, group: str, *by: str) -> DataFrame:
     """Largest distance of the distribution functions of groups 0 and 1, over counts by distinct value."""
-    counts = frame.groupBy(*by, value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    w = Window.partitionBy(*by)
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(ratio(F.sum("a").over(run), F.sum("a").over(w)) - ratio(F.sum("b").over(run), F.sum("b").over(w)))
-    return counts.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
+    counts = ranked_counts(frame, value, by, more={"a": F.count_if(F.col(group) == 0), "b": F.count_if(F.col(group) == 1)})
+    gap = F.abs(ratio(F.col("before_a") + F.col("a"), F.col("total_a")) - ratio(F.col("before_b") + F.col("b"), F.col("total_b")))
+    return counts.groupBy(*by).agg(F.max(gap).alias("ks"))
 
 
 #: Columns up to which gram is one aggregate of expressions.

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.functions import micros, ratio
-from gapwise.operators import clean, explain, models, stats, warning
-from gapwise.operators.segments import gap_segments as cut
-from gapwise.plans.base import GAP, KEYS, SEGMENTS, samples, segment_keys, segments
+from gapwise.operators import explain, models, stats, warning
+from gapwise.operators.order import quantiles
+from gapwise.plans.base import KEYS, SEGMENTS, segment_keys, segments
 from gapwise.plans.registry import Tables, query
 
 R = lambda c, d=4: F.round(F.col(c) if isinstance(c, str) else c, d)
@@ -152,7 +152,8 @@ FROM (SELECT l_returnflag, n, mean, sd, q99, (m3 - 3 * mean * m2 + 2 * pow(mean,
 FROM (SELECT l_returnflag, count(*)::DOUBLE AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd, quantile_cont(l_quantity, 0.99) AS q99, avg(pow(l_quantity, 2)) AS m2, avg(pow(l_quantity, 3)) AS m3, avg(pow(l_quantity, 4)) AS m4 FROM lineitem GROUP BY 1))""")
 def distribution_summary(t: Tables) -> DataFrame:
     x = F.col("l_quantity")
-    own = t.lineitem.groupBy("l_returnflag").agg(F.count("*").cast("double").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.percentile(x, 0.99).alias("q99"))
+    own = t.lineitem.groupBy("l_returnflag").agg(F.count("*").cast("double").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+    own = own.join(quantiles(t.lineitem, "l_quantity", [0.99], ["l_returnflag"], ["q99"]), "l_returnflag")
     n = F.col("n")
     skew, kurt = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)
     return own.select("l_returnflag", "n", R("mean").alias("mean"), R("sd").alias("sd"), R(skew).alias("skew"), R(kurt).alias("kurt"), R("q99").alias("q99"))
@@ -227,7 +228,9 @@ def pca_spe_t2(t: Tables) -> DataFrame:
 
 @query()
 def kalman_score(t: Tables) -> DataFrame:
-    return models.kalman_scores(segments(t), "ch0", 1.0, 10.0).select("src", "seg_id", "pos", R("score", 6).alias("score"))
+    own, channels = segments(t), ["ch0", "ch1"]
+    fit = models.kalman_fit(own, channels, (F.col("src") + F.col("seg_id")) % 7 != 0)
+    return models.kalman_scores(own, channels, fit).select("src", "seg_id", "pos", R("score", 6).alias("score"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gapwise.functions import micros, ratio
 from gapwise.operators import conformal, evaluate as ev, splits
+from gapwise.operators.order import quantiles
 from gapwise.plans.base import KEYS, SCORES, THRESHOLD, scores, segment_keys
 from gapwise.plans.registry import Tables, query
 
@@ -120,8 +121,8 @@ c AS (SELECT q, count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILT
 SELECT *, {_RATES} FROM c""")
 def f1_grid(t: Tables) -> DataFrame:
     own, qs = scores(t), [0.8, 0.9, 0.95]
-    thr = own.filter("label = 0").agg(F.percentile("score", qs).alias("x")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("x").alias("thr"))).alias("z"))
-    made = own.crossJoin(F.broadcast(thr.select(F.col("z.q").alias("q"), F.col("z.thr").alias("thr"))))
+    thr = quantiles(own.filter("label = 0"), "score", qs, names=["a", "b", "c"]).select(F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(c).alias("thr")) for q, c in zip(qs, "abc", strict=True)))).alias("z"))
+    made = own.crossJoin(F.broadcast(thr.select("z.q", "z.thr")))
     alarms = made.groupBy("q", "src", "seg_id").agg(F.max("label").alias("label"), F.bool_or(F.col("score") > F.col("thr")).alias("alarm"))
     return ev.confusion(alarms, ("q",)).withColumns({c: R(c, 6) for c in ("precision", "recall", "f1")})
 
@@ -155,7 +156,8 @@ z AS (SELECT sc.*, score / a AS z1, score2 / b AS z2 FROM sc CROSS JOIN th)"""
 def calibrated(t: Tables) -> DataFrame:
     """Both scores over their 0.9 quantile of normal windows, so that 1 is the threshold of either."""
     own = scores(t)
-    th = own.filter("label = 0").agg(F.percentile("score", 0.9).alias("a"), F.percentile("score2", 0.9).alias("b"))
+    normal = own.filter("label = 0")
+    th = quantiles(normal, "score", [0.9], names=["a"]).crossJoin(quantiles(normal, "score2", [0.9], names=["b"]))
     return own.crossJoin(F.broadcast(th)).withColumn("z1", F.col("score") / F.col("a")).withColumn("z2", F.col("score2") / F.col("b"))
 
 
@@ -226,16 +228,17 @@ def conformal_validity(t: Tables) -> DataFrame:
     return made.groupBy("state").agg(F.count("*").alias("n"), R(F.avg(F.when(F.col("p") <= 0.1 + 1e-12, 1.0).otherwise(0.0)), 6).alias("realised"))
 
 
-@query(f"""WITH {SCORES}, f AS (SELECT fold, avg(score) AS m, count(*) AS n FROM sc GROUP BY fold) SELECT CAST(fold AS VARCHAR) AS fold, round(m + 1.7e-7, 4) AS m FROM f UNION ALL SELECT 'mean', round(avg(m) + 1.7e-7, 4) FROM f""")
+@query(f"""WITH {SCORES}, f AS (SELECT fold, avg(score) AS m, count(*) AS n FROM sc GROUP BY fold) SELECT CAST(fold AS VARCHAR) AS fold, round(m, 8) AS m FROM f UNION ALL SELECT 'mean', round(avg(m), 8) FROM f""")
 def fold_means(t: Tables) -> DataFrame:
     own = scores(t).groupBy("fold").agg(F.avg("score").alias("m"))
-    return own.select(F.col("fold").cast("string").alias("fold"), "m").unionByName(own.agg(F.avg("m").alias("m")).select(F.lit("mean").alias("fold"), "m")).select("fold", R(F.col("m") + 1.7e-7).alias("m"))
+    return own.select(F.col("fold").cast("string").alias("fold"), "m").unionByName(own.agg(F.avg("m").alias("m")).select(F.lit("mean").alias("fold"), "m")).select("fold", R("m", 8).alias("m"))
 
 
 @query(f"""WITH {SCORES}, f AS (SELECT fold AS k FROM sc GROUP BY fold), q AS (SELECT k, quantile_cont(score, 0.99) AS q99 FROM sc JOIN f ON sc.fold <> f.k GROUP BY k)
 SELECT round(max(q99) - min(q99), 4) AS spread, round(stddev_samp(q99) / avg(q99), 6) AS cv, count(*) AS n FROM q""")
 def quantile_stability(t: Tables) -> DataFrame:
-    own = scores(t).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter("fold != k").groupBy("k").agg(F.percentile("score", 0.99).alias("q99"))
+    own = scores(t).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter("fold != k")
+    own = quantiles(own, "score", [0.99], ["k"], ["q99"])
     return own.agg(R(F.max("q99") - F.min("q99")).alias("spread"), R(F.stddev_samp("q99") / F.avg("q99"), 6).alias("cv"), F.count("*").alias("n"))
 
 
@@ -243,7 +246,7 @@ def quantile_stability(t: Tables) -> DataFrame:
 SELECT src, seg_id, CASE WHEN rms0 > hi THEN 'severe' WHEN rms0 <= lo THEN 'mild' ELSE 'middle' END AS grade FROM k CROSS JOIN q WHERE label = 1""")
 def grade_by_quantile(t: Tables) -> DataFrame:
     own = segment_keys(t)
-    q = own.filter("label = 0").agg(F.percentile("rms0", 0.9).alias("hi"), F.percentile("rms0", 0.5).alias("lo"))
+    q = quantiles(own.filter("label = 0"), "rms0", [0.9, 0.5], names=["hi", "lo"])
     r = F.col("rms0")
     return own.filter("label = 1").crossJoin(F.broadcast(q)).select("src", "seg_id", F.when(r > F.col("hi"), "severe").when(r <= F.col("lo"), "mild").otherwise("middle").alias("grade"))
 

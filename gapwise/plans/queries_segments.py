@@ -81,27 +81,27 @@ def unify_format(t: Tables) -> DataFrame:
     return clean.unify_format(segments(t), "ch0", "ch1", 1, 1.19209).select("src", "event_id", "ch0", R("ch1").alias("ch1"))
 
 
-@query(f"WITH {SEGMENTS} SELECT src, event_id, round(ch0 - avg(ch0) OVER (PARTITION BY src, seg_id) + 1.7e-7, 4) AS clean FROM p")
+@query(f"WITH {SEGMENTS} SELECT src, event_id, round(ch0 - avg(ch0) OVER (PARTITION BY src, seg_id), 8) AS clean FROM p")
 def dc_mean(t: Tables) -> DataFrame:
-    return clean.remove_offset(segments(t), "ch0", "mean").select("src", "event_id", R(F.col("clean") + 1.7e-7).alias("clean"))
+    return clean.remove_offset(segments(t), "ch0", "mean").select("src", "event_id", R("clean", 8).alias("clean"))
 
 
-@query(f"WITH {SEGMENTS} SELECT src, event_id, round(ch0 - avg(ch0) OVER (PARTITION BY src, seg_id ORDER BY pos ROWS UNBOUNDED PRECEDING) + 1.7e-7, 4) AS clean FROM p")
+@query(f"WITH {SEGMENTS} SELECT src, event_id, round(ch0 - avg(ch0) OVER (PARTITION BY src, seg_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 8) AS clean FROM p")
 def dc_expanding(t: Tables) -> DataFrame:
-    return clean.remove_offset(segments(t), "ch0", "expanding").select("src", "event_id", R(F.col("clean") + 1.7e-7).alias("clean"))
+    return clean.remove_offset(segments(t), "ch0", "expanding").select("src", "event_id", R("clean", 8).alias("clean"))
 
 
-@query(f"""WITH {SEGMENTS} SELECT src, event_id, round(CASE WHEN n >= 3 THEN ch0 - (regr_intercept(ch0, pos) OVER s + regr_slope(ch0, pos) OVER s * pos) ELSE ch0 - avg(ch0) OVER s END + 1.7e-6, 3) AS clean FROM p WINDOW s AS (PARTITION BY src, seg_id)""")
+@query(f"""WITH {SEGMENTS} SELECT src, event_id, round(CASE WHEN n >= 3 THEN ch0 - (regr_intercept(ch0, pos) OVER s + regr_slope(ch0, pos) OVER s * pos) ELSE ch0 - avg(ch0) OVER s END, 7) AS clean FROM p WINDOW s AS (PARTITION BY src, seg_id)""")
 def dc_detrend(t: Tables) -> DataFrame:
-    return clean.remove_offset(segments(t), "ch0", "detrend").select("src", "event_id", R(F.col("clean") + 1.7e-6, 3).alias("clean"))
+    return clean.remove_offset(segments(t), "ch0", "detrend").select("src", "event_id", R("clean", 7).alias("clean"))
 
 
 @query(f"""WITH {SEGMENTS}, m AS (SELECT avg(ch0) AS m FROM p GROUP BY src, seg_id HAVING count(*) >= 17), b AS (SELECT median(m) AS base FROM m)
-SELECT src, event_id, round(ch0 - base + 1.7e-7, 4) AS clean FROM p CROSS JOIN b""")
+SELECT src, event_id, round(ch0 - base, 8) AS clean FROM p CROSS JOIN b""")
 def dc_baseline(t: Tables) -> DataFrame:
     own = segments(t)
     base = clean.fit_baseline(own, "ch0")
-    return clean.remove_offset(own, "ch0", "baseline", base).select("src", "event_id", R(F.col("clean") + 1.7e-7).alias("clean"))
+    return clean.remove_offset(own, "ch0", "baseline", base).select("src", "event_id", R("clean", 8).alias("clean"))
 
 
 @query(f"WITH {SEGMENTS} SELECT src, event_id, round(coalesce(ch0 - lag(ch0) OVER w, 0), 4) AS ch0_diff, round(coalesce(ch1 - lag(ch1) OVER w, 0), 4) AS ch1_diff FROM p WINDOW w AS (PARTITION BY src, seg_id ORDER BY pos)")
@@ -129,7 +129,7 @@ def median_imputation(t: Tables) -> DataFrame:
     return clean.imputed(own, (F.col("src") + F.col("seg_id")) % 7 != 0, "v").select("src", "event_id", "v")
 
 
-@query(f"""WITH {SAMPLES} SELECT src, event_id, round(sqrt(ch0 * ch0 + ch1 * ch1) + 1.7e-7, 4) AS norm, round(ln(ch0), 4) AS ln0, round(ln(1 + ch1), 4) AS log1p1, round(ch0 / nullif(ch1, 0) + 1.7e-7, 4) AS load,
+@query(f"""WITH {SAMPLES} SELECT src, event_id, round(sqrt(ch0 * ch0 + ch1 * ch1), 3) AS norm, round(ln(ch0), 4) AS ln0, round(ln(1 + ch1), 4) AS log1p1, round(ch0 / nullif(ch1, 0), 8) AS load,
   CASE WHEN ch0 > 0 AND ch0 <= 10 THEN 'low' WHEN ch0 > 10 AND ch0 <= 100 THEN 'mid' WHEN ch0 > 100 AND ch0 <= 1000 THEN 'high' END AS bin,
   concat_ws('+', CASE WHEN ch0 > 100 THEN 'value' END, CASE WHEN ch1 > 90 THEN 'k' END, CASE WHEN event_type = 'error' THEN 'type' END) AS criteria,
   ts + INTERVAL 90 SECOND AS later, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY src)) / 1e6::DOUBLE, 4) AS since FROM s""")
@@ -137,7 +137,7 @@ def scalar_transforms(t: Tables) -> DataFrame:
     ch0, ch1 = F.col("ch0"), F.col("ch1")
     us = micros("ts")
     return samples(t).select(
-        "src", "event_id", R(F.hypot(ch0, ch1) + 1.7e-7).alias("norm"), R(F.when(ch0 > 0, F.log(ch0))).alias("ln0"), R(F.log1p(ch1)).alias("log1p1"), R(ratio(ch0, ch1) + 1.7e-7).alias("load"),
+        "src", "event_id", R(F.hypot(ch0, ch1), 3).alias("norm"), R(F.when(ch0 > 0, F.log(ch0))).alias("ln0"), R(F.log1p(ch1)).alias("log1p1"), R(ratio(ch0, ch1), 8).alias("load"),
         clean.labelled_bins(ch0, [0, 10, 100, 1000], ["low", "mid", "high"]).alias("bin"),
         F.concat_ws("+", F.when(ch0 > 100, "value"), F.when(ch1 > 90, "k"), F.when(F.col("event_type") == "error", "type")).alias("criteria"),
         (F.col("ts") + F.expr("INTERVAL 90 SECOND")).alias("later"), R((us - F.min(us).over(Window.partitionBy("src"))) / 1e6).alias("since"),
@@ -210,19 +210,25 @@ def outlier_share(t: Tables) -> DataFrame:
     return own.crossJoin(F.broadcast(ref)).groupBy("src").agg(R(F.avg(F.when(F.abs(z) > 3, 1.0).otherwise(0.0)), 6).alias("share"))
 
 
-@query(f"""WITH {SEGMENTS}, x AS (SELECT * FROM p WHERE n <= 16), m AS (SELECT *, ch0 - avg(ch0) OVER (PARTITION BY src, seg_id) AS y FROM x), f AS (SELECT unnest(range(1, 5)) AS k)
-SELECT src, seg_id, k, round(2 * sqrt(pow(sum(y * cos(2 * pi() * k * pos / n)), 2) + pow(sum(y * sin(2 * pi() * k * pos / n)), 2)) / max(n), 3) AS amplitude FROM m CROSS JOIN f WHERE k <= n / 2 GROUP BY src, seg_id, k""")
+_SPECTRUM = f"""WITH {SEGMENTS}, m AS (SELECT *, ch0 - avg(ch0) OVER (PARTITION BY src, seg_id) AS y FROM p), f AS (SELECT unnest(range(1, (SELECT max(n) // 2 + 1 FROM p))) AS k)
+SELECT src, seg_id, k, round(2 * sqrt(pow(sum(y * cos(2 * pi() * k * pos / n)), 2) + pow(sum(y * sin(2 * pi() * k * pos / n)), 2)) / max(n), DIGITS) AS amplitude
+FROM m JOIN f ON k <= n // 2 GROUP BY src, seg_id, k"""
+
+
+@query(_SPECTRUM.replace("DIGITS", "3"))
 def spectrum(t: Tables) -> DataFrame:
+    """All segments and bins, by sums over samples and bins."""
     w = Window.partitionBy("src", "seg_id")
-    own = segments(t).filter("n <= 16").withColumn("y", F.col("ch0") - F.avg("ch0").over(w)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).filter("k <= n / 2")
+    own = segments(t).withColumn("y", F.col("ch0") - F.avg("ch0").over(w)).filter("n > 1")
+    own = own.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n") / 2))))
     a = 2 * F.pi() * F.col("k") * F.col("pos") / F.col("n")
     made = own.groupBy("src", "seg_id", "k").agg((2 * F.sqrt(F.pow(F.sum(F.col("y") * F.cos(a)), 2) + F.pow(F.sum(F.col("y") * F.sin(a)), 2)) / F.max("n")).alias("a"))
-    return made.select("src", "seg_id", F.col("k").cast("long").alias("k"), R("a", 3).alias("amplitude"))
+    return made.select("src", "seg_id", "k", R("a", 3).alias("amplitude"))
 
 
-@query()
+@query(_SPECTRUM.replace("DIGITS", "6"))
 def spectrum_full(t: Tables) -> DataFrame:
-    """All segments and bins; spectrum is the part of them that its SQL states."""
+    """As spectrum, by a fast transform of each segment."""
     return seg.spectrum(segments(t), "ch0").select("src", "seg_id", "k", R("amplitude", 6).alias("amplitude"))
 
 
