@@ -129,3 +129,25 @@ def test_injected_noise_is_normal_and_agrees_with_itself(spark):
     assert abs(x.mean()) < 0.1 and abs(x.std() - 3) < 0.1
     spikes = models.injected(frame, "spike", 5.0, "a", "b").agg(F.avg(F.col("a_injected") / 5)).first()[0]
     assert abs(spikes - 0.05) < 0.01 and models.injected(frame, "current", 0.5, "a", "b").filter("a_injected = 1").count() == 20_000
+
+
+def test_bootstrap_against_numpy(spark):
+    """The same draws, worked out row by row."""
+    from gapwise.operators import reports
+
+    rng = np.random.default_rng(2)
+    rows = [(s, g, t, int(s % 3 == 0), float(np.round(rng.normal() + (s % 3 == 0), 1)), float(np.round(rng.normal(), 1))) for s in range(12) for g in range(3) for t in range(int(rng.integers(1, 6)))]
+    frame = spark.createDataFrame(rows, "src long, seg_id long, t long, label int, score double, score2 double")
+    times = {(r.rep, r.src, r.seg_id): r.times for r in reports.poisson_draws(frame.select("src", "seg_id").distinct(), 60, 5).collect()}
+    assert abs(sum(times.values()) / (60 * 36) - 1) < 0.1
+
+    def area(rep, k):
+        own = [(r[k], r[3]) for r in rows for _ in range(times.get((rep, r[0], r[1]), 0))]
+        p, m = [x for x, y in own if y], [x for x, y in own if not y]
+        return np.mean([(x > y) + (x == y) / 2 for x in p for y in m]) if p and m else None
+
+    one = [a for i in range(60) if (a := area(i, 4)) is not None]
+    both = [a - b for i in range(60) if (a := area(i, 4)) is not None and (b := area(i, 5)) is not None]
+    for got, want in ((reports.bootstrap_auc(frame, 60, 5).first(), one), (reports.bootstrap_auc(frame, 60, 5, "score", "score2").first(), both)):
+        assert (got["mean"], got.lo, got.hi) == pytest.approx((np.mean(want), np.quantile(want, 0.025), np.quantile(want, 0.975)))
+        assert got.p == pytest.approx(min(1.0, 2 * min(np.mean(np.array(want) <= 0), np.mean(np.array(want) >= 0))))
