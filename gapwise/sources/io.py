@@ -64,21 +64,21 @@ def read_with_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True).select("*", F.col("_metadata.file_name").alias("file"))
 
 
+def _archive(content: bytes) -> zipfile.ZipFile:
+    """A zip file whose names without a mark of UTF-8 are Korean, or, where they can't be, as they are."""
+    try:
+        return zipfile.ZipFile(io.BytesIO(content), metadata_encoding="cp949")
+    except UnicodeDecodeError:
+        return zipfile.ZipFile(io.BytesIO(content))
+
+
 def zip_lines(spark: SparkSession, path: str) -> DataFrame:
     """archive, member, line_no, line of text members of zip files, read where the files are; old names are repaired."""
 
-    def name_of(info: zipfile.ZipInfo) -> str:
-        if info.flag_bits & 0x800:
-            return info.filename
-        try:
-            return info.filename.encode("cp437").decode("cp949")
-        except UnicodeError:
-            return info.filename
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                with _archive(content) as z:
                     for info in z.infolist():
                         if info.is_dir():
                             continue
@@ -90,9 +90,9 @@ def zip_lines(spark: SparkSession, path: str) -> DataFrame:
                             for line in io.TextIOWrapper(f, encoding):
                                 lines.append(line.rstrip("\r\n"))
                                 if len(lines) == 10_000:
-                                    yield _lines(archive, name_of(info), start, lines)
+                                    yield _lines(archive, info.filename, start, lines)
                                     start, lines = start + len(lines), []
-                            yield _lines(archive, name_of(info), start, lines)
+                            yield _lines(archive, info.filename, start, lines)
 
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     return files.mapInArrow(read, "archive string, member string, line_no long, line string")
@@ -104,6 +104,7 @@ def _lines(archive: str, member: str, start: int, lines: list[str]) -> pa.Record
 
 
 def write_csv(frame: DataFrame, path: str, mode: str = "error") -> None:
+    """A table for readers outside, with a header."""
     frame.write.csv(path, header=True, mode=mode)
 
 

@@ -214,6 +214,12 @@ def test_sources_and_sinks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("m.csv", "a\nb\n")
     assert [(r.member, r.line_no, r.line) for r in io.zip_lines(spark, str(tmp_path / "z.zip")).collect()] == [("m.csv", 1, "a"), ("m.csv", 2, "b")]
+    with zipfile.ZipFile(tmp_path / "old.zip", "w") as z:
+        z.writestr(zipfile.ZipInfo("이름.csv".encode("cp949").decode("cp437")), "a\n")
+    data = (tmp_path / "old.zip").read_bytes()
+    assert io._archive(data).namelist()[0].endswith(".csv")
+    io.write_csv(out.select("src", "ch1"), str(tmp_path / "w"))
+    assert spark.read.csv(str(tmp_path / "w"), header=True).count() == 4
     io.save_parameters(spark, str(tmp_path / "p"), [("w", [1.0, 2.5])])
     assert io.load_parameters(spark, str(tmp_path / "p")) == {"w": [1.0, 2.5]}
     io.write_features(spark.createDataFrame([(10, 1.0), (20, 2.0)], "win int, x double"), str(tmp_path / "f"))
@@ -252,3 +258,26 @@ def test_stream_equals_batch(spark, tmp_path):
     q = bursts.writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("bursts").count() >= 4
+
+
+def test_small_helpers(spark):
+    from gapwise.functions.columns import robust_scale
+    from gapwise.operators import splits
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 2))
+    x = np.column_stack([x, x[:, 0] + 0.5 * rng.normal(size=400)])
+    factors, condition = stats.vif(spark.createDataFrame(x.tolist(), "a double, b double, c double"), ["a", "b", "c"])
+    inverse = np.linalg.inv(np.corrcoef(x.T))
+    assert [factors[c] for c in "abc"] == pytest.approx(np.diag(inverse).tolist()) and condition == pytest.approx(math.sqrt(np.linalg.cond(np.corrcoef(x.T))))
+    own = spark.createDataFrame([(s, g, int(g % 3 == 0)) for s in range(5) for g in range(7)], "src long, seg_id long, label int")
+    folds = splits.fold_assignment(own, 3, 7).collect()
+    for label in (0, 1):
+        sizes = np.bincount([r.fold for r in folds if r.label == label])
+        assert sizes.max() - sizes.min() <= 1
+    assert {tuple(r) for r in folds} == {tuple(r) for r in splits.fold_assignment(own.repartition(5), 3, 7).collect()} != {tuple(r) for r in splits.fold_assignment(own, 3, 8).collect()}
+    rows = spark.createDataFrame([(1, 0, 1, 2.0), (1, 0, 0, 4.0), (1, 0, 1, 9.0), (1, 1, 0, 1.0)], "src long, seg_id long, label int, x double").withColumn("pos", F.col("x").cast("long"))
+    assert {r.seg_id: r.label for r in splits.segment_label(rows, F.col("label")).collect()} == {0: 1, 1: 0}
+    assert {r.seg_id: [z.x for z in r.samples] for r in segments.segment_arrays(rows, ("x",)).collect()} == {0: [2.0, 4.0, 9.0], 1: [1.0]}
+    assert rows.agg(robust_scale(F.col("x"))).first()[0] == pytest.approx((np.quantile([2, 4, 9, 1], 0.75) - np.quantile([2, 4, 9, 1], 0.25)) / 1.349)
+    assert spark.range(1).select(evaluate.hourly(F.lit(0.5), F.lit(20), F.lit(4.0))).first()[0] == 2.5
