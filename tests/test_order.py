@@ -151,3 +151,16 @@ def test_bootstrap_against_numpy(spark):
     for got, want in ((reports.bootstrap_auc(frame, 60, 5).first(), one), (reports.bootstrap_auc(frame, 60, 5, "score", "score2").first(), both)):
         assert (got["mean"], got.lo, got.hi) == pytest.approx((np.mean(want), np.quantile(want, 0.025), np.quantile(want, 0.975)))
         assert got.p == pytest.approx(min(1.0, 2 * min(np.mean(np.array(want) <= 0), np.mean(np.array(want) >= 0))))
+
+
+def test_bootstrap_of_a_rate(spark):
+    from gapwise.operators import reports, stats
+
+    rows = [(s, g, float(s + g)) for s in range(10) for g in range(4)]
+    frame = spark.createDataFrame(rows, "src long, seg_id long, x double")
+    got = {r.rep: r["mean"] for r in stats.bootstrap(frame, F.col("x"), 40, 7).collect()}
+    sums = {}
+    for r in reports.poisson_draws(frame, 40, 7).collect():
+        k, v = sums.get(r.rep, (0, 0.0))
+        sums[r.rep] = (k + r.times, v + r.times * r.x)
+    assert got == pytest.approx({i: v / k for i, (k, v) in sums.items()}) and len(got) == 40
