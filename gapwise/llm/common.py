@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,25 @@ def unpacked(df: DataFrame, like: DataFrame, *more: Column) -> DataFrame:
     return df.select(*(F.col(f"doc.`{c}`").alias(c) for c in like.columns), *more)
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds the number of each row from 0 in ``order``; rows that it can't tell apart are numbered in any order.
+
+    Rows are parted by ranges of order, where a further column keeps rows of equal order from lying in one part,
+    numbered within their parts, written, and read with the numbers of the parts before, one row a part.
+    """
+    tie, at, part = fresh(rows, "_tie", "_at", "_part")
+    own = checkpoint(rows.withColumn(tie, F.xxhash64(F.monotonically_increasing_id())))
+    own = own.repartitionByRange(*order, F.col(tie)).sortWithinPartitions(*order, tie)
+    # its upper bits are the partition's number, the lower ones count rows
+    own = written(own.withColumn(at, F.monotonically_increasing_id()).drop(tie))
+    own = own.withColumn(part, F.shiftright(at, 33))
+    sizes = own.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as parts
+    number = F.col("_before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    offsets = F.broadcast(sizes.select(part, before.alias("_before")))
+    return own.join(offsets, part).select(*(f"`{c}`" for c in rows.columns), number.alias(name))
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, empty for null."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gapwise.llm import decontaminate, langid, licenses, linededup, mixing, ngramjoin, pii, ppm, quality, toolcalls
+from gapwise.llm import bpe, decontaminate, importance, langid, licenses, linededup, merkle, mixing, ngramjoin, pii, ppm, quality, toolcalls
 from gapwise.llm.common import table
 
 
@@ -56,6 +57,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.weak_supervision(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocab = bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    own = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), vocab, keep=["doc_id"]), vocab)
+    return own.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,9 +95,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_language_id": op9_language_id,
         "op10_quality": op10_quality,
+        "op11_merkle": op11_merkle,
+        "op12_bpe": op12_bpe,
+        "op13_importance": op13_importance,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": linededup.LINE_DEDUP_SQL}
+    return {"op8_line_dedup": linededup.LINE_DEDUP_SQL, "op11_merkle": merkle.TAMPER_SQL, "op13_importance": importance.RESAMPLE_SQL}
