@@ -24,7 +24,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODE = "tree long, leaves long, level int, idx long, digest string"
 NAMES = ("tree", "leaves", "level", "idx", "digest")
 #: By how much blocks of leaves grow from one dealing of the frontier to the next.
-WIDER = 64
+WIDER = 8
 
 
 def leaf_digest(columns: Iterable[Column]) -> Column:
