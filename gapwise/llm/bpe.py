@@ -14,6 +14,7 @@ white space, so a task keeps what it made of a run of other characters and looks
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterator, Sequence
@@ -21,6 +22,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -32,9 +34,13 @@ from gapwise.llm.common import chunks, in_arrow, without
 RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Added to the code point of a word's last character, which makes it another symbol. Byte symbols are below it.
 LAST = 0x1000
-#: Ids that a task keeps of runs and words before it starts anew, and the longest run that is kept.
-MOST_KEPT, LONGEST_KEPT = 4_000_000, 256
+#: Marks special tokens among words, which have no such character.
+SPECIAL = "\x00"
+#: Ids that a task keeps of runs and words before it starts anew.
+MOST_KEPT = 4_000_000
 NEVER = np.iinfo(np.int64).max
+#: Symbols up to which words are proposed side by side, and merged by looking at all their pairs.
+SHORT = 48
 
 
 class Vocabulary:
@@ -47,6 +53,9 @@ class Vocabulary:
         plain = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
         if model["type"] != "BPE" or not self.end or any(model.get(k) for k in plain) or d["decoder"] or any(a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
             raise ValueError("not a plain byte-pair vocabulary with word ends")
+        kinds = [x["type"] for x in d["normalizer"]["normalizers"]], [(x["type"], x.get("behavior"), x.get("invert"), x.get("use_regex")) for x in d["pre_tokenizer"]["pretokenizers"]]
+        if kinds != (["NFC", "Replace", "Lowercase"], [("Split", "Removed", True, None), ("ByteLevel", None, None, False)]):
+            raise ValueError("other rules of normalisation, or of the cut into words")
         self.rules = json.dumps(d | {"added_tokens": [], "truncation": None, "padding": None, "model": {"type": "BPE", "vocab": {}, "merges": []}})
         vocab = model["vocab"]
         #: Text of each id, for decoding; None for ids without a token.
@@ -67,7 +76,9 @@ class Vocabulary:
         pair = self.left[made] * self.n + self.right[made]
         order = np.argsort(pair)
         self.pairs, self.made = pair[order], made[order]
-        self.merges = dict(zip(self.pairs.tolist(), self.made.tolist(), strict=True))
+        #: Rank of each merge, and what the merge of a rank makes.
+        self.ranks = dict(zip(self.pairs.tolist(), self.rank[self.made].tolist(), strict=True))
+        self.makes = self.made[np.argsort(self.rank[self.made])].tolist()
         # a token that its own letters don't encode to is in no encoding
         sound = np.ones(self.n, bool)
         for k in made[np.argsort(self.rank[made])]:
@@ -77,6 +88,36 @@ class Vocabulary:
             sound[k] = sound[k] and sound[self.left[k]] and sound[self.right[k]]
         self.spelled = {self.spelling(name): i for name, i in vocab.items() if sound[i]}
         self.longest = max(map(len, self.spelled))
+        self._grow_trie()
+        self.kept: Encoder | None = None
+
+    def _grow_trie(self) -> None:
+        """Prefixes of all tokens: an edge's key is its node's number and its symbol's, and some nodes are a token's end."""
+        letters = sorted({c for name in self.spelled for c in name})
+        self.symbol = np.full(2 * LAST, -1, np.int64)
+        self.symbol[[ord(c) for c in letters]] = np.arange(len(letters))
+        number = {c: i for i, c in enumerate(letters)}
+        edges: dict[int, int] = {}
+        self.width, ends = len(letters), {}
+        for name, i in self.spelled.items():
+            node = 0
+            for c in name:
+                node = edges.setdefault(node * self.width + number[c], len(edges) + 1)
+            ends[node] = i
+        keys, nodes = np.fromiter(edges.keys(), np.int64), np.fromiter(edges.values(), np.int64)
+        order = np.argsort(keys)
+        self.edges, self.nodes = keys[order], nodes[order]
+        self.token = np.full(len(edges) + 1, -1, np.int64)
+        self.token[list(ends)] = list(ends.values())
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": None}
+
+    def encoder(self) -> Encoder:
+        """One for all tasks of a worker, so that what it keeps is made once."""
+        if self.kept is None:
+            self.kept = Encoder(self)
+        return self.kept
 
     def spelling(self, name: str) -> str:
         """A token's symbols, one character each."""
@@ -108,8 +149,36 @@ class Vocabulary:
             rows, x, x_ends = rows[go], x[go], x_ends[go]
         return out
 
-    def propose(self, word: str) -> list[int]:
-        """Longest match, from the left."""
+    def propose(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches from the left, of all words side by side: tokens in order, and the word of each."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        if (symbols < 0).any():
+            raise ValueError("no token for a symbol")
+        ends = np.cumsum(sizes)
+        word, at, made = np.arange(len(words)), ends - sizes, []
+        while len(word):
+            alive, node, to = np.arange(len(word)), np.zeros(len(word), np.int64), at.copy()
+            best, best_to = np.full(len(word), -1, np.int64), at.copy()
+            while len(alive):
+                key = node * self.width + symbols[to]
+                place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+                go = self.edges[place] == key
+                alive, node, to = alive[go], self.nodes[place[go]], to[go] + 1
+                token = self.token[node]
+                some = token >= 0
+                best[alive[some]], best_to[alive[some]] = token[some], to[some]
+                more = to < ends[word[alive]]
+                alive, node, to = alive[more], node[more], to[more]
+            made.append((word, best))
+            more = best_to < ends[word]
+            word, at = word[more], best_to[more]
+        owner = np.concatenate([w for w, _ in made])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([t for _, t in made])[order], owner[order]
+
+    def proposed_long(self, word: str) -> list[int]:
+        """The same for a single word of any length."""
         out, at, n, get = [], 0, len(word), self.spelled.get
         while at < n:
             for to in range(min(n, at + self.longest), at, -1):
@@ -119,30 +188,45 @@ class Vocabulary:
                     at = to
                     break
             else:
-                raise ValueError(f"no token for the symbol {word[at]!r}")
+                raise ValueError("no token for a symbol")
         return out
 
     def merged(self, word: str) -> list[int]:
         """The encoding by one merge after another: of lowest rank, then from the left."""
-        ids = [self.spelled[c] for c in word]
-        n = len(ids)
+        ids, n = [self.spelled[c] for c in word], self.n
+        if len(ids) > SHORT:
+            return self.merged_long(ids)
+        rank, makes, none = self.ranks.get, self.makes, len(self.makes)
+        open_ranks = [rank(a * n + b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while open_ranks and (r := min(open_ranks)) < none:
+            i = open_ranks.index(r)
+            ids[i : i + 2] = [makes[r]]
+            del open_ranks[i]
+            if i:
+                open_ranks[i - 1] = rank(ids[i - 1] * n + ids[i], none)
+            if i < len(open_ranks):
+                open_ranks[i] = rank(ids[i] * n + ids[i + 1], none)
+        return ids
+
+    def merged_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap, for words of any length."""
+        n, heap = len(ids), []
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
             if i >= 0 and after[i] < n:
-                k = self.merges.get(ids[i] * self.n + ids[after[i]])
-                if k is not None:
-                    heapq.heappush(heap, (int(self.rank[k]), i, k))
+                r = self.ranks.get(ids[i] * self.n + ids[after[i]])
+                if r is not None:
+                    heapq.heappush(heap, (r, i))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, k = heapq.heappop(heap)
+            r, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else n
-            if j >= n or self.merges.get(ids[i] * self.n + ids[j]) != k:
+            if j >= n or self.ranks.get(ids[i] * self.n + ids[j]) != r:
                 continue  # one of the two is merged already
-            ids[i], ids[j] = k, -1
+            ids[i], ids[j] = self.makes[r], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -152,8 +236,18 @@ class Vocabulary:
 
     def encode_words(self, words: Sequence[str]) -> tuple[list[list[int]], int]:
         """Tokens of each word, in symbols, and how many words failed the check."""
-        out = [self.propose(w) for w in words]
-        flat = np.fromiter((i for x in out for i in x), np.int64)
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        out: list[list[int]] = [[]] * len(words)
+        if short:
+            tokens, owner = self.propose([words[k] for k in short])
+            cuts = np.searchsorted(owner, np.arange(len(short) + 1)).tolist()
+            ids = tokens.tolist()
+            for k, a, b in zip(short, cuts[:-1], cuts[1:], strict=True):
+                out[k] = ids[a:b]
+        for k, w in enumerate(words):
+            if len(w) > SHORT:
+                out[k] = self.proposed_long(w)
+        flat = np.fromiter(itertools.chain.from_iterable(out), np.int64)
         owner = np.repeat(np.arange(len(out)), [len(x) for x in out])
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique(flat[inner] * self.n + flat[inner + 1], return_inverse=True)
@@ -164,6 +258,26 @@ class Vocabulary:
         return out, len(failed)
 
 
+class Lists:
+    """Lists of ids by a text, all in one array."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, names: Sequence[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.update(zip(names, range(len(self.index), len(self.index) + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists at these places one after another, and where each ends."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))], ends
+
+
 class Encoder:
     """Encodes texts with a vocabulary, and keeps what it made of words and of runs without white space."""
 
@@ -171,56 +285,61 @@ class Encoder:
         self.vocab, self.most = vocab, most
         rules = Tokenizer.from_str(vocab.rules)
         self.normalised, self.cut = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+        declared = json.loads(vocab.rules)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        #: The declared cut, or the end of a run, for runs of printable ASCII: normalisation only puts them in lower case, and bytes spell them as themselves.
+        self.plain = regex.compile(f"{declared}|\n")
         names = sorted(vocab.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.held = 0
-
-    def pieces(self, run: str) -> Iterator[str | int]:
-        """Words of a run, in symbols, and ids of special tokens, which are looked for before anything is normalised."""
-        parts = self.special.split(run) if self.special else [run]
-        for part in parts:
+        self.words, self.runs = Lists(), Lists()
+        special = self.vocab.special
+        self.words.add([SPECIAL + name for name in special], np.array(list(special.values())), np.ones(len(special), np.int64))
+
+    def pieces(self, run: str) -> list[str]:
+        """Words of a run, as bytes spell them; special tokens, which are looked for before anything is normalised, are marked."""
+        out = []
+        for part in self.special.split(run) if self.special else [run]:
             if part in self.vocab.special:
-                yield self.vocab.special[part]
+                out.append(SPECIAL + part)
             elif part:
-                for word, _ in self.cut(self.normalised(part)):
-                    if word:
-                        yield word[:-1] + chr(ord(word[-1]) + LAST)
+                out += [word for word, _ in self.cut(self.normalised(part)) if word]
+        return out
 
     def learn(self, runs: list[str]) -> None:
         """Encodes new runs and keeps them."""
-        parts = [list(self.pieces(run)) for run in runs]
-        new = list(dict.fromkeys(w for p in parts for w in p if isinstance(w, str) and w not in self.words))
-        made = dict(zip(new, self.vocab.encode_words(new)[0], strict=True))
-        ids = [[i for w in p for i in ((w,) if isinstance(w, int) else made[w] if w in made else self.words[w])] for p in parts]
-        self.words.update((w, x) for w, x in made.items() if len(w) <= LONGEST_KEPT)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        start = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])
-        self.starts = np.concatenate([self.starts, start + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.runs.update(zip(runs, range(len(self.runs), len(self.runs) + len(runs)), strict=True))
-        self.held += int(sizes.sum()) + sum(map(len, made.values())) + len(runs) + len(new)
+        easy = [r.isascii() and r.isprintable() and not (self.special and self.special.search(r)) for r in runs]
+        names = list(itertools.compress(runs, easy))
+        words = self.plain.findall("\n".join([*names, ""]).lower())
+        for run in itertools.compress(runs, (not x for x in easy)):
+            names.append(run)
+            words += self.pieces(run)
+            words.append("\n")
+        marks = np.fromiter(map("\n".__eq__, words), bool, len(words))
+        owner = np.cumsum(marks)[~marks]
+        words = list(itertools.compress(words, ~marks))
+        new = [w for w in dict.fromkeys(words) if w not in self.words.index]
+        made, _ = self.vocab.encode_words([w[:-1] + chr(ord(w[-1]) + LAST) for w in new])
+        sizes = np.array([len(x) for x in made], np.int64)
+        self.words.add(new, np.fromiter(itertools.chain.from_iterable(made), np.int32), sizes)
+        places = np.fromiter(map(self.words.index.__getitem__, words), np.int64, len(words))
+        flat, _ = self.words.of(places)
+        self.runs.add(names, flat, np.bincount(owner, self.words.sizes[places], minlength=len(names)).astype(np.int64))
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin."""
-        if self.held > self.most:
+        if len(self.runs.flat) + len(self.words.flat) > self.most:
             self.forget()
-        runs = [RUN.findall(t) if t else [] for t in texts]
-        known = self.runs
-        new = list(dict.fromkeys(r for one in runs for r in one if r not in known))
+        found = [RUN.findall(t) if t else [] for t in texts]
+        n = np.array([len(x) for x in found], np.int64)
+        runs = list(itertools.chain.from_iterable(found))
+        places = list(map(self.runs.index.get, runs))
+        new = list(dict.fromkeys(itertools.compress(runs, [i is None for i in places])))
         if new:
             self.learn(new)
-        n = np.array([len(x) for x in runs], np.int64)
-        at = np.fromiter((known[r] for one in runs for r in one), np.int64, int(n.sum()))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+            places = list(map(self.runs.index.__getitem__, runs))
+        ids, ends = self.runs.of(np.array(places, np.int64))
         return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
 
 
@@ -243,7 +362,7 @@ def encoded(docs: DataFrame, vocab: Broadcast, text: str = "text", ids: str = "i
     schema = T.StructType([*own.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab.value)
+        encoder = vocab.value.encoder()
         for batch in batches:
             bodies = batch.column(len(kept)).to_pylist()
             for part in chunks([len(x or "") for x in bodies]):
