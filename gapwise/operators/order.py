@@ -16,33 +16,44 @@ BRACKET = 100_000
 def quantiles(frame: DataFrame, value: str | Column, qs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles (linear interpolation) of the values that aren't null: by, and a column for each of ``qs`` (q0, q1 ..., or names).
 
-    A sketch of bounded size gives bounds of each quantile first. What a second pass gathers are the values between
-    them, about one in 20,000 of a group; all others are counted only.
+    A sketch of bounded size gives bounds of each quantile first. A second pass counts the rows below them and at them,
+    and gathers those strictly between, about one in 15,000 of a group however many values are equal.
     """
     names = list(names) or [f"q{i}" for i in range(len(qs))]
     x = F.col(value) if isinstance(value, str) else value
     own = frame.select(*by, x.cast("double").alias("_x")).filter("_x is not null")
     edges = [min(1.0, max(0.0, q + side * 2.5 / BRACKET)) for q in qs for side in (-1, 1)]
     probe = own.groupBy(*by).agg(F.percentile_approx("_x", edges, BRACKET).alias("_e"), F.count("*").alias("_n"))
-    both = own.join(F.broadcast(probe), list(by)) if by else own.crossJoin(F.broadcast(probe))
-    x, aggs = F.col("_x"), [F.max("_n").alias("_n")]
-    for i in range(len(qs)):
-        lo, hi = F.col("_e")[2 * i], F.col("_e")[2 * i + 1]
-        inside = F.collect_list(F.when((x >= lo) & (x <= hi), x))
-        # and the next value on either side, as a quantile lies between two ranks
-        ends = [F.array_compact(F.array(c)) for c in (F.max(F.when(x < lo, x)), F.min(F.when(x > hi, x)))]
-        aggs += [(F.count_if(x < lo) - F.size(ends[0])).alias(f"_b{i}"), F.concat(ends[0], F.sort_array(inside), ends[1]).alias(f"_v{i}")]
-    made = both.groupBy(*by).agg(*aggs)
+    both = own.join(probe, list(by)) if by else own.crossJoin(F.broadcast(probe))
+    made = both.groupBy(*by).agg(F.max("_n").alias("_n"), *(_around(i).alias(f"_b{i}") for i in range(len(qs))))
     out = []
     for i, (q, name) in enumerate(zip(qs, names, strict=True)):
         at = F.lit(float(q)) * (F.col("_n") - 1)
-        low = F.get(f"_v{i}", (F.floor(at) - F.col(f"_b{i}")).cast("int"))
-        high = F.get(f"_v{i}", (F.ceil(at) - F.col(f"_b{i}")).cast("int"))
+        low, high = _ranked(f"_b{i}", F.floor(at)), _ranked(f"_b{i}", F.ceil(at))
         # as percentile() interpolates
         out.append(F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name))
     return made.select(*by, *out)
 
 
+def _around(i: int) -> Column:
+    """Of the bounds of quantile i: rows below, at the lower one and at the upper one, the values strictly between, and the next ones outside."""
+    x, lo, hi = F.col("_x"), F.col("_e")[2 * i], F.col("_e")[2 * i + 1]
+    return F.struct(
+        F.count_if(x < lo).alias("below"), F.count_if(x == lo).alias("at_lo"), F.count_if((x == hi) & (hi > lo)).alias("at_hi"), F.max(lo).alias("lo"), F.max(hi).alias("hi"),
+        F.collect_list(F.when((x > lo) & (x < hi), x)).alias("inside"), F.max(F.when(x < lo, x)).alias("before"), F.min(F.when(x > hi, x)).alias("after"),
+    )
+
+
+def _ranked(name: str, rank: Column) -> Column:
+    """Value of a rank from 0 that lies between the bounds, or next to them."""
+    b = F.col(name)
+    i = rank - b["below"]
+    j = i - b["at_lo"]
+    k = j - F.size(b["inside"])
+    inside = F.get(F.sort_array(b["inside"]), j.cast("int"))
+    return F.when(i < 0, b["before"]).when(j < 0, b["lo"]).when(k < 0, inside).when(k < b["at_hi"], b["hi"]).otherwise(b["after"])
+
+
 def cumulative(frame: DataFrame, order: Sequence[Column], sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """Adds each of ``sums`` taken over the rows of the group that come earlier in ``order`` (0 for the first), which must tell rows apart.
 
