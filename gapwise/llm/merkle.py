@@ -23,8 +23,8 @@ from gapwise.llm.common import checkpoint, crc_mod, in_arrow, numbered, written
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODE = "tree long, leaves long, level int, idx long, digest string"
 NAMES = ("tree", "leaves", "level", "idx", "digest")
-#: By how much blocks of leaves grow from one dealing of the frontier to the next.
-WIDER = 8
+#: Rows of the frontier that are dealt together, about.
+DEALT = 256
 
 
 def leaf_digest(columns: Iterable[Column]) -> Column:
@@ -97,21 +97,19 @@ def grown(leaves: DataFrame, arity: int = 8) -> DataFrame:
     run = _combined(arity)
     made = written(leaves.select(*NAMES).transform(in_arrow, run, NODE + ", open boolean"))
     done = [made.filter("not open")]
-    size = leaves.agg(F.count("*"), F.max("leaves")).first()
-    tasks = max(1, leaves.rdd.getNumPartitions())
-    width = arity
-    while width * tasks < (size[0] or 0) * WIDER:
-        width *= arity
-
+    total, width = leaves.count(), 1
     frontier = made.filter("open").drop("open")
-    while not frontier.isEmpty():
+    while rest := frontier.count():
+        # blocks of leaves that hold about DEALT rows of the frontier each, wider ones every time
+        width *= arity
+        while width * arity * rest <= total * DEALT:
+            width *= arity
         # the leaf that a node begins with, by the block of leaves that it lies in
         block = F.floor(F.col("idx") * F.pow(F.lit(float(arity)), F.col("level")) / width).cast("long")
         dealt = frontier.withColumn("block", block).groupBy("tree", "block")
         made = written(dealt.applyInArrow(_per_group(run), NODE + ", open boolean"))
         done.append(made.filter("not open"))
         frontier = made.filter("open").drop("open")
-        width *= WIDER
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
