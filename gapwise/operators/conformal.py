@@ -24,7 +24,7 @@ def p_values(test: DataFrame, calibration: DataFrame, by: str) -> DataFrame:
     counts = both.groupBy(by, "score").agg(F.sum("_c").alias("_k"))
     own = cumulative(counts, [F.desc("score")], {"_above": F.col("_k")}, [by])
     totals = calibration.groupBy(by).agg(F.count("*").alias("n_cal"))
-    own = own.join(F.broadcast(totals), by, "left").select(by, "score", (F.col("_above") + F.col("_k")).alias("_at"), F.coalesce("n_cal", F.lit(0).cast("long")).alias("n_cal"))
+    own = own.join(totals, by, "left").select(by, "score", (F.col("_above") + F.col("_k")).alias("_at"), F.coalesce("n_cal", F.lit(0).cast("long")).alias("n_cal"))
     return test.join(own, [by, "score"]).select(*test.columns, "n_cal", ((1 + F.col("_at")) / (F.col("n_cal") + 1)).alias("p"))
 
 

@@ -24,7 +24,7 @@ def normal_threshold(scores: DataFrame, q: float, by: Sequence[str] = ()) -> Dat
 
 def with_threshold(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Scores with the threshold of their group; thresholds are a row per group."""
-    return scores.join(F.broadcast(thresholds), list(by)) if by else scores.crossJoin(F.broadcast(thresholds))
+    return scores.join(thresholds, list(by)) if by else scores.crossJoin(F.broadcast(thresholds))
 
 
 def false_positive_rates(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:

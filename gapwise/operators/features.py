@@ -105,7 +105,7 @@ def clipping(samples: DataFrame, x: str, by: str = "src", share: float = 0.99) -
     """Per group: the largest magnitude of a channel, samples at it, and at ``share`` of it or more."""
     top = samples.groupBy(by).agg(F.max(F.abs(F.col(x))).alias("top"))
     at = F.abs(F.col(x))
-    return samples.join(F.broadcast(top), by).groupBy(by).agg(F.max("top").alias("top"), F.count_if(at == F.col("top")).alias("n_top"), F.count_if(at >= share * F.col("top")).alias("n_near"))
+    return samples.join(top, by).groupBy(by).agg(F.max("top").alias("top"), F.count_if(at == F.col("top")).alias("n_top"), F.count_if(at >= share * F.col("top")).alias("n_near"))
 
 
 def decimals(samples: DataFrame, x: str, by: str = "src") -> DataFrame:

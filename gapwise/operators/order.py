@@ -66,10 +66,20 @@ def cumulative(frame: DataFrame, order: Sequence[Column], sums: dict[str, Column
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_p", *by, *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums))
     inside = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    made = own.join(F.broadcast(offsets), ["_p", *by])
+    made = own.join(offsets if by else F.broadcast(offsets), ["_p", *by])  # a row a part, and group
     return made.select(*frame.columns, *((F.coalesce(F.sum(f"_s_{k}").over(inside), F.lit(0)) + F.col(f"_o_{k}")).alias(k) for k in sums))
 
 
+def running_min(frame: DataFrame, order: Sequence[Column], value: str) -> DataFrame:
+    """The frame with ``value`` replaced by the least of it over this row and all earlier ones in ``order``, which must tell rows apart; by ranges, as in cumulative()."""
+    own = checkpoint(frame.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    lows = own.groupBy("_p").agg(F.min(value).alias("_low"))
+    before = lows.select("_p", F.min("_low").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_low"))  # a row a part
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    made = own.join(F.broadcast(before), "_p").withColumn("_m", F.least(F.min(value).over(inside), F.col("_low")))
+    return made.select(*(F.col("_m").alias(c) if c == value else F.col(c) for c in frame.columns))
+
+
 def ranked_counts(frame: DataFrame, value: str, by: Sequence[str] = (), descending: bool = False, more: dict[str, Column] | None = None) -> DataFrame:
     """by, value, n and ``more`` (aggregates) of each distinct value that isn't null, with how many rows come before it, and all of the group (total).
 
@@ -80,4 +90,4 @@ def ranked_counts(frame: DataFrame, value: str, by: Sequence[str] = (), descendi
     order = F.desc(value) if descending else F.asc(value)
     own = cumulative(counts, [order], {"before": F.col("n"), **{f"before_{k}": F.col(k) for k in more}}, by)
     totals = own.groupBy(*by).agg(F.sum("n").alias("total"), *(F.sum(k).alias(f"total_{k}") for k in more))
-    return own.join(F.broadcast(totals), list(by)) if by else own.crossJoin(F.broadcast(totals))
+    return own.join(totals, list(by)) if by else own.crossJoin(F.broadcast(totals))

@@ -24,14 +24,46 @@ def in_segment() -> WindowSpec:
     return Window.partitionBy("src", "seg_id").orderBy("pos")
 
 
-def gap_segments(samples: DataFrame, gap: float) -> DataFrame:
-    """Adds dt (seconds since the sample before), seg_id (from 0; a new one where dt > gap), pos (from 0) and n (samples of the segment)."""
-    w = stream()
+def gap_segments(samples: DataFrame, gap: float, part: float | None = None) -> DataFrame:
+    """Adds dt (seconds since the sample before), seg_id (from 0; a new one where dt > gap), pos (from 0) and n (samples of the segment).
+
+    A stream is cut into parts of ``part`` seconds (a thousand gaps, if none is given), which are sorted and numbered
+    on their own, so that a busy stream, and a segment without end, span as many tasks as they have parts. What
+    crosses the borders is a row a part: its first and last time, its samples, where its first and last segment
+    begins. Samples without a time are a part of their own, the stream's first.
+    """
+    width = (gap * 1000 if part is None else part) * 1e6
     us = micros("ts")
-    own = samples.withColumn("dt", (us - F.lag(us).over(w)) / 1e6)
-    own = own.withColumn("seg_id", F.sum(F.when(F.col("dt") > gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = Window.partitionBy("src", "seg_id")
-    return own.withColumn("pos", (F.row_number().over(s.orderBy(*BY_TIME)) - 1).cast("long")).withColumn("n", F.count("*").over(s))
+    own = samples.withColumn("_part", F.coalesce(F.floor(us / width), F.lit(-(1 << 62))))
+    w = Window.partitionBy("src", "_part").orderBy(*BY_TIME)
+    own = own.withColumn("_us", us).withColumn("_before", F.lag("_us").over(w)).withColumn("_at", F.row_number().over(w).cast("long") - 1)
+    step = F.col("_us") - F.col("_before")
+    parts = own.groupBy("src", "_part").agg(
+        F.count("*").alias("_size"), F.min("_us").alias("_from"), F.max("_us").alias("_to"), F.count_if(step > gap * 1e6).alias("_gaps"),
+        F.min(F.when(step > gap * 1e6, F.col("_at"))).alias("_first"), F.max(F.when(step > gap * 1e6, F.col("_at"))).alias("_last"),
+    )
+    s = Window.partitionBy("src").orderBy("_part")
+    earlier, later = s.rowsBetween(Window.unboundedPreceding, -1), s.rowsBetween(1, Window.unboundedFollowing)
+    parts = parts.withColumn("_carried", F.lag("_to").over(s))
+    opens = (F.col("_from") - F.col("_carried")) > gap * 1e6  # the part's first sample begins a segment
+    parts = parts.withColumn("_opens", F.coalesce(opens, F.lit(False)))
+    parts = parts.withColumn("_rows", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    first = F.when(F.col("_opens"), F.col("_rows")).otherwise(F.col("_rows") + F.col("_first"))
+    last = F.when(F.col("_last").isNotNull(), F.col("_rows") + F.col("_last")).when(F.col("_opens"), F.col("_rows"))
+    parts = parts.withColumns({"_start": first, "_end": last, "_new": F.col("_gaps") + F.col("_opens").cast("long")})
+    parts = parts.select(
+        "src", "_part", "_carried", "_opens", "_rows", F.coalesce(F.sum("_new").over(earlier), F.lit(0)).alias("_seg"), F.coalesce(F.last("_end", True).over(earlier), F.lit(0)).alias("_open_at"),
+        F.coalesce(F.first("_start", True).over(later), F.sum("_size").over(Window.partitionBy("src"))).alias("_next"),
+    )
+    both = own.join(parts, ["src", "_part"])
+    before = F.when(F.col("_at") == 0, F.col("_carried")).otherwise(F.col("_before"))
+    begins = F.when(F.col("_at") == 0, F.col("_opens")).otherwise(F.coalesce(step > gap * 1e6, F.lit(False)))
+    both = both.withColumn("dt", (F.col("_us") - before) / 1e6).withColumn("_begins", begins)
+    at = F.col("_rows") + F.col("_at")
+    start = F.coalesce(F.max(F.when(F.col("_begins"), at)).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open_at"))
+    after = F.coalesce(F.min(F.when(F.col("_begins"), at)).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("_next"))
+    seg = F.col("_seg") + F.sum(F.col("_begins").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return both.select(*samples.columns, "dt", seg.alias("seg_id"), (at - start).alias("pos"), (after - start).alias("n"))
 
 
 def segment_table(segments: DataFrame, channel: str = "ch0") -> DataFrame:

@@ -7,21 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions import average_rank, ratio
-from gapwise.operators.order import ranked_counts
+from gapwise.operators.order import ranked_counts, running_min
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
-    """Adds q: p adjusted for the false discovery rate; null p stay null. A table of tests, not of data."""
-    own = tests.filter(F.col(p).isNotNull())
-    m = F.count("*").over(Window.partitionBy())
-    i = F.row_number().over(Window.orderBy(p))
-    own = own.withColumn("_q", F.col(p) * m / i)
-    own = own.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(Window.orderBy(F.desc(p))))).drop("_q")  # ties alike
-    return own.unionByName(tests.filter(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    """Adds q: p adjusted for the false discovery rate; null p stay null.
+
+    Distinct p are ranked over ranges, and the least of those from each p up is carried from range to range.
+    """
+    counts = ranked_counts(tests, p)
+    own = counts.withColumn("_q", F.col(p) * F.col("total") / (F.col("before") + F.col("n")))
+    least = running_min(own.select(p, "_q"), [F.desc(p)], "_q")
+    return tests.join(least.withColumn("_q", F.least(F.lit(1.0), F.col("_q"))), p, "left").select(*tests.columns, F.col("_q").alias("q"))
 
 
 def ranked(frame: DataFrame, value: str, *by: str) -> DataFrame:
@@ -66,24 +67,6 @@ def _rho(a: str, b: str) -> Column:
     return F.when((F.max(a) > F.min(a)) & (F.max(b) > F.min(b)), ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
-def mann_kendall(series: DataFrame, by: str, t: str, value: str) -> DataFrame:
-    """S, variance with ties, Z and n of short series (pairs are made within each, so for segment tables only)."""
-    a = series.select(F.col(by), F.col(t).alias("ta"), F.col(value).alias("xa"))
-    b = series.select(F.col(by), F.col(t).alias("tb"), F.col(value).alias("xb"))
-    s = a.join(b, by).filter("ta < tb").groupBy(by).agg(F.sum(F.signum(F.col("xb") - F.col("xa"))).alias("s"))
-    ties = series.groupBy(by, value).agg(F.count("*").alias("k")).groupBy(by).agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1) * (2 * F.col("k") + 5)).alias("tie"))
-    n = F.col("n")
-    own = ties.join(s, by).withColumn("var", (n * (n - 1) * (2 * n + 5) - F.col("tie")) / 18.0)
-    return own.select(by, "n", "s", "var", F.when(F.col("var") > 0, (F.col("s") - F.signum("s")) / F.sqrt("var")).alias("z"))
-
-
-def theil_sen(series: DataFrame, by: str, t: str, value: str) -> DataFrame:
-    """Median slope over pairs of points of short series."""
-    a = series.select(F.col(by), F.col(t).alias("ta"), F.col(value).alias("xa"))
-    b = series.select(F.col(by), F.col(t).alias("tb"), F.col(value).alias("xb"))
-    return a.join(b, by).filter("ta < tb").groupBy(by).agg(F.median((F.col("xb") - F.col("xa")) / (F.col("tb") - F.col("ta"))).alias("slope"))
-
-
 def ks_statistic(frame: DataFrame, value: str, group: str, *by: str) -> DataFrame:
     """Largest distance of the distribution functions of groups 0 and 1, over counts by distinct value."""
     counts = ranked_counts(frame, value, by, more={"a": F.count_if(F.col(group) == 0), "b": F.count_if(F.col(group) == 1)})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.functions import micros, ratio
-from gapwise.operators import explain, models, stats, warning
+from gapwise.operators import explain, models, pairs, stats, warning
 from gapwise.operators.order import quantiles
 from gapwise.plans.base import KEYS, SEGMENTS, segment_keys, segments
 from gapwise.plans.registry import Tables, query
@@ -131,12 +131,12 @@ u AS (SELECT src, sum(c) AS n, sum(c * (c - 1) * (2 * c + 5)) AS tie FROM (SELEC
 SELECT src, CAST(n AS BIGINT) AS n, CAST(s AS DOUBLE) AS s, round(var, 4) AS var, round(CASE WHEN var > 0 THEN (s - sign(s)) / sqrt(var) END, 4) AS z FROM v""")
 def mann_kendall(t: Tables) -> DataFrame:
     own = segment_keys(t).withColumn("v", F.round("mean0", 3))
-    return stats.mann_kendall(own, "src", "seg_id", "v").select("src", "n", F.col("s").cast("double").alias("s"), R("var").alias("var"), R("z").alias("z"))
+    return pairs.mann_kendall(own, "src", "seg_id", "v").filter("n > 1").select("src", "n", F.col("s").cast("double").alias("s"), R("var").alias("var"), R("z").alias("z"))
 
 
 @query(f"""WITH {KEYS} SELECT a.src, round(median((b.mean0 - a.mean0) / (b.seg_id - a.seg_id)), 4) AS slope FROM k a JOIN k b ON a.src = b.src AND a.seg_id < b.seg_id GROUP BY 1""")
 def theil_sen(t: Tables) -> DataFrame:
-    return stats.theil_sen(segment_keys(t), "src", "seg_id", "mean0").select("src", R("slope").alias("slope"))
+    return pairs.theil_sen(segment_keys(t), "src", "seg_id", "mean0").filter("slope is not null").select("src", R("slope").alias("slope"))
 
 
 @query("""WITH c AS (SELECT l_shipmode_proxy AS g, l_extendedprice AS v, count(*) FILTER (WHERE y = 0) AS a, count(*) FILTER (WHERE y = 1) AS b FROM (SELECT l_linestatus AS l_shipmode_proxy, l_extendedprice, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem) GROUP BY 1, 2),
