@@ -112,7 +112,8 @@ def blocks(items: DataFrame, least: float, n: int, most: int, id_column: str = "
 
     def each() -> Iterator[Broadcast]:
         for b in range(k):
-            rows = own.filter(F.pmod(F.xxhash64("item", "shingles"), F.lit(k)) == b).collect()
+            # by the identifier alone, so that repeated items are searched together
+            rows = own.filter(F.pmod(F.xxhash64("item"), F.lit(k)) == b).collect()
             made = Sketches([r["item"] for r in rows], [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows], least)
             shared = items.sparkSession.sparkContext.broadcast(made)
             yield shared
