@@ -25,7 +25,7 @@ from gapwise.llm.graph import components
 
 _TAG = re.compile(r"<(tool_call|tool_response|tools)>(.*?)</\1>", re.S)
 _PARSED = (
-    "content string, calls array<struct<id:string,name:string,arguments:string,ok:boolean,needs:array<string>>>, "
+    "content string, rest string, calls array<struct<id:string,name:string,arguments:string,ok:boolean,needs:array<string>,rest:string>>, "
     "results array<string>, tools array<struct<name:string,schema:string>>"
 )
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -101,19 +101,44 @@ def _name(x: Any) -> str | None:
     return x if x is None or isinstance(x, str) else canonical(x)
 
 
+def _rest(x: dict, *known: str) -> dict:
+    """The fields that aren't among those that have a place of their own."""
+    return {k: v for k, v in x.items() if k not in known}
+
+
 def _call(x: Any) -> dict:
     if not isinstance(x, dict):  # kept as it is
-        return {"id": None, "name": None, "arguments": canonical(x), "ok": False, "needs": []}
+        return {"id": None, "name": None, "arguments": canonical(x), "ok": False, "needs": [], "rest": None}
     inner = x["function"] if isinstance(x.get("function"), dict) else x
     raw = inner.get("arguments", {})
     args = _load(raw) if isinstance(raw, str) else raw
+    rest = _rest(x, "id", "function") | {"function": _rest(inner, "name", "arguments")} if inner is not x else _rest(x, "id", "name", "arguments")
+    rest = {k: v for k, v in rest.items() if k != "function" or v}
     # an identifier that is missing links to nothing; text that isn't JSON stays as it is
     return {
         "id": _name(x.get("id")), "name": _name(inner.get("name")), "arguments": raw if args is None and isinstance(raw, str) else canonical(args),
-        "ok": isinstance(args, dict), "needs": sorted(set(_needs(args))),
+        "ok": isinstance(args, dict), "needs": sorted(set(_needs(args))), "rest": canonical(rest) if rest else None,
     }
 
 
+def _with_rest(x: dict, rest: str | None) -> dict:
+    """``x`` with more fields; one that has a name of x's own is kept with an underscore before it."""
+    for k, v in (json.loads(rest) if rest else {}).items():
+        while k in x:
+            k = f"_{k}"
+        x[k] = v
+    return x
+
+
+def _written(c: dict) -> dict:
+    """A call in its canonical form, with all of its fields."""
+    rest = json.loads(c["rest"]) if c["rest"] else {}
+    inner = rest.pop("function", None) if isinstance(rest.get("function"), dict) else None
+    function = _with_rest({"name": c["name"], "arguments": c["arguments"]}, canonical(inner) if inner else None)
+    kind = rest.pop("type", "function")
+    return _with_rest({"id": c["id"], "type": kind, "function": function}, canonical(rest))
+
+
 def _tool(x: Any) -> dict | None:
     inner = x.get("function", x) if isinstance(x, dict) else None
     if not isinstance(inner, dict) or inner.get("name") is None:
@@ -122,27 +147,35 @@ def _tool(x: Any) -> dict | None:
 
 
 def parse(text: str | None) -> dict:
-    """content without what is parsed from it, calls, ids of results, tools."""
-    out: dict[str, Any] = {"content": text, "calls": [], "results": [], "tools": []}
+    """content without what is parsed from it, rest (JSON of fields that have no place of their own), calls, ids of results, tools."""
+    out: dict[str, Any] = {"content": text, "rest": None, "calls": [], "results": [], "tools": []}
     if not text:
         return out
     if text.lstrip()[:1] == "{" and isinstance(x := _load(text), dict):
         if isinstance(x.get("tool_calls"), list):
             out["calls"] = [_call(y) for y in x["tool_calls"]]
-            out["content"] = x.get("content") if isinstance(x.get("content"), str) else None
+            content, rest = x.get("content"), _rest(x, "tool_calls", "content")
+            out["content"] = content if content is None or isinstance(content, str) else canonical(content)
+            out["rest"] = canonical(rest) if rest else None
         elif x.get("tool_call_id") is not None:
             out["results"] = [_name(x["tool_call_id"])]
             out["content"] = x["content"] if isinstance(x.get("content"), str) else canonical(x.get("content"))
+            rest = _rest(x, "tool_call_id", "content")
+            out["rest"] = canonical(rest) if rest else None
         elif isinstance(x.get("tools"), list):
             out["tools"] = [c for y in x["tools"] if (c := _tool(y))]
         return out
 
+    answers: list[dict] = []
+
     def take(m: re.Match) -> str:
         x = _load(m[2])
-        if m[1] == "tool_call" and (c := _call(x))["name"] is not None:
-            out["calls"].append(c)
+        if m[1] == "tool_call" and isinstance(x, dict):
+            out["calls"].append(_call(x))
         elif m[1] == "tool_response" and isinstance(x, dict) and x.get("tool_call_id") is not None:
             out["results"].append(_name(x["tool_call_id"]))
+            if rest := _rest(x, "content", "tool_call_id"):
+                answers.append({"tool_call_id": x["tool_call_id"]} | rest)
             return x["content"] if isinstance(x.get("content"), str) else canonical(x.get("content"))
         elif m[1] == "tools" and isinstance(x, list):
             out["tools"] += [c for y in x if (c := _tool(y))]
@@ -152,6 +185,7 @@ def parse(text: str | None) -> dict:
 
     if "<tool" in text:
         out["content"] = _TAG.sub(take, text)
+        out["rest"] = canonical({"tool_responses": answers}) if answers else None
     return out
 
 
@@ -377,6 +411,10 @@ def format_chat(conversations: DataFrame, most: int = 1_000_000) -> DataFrame:
     orphan-result, unknown-tool, invalid-arguments (text that isn't JSON is kept as it is), cycle. A tool without a
     schema in its conversation is unknown only if the conversation has schemas.
 
+    Fields of messages, calls and results that have no place of their own are kept in the message (where the name is
+    taken, with an underscore before it); content that isn't text is written as JSON; of results in tags they are
+    listed as tool_responses. A tag that holds an object is a call with a name or without.
+
     JSON with numbers that aren't finite (NaN, 1e999) or nested deeper than 200 isn't JSON here; halves of surrogate
     pairs become U+FFFD; keywords of a schema with values of a wrong type say nothing. Null texts have null content,
     empty ones empty, and texts of any length are read whole; a null conv_id is a conversation of its own; a null turn
@@ -428,15 +466,15 @@ def format_chat(conversations: DataFrame, most: int = 1_000_000) -> DataFrame:
     lists = F.concat(F.coalesce("problems", none), *marks)
     moved = F.when(F.col("at.turn") == -(2**62), None).otherwise(F.col("at.turn")).cast("long")
 
-    def write(role: str | None, content: str | None, calls: list[dict], results: list[str]) -> dict:
+    def write(role: str | None, content: str | None, rest: str | None, calls: list[dict], results: list[str]) -> dict:
         message: dict[str, Any] = {"role": role, "content": content}
         if calls:
-            message["tool_calls"] = [{"id": c["id"], "type": "function", "function": {"name": c["name"], "arguments": c["arguments"]}} for c in calls]
+            message["tool_calls"] = [_written(c) for c in calls]
         if results:
             message["tool_call_id"] = results[0] if len(results) == 1 else results
-        return {"message": canonical(message)}
+        return {"message": canonical(_with_rest(message, rest))}
 
     out = out.select("conv_id", "turn", "role", F.when(F.col("at").isNull(), F.col("turn").cast("long")).otherwise(moved).alias("order_turn"), F.coalesce("at.step", F.lit(0)).alias("order_step"),
         F.size("calls").cast("long").alias("n_calls"), F.size("results").cast("long").alias("n_results"), F.coalesce("n_linked", zero).alias("n_linked"), F.coalesce("n_invalid", zero).alias("n_invalid"),
-        F.array_join(F.array_sort(lists), ",").alias("problems"), "content", "calls", "results")
-    return _mapped(out, ["role", "content", "calls", "results"], write, "message string").drop("content", "calls", "results")
+        F.array_join(F.array_sort(lists), ",").alias("problems"), "content", "rest", "calls", "results")
+    return _mapped(out, ["role", "content", "rest", "calls", "results"], write, "message string").drop("content", "rest", "calls", "results")
