@@ -57,7 +57,7 @@ _WITH_DIGITS = re.compile(
     r"|(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w))"
 )
-_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")
+_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[^\W_](?:[^\W_]|-){0,62}\.){1,8}(?:[^\W\d_]{2,24}|xn--[A-Za-z0-9-]{2,59})(?![\w-])")
 _QUOTED = re.compile(r"""(?i:\b(?:token|secret|password|passwd|api_?key)["']?\s{0,4}[=:]\s{0,4}["'])([^"'\s]{8,200})["']""")
 _WORD = r"[^\W\d_]{2,40}(?:-[^\W\d_]{2,40})*"
 _NAME = re.compile(r"(?<!\w)(" + "|".join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True)) + rf") ({_WORD})(?: ({_WORD}))?(?!\w)")
@@ -68,6 +68,10 @@ _TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54
 _NETWORKS = [ipaddress.ip_network(x) for x in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "224.0.0.0/4", "240.0.0.0/4", "0.0.0.0/8")]
 
 
+#: The attempt of entities whose format is crowded.
+ALONE = -1
+
+
 def _hash(key: bytes, *parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=key, digest_size=32).digest(), "big")
 
@@ -84,16 +88,55 @@ def permuted(value: int, size: int, key: bytes, *tweak: object) -> int:
             return value
 
 
-def _digits(text: str, key: bytes, *tweak: object, alike: Callable[[str], object] = len) -> str:
+def unpermuted(value: int, size: int, key: bytes, *tweak: object) -> int:
+    """The number that permuted() takes there."""
+    side = math.isqrt(size - 1) + 1
+    while True:
+        a, b = divmod(value, side)
+        for r in reversed(range(8)):
+            a, b = (b - _hash(key, r, a, *tweak)) % side, a
+        value = a * side + b
+        if value < size:
+            return value
+
+
+def moved(value: int, size: int, key: bytes, attempt: int, *tweak: object) -> int:
+    """The number of an attempt: a keyed permutation each; that of ALONE leaves none where it is, as it turns all numbers in one circle."""
+    if attempt != ALONE:
+        return permuted(value, size, key, *tweak, attempt)
+    step = 1 + _hash(key, "step", size, *tweak) % max(1, size - 1)
+    while math.gcd(step, size) > 1:
+        step += 1
+    return unpermuted((permuted(value, size, key, *tweak) + step) % size, size, key, *tweak)
+
+
+def _digits(text: str, key: bytes, attempt: int, *tweak: object, alike: Callable[[str], object] = len) -> str:
     """The digits permuted among those of their length that are ``alike``."""
     out = text
     while text:
-        out = str(permuted(int(out), 10 ** len(text), key, len(text), *tweak)).zfill(len(text))
+        out = str(moved(int(out), 10 ** len(text), key, attempt, len(text), *tweak)).zfill(len(text))
         if alike(out) == alike(text):
             return out
     return out
 
 
+def space(kind: str, canon: str) -> tuple[str, int] | None:
+    """The values that an entity's surrogate is among, by name, and how many there are at least; null where they have no bound."""
+    if kind == "ip":
+        net = _network(int(ipaddress.ip_address(canon)))
+        return (str(net[0]), net[1]) if net else ("public", 1 << 31)
+    if kind == "ssn":
+        return "", 10 ** len(canon)
+    if kind == "card":
+        return f"{canon[0]} {len(canon)}", 10 ** (len(canon) - 2)
+    if kind == "phone":
+        return f"{len(canon)} {_dialled(canon)}", max(1, 10 ** len(canon) // 10)
+    if kind == "iban":
+        shape = "".join("0" if c.isdigit() else c for c in canon[4:])
+        return f"{canon[:2]} {shape}", 10 ** shape.count("0")
+    return None
+
+
 def _dialled(digits: str) -> object:
     """The class of a national number: of ten digits, whether area and exchange begin with 2 to 9; else whether it begins with 0."""
     return digits[0] in "01" or digits[3] in "01" if len(digits) == 10 else digits[0] == "0"
@@ -161,22 +204,22 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     if kind == "ip":
         n, net = int(ipaddress.ip_address(canon)), _network(int(ipaddress.ip_address(canon)))
         if net:
-            return str(ipaddress.ip_address(net[0] + permuted(n - net[0], net[1], key, "ip", net[0], attempt)))
+            return str(ipaddress.ip_address(net[0] + moved(n - net[0], net[1], key, attempt, "ip", net[0])))
         while True:
-            n = permuted(n, 1 << 32, key, "ip", attempt)
+            n = moved(n, 1 << 32, key, attempt, "ip")
             if _network(n) is None:
                 return str(ipaddress.ip_address(n))
     if kind == "ssn":
-        return _digits(canon, key, "ssn", attempt)
+        return _digits(canon, key, attempt, "ssn")
     if kind == "card":
-        middle = _digits(canon[1:-1], key, "card", canon[0], attempt)
+        middle = _digits(canon[1:-1], key, attempt, "card", canon[0])
         return canon[0] + middle + str((_luhn(canon[0] + middle) + int(canon[-1]) - _luhn(canon[:-1])) % 10)
     if kind == "phone":
-        return _digits(canon, key, "phone", attempt, alike=_dialled)
+        return _digits(canon, key, attempt, "phone", alike=_dialled)
     if kind == "iban":
         country, rest = canon[:2], canon[4:]
         own = "".join(c for c in rest if c.isdigit())
-        new = iter(_digits(own, key, "iban", country, attempt))
+        new = iter(_digits(own, key, attempt, "iban", country))
         rest = "".join(next(new) if c.isdigit() else c for c in rest)
         return country + _iban_check(country, rest) + rest
     seed = _hash(key, kind, canon, attempt)
@@ -307,8 +350,14 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select("text").transform(in_arrow, emit, "kind string, canon string").distinct()
 
 
-def retried(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
-    """kind, canon, attempt of the entities whose first surrogate is another's surrogate or another's value."""
+def retried(docs: DataFrame, key: bytes) -> DataFrame:
+    """kind, canon, attempt of the entities whose first surrogate is another's surrogate or another's value.
+
+    Where over two fifths of all values of a kind and format are in the documents (the addresses of a private network
+    may all be), all of these take the attempt ALONE: distinct by construction, none its own value, but some the value
+    of another entity, which can't be helped there. Elsewhere a fifth of all values at least are
+    free to the last entity of each round, so that rounds end; there are as many as it takes.
+    """
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,18 +367,26 @@ def retried(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
                 new.append(_stem(x + SURNAMES[script_of(c)]["m"]) if k == "surname" else x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "canon", "attempt", "new"])
 
-    own = checkpoint(distinct_entities(docs).withColumn("attempt", F.lit(0)))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [space(k, c) or (None, 0) for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([min(n, 1 << 62) for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "canon", "space", "room"])
+
+    every = checkpoint(distinct_entities(docs).transform(in_arrow, place, "kind string, canon string, space string, room long"))
+    full = every.filter("space is not null").groupBy("kind", "space").agg(F.count("*").alias("n"), F.max("room").alias("room")).filter("n > 0.4 * room").select("kind", "space")
+    crowded = checkpoint(every.join(full, ["kind", "space"], "left_semi").select("kind", "canon", F.lit(ALONE).alias("attempt")))
+    own = checkpoint(every.join(full, ["kind", "space"], "left_anti").select("kind", "canon", F.lit(0).alias("attempt")))
     values = own.select("kind", F.col("canon").alias("new"))
-    for _ in range(rounds):
+    while True:
         given = checkpoint(own.transform(in_arrow, give, "kind string, canon string, attempt int, new string"))
         owner = given.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
         taken = given.join(owner, ["kind", "new"]).filter(F.struct("attempt", "canon") != F.col("owner")).select("kind", "canon")
         taken = checkpoint(taken.unionByName(given.join(values, ["kind", "new"], "left_semi").select("kind", "canon")).distinct())
         if taken.isEmpty():
-            return own.filter("attempt > 0")
+            return own.filter("attempt > 0").unionByName(crowded)
         own = own.join(taken.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
         own = checkpoint(own)
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, most: int = 200_000) -> DataFrame:
