@@ -281,6 +281,25 @@ def tree_samples(rows: DataFrame, columns: list[str], keys: list[str], trees: in
     return own.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= sample).select(F.col("_d.tree").alias("tree"), *columns)
 
 
+def path_lengths(x: np.ndarray, column: np.ndarray, cut: np.ndarray, child: np.ndarray, length: np.ndarray, roots: np.ndarray, depth: int, block: int = 128) -> np.ndarray:
+    """Sum over all trees of the path of each row of x (columns, rows); a block of rows goes down all trees side by side."""
+    total = np.zeros(x.shape[1])
+    for start in range(0, x.shape[1], block):
+        part = np.ascontiguousarray(x[:, start : start + block])
+        n = part.shape[1]
+        flat, row = part.ravel(), np.arange(n, dtype=np.int32)
+        at = np.repeat(roots[:, None], n, axis=1)
+        for _ in range(depth):
+            place = column.take(at)
+            place *= np.int32(n)
+            place += row
+            right = flat.take(place) >= cut.take(at)
+            at = child.take(at)
+            at += right
+        total[start : start + n] = length.take(at).sum(axis=0)
+    return total
+
+
 def isolation_forest(frame: DataFrame, train: Column, columns: list[str], trees: int = 300, sample: int = 256, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
     """Isolation forest: each tree is fitted on its own sample of training rows, as the method says; all rows are scored.
 
@@ -310,37 +329,38 @@ def isolation_forest(frame: DataFrame, train: Column, columns: list[str], trees:
     for x in samples:
         forest.append(grow(x, max(1, math.ceil(math.log2(max(size, 2))))))
 
-    def flat(tree) -> tuple[np.ndarray, ...]:
-        """Column, cut, first child (its brother follows) and length of path of each node; a leaf is its own child."""
-        nodes, todo = [], [(tree, 0)]
-        while todo:
+    # all trees in one table of nodes; a leaf is its own child, and no value reaches its cut
+    column, cut, child, length, roots = [], [], [], [], []
+    for tree in forest:
+        first = len(column)
+        roots.append(first)
+        todo = [(tree, 0)]
+        while todo:  # level by level, so that children follow in the order of their parents
             after = []
             for node, depth in todo:
                 if isinstance(node, tuple):
-                    nodes.append((node[0], node[1], 0, 0.0))
+                    child.append(-1)
+                    column.append(node[0])
+                    cut.append(node[1])
+                    length.append(0.0)
                     after += [(node[2], depth + 1), (node[3], depth + 1)]
                 else:
-                    nodes.append((-1, 0.0, 0, depth + node))
+                    child.append(len(child))
+                    column.append(0)
+                    cut.append(math.inf)
+                    length.append(depth + node)
             todo = after
-        column, cut, child, length = (np.array(z) for z in zip(*nodes, strict=True))
-        inner = np.flatnonzero(column >= 0)
-        child = np.arange(len(nodes))
-        child[inner] = 1 + 2 * np.arange(len(inner))  # level by level, so children follow in the order of their parents
-        return column, cut, child, length
-
-    trees_flat = [flat(tree) for tree in forest]
-    depth = max(1, math.ceil(math.log2(max(size, 2))))
+        following = first + 1
+        for k in range(first, len(child)):
+            if child[k] < 0:
+                child[k] = following
+                following += 2
+    nodes = [np.array(z, k) for z, k in ((column, np.int32), (cut, float), (child, np.int32), (length, float), (roots, np.int32))]
+    deepest, scale = max(1, math.ceil(math.log2(max(size, 2)))), max(len(forest), 1) * max(harmonic(size), 1e-9)
 
     def score(*values: pd.Series) -> pd.Series:
-        x = np.column_stack([v.to_numpy(float) for v in values])
-        total = np.zeros(len(x))
-        for column, cut, child, length in trees_flat:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(depth):
-                c = column[at]
-                at = np.where(c < 0, at, child[at] + (x[np.arange(len(x)), np.maximum(c, 0)] >= cut[at]))
-            total += length[at]
-        return pd.Series(2 ** (-total / max(len(trees_flat), 1) / max(harmonic(size), 1e-9)))
+        own = np.stack([v.to_numpy(float) for v in values])
+        return pd.Series(2 ** (-path_lengths(own, *nodes, deepest) / scale))
 
     return frame.withColumn("score", F.pandas_udf(score, "double")(*columns))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions import average_rank, ratio
+from gapwise.functions.storage import checkpoint
 from gapwise.operators.order import ranked_counts, running_min
 
 
@@ -54,9 +55,13 @@ def two_sample(frame: DataFrame, value: str, group: str, *by: str) -> DataFrame:
 def correlation_pairs(frame: DataFrame, columns: list[str], method: str = "pearson", *by: str) -> DataFrame:
     """a, b, rho of each unordered pair of columns, in one pass over (ranks of) the rows."""
     if method == "spearman":
+        frame = frame.withColumns({c: F.col(c).cast("double") for c in columns})
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in columns)))
+        counts = ranked_counts(frame.select(*by, each.alias("_z")).select(*by, "_z.*"), "_v", [*by, "_c"])
+        ranks = checkpoint(counts.select(*by, "_c", "_v", average_rank(F.col("before") + 1, F.col("n")).alias("_r")))  # of all columns at once
         for c in columns:
-            rank = ranked_counts(frame, c, by).select(*by, c, average_rank(F.col("before") + 1, F.col("n")).alias("_r"))
-            frame = frame.join(rank, [*by, c]).drop(c).withColumnRenamed("_r", c)
+            own = ranks.filter(F.col("_c") == c).select(*by, F.col("_v").alias(c), "_r")
+            frame = frame.join(own, [*by, c]).drop(c).withColumnRenamed("_r", c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     made = frame.groupBy(*by).agg(*(_rho(a, b).alias(f"{a}|{b}") for a, b in pairs))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs))
