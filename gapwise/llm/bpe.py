@@ -36,8 +36,8 @@ RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 LAST = 0x1000
 #: Marks special tokens among words, which have no such character.
 SPECIAL = "\x00"
-#: Ids that a task keeps of runs and words before it starts anew.
-MOST_KEPT = 4_000_000
+#: Words and runs that a worker keeps, and ids of either, before it forgets them.
+MOST_WORDS, MOST_RUNS, MOST_IDS = 500_000, 700_000, 4_000_000
 NEVER = np.iinfo(np.int64).max
 #: Symbols up to which words are proposed side by side, and merged by looking at all their pairs.
 SHORT = 48
@@ -271,6 +271,9 @@ class Lists:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
 
+    def over(self, most: int, most_ids: int) -> bool:
+        return len(self.index) > most or len(self.flat) > most_ids
+
     def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists at these places one after another, and where each ends."""
         sizes = self.sizes[places]
@@ -281,8 +284,8 @@ class Lists:
 class Encoder:
     """Encodes texts with a vocabulary, and keeps what it made of words and of runs without white space."""
 
-    def __init__(self, vocab: Vocabulary, most: int = MOST_KEPT):
-        self.vocab, self.most = vocab, most
+    def __init__(self, vocab: Vocabulary, most_words: int = MOST_WORDS, most_runs: int = MOST_RUNS, most_ids: int = MOST_IDS):
+        self.vocab, self.most_words, self.most_runs, self.most_ids = vocab, most_words, most_runs, most_ids
         rules = Tokenizer.from_str(vocab.rules)
         self.normalised, self.cut = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         declared = json.loads(vocab.rules)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -293,6 +296,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        """Starts with special tokens only."""
         self.words, self.runs = Lists(), Lists()
         special = self.vocab.special
         self.words.add([SPECIAL + name for name in special], np.array(list(special.values())), np.ones(len(special), np.int64))
@@ -329,8 +333,10 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin."""
-        if len(self.runs.flat) + len(self.words.flat) > self.most:
+        if self.words.over(self.most_words, self.most_ids):
             self.forget()
+        if self.runs.over(self.most_runs, self.most_ids):  # made again from words without much work
+            self.runs = Lists()
         found = [RUN.findall(t) if t else [] for t in texts]
         n = np.array([len(x) for x in found], np.int64)
         runs = list(itertools.chain.from_iterable(found))
@@ -349,26 +355,42 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(Vocabulary(f.read()))  # a few MB, by the file
 
 
-def encoded(docs: DataFrame, vocab: Broadcast, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` (or the columns ``keep`` of it) with a column of token ids, an array of int.
+def joined_names(names: pa.Array, ids: pa.Array) -> pa.Array:
+    """The text of each list of ids: names joined by a space, without null ids and ids that have no name."""
+    n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten()
+    good = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names)))
+    taken = names.take(pc.if_else(good, flat, pa.scalar(None, flat.type)))
+    before = np.concatenate([[0], np.cumsum(taken.is_valid().to_numpy(zero_copy_only=False))])
+    offsets = before[np.concatenate([[0], np.cumsum(n)])]
+    words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken.drop_null().cast(pa.large_string()))
+    return pc.binary_join(words, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def encoded(docs: DataFrame, vocab: Broadcast, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """``docs`` (or the columns ``keep`` of it) with a column of token ids, an array of int; with ``decoded``, and one of the texts that these decode to, from the same pass.
 
     Null and empty texts have no ids; texts of any length count whole; the strings of special tokens become their ids
     and none are added; repeated rows are encoded each; an empty table gives an empty result. A column that has the
-    name of the ids is replaced; columns of other names stay.
+    name of one that is added is replaced; columns of other names stay.
     """
-    own = without(docs, ids) if ids.lower() != text.lower() else docs
-    kept = [c for c in (own.columns if keep is None else keep) if c.lower() != ids.lower()]
+    added = [c for c in (ids, decoded) if c]
+    own = without(docs, *(c for c in added if c.lower() != text.lower()))
+    kept = [c for c in (own.columns if keep is None else keep) if c.lower() not in {a.lower() for a in added}]
     own = own.select(*(f"`{c}`" for c in kept), f"`{text}`")
-    schema = T.StructType([*own.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    kinds = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*own.schema.fields[:-1], *kinds])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocab.value.encoder()
+        names = pa.array(vocab.value.names, pa.string()) if decoded else None
         for batch in batches:
             bodies = batch.column(len(kept)).to_pylist()
             for part in chunks([len(x or "") for x in bodies]):
                 flat, offsets = encoder.encode(bodies[part])
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(kept))), column], names=schema.names)
+                more = [joined_names(names, column)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(kept))), column, *more], names=schema.names)
 
     return own.transform(in_arrow, encode, schema)
 
@@ -382,20 +404,11 @@ def decoded(rows: DataFrame, vocab: Broadcast, ids: str = "ids", text: str = "de
     own = without(rows, text)
     at = own.columns.index(ids)
     schema = T.StructType([*own.schema.fields, T.StructField(text, T.StringType())])
+    shared = rows.sparkSession.sparkContext.broadcast(vocab.value.names)  # without what encoding needs
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(vocab.value.names, pa.string())
+        names = pa.array(shared.value, pa.string())
         for batch in batches:
-            column = batch.column(at)
-            n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = column.flatten()
-            good = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names)))
-            taken = names.take(pc.if_else(good, flat, pa.scalar(None, flat.type)))
-            there = taken.is_valid().to_numpy(zero_copy_only=False)
-            before = np.concatenate([[0], np.cumsum(there)])
-            offsets = before[np.concatenate([[0], np.cumsum(n)])]
-            words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken.drop_null().cast(pa.large_string()))
-            joined = pc.binary_join(words, pa.scalar(" ", pa.large_string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined.cast(pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined_names(names, batch.column(at))], names=schema.names)
 
     return own.transform(in_arrow, decode, schema)

@@ -65,7 +65,7 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocab = bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
-    own = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), vocab, keep=["doc_id"]), vocab)
+    own = bpe.encoded(table(spark, sf_dir, "documents"), vocab, keep=["doc_id"], decoded="decoded")
     return own.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

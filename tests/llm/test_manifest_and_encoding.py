@@ -151,8 +151,8 @@ def test_encoder_is_the_library(both):
         cases.append("".join(chr(rng.choice([rng.randint(1, 0xD7FF), rng.randint(0xE000, 0x10FFFF), rng.randint(1, 0x2FF)])) for _ in range(rng.randint(0, 20))))
     cases += [s + "<|endoftext|>" + s for s in cases[:300]]
     want = [x.ids for x in library.encode_batch(cases, add_special_tokens=False)]
-    for most in (bpe.MOST_KEPT, 500):
-        encoder, got = bpe.Encoder(vocab, most), []
+    for most in ((), (500, 1000, 10**6), (10**6, 300, 10**6)):
+        encoder, got = bpe.Encoder(vocab, *most), []
         for i in range(0, len(cases), 100):
             ids, at = encoder.encode(cases[i : i + 100])
             got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -182,6 +182,8 @@ def test_encode_and_decode_rows(spark, both, odd):
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == want and r.decoded == library.decode(want, skip_special_tokens=False)
     assert bpe.decoded(bpe.encoded(odd.limit(0), vocab), vocab).count() == 0
+    at_once = bpe.encoded(odd, vocab, decoded="decoded")
+    assert sorted(map(str, at_once.select(*own.columns).collect())) == sorted(map(str, rows))
     loose = spark.createDataFrame([(1, None), (2, []), (3, [320, None, 10**6, -1, 49407])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decoded(loose, vocab).collect()} == {1: "", 2: "", 3: f"{library.id_to_token(320)} <|endoftext|>"}
 
