@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapwise.functions import guarded_corr, ratio, rms
 from gapwise.operators.evaluate import auc
-from gapwise.operators.order import quantiles
+from gapwise.operators.order import cumulative, quantiles
 from gapwise.operators.segments import in_segment
 
 #: Columns that name a window or tell what it is; no model's input.
@@ -147,8 +147,8 @@ def masked_reconstruction(segments: DataFrame, x: str, masked: Column, method: s
 
 
 def row_deciles(samples: DataFrame, x: str, parts: int = 10) -> DataFrame:
-    """Per stream and part of equal count in time order: rows, mean and RMS of a channel."""
-    w = Window.partitionBy("src")
-    i = F.row_number().over(w.orderBy("ts", "event_id")) - 1
-    own = samples.withColumn("part", F.floor(i * parts / F.count("*").over(w)).cast("int"))
+    """Per stream and part of equal count in time order: rows, mean and RMS of a channel. A busy stream spans many tasks."""
+    own = cumulative(samples.select("src", "ts", "event_id", x), [F.col("ts"), F.col("event_id")], {"_i": F.lit(1)}, ["src"])
+    sizes = samples.groupBy("src").agg(F.count("*").alias("_n"))
+    own = own.join(sizes, "src").withColumn("part", F.floor(F.col("_i") * parts / F.col("_n")).cast("int"))
     return own.groupBy("src", "part").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), rms(x).alias("rms"))

@@ -70,6 +70,18 @@ def cumulative(frame: DataFrame, order: Sequence[Column], sums: dict[str, Column
     return made.select(*frame.columns, *((F.coalesce(F.sum(f"_s_{k}").over(inside), F.lit(0)) + F.col(f"_o_{k}")).alias(k) for k in sums))
 
 
+def lagged(frame: DataFrame, order: Sequence[str], value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``value`` of the row before in ascending ``order`` of the group (null for the first), which must tell rows apart; by ranges, with the last row of each part carried over."""
+    own = checkpoint(frame.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    ends = own.groupBy("_p", *by).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_p")
+    ends = ends.select("_p", *by, F.lag("_end").over(before)["v"].alias("_carried"))  # a row a part, and group
+    inside = Window.partitionBy("_p", *by).orderBy(*order)
+    made = own.join(ends if by else F.broadcast(ends), ["_p", *by])
+    previous = F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag(value).over(inside))
+    return made.select(*frame.columns, previous.alias(name))
+
+
 def running_min(frame: DataFrame, order: Sequence[Column], value: str) -> DataFrame:
     """The frame with ``value`` replaced by the least of it over this row and all earlier ones in ``order``, which must tell rows apart; by ranges, as in cumulative()."""
     own = checkpoint(frame.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))

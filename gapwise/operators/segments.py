@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gapwise.functions import guarded_corr, micros, ratio, rms, shape_stats
+from gapwise.operators.order import cumulative, lagged
 
 BY_TIME = ("ts", "event_id")
 
@@ -129,12 +130,12 @@ def time_profile(samples: DataFrame, gap: float) -> DataFrame:
 
 
 def state_runs(samples: DataFrame, state: str) -> DataFrame:
-    """Run-length encoding of a column along each stream: run (from 0), state, n, start, end."""
-    w = stream()
-    change = F.lag(state).over(w)
-    own = samples.withColumn("_new", F.when(change.isNotNull() & (change != F.col(state)), 1).otherwise(0))
-    own = own.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return own.groupBy("src", "run").agg(F.min(state).alias("state"), F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    """Run-length encoding of a column along each stream: run (from 0), state, n, start, end. A busy stream spans many tasks."""
+    own = lagged(samples.select("src", *BY_TIME, F.col(state).alias("_state")), BY_TIME, "_state", "_before", ["src"])
+    own = own.withColumn("_new", F.when(F.col("_before").isNotNull() & (F.col("_before") != F.col("_state")), 1).otherwise(0))
+    own = cumulative(own, [F.col(c) for c in BY_TIME], {"_earlier": F.col("_new")}, ["src"])
+    runs = own.groupBy("src", (F.col("_earlier") + F.col("_new")).alias("run"))
+    return runs.agg(F.min("_state").alias("state"), F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
 
 
 def bursts(segments: DataFrame) -> DataFrame:
