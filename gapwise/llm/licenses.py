@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.llm.common import in_arrow, texts
+from gapwise.llm.licence_texts import WHOLE
 
 #: Base phrases and their labels (fixed by the contract of the query).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -72,7 +73,12 @@ TEMPLATES = [
 ]
 
 #: Words too general to point at a licence; they are not in the index.
-GENERAL = frozenset("a an and any are as at be by can copy for free from held in into is it made met no of on or person that the this to under use will with without work you your 0 1 2 3 4".split())
+GENERAL = frozenset(
+    "a above action all an and any anyone are as at author authors be being benefit but by can caused charge claim code commercial conditions copies copy data deal display do event files following for form free freely from future "
+    "general goods has held hope how however in included including into is it its large law laws list loss made make may means met more must name names no not notice of on one or org original other our out part person persons "
+    "portions present product products profits program provided public purpose reproduce required rights see sell services shall so software solely source special specific statement strict subject such terms that the theory third "
+    "this to under unless use used useful versions way we which whole will with without work works would written www wrote http https you your 0 1 2 3 4".split()
+)
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -87,7 +93,7 @@ class LicenseIndex:
 
     def __init__(self, templates=TEMPLATES):
         self.labels = [x[0] for x in templates]
-        self.words = [x[1].encode().split() for x in templates]
+        self.words = [words_of(x[1].encode()) for x in templates]
         self.keys = [[k.encode().split() for k in x[2]] for x in templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
@@ -165,7 +171,7 @@ def document_frequency(docs: DataFrame, index: LicenseIndex) -> tuple[int, dict[
     return df.pop(b"", 0), df
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, slack: int = 2, least: float = 0.7) -> DataFrame:
+def license_scan(docs: DataFrame, templates=(*TEMPLATES, *WHOLE), slack: int = 2, least: float = 0.7) -> DataFrame:
     """One row per document: its licence labels, base phrases and best template score.
 
     doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_templates. A null or empty text has

@@ -63,3 +63,21 @@ def test_a_full_network_ends(spark):
 
 def test_addresses_in_other_scripts():
     assert [x[2:4] for x in pii.entities("mail bob@exämple.com, анна@почта.рф or c@xn--bcher-kva.xn--p1ai!")] == [("email", "bob@exämple.com"), ("email", "анна@почта.рф"), ("email", "c@xn--bcher-kva.xn--p1ai")]
+
+
+def test_whole_licences_and_their_versions(spark):
+    """Each whole text in a longer file, with its punctuation and some words lost, gives its own label and no other version's."""
+    from gapwise.llm import licenses
+    from gapwise.llm.licence_texts import WHOLE
+
+    rows, filler = [], " ".join(f"w{i}" for i in range(300))
+    for i, (_, text, keys) in enumerate(WHOLE):
+        rows.append((i, f"// {filler}\n/* Copyright (c) 2020 A Person\n * " + text.replace(", ", ",\n * ") + f"\n */ {filler}"))
+        words = text.split()
+        rows.append((100 + i, " ".join(words[: len(words) // 3])))
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = [x[0] for x in WHOLE]
+    for i, label in enumerate(own):
+        assert got[i] & set(own) == {label}, (label, got[i])
+        assert label not in got[100 + i]
+    assert "bsd" in got[own.index("bsd-2-clause")] and "mit" in got[own.index("mit-text")] and "apache" in got[own.index("apache-2.0")]
