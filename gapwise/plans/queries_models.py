@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.operators import classify, drift, evaluate as ev, features as fe, joins, pairs, periodic as pe, rebuild, series, window_models as wm
+from gapwise.functions import mad, robust_scale
+from gapwise.operators import classify, drift, evaluate as ev, features as fe, joins, pairs, periodic as pe, rebuild, series, splits, stats, window_models as wm
 from gapwise.operators.segments import gap_segments
 from gapwise.plans.base import GAP, KEYS, SAMPLES, SCORES, SEGMENTS, STEP, WIN, marked, samples, scores, segment_keys, segments
 from gapwise.plans.queries_reports import R, rounded
@@ -226,3 +229,72 @@ def sample_trend(t: Tables) -> DataFrame:
     """Rising less falling pairs of all samples of each stream, which are not made."""
     own = samples(t).select("src", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.round("ch0", 0).alias("x"))
     return pairs.signed_pairs(own, ["src"], 64).filter("n_pairs > 0").select("src", "s", "n_pairs")
+
+
+# Tables of columns, counts and segments
+
+
+@query(f"WITH {SEGMENTS}, e AS (SELECT src, seg_id, CAST(event_id % 3 = 0 AS INTEGER) AS label FROM p) SELECT src, seg_id, CAST(round_even(avg(label), 0) AS INTEGER) AS label FROM e GROUP BY 1, 2")
+def segment_labels(t: Tables) -> DataFrame:
+    """A segment's label is the rounded mean of its samples' labels."""
+    return splits.segment_label(segments(t).withColumn("l", (F.col("event_id") % 3 == 0).cast("int")), F.col("l"))
+
+
+@query(f"""WITH {SEGMENTS}, m AS (SELECT src, median(ch0) AS med, (quantile_cont(ch0, 0.75) - quantile_cont(ch0, 0.25)) / 1.349 AS iqr FROM p GROUP BY 1)
+SELECT p.src, round(max(med), 6) AS median, round(median(abs(ch0 - med)), 6) AS mad, round(max(iqr), 6) AS iqr FROM p JOIN m USING (src) GROUP BY 1""")
+def robust_summary(t: Tables) -> DataFrame:
+    """Median, median absolute deviation and scaled interquartile range of each stream."""
+    own = segments(t).select("src", "ch0")
+    center = own.groupBy("src").agg(F.median("ch0").alias("median"), robust_scale(F.col("ch0")).alias("iqr"))
+    made = own.join(center, "src").groupBy("src").agg(F.max("median").alias("median"), mad(F.col("ch0"), F.col("median")).alias("mad"), F.max("iqr").alias("iqr"))
+    return rounded(made, 6, "median", "mad", "iqr")
+
+
+@query("""WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ac, corr(l_extendedprice, l_discount) AS bc FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL)
+SELECT 'l_quantity' AS feature, round(1 / (1 - (ab * ab + ac * ac - 2 * ab * ac * bc) / (1 - bc * bc)), 6) AS vif FROM c UNION ALL SELECT 'l_extendedprice', round(1 / (1 - (ab * ab + bc * bc - 2 * ab * ac * bc) / (1 - ac * ac)), 6) FROM c
+UNION ALL SELECT 'l_discount', round(1 / (1 - (ac * ac + bc * bc - 2 * ab * ac * bc) / (1 - ab * ab)), 6) FROM c""")
+def vif_table(t: Tables) -> DataFrame:
+    """How far each column follows from the others; a row a column."""
+    found, _ = stats.vif(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
+    return t.spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "feature string, vif double")
+
+
+_CELLS = KEYS + """, cl AS (SELECT CAST(src % 5 AS INTEGER) AS fold, count(*) FILTER (WHERE state = 1 AND label = 1) AS a, count(*) FILTER (WHERE state = 1 AND label = 0) AS b, count(*) FILTER (WHERE state = 0 AND label = 1) AS c, count(*) FILTER (WHERE state = 0 AND label = 0) AS d FROM k GROUP BY 1)"""
+
+
+def cells(t: Tables) -> DataFrame:
+    hit = lambda s, v: F.count_if((F.col("state") == s) & (F.col("label") == v))
+    own = segment_keys(t).groupBy((F.col("src") % FOLDS).cast("int").alias("fold"))
+    return own.agg(hit(1, 1).alias("a"), hit(1, 0).alias("b"), hit(0, 1).alias("c"), hit(0, 0).alias("d"))
+
+
+@query(f"""WITH {_CELLS}, xs AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM cl),
+lp AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS m, lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1) AS g, lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1) AS g0 FROM xs)
+SELECT fold, a, b, c, d, round(CASE WHEN max(b * c) <> 0 THEN max(a * d) / max(b * c)::DOUBLE END, 6) AS odds_ratio, round(least(1.0, sum(exp(m - g)) FILTER (WHERE m - g <= m - g0 + 1e-7)), 6) AS p FROM lp GROUP BY fold, a, b, c, d""")
+def fisher_by_fold(t: Tables) -> DataFrame:
+    """Exact test of label by state in each fold; a row a fold."""
+    exact = F.pandas_udf(lambda a, b, c, d: pd.Series([stats.fisher_exact(*map(int, x)) for x in zip(a, b, c, d, strict=True)]), "double")
+    odds = F.when(F.col("b") * F.col("c") != 0, F.col("a") * F.col("d") / (F.col("b") * F.col("c")))
+    return cells(t).select("fold", "a", "b", "c", "d", R(odds, 6).alias("odds_ratio"), R(exact("a", "b", "c", "d"), 6).alias("p"))
+
+
+@query()
+def detection_intervals(t: Tables) -> DataFrame:
+    """The share of abnormal segments in state 1 in each fold, with its exact interval; a row a fold."""
+    def bounds(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([stats.clopper_pearson(int(a), int(b)) if b else (0.0, 1.0) for a, b in zip(k, n, strict=True)], columns=["low", "high"])
+
+    both = F.pandas_udf(bounds, "low double, high double")
+    own = cells(t).select("fold", F.col("a").alias("k"), (F.col("a") + F.col("c")).alias("n"))
+    return rounded(own.withColumn("_i", both("k", "n")).select("fold", "k", "n", "_i.*"), 8, "low", "high")
+
+
+@query()
+def feature_clusters(t: Tables) -> DataFrame:
+    """Groups of segment features that follow each other, and the one that stands for each; a row a feature."""
+    columns = ["n", "rms", "peak", "dc", "crest"]
+    own = fe.segment_features(segments(t))
+    pairs_of = {(r["a"], r["b"]): r["rho"] for r in stats.correlation_pairs(own, columns).collect()}  # as many as pairs of columns
+    corr = np.array([[1.0 if a == b else pairs_of.get((a, b), pairs_of.get((b, a))) or 0.0 for b in columns] for a in columns])
+    rows = [(member, head, len(group)) for head, group in stats.correlation_clusters(corr, columns, 0.3) for member in group]
+    return t.spark.createDataFrame(rows, "feature string, representative string, size int")
