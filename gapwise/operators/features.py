@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gapwise.functions import guarded_corr, ratio, rms
 from gapwise.operators.evaluate import auc
-from gapwise.operators.order import cumulative, quantiles
-from gapwise.operators.segments import in_segment
+from gapwise.operators.order import cumulative, lagged, quantiles
+from gapwise.operators.segments import hop_windows, in_segment, spectrum
 
 #: Columns that name a window or tell what it is; no model's input.
 META = frozenset("src seg_id pos win n ts label state fold block grade".split())
@@ -56,6 +56,36 @@ def window_features(segments: DataFrame, wins: Sequence[int], step: int, a: str
     return out
 
 
+def full_windows(segments: DataFrame, win: int, step: int, channels: Sequence[str] = ("ch0", "ch1")) -> DataFrame:
+    """One row per window with all features of both channels: those of hop_windows(), the ratio of their RMS, and correlation and lag-1 autocorrelation in the window and from the segment's start.
+
+    All frames share one sort of the segment.
+    """
+    a, b = channels
+    inside, so_far = in_segment().rowsBetween(0, win - 1), in_segment().rowsBetween(Window.unboundedPreceding, win - 1)
+    more = {
+        "corr_win": guarded_corr(F.col(a), F.col(b), over=inside), "corr_cum": guarded_corr(F.col(a), F.col(b), over=so_far),
+        **{f"{c}_ac1_win": frame_autocorrelation(c, 0, win - 1) for c in channels}, **{f"{c}_ac1_cum": frame_autocorrelation(c, Window.unboundedPreceding, win - 1) for c in channels},
+    }
+    made = hop_windows(segments, win, step, tuple(channels), more)
+    return made.withColumn("rms_ratio", ratio(F.col(f"{a}_rms"), F.col(f"{b}_rms")))
+
+
+def low_frequency_share(segments: DataFrame, channel: str, below: float) -> DataFrame:
+    """src, seg_id, share: how much of the power of a segment's spectrum lies in bins of up to ``below`` cycles a sample; null without power."""
+    own = spectrum(segments, channel).join(segments.groupBy("src", "seg_id").agg(F.count("*").alias("_n")), ["src", "seg_id"])
+    power = F.col("amplitude") * F.col("amplitude")
+    return own.groupBy("src", "seg_id").agg(ratio(F.sum(F.when(F.col("k") <= below * F.col("_n"), power).otherwise(0.0)), F.sum(power)).alias("share"))
+
+
+def resolution(samples: DataFrame, x: str, by: str = "src") -> DataFrame:
+    """Per group: range of a channel, the least step between its values, and the bits that a code of such steps takes for the range; null without a step."""
+    distinct = samples.filter(F.col(x).isNotNull()).select(by, F.col(x).alias("v")).distinct()
+    steps = lagged(distinct, ["v"], "v", "_before", [by]).withColumn("_step", F.col("v") - F.col("_before"))
+    own = steps.groupBy(by).agg((F.max("v") - F.min("v")).alias("range"), F.min("_step").alias("step"))
+    return own.withColumn("bits", F.when(F.col("step") > 0, F.ceil(F.log2(F.col("range") / F.col("step") + 1) - 1e-9)))
+
+
 def segment_features(segments: DataFrame, x: str = "ch0") -> DataFrame:
     """One row per segment: n, start, rms, peak, mean (dc), crest and excess kurtosis (null up to 3 samples or without spread) of a channel as it is."""
     v = F.col(x)

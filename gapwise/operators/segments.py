@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gapwise.functions import guarded_corr, micros, ratio, rms, shape_stats
@@ -76,14 +76,14 @@ def segment_table(segments: DataFrame, channel: str = "ch0") -> DataFrame:
     )
 
 
-def hop_windows(segments: DataFrame, win: int, step: int, channels: tuple[str, ...] = ("ch0",)) -> DataFrame:
+def hop_windows(segments: DataFrame, win: int, step: int, channels: tuple[str, ...] = ("ch0",), more: dict[str, Column] | None = None) -> DataFrame:
     """One row per window of ``win`` samples every ``step``, from each segment's first; no partial one at the end.
 
     Adds, for each channel, rms, peak, p2p, kurt, crest, skew (population moments, null without spread) and shape_crest.
-    All frames share one sort of the segment.
+    ``more`` are further columns over frames of the segment. All frames share one sort of the segment.
     """
     f = in_segment().rowsBetween(0, win - 1)
-    columns = []
+    columns = [c.alias(k) for k, c in (more or {}).items()]
     for c in channels:
         x = F.col(c)
         kurt, skew = shape_stats(x, f)

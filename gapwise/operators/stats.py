@@ -211,3 +211,12 @@ def bootstrap(segments: DataFrame, value: Column, reps: int, seed: int) -> DataF
     u = (F.xxhash64("src", "seg_id", "rep", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
     times = sum((F.when(u > c, 1).otherwise(0) for c in cut), F.lit(0))
     return own.withColumn("k", times).groupBy("rep").agg(ratio(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("mean"))
+
+
+def duplicate_columns(frame: DataFrame, columns: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """a, b, most, same of every unordered pair of columns: their largest distance, over the rows where both are known, and whether it is below the tolerance; all pairs in one aggregate."""
+    own = frame.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    made = own.agg(*(F.max(F.abs(F.col(a) - F.col(b))).alias(f"{a}|{b}") for a, b in pairs))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("most")) for a, b in pairs))
+    return made.select(F.explode(rows).alias("x")).select("x.*").withColumn("same", F.col("most") < tolerance)

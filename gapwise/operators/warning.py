@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.functions import ratio
+from gapwise.operators.order import quantiles
+from gapwise.operators.series import recursive_filter
 
 
 def ewma(bursts: DataFrame, by: str, order: str, value: str, lam: float, init: float) -> DataFrame:
@@ -52,3 +54,18 @@ def eta(bursts: DataFrame, by: str, t: str, z: str, limit: float, m: int = 10) -
     own = origin.groupBy(by).agg(F.min("_o").alias("o"), F.count("*").alias("n"), F.var_pop("_x").alias("vx"), F.covar_pop("_x", "_y").alias("cxy"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"))
     slope = ratio("cxy", "vx")
     return own.select(by, "n", slope.alias("slope"), F.when(slope > 0, F.col("o") + F.col("mx") + (F.log(F.lit(float(limit))) - F.col("my")) / slope).alias("eta"))
+
+
+def trend_alerts(bursts: DataFrame, value: str, train: Column, lam: float, q: float = 0.99) -> DataFrame:
+    """src, seg_id, trend, thr, alert: the exponential average of a burst's value along each stream against its ``q`` quantile over the training bursts.
+
+    The average begins at the training bursts' median. It is a recursive filter in parts, so that a stream of any
+    length, and any weight, takes the same passes. seg_id numbers a stream's bursts from 0 without a gap; null values
+    count as 0 in the average and have none of their own.
+    """
+    own = bursts.select("src", "seg_id", F.col(value).cast("double").alias("_x"), F.coalesce(train, F.lit(False)).alias("_train"))
+    start = quantiles(own.filter("_train"), "_x", [0.5], names=["_init"])
+    own = own.join(F.broadcast(start), how="left")  # one row
+    made = recursive_filter(own, "_x", [lam, 0.0], [1.0, lam - 1.0], ["src"], "seg_id", first="_init").withColumnRenamed("filtered", "trend")
+    limit = quantiles(made.filter("_train"), "trend", [q], names=["thr"])
+    return made.join(F.broadcast(limit), how="left").select("src", "seg_id", "trend", "thr", F.coalesce(F.col("trend") > F.col("thr"), F.lit(False)).alias("alert"))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.functions import mad, robust_scale
-from gapwise.operators import classify, drift, evaluate as ev, features as fe, joins, pairs, periodic as pe, rebuild, series, splits, stats, window_models as wm
+from gapwise.operators import classify, drift, evaluate as ev, features as fe, joins, pairs, periodic as pe, rebuild, series, splits, stats, warning, window_models as wm
 from gapwise.operators.segments import gap_segments
-from gapwise.plans.base import GAP, KEYS, SAMPLES, SCORES, SEGMENTS, STEP, WIN, marked, samples, scores, segment_keys, segments
+from gapwise.plans.base import KEYS, SAMPLES, SCORES, SEGMENTS, STEP, WIN, WINDOWS, marked, samples, scores, segment_keys, segments
 from gapwise.plans.queries_reports import R, rounded
+from gapwise.plans.queries_segments import _amp_sql
 from gapwise.plans.registry import Tables, query
 
 FOLDS = 5
@@ -298,3 +299,65 @@ def feature_clusters(t: Tables) -> DataFrame:
     corr = np.array([[1.0 if a == b else pairs_of.get((a, b), pairs_of.get((b, a))) or 0.0 for b in columns] for a in columns])
     rows = [(member, head, len(group)) for head, group in stats.correlation_clusters(corr, columns, 0.3) for member in group]
     return t.spark.createDataFrame(rows, "feature string, representative string, size int")
+
+
+# Features of whole windows and channels
+
+
+_CUM = "OVER (PARTITION BY src, seg_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND {k} FOLLOWING)"
+
+
+def _ac_sql(c: str, first: str, last: int) -> str:
+    f, p = (f"OVER (PARTITION BY src, seg_id ORDER BY pos ROWS BETWEEN {first} AND {k} FOLLOWING)" for k in (last, last - 1))
+    top = f"sum({c} * n_{c}) {p} - avg({c}) {f} * (sum({c}) {p} + sum(n_{c}) {p}) + pow(avg({c}) {f}, 2) * count(*) {p}"
+    return f"CASE WHEN max({c}) {f} > min({c}) {f} THEN ({top}) / nullif(count(*) {f} * var_pop({c}) {f}, 0) END"
+
+
+_ALL = f"""WITH {WINDOWS}, nx AS (SELECT *, lead(ch0) OVER (PARTITION BY src, seg_id ORDER BY pos) AS n_ch0, lead(ch1) OVER (PARTITION BY src, seg_id ORDER BY pos) AS n_ch1 FROM p),
+rl AS (SELECT src, seg_id, pos, corr(ch0, ch1) {_CUM.replace('UNBOUNDED PRECEDING', 'CURRENT ROW').format(k=9)} AS corr_win, corr(ch0, ch1) {_CUM.format(k=9)} AS corr_cum,
+  {', '.join(f"{_ac_sql(c, 'CURRENT ROW', 9)} AS {c}_ac1_win, {_ac_sql(c, 'UNBOUNDED PRECEDING', 9)} AS {c}_ac1_cum" for c in ('ch0', 'ch1'))} FROM nx)"""
+
+
+@query(_ALL + f""" SELECT w.src, w.seg_id, w.pos, {_amp_sql('ch0')}, {_amp_sql('ch1')}, round(ch0_rms / nullif(ch1_rms, 0), 5) AS rms_ratio, CASE WHEN ch0_hi > ch0_lo AND ch1_hi > ch1_lo THEN round(corr_win, 3) END AS corr_win, round(corr_cum, 3) AS corr_cum,
+  round(ch0_ac1_win, 3) AS ch0_ac1_win, round(ch0_ac1_cum, 3) AS ch0_ac1_cum, round(ch1_ac1_win, 3) AS ch1_ac1_win, round(ch1_ac1_cum, 3) AS ch1_ac1_cum FROM w JOIN rl USING (src, seg_id, pos)""")
+def full_window_features(t: Tables) -> DataFrame:
+    """All features of windows of ten samples of both channels."""
+    own = fe.full_windows(segments(t), WIN, STEP)
+    own = rounded(own, 4, *(f"{c}_{k}" for c in ("ch0", "ch1") for k in ("rms", "p2p", "crest")))
+    own = rounded(own, 3, *(f"{c}_{k}" for c in ("ch0", "ch1") for k in ("kurt", "skew", "shape_crest", "ac1_win", "ac1_cum")), "corr_win", "corr_cum")
+    return rounded(own, 5, "rms_ratio").drop("n", "ts")
+
+
+@query(f"""WITH {SEGMENTS}, y AS (SELECT src, seg_id, pos, n, ch0 - avg(ch0) OVER (PARTITION BY src, seg_id) AS y FROM p), b AS (SELECT src, seg_id, n, kk, pow(sum(y * cos(2 * pi() * kk * pos / n)), 2) + pow(sum(y * sin(2 * pi() * kk * pos / n)), 2) AS pw
+  FROM y, LATERAL (SELECT unnest(range(1, n // 2 + 1)) AS kk) WHERE n > 1 GROUP BY 1, 2, 3, 4) SELECT src, seg_id, round(sum(CASE WHEN kk <= 0.1::DOUBLE * n THEN pw ELSE 0 END) / nullif(sum(pw), 0), 6) AS share FROM b GROUP BY 1, 2""")
+def low_frequency_share(t: Tables) -> DataFrame:
+    """Power of a segment below a tenth of the sampling rate."""
+    return rounded(fe.low_frequency_share(segments(t), "ch0", 0.1), 6, "share")
+
+
+@query(f"""WITH {SAMPLES}, d AS (SELECT DISTINCT src, ch0 AS v FROM s WHERE ch0 IS NOT NULL), st AS (SELECT src, v, v - lag(v) OVER (PARTITION BY src ORDER BY v) AS step FROM d)
+SELECT src, round(max(v) - min(v), 6) AS range, round(min(step), 9) AS step, CASE WHEN min(step) > 0 THEN CAST(ceil(log2((max(v) - min(v)) / min(step) + 1) - 1e-9) AS BIGINT) END AS bits FROM st GROUP BY 1""")
+def channel_resolution(t: Tables) -> DataFrame:
+    """Bits that a code of a channel's least steps takes for its range."""
+    return rounded(rounded(fe.resolution(samples(t), "ch0"), 6, "range"), 9, "step")
+
+
+_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(max(abs({a} - {b})), 6) AS most, max(abs({a} - {b})) < 1e-9 AS same FROM lineitem" for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :]))
+def duplicate_column_scan(t: Tables) -> DataFrame:
+    """Every pair of the items' numbers: how far they depart at most."""
+    return rounded(stats.duplicate_columns(t.lineitem, list(_COLUMNS)), 6, "most")
+
+
+_TREND = f"""WITH RECURSIVE {KEYS}, x AS (SELECT src, seg_id, ln(greatest(rms0, 1e-6)) AS x, src % 5 <> 0 AND label = 0 AS train FROM k), i0 AS (SELECT median(x) AS m FROM x WHERE train),
+e AS (SELECT x.src, x.seg_id, x.train, 0.2 * x.x + 0.8 * m AS s FROM x CROSS JOIN i0 WHERE x.seg_id = 0 UNION ALL SELECT x.src, x.seg_id, x.train, 0.2 * x.x + 0.8 * e.s FROM e JOIN x ON x.src = e.src AND x.seg_id = e.seg_id + 1),
+tq AS (SELECT quantile_cont(s, 0.95) AS thr FROM e WHERE train)"""
+
+
+@query(_TREND + " SELECT src, seg_id, round(s, 6) AS trend, round(thr, 6) AS thr, s > thr AS alert FROM e CROSS JOIN tq")
+def trend_alerts(t: Tables) -> DataFrame:
+    """The average of a burst's log level against that of four users' normal bursts."""
+    own = segment_keys(t).withColumn("x", F.log(F.greatest("rms0", F.lit(1e-6))))
+    return rounded(warning.trend_alerts(own, "x", (F.col("src") % 5 != 0) & (F.col("label") == 0), 0.2, 0.95), 6, "trend", "thr")
