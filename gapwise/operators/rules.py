@@ -209,3 +209,14 @@ def rolled_up(metrics: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
     marks = {k: F.when(F.col("_id").bitwiseAND(F.lit(1 << (places - 1 - i))) > 0, "all").otherwise(F.col(k)) for i, k in enumerate(keys)}
     return kept.withColumns(marks).select(*keys, "n", *values)
 
+
+
+def verdicts(table: DataFrame, reference: str, slack: float = 0.0) -> DataFrame:
+    """rule, d_auc, d_fpr, d_detected, verdict of rule_table() against one of its rows: accept where a rule's area is no lower, and its false alarms no more, by over ``slack``, and one of the two or what it detects is better."""
+    own = table.select("rule", "auc", "fpr_segment", "n_detected")
+    base = own.filter(F.col("rule") == reference).select(F.col("auc").alias("_a"), F.col("fpr_segment").alias("_f"), F.col("n_detected").alias("_d"))
+    both = own.crossJoin(F.broadcast(base)).select("rule", (F.col("auc") - F.col("_a")).alias("d_auc"), (F.col("fpr_segment") - F.col("_f")).alias("d_fpr"), (F.col("n_detected") - F.col("_d")).alias("d_detected"))  # one row
+    fine = (F.col("d_auc") >= -slack) & (F.col("d_fpr") <= slack)
+    better = (F.col("d_auc") > 0) | (F.col("d_fpr") < 0) | (F.col("d_detected") > 0)
+    verdict = F.when(F.col("rule") == reference, "reference").when(fine & better, "accept").otherwise("reject")
+    return both.withColumn("verdict", verdict)

@@ -220,3 +220,35 @@ def duplicate_columns(frame: DataFrame, columns: list[str], tolerance: float = 1
     made = own.agg(*(F.max(F.abs(F.col(a) - F.col(b))).alias(f"{a}|{b}") for a, b in pairs))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("most")) for a, b in pairs))
     return made.select(F.explode(rows).alias("x")).select("x.*").withColumn("same", F.col("most") < tolerance)
+
+
+def transform_effect(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, transform, n, mean, sd, skew, kurt of each column as it is and as log1p: deviation, skewness and excess kurtosis corrected for bias.
+
+    Null where a column holds a value that log1p is not defined for, skew and kurt up to 3 values or without spread.
+    All columns and transforms go through one pass, as rows.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(tr).alias("transform"), F.col(c).cast("double").alias("x")) for c in columns for tr in ("none", "log1p"))))
+    own = frame.select(each.alias("z")).select("z.*").filter("x is not null")
+    x = F.when(F.col("transform") == "none", F.col("x")).when(F.col("x") > -1, F.log1p("x"))
+    made = own.withColumn("_y", x).groupBy("feature", "transform").agg(
+        F.count("*").alias("n"), F.count("_y").alias("_k"), F.avg("_y").alias("mean"), F.stddev_samp("_y").alias("sd"), F.skewness("_y").alias("_g1"), F.kurtosis("_y").alias("_g2"), (F.max("_y") > F.min("_y")).alias("_spread")
+    )
+    n = F.col("n").cast("double")
+    ok = F.col("_k") == F.col("n")
+    shaped = ok & (F.col("n") > 3) & F.col("_spread")
+    return made.select(
+        "feature", "transform", "n", F.when(ok, F.col("mean")).alias("mean"), F.when(ok, F.col("sd")).alias("sd"), F.when(shaped, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+        F.when(shaped, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6)).alias("kurt"),
+    )
+
+
+def loadings_ranking(frame: DataFrame, columns: list[str], targets: tuple[float, ...] = (0.8, 0.9, 0.95)) -> tuple[list[tuple], dict[float, int]]:
+    """(component, explained, cumulative, feature, loading, rank) of every component and column of a PCA of standardised columns, by falling size of the loading; and how many components reach each target share. A table of columns."""
+    fit = pca(frame, columns)
+    cumulative = np.cumsum(fit["explained"])
+    rows = []
+    for k in range(len(columns)):
+        order = np.argsort(-np.abs(fit["loadings"][:, k]), kind="stable")
+        rows += [(k + 1, float(fit["explained"][k]), float(cumulative[k]), columns[i], float(fit["loadings"][i, k]), r + 1) for r, i in enumerate(order)]
+    return rows, {x: int(np.searchsorted(cumulative, x - 1e-12) + 1) for x in targets}

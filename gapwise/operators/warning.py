@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,14 @@ def trend_alerts(bursts: DataFrame, value: str, train: Column, lam: float, q: fl
     made = recursive_filter(own, "_x", [lam, 0.0], [1.0, lam - 1.0], ["src"], "seg_id", first="_init").withColumnRenamed("filtered", "trend")
     limit = quantiles(made.filter("_train"), "trend", [q], names=["thr"])
     return made.join(F.broadcast(limit), how="left").select("src", "seg_id", "trend", "thr", F.coalesce(F.col("trend") > F.col("thr"), F.lit(False)).alias("alert"))
+
+
+def paired_gain(leads: DataFrame, by: Sequence[str], rule: str, first: str, second: str) -> DataFrame:
+    """n_both, n_only_first, n_only_second, mean_gain, median_gain, share_gain: how much earlier the second rule warns than the first, over the scenarios (keys ``by``) that both warn of."""
+    a = F.max(F.when(F.col(rule) == first, F.col("lead")))
+    b = F.max(F.when(F.col(rule) == second, F.col("lead")))
+    own = leads.groupBy(*by).agg(a.alias("_a"), b.alias("_b")).withColumn("_gain", F.col("_b") - F.col("_a"))
+    return own.agg(
+        F.count("_gain").alias("n_both"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNull()).alias("n_only_first"), F.count_if(F.col("_a").isNull() & F.col("_b").isNotNull()).alias("n_only_second"),
+        F.avg("_gain").alias("mean_gain"), F.median("_gain").alias("median_gain"), F.avg(F.when(F.col("_gain") > 0, 1.0).when(F.col("_gain") <= 0, 0.0)).alias("share_gain"),
+    )

@@ -361,3 +361,36 @@ def trend_alerts(t: Tables) -> DataFrame:
     """The average of a burst's log level against that of four users' normal bursts."""
     own = segment_keys(t).withColumn("x", F.log(F.greatest("rms0", F.lit(1e-6))))
     return rounded(warning.trend_alerts(own, "x", (F.col("src") % 5 != 0) & (F.col("label") == 0), 0.2, 0.95), 6, "trend", "thr")
+
+
+@query("""WITH u AS (SELECT z.feature, z.x FROM lineitem, LATERAL (SELECT unnest([{'feature': 'l_quantity', 'x': l_quantity}, {'feature': 'l_extendedprice', 'x': l_extendedprice}]) AS z) WHERE z.x IS NOT NULL),
+w AS (SELECT feature, 'none' AS transform, x AS y FROM u UNION ALL SELECT feature, 'log1p', ln(x + 1) FROM u),
+m AS (SELECT feature, transform, count(*)::DOUBLE AS n, avg(y) AS mean, stddev_samp(y) AS sd FROM w GROUP BY 1, 2), c AS (SELECT w.feature, w.transform, avg(pow(y - mean, 2)) AS m2, avg(pow(y - mean, 3)) AS m3, avg(pow(y - mean, 4)) AS m4 FROM w JOIN m ON m.feature = w.feature AND m.transform = w.transform GROUP BY 1, 2)
+SELECT feature, transform, CAST(n AS BIGINT) AS n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 5) AS skew, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6), 4) AS kurt FROM m JOIN c USING (feature, transform)""")
+def transform_effect(t: Tables) -> DataFrame:
+    """Shape of two columns as they are and as logarithms."""
+    return rounded(rounded(stats.transform_effect(t.lineitem, ["l_quantity", "l_extendedprice"]), 5, "mean", "sd", "skew"), 4, "kurt")
+
+
+@query()
+def pca_loadings(t: Tables) -> DataFrame:
+    """Components of the items' numbers: what they explain, and which columns they load on; a row a component and column."""
+    rows, _ = stats.loadings_ranking(t.lineitem, list(_COLUMNS))
+    made = t.spark.createDataFrame(rows, "component int, explained double, cumulative double, feature string, loading double, rank int")
+    return rounded(made, 6, "explained", "cumulative", "loading")
+
+
+@query(f"""WITH {KEYS}, b AS (SELECT src, CAST(epoch_us(start) AS DOUBLE) / 1e6::DOUBLE AS t, round(rms0, 6) AS z FROM k), w AS (SELECT src, min(t) + 86400 AS t0, max(t) AS crit FROM b GROUP BY 1),
+h AS (SELECT src, max(crit) - min(CASE WHEN z > 80 AND t >= t0 THEN t END) AS la, max(crit) - min(CASE WHEN z > 60 AND t >= t0 THEN t END) AS lb FROM b JOIN w USING (src) GROUP BY 1), gn AS (SELECT *, lb - la AS gain FROM h)
+SELECT count(gain) AS n_both, count(*) FILTER (WHERE la IS NOT NULL AND lb IS NULL) AS n_only_first, count(*) FILTER (WHERE la IS NULL AND lb IS NOT NULL) AS n_only_second, round(avg(gain), 3) AS mean_gain, round(median(gain), 3) AS median_gain,
+  round(avg(CASE WHEN gain > 0 THEN 1.0::DOUBLE WHEN gain <= 0 THEN 0.0 END), 6) AS share_gain FROM gn""")
+def paired_gain(t: Tables) -> DataFrame:
+    """How much earlier a lower limit warns than a higher one, stream by stream."""
+    own = segment_keys(t).select("src", "seg_id", (F.unix_micros(F.col("start").cast("timestamp")) / 1e6).alias("t"), F.round("rms0", 6).alias("z"))
+    window = own.groupBy("src").agg((F.min("t") + 86400).alias("t0"), F.max("t").alias("crit"))
+    leads = None
+    for rule, limit in (("high", 80.0), ("low", 60.0)):
+        alerts = own.join(window, "src").withColumn("alert", F.col("z") > limit)
+        made = warning.lead_times(alerts, "src", "t", F.col("t0"), F.col("crit")).select("src", F.lit(rule).alias("rule"), "lead")
+        leads = made if leads is None else leads.unionByName(made)
+    return rounded(rounded(warning.paired_gain(leads, ["src"], "rule", "high", "low"), 3, "mean_gain", "median_gain"), 6, "share_gain")

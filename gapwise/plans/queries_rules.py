@@ -42,20 +42,31 @@ def rule_scores(t: Tables) -> DataFrame:
     return rounded(ruled(t).select("src", "seg_id", "pos", "state", *rules.RULES), 4, *rules.RULES[1:])
 
 
-@query(_RULES + f""", lg AS (SELECT src, seg_id, label, train, test, u.rule, u.score FROM rs, LATERAL (SELECT unnest([{', '.join(f"{{'rule': '{r}', 'score': {r}}}" for r in rules.RULES)}]) AS u)),
+_JUDGED = _RULES + f""", lg AS (SELECT src, seg_id, label, train, test, u.rule, u.score FROM rs, LATERAL (SELECT unnest([{', '.join(f"{{'rule': '{r}', 'score': {r}}}" for r in rules.RULES)}]) AS u)),
 rt AS (SELECT rule, quantile_cont(score, 0.9) AS thr FROM lg WHERE train GROUP BY 1), te AS (SELECT lg.*, thr, score > thr AS h FROM lg JOIN rt USING (rule) WHERE test),
 rk AS (SELECT rule, label, rank() OVER (PARTITION BY rule ORDER BY score) + (count(*) OVER (PARTITION BY rule, score) - 1) / 2.0::DOUBLE AS rk FROM te WHERE score IS NOT NULL),
 au AS (SELECT rule, (sum(rk) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0), 0)::DOUBLE AS auc FROM rk GROUP BY 1),
 sg AS (SELECT rule, label, src, seg_id, bool_or(coalesce(h, false)) AS h FROM te GROUP BY 1, 2, 3, 4),
 fs AS (SELECT rule, avg(CASE WHEN h THEN 1.0::DOUBLE ELSE 0.0 END) AS fpr_sample FROM te WHERE label = 0 GROUP BY 1),
-fg AS (SELECT rule, avg(CASE WHEN h THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (WHERE label = 0) AS fpr_segment, count(*) FILTER (WHERE label = 1) AS n_out_seg, count(*) FILTER (WHERE label = 1 AND h) AS n_detected FROM sg GROUP BY 1)
-SELECT rule, round(thr, 5) AS thr, round(auc, 8) AS auc, round(fpr_sample, 8) AS fpr_sample, round(fpr_segment, 8) AS fpr_segment, n_out_seg, n_detected FROM rt LEFT JOIN au USING (rule) LEFT JOIN fs USING (rule) LEFT JOIN fg USING (rule)""")
+fg AS (SELECT rule, avg(CASE WHEN h THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (WHERE label = 0) AS fpr_segment, count(*) FILTER (WHERE label = 1) AS n_out_seg, count(*) FILTER (WHERE label = 1 AND h) AS n_detected FROM sg GROUP BY 1)"""
+_FOUND = "FROM rt LEFT JOIN au USING (rule) LEFT JOIN fs USING (rule) LEFT JOIN fg USING (rule)"
+
+
+@query(_JUDGED + " SELECT rule, round(thr, 5) AS thr, round(auc, 8) AS auc, round(fpr_sample, 8) AS fpr_sample, round(fpr_segment, 8) AS fpr_segment, n_out_seg, n_detected " + _FOUND)
 def rule_baselines(t: Tables) -> DataFrame:
     """What the rules find among the windows of the fifth user."""
     own = rules.rule_table(rounded(ruled(t), 6, *rules.RULES), F.col("train"), F.col("src") % 5 == 0, 0.9)
     return rounded(rounded(own, 8, "auc", "fpr_sample", "fpr_segment"), 5, "thr")
 
 
+@query(_JUDGED + f""", tb AS (SELECT rule, round(auc, 8) AS auc, round(fpr_segment, 8) AS f, n_detected AS d {_FOUND}), df AS (SELECT a.rule, a.auc - b.auc AS d_auc, a.f - b.f AS d_fpr, a.d - b.d AS d_detected FROM tb a CROSS JOIN tb b WHERE b.rule = 'rms')
+SELECT rule, round(d_auc, 8) AS d_auc, round(d_fpr, 8) AS d_fpr, d_detected, CASE WHEN rule = 'rms' THEN 'reference' WHEN d_auc >= 0 AND d_fpr <= 0 AND (d_auc > 0 OR d_fpr < 0 OR d_detected > 0) THEN 'accept' ELSE 'reject' END AS verdict FROM df""")
+def rule_verdicts(t: Tables) -> DataFrame:
+    """Which rules are accepted in place of the plainest one."""
+    own = rules.rule_table(rounded(ruled(t), 6, *rules.RULES), F.col("train"), F.col("src") % 5 == 0, 0.9)
+    return rounded(rules.verdicts(rounded(own, 8, "auc", "fpr_segment"), "rms"), 8, "d_auc", "d_fpr")
+
+
 # Cleaning
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gapwise.operators import drift, joins, order, pairs, periodic, rebuild, stats, window_models
+from gapwise.operators import drift, features, joins, order, pairs, periodic, rebuild, stats, warning, window_models
 from gapwise.operators.segments import gap_segments
 
 SCHEMA = "src long, seg_id long, pos long, n long, t double, a double, b double"
@@ -248,3 +248,47 @@ def test_normal_quantile(spark):
     got = [r.z for r in spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").select("i", drift.normal_quantile(F.col("p")).alias("z")).orderBy("i").collect()]
     assert got[4] == 0 and got[2] == pytest.approx(-1.959963984540054) and got[6] == pytest.approx(1.959963984540054)
     assert all(math.erfc(-z / math.sqrt(2)) / 2 == pytest.approx(p, rel=1e-9) for z, p in zip(got, ps, strict=True))
+
+
+def test_loadings_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 3)) @ np.array([[1, 0.9, 0.1], [0, 0.3, 0], [0, 0, 1]]) * [1, 40, 0.2] + 5
+    own = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    rows, needed = stats.loadings_ranking(own, ["a", "b", "c"])
+    values, vectors = np.linalg.eigh(np.corrcoef(x.T))
+    share = values[::-1] / values.sum()
+    for k, explained, cumulative, feature, loading, rank in rows:
+        v = vectors[:, ::-1][:, k - 1]
+        i = "abc".index(feature)
+        assert explained == pytest.approx(share[k - 1]) and cumulative == pytest.approx(share[:k].sum()) and abs(loading) == pytest.approx(abs(v[i]), abs=1e-9)
+        assert rank == 1 + sum(abs(v[j]) > abs(v[i]) + 1e-12 for j in range(3))
+    assert needed[0.95] == int(np.searchsorted(np.cumsum(share), 0.95) + 1)
+
+
+def test_transform_effect_where_logs_are_undefined(spark):
+    own = spark.createDataFrame([(float(i), -2.0 if i == 3 else float(i), 1.0) for i in range(8)] + [(None, None, None)], "a double, b double, c double")
+    got = {(r.feature, r.transform): r for r in stats.transform_effect(own, ["a", "b", "c"]).collect()}
+    assert len(got) == 6 and got["a", "none"].skew == pytest.approx(0) and got["a", "none"].kurt == pytest.approx(-1.2)
+    assert got["b", "log1p"].mean is None and got["b", "none"].mean is not None and got["c", "none"].skew is None and got["c", "log1p"].mean == pytest.approx(math.log(2))
+
+
+def test_trend_and_gain(spark):
+    own = spark.createDataFrame([(s, i, float(i if s else 0)) for s in (0, 1) for i in range(30)], "src long, seg_id long, x double")
+    for lam in (0.2, 0.001):
+        got = {(r.src, r.seg_id): r for r in warning.trend_alerts(own, "x", F.col("src") == 0, lam).collect()}
+        s = 0.0
+        for i in range(30):
+            s = lam * i + (1 - lam) * s
+            assert got[1, i].trend == pytest.approx(s, abs=1e-12) and got[1, i].alert == (s > 0) and not got[0, i].alert
+    leads = spark.createDataFrame([(1, "a", 5.0), (1, "b", 8.0), (2, "a", 4.0), (2, "b", 4.0), (3, "a", 1.0), (3, "b", None), (4, "b", 2.0)], "src long, rule string, lead double")
+    r = warning.paired_gain(leads, ["src"], "rule", "a", "b").first()
+    assert (r.n_both, r.n_only_first, r.n_only_second, r.mean_gain, r.median_gain, r.share_gain) == (2, 1, 1, 1.5, 1.5, 0.5)
+
+
+def test_duplicate_columns_and_resolution(spark):
+    own = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (1, 0.5, 0.5, None), (1, 2.0, 2.0 + 1e-12, 3.0), (2, 7.0, 7.0, 7.0)], "src long, a double, b double, c double")
+    got = {(r.a, r.b): (r.most, r.same) for r in stats.duplicate_columns(own, ["a", "b", "c"]).collect()}
+    assert got["a", "b"][1] and not got["a", "c"][1] and got["a", "c"][0] == 1.0 and len(got) == 3
+    bits = {r.src: (r.range, r.step, r.bits) for r in features.resolution(own, "a").collect()}
+    assert bits == {1: (2.0, 0.5, 3), 2: (0.0, None, None)}
+    assert stats.duplicate_columns(own.limit(0), ["a", "b"]).first().same is None
