@@ -150,26 +150,45 @@ def mahalanobis(frame: DataFrame, train: Column, columns: list[str], ridge: floa
     return frame.withColumn("score", quadratic_form(columns, mean, np.linalg.inv(cov)))
 
 
-def robust_mcd(frame: DataFrame, train: Column, columns: list[str], support: float = 0.75, steps: int = 20) -> tuple[dict, DataFrame]:
+def concentrated(x: np.ndarray, support: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Center and precision of rows after concentration steps from their medians and robust scales."""
+    low, center, high = np.percentile(x, [25, 50, 75], axis=0)
+    precision, last, k = np.diag(1 / np.maximum((high - low) / 1.349, 1e-6) ** 2), math.inf, x.shape[1]
+    for _ in range(steps):
+        away = x - center
+        d = np.einsum("ni,ij,nj->n", away, precision, away)
+        kept = x[d <= np.quantile(d, support)]
+        if len(kept) <= k:
+            break
+        cov = np.cov(kept.T).reshape(k, k)
+        cov += 1e-9 * np.trace(cov) / k * np.eye(k)
+        det = float(np.linalg.slogdet(cov)[1])
+        if not det < last - 1e-6:
+            break
+        center, precision, last = kept.mean(axis=0), np.linalg.inv(cov), det
+    return center, precision
+
+
+def robust_mcd(frame: DataFrame, train: Column, columns: list[str], support: float = 0.75, steps: int = 20, sample: int = 20_000, seed: int = 0) -> tuple[dict, DataFrame]:
     """Minimum covariance determinant by concentration steps over the whole training set, then squared distances.
 
     A step fits location and covariance of the support share of rows nearest to the last fit, by a cut to 1 / 100,000
-    of the ranks and one aggregate, so no row leaves the executors; the training columns are written once. It starts
-    from medians and robust scales and ends when the determinant falls by less than a millionth.
+    of the ranks and one aggregate, so no row leaves the executors; the training columns are written once. Steps start
+    from the fit of ``sample`` rows, drawn by a hash of their place, which itself starts from medians and robust
+    scales, and end when the determinant over all rows falls by less than a millionth. There are no random starts.
     """
     rows = written(frame.filter(train).select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna())
     k = len(columns)
-    start = rows.agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000) for c in columns)).first()
-    center = np.array([q[1] for q in start], float)
-    scale = np.array([max((q[2] - q[0]) / 1.349, 1e-6) for q in start])
-    precision, last, dets = np.diag(1 / scale**2), math.inf, []
-    for _ in range(steps):
+    few = rows.withColumn("_h", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).orderBy("_h").limit(sample).drop("_h").collect()
+    center, precision = concentrated(np.array(few, float).reshape(len(few), k), support, steps) if few else (np.full(k, np.nan), np.full((k, k), np.nan))
+    last, dets = math.inf, []
+    for _ in range(steps if few else 0):
         d = rows.withColumn("_d", quadratic_form(columns, center, precision))
         cut = d.agg(F.percentile_approx("_d", support, 100_000)).first()[0]
         _, mean, cov = gram(d.filter(F.col("_d") <= cut), columns)
         cov = cov + 1e-9 * np.trace(cov) / k * np.eye(k)
         det = float(np.linalg.slogdet(cov)[1])
-        if det >= last - 1e-6:
+        if not det < last - 1e-6:
             break
         center, precision, last = mean, np.linalg.inv(cov), det
         dets.append(det)

@@ -15,9 +15,8 @@ from gapwise.operators.series import recursive_filter
 def ewma(bursts: DataFrame, by: str, order: str, value: str, lam: float, init: float) -> DataFrame:
     """Adds ewma: s = lam * v + (1 - lam) * s from init, along each series.
 
-    In closed form, as a running sum of lam * v / (1 - lam) ** i times (1 - lam) ** i, taken in logarithms of the
-    position within stretches of 512 bursts, would lose digits over long series; so it is folded over the ordered
-    array of the last values, of which those that weigh under 1e-15 are left out.
+    Folded over the ordered array of the last values, of which those that weigh under 1e-15 are left out: for small
+    ``lam`` these are many, and trend_alerts() shows the filter that has no such array.
     """
     import math
 
