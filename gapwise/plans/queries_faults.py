@@ -17,9 +17,11 @@ _FEATURES = ", ".join(f"round(sqrt(avg({c} * {c}) {_OVER}), 6) AS {c}_rms, round
 _AWAY = {c: "greatest(" + ", ".join(f"coalesce(abs(({c}_{f} - m_{c}_{f}) / nullif(s_{c}_{f}, 0)), 0)" for f in ("rms", "peak", "p2p")) + ")" for c in ("ch0", "ch1")}
 _STATS = ", ".join(f"avg({c}_{f}) AS m_{c}_{f}, stddev_pop({c}_{f}) AS s_{c}_{f}" for c in ("ch0", "ch1") for f in ("rms", "peak", "p2p"))
 
-_FAULTS = f"""WITH {SEGMENTS}, gr AS (SELECT unnest(['clean', 'amplitude', 'antiphase', 'spike', 'current']) AS kind, unnest([[NULL::DOUBLE], [0.5::DOUBLE, 1.0, 2.0], [0.5::DOUBLE, 1.0, 2.0], [0.5::DOUBLE, 1.0, 2.0], [0.5::DOUBLE, 1.0, 2.0]]) AS ss),
+_FAULTS = f"""WITH {SEGMENTS}, gr AS (SELECT unnest(['clean', 'amplitude', 'antiphase', 'spike', 'current']) AS kind, unnest([[NULL::DOUBLE], [0.5::DOUBLE, 1.0, 2.0], [0.5::DOUBLE,
+  1.0, 2.0], [0.5::DOUBLE, 1.0, 2.0], [0.5::DOUBLE, 1.0, 2.0]]) AS ss),
 g2 AS (SELECT kind, unnest(ss) AS strength FROM gr),
-iv AS (SELECT kind, strength, src, seg_id, pos, n, CASE kind WHEN 'amplitude' THEN ch0 * (1 + strength) WHEN 'antiphase' THEN (1 - strength) * ch0 - strength * ch1 WHEN 'spike' THEN ch0 + CASE WHEN pos % 10 = 5 THEN 100 * strength ELSE 0 END ELSE ch0 END AS x0,
+iv AS (SELECT kind, strength, src, seg_id, pos, n,
+  CASE kind WHEN 'amplitude' THEN ch0 * (1 + strength) WHEN 'antiphase' THEN (1 - strength) * ch0 - strength * ch1 WHEN 'spike' THEN ch0 + CASE WHEN pos % 10 = 5 THEN 100 * strength ELSE 0 END ELSE ch0 END AS x0,
   CASE kind WHEN 'current' THEN ch1 * (1 + strength) ELSE ch1 END AS x1 FROM p CROSS JOIN g2),
 cv AS (SELECT kind, strength, src, seg_id, pos, n, x0 - avg(x0) OVER s AS ch0, x1 - avg(x1) OVER s AS ch1 FROM iv WINDOW s AS (PARTITION BY kind, strength, src, seg_id)),
 fw AS (SELECT kind, strength, src, seg_id, pos, n, {_FEATURES} FROM cv), fv AS (SELECT *, (src + seg_id) % 7 = 0 AS bad, src % 5 = 0 AS test FROM fw WHERE pos % 5 = 0 AND pos + 10 <= n)"""
@@ -70,8 +72,10 @@ def votes(t: Tables) -> DataFrame:
 
 
 @query(_VOTES + """, hr AS (SELECT sum(h) AS h FROM (SELECT (max(epoch_us(ts)) - min(epoch_us(ts))) / 3.6e9::DOUBLE AS h FROM events GROUP BY user_id)), nv AS (SELECT * FROM vt WHERE label = 0)
-SELECT count(*) FILTER (WHERE c IS NOT NULL) AS n_common, count(*) FILTER (WHERE b AND c) AS "both", count(*) FILTER (WHERE b AND NOT c) AS only_first, count(*) FILTER (WHERE c AND NOT b) AS only_second, count(*) FILTER (WHERE NOT b AND NOT c) AS neither,
-  round(count(*) FILTER (WHERE b) / max(h), 9) AS native_first, round(count(*) FILTER (WHERE c) / max(h), 9) AS native_second, round(count(*) FILTER (WHERE b AND c IS NOT NULL) / max(h), 9) AS common_first, round(count(*) FILTER (WHERE c) / max(h), 9) AS common_second FROM nv CROSS JOIN hr""")
+SELECT count(*) FILTER (WHERE c IS NOT NULL) AS n_common, count(*) FILTER (WHERE b AND c) AS "both", count(*) FILTER (WHERE b AND NOT c) AS only_first,
+  count(*) FILTER (WHERE c AND NOT b) AS only_second, count(*) FILTER (WHERE NOT b AND NOT c) AS neither,
+  round(count(*) FILTER (WHERE b) / max(h), 9) AS native_first, round(count(*) FILTER (WHERE c) / max(h), 9) AS native_second,
+  round(count(*) FILTER (WHERE b AND c IS NOT NULL) / max(h), 9) AS common_first, round(count(*) FILTER (WHERE c) / max(h), 9) AS common_second FROM nv CROSS JOIN hr""")
 def system_comparison(t: Tables) -> DataFrame:
     """Two systems' false alarms on the segments that both judge, and on their own."""
     hours = t.events.groupBy("user_id").agg(((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 3.6e9).alias("hours"))
@@ -79,7 +83,8 @@ def system_comparison(t: Tables) -> DataFrame:
     return rounded(own, 9, "native_first", "native_second", "common_first", "common_second")
 
 
-@query(_VOTES + f""", ks AS (WITH {KEYS} SELECT src, seg_id, rms0 FROM k), nv AS (SELECT src, seg_id, 2 + (c IS NOT NULL)::INT AS n_votes, (a::INT + b::INT + coalesce(c, false)::INT) / (2 + (c IS NOT NULL)::INT)::DOUBLE AS share FROM vt WHERE label = 0)
+@query(_VOTES + f""", ks AS (WITH {KEYS} SELECT src, seg_id, rms0 FROM k), nv AS (SELECT src, seg_id, 2 + (c IS NOT NULL)::INT AS n_votes, (a::INT + b::INT + coalesce(c,
+  false)::INT) / (2 + (c IS NOT NULL)::INT)::DOUBLE AS share FROM vt WHERE label = 0)
 SELECT src, seg_id, n_votes, round(share, 6) AS share, coalesce(rms0 > 60, false) AS suspect FROM nv LEFT JOIN ks USING (src, seg_id) WHERE share > 0.5""")
 def majority_false_positives(t: Tables) -> DataFrame:
     """Normal segments that most rules raise an alarm on, and whether they are on the list of suspects."""
@@ -87,12 +92,14 @@ def majority_false_positives(t: Tables) -> DataFrame:
     return rounded(faults.majority_false_positives(votes(t).filter("label = 0"), ["a", "b", "c"], listed), 6, "share")
 
 
-@query(_VOTES + """ SELECT CASE WHEN NOT a AND NOT b AND NOT coalesce(c, false) THEN 'missed_by_all' WHEN a AND b AND coalesce(c, true) THEN 'found_by_all' ELSE 'missed_by_some' END AS category, count(*) AS n FROM vt WHERE label = 1 GROUP BY 1""")
+@query(_VOTES + """ SELECT CASE WHEN NOT a AND NOT b AND NOT coalesce(c, false) THEN 'missed_by_all' WHEN a AND b AND coalesce(c,
+  true) THEN 'found_by_all' ELSE 'missed_by_some' END AS category, count(*) AS n FROM vt WHERE label = 1 GROUP BY 1""")
 def missed_segments(t: Tables) -> DataFrame:
     return faults.missed(votes(t), ["a", "b", "c"])
 
 
-@query(_TWO + """, ca AS (SELECT src, seg_id, count(*) AS n_windows, median(z1) AS z1, median(z2) AS z2 FROM z WHERE z1 > 1 OR z2 > 1 GROUP BY 1, 2) SELECT src, seg_id, n_windows, round(z1, 5) AS z1, round(z2, 5) AS z2, CASE WHEN z2 > z1 THEN 'z2' ELSE 'z1' END AS dominant FROM ca""")
+@query(_TWO + """, ca AS (SELECT src, seg_id, count(*) AS n_windows, median(z1) AS z1, median(z2) AS z2 FROM z WHERE z1 > 1 OR z2 > 1 GROUP BY 1, 2) SELECT src, seg_id, n_windows,
+  round(z1, 5) AS z1, round(z2, 5) AS z2, CASE WHEN z2 > z1 THEN 'z2' ELSE 'z1' END AS dominant FROM ca""")
 def channel_attribution(t: Tables) -> DataFrame:
     """Which channel stands out in the windows of a segment above a threshold."""
     return rounded(faults.channel_attribution(calibrated(t), ["z1", "z2"], (F.col("z1") > 1) | (F.col("z2") > 1)), 5, "z1", "z2")
@@ -115,9 +122,11 @@ def offsets(t: Tables) -> DataFrame:
     return rounded(marked(fe.segment_features(segments(t)).select("src", "seg_id", "n", "dc", "rms")), 6, "dc", "rms")
 
 
-@query(_OFFSETS + """, lg AS (SELECT label, u.measure, u.score FROM sf, LATERAL (SELECT unnest([{'measure': 'abs_dc', 'score': abs(dc)}, {'measure': 'abs_dc_over_rms', 'score': abs(dc) / nullif(rms, 0)}, {'measure': 'residual_dc', 'score': CASE WHEN abs(dc) < 1e-5 THEN 0.0 ELSE abs(dc) END}]) AS u) WHERE n >= 17),
+@query(_OFFSETS + """, lg AS (SELECT label, u.measure, u.score FROM sf, LATERAL (SELECT unnest([{'measure': 'abs_dc', 'score': abs(dc)},
+  {'measure': 'abs_dc_over_rms', 'score': abs(dc) / nullif(rms, 0)}, {'measure': 'residual_dc', 'score': CASE WHEN abs(dc) < 1e-5 THEN 0.0 ELSE abs(dc) END}]) AS u) WHERE n >= 17),
 rk AS (SELECT measure, label, rank() OVER (PARTITION BY measure ORDER BY score) + (count(*) OVER (PARTITION BY measure, score) - 1) / 2.0::DOUBLE AS r FROM lg WHERE score IS NOT NULL),
-au AS (SELECT measure, (sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0), 0)::DOUBLE AS auc FROM rk GROUP BY 1)
+au AS (SELECT measure,
+  (sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0), 0)::DOUBLE AS auc FROM rk GROUP BY 1)
 SELECT measure, round(auc, 8) AS auc, round(greatest(auc, 1 - auc), 8) AS symmetric, greatest(auc, 1 - auc) > 0.8 AS leak FROM au""")
 def offset_diagnostics(t: Tables) -> DataFrame:
     """How well a segment's mean alone tells its label."""

@@ -76,11 +76,13 @@ _MASKED = f"""WITH {SEGMENTS}, mm AS (SELECT *, avg(ch0) OVER s AS m0, avg(ch1)
 ks AS (SELECT unnest([3, 7, 12]) AS k), mc AS (SELECT src, seg_id, pos, n, k, c.channel, c.x, pos >= (n - k) // 2 AND pos < (n - k) // 2 + k AS gone
   FROM mm CROSS JOIN ks, LATERAL (SELECT unnest([{{'channel': 'ch0', 'x': ch0 - m0}}, {{'channel': 'ch1', 'x': ch1 - m1}}]) AS c) WHERE n >= k + 10),
 ab AS (SELECT *, last_value(CASE WHEN NOT gone THEN x END IGNORE NULLS) OVER w AS a, first_value(CASE WHEN NOT gone THEN x END IGNORE NULLS) OVER v AS b FROM mc
-  WINDOW w AS (PARTITION BY src, seg_id, k, channel ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY src, seg_id, k, channel ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  WINDOW w AS (PARTITION BY src, seg_id, k, channel ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY src, seg_id, k, channel
+  ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 fl AS (SELECT k, channel, src, seg_id, x, 0.0::DOUBLE AS zero, a + (b - a) * (pos - (n - k) // 2 + 1) / (k + 1) AS linear FROM ab WHERE gone)"""
 
 
-@query(_MASKED + """ SELECT k, method, channel, count(DISTINCT (src, seg_id)) AS n_segments, count(*) AS n, round(1 - sum(pow(x - f, 2)) / (var_pop(x) * count(*)), 6) AS r2, round(sqrt(sum(pow(x - f, 2)) / count(*)) / stddev_pop(x), 6) AS nrmse
+@query(_MASKED + """ SELECT k, method, channel, count(DISTINCT (src, seg_id)) AS n_segments, count(*) AS n, round(1 - sum(pow(x - f, 2)) / (var_pop(x) * count(*)), 6) AS r2,
+  round(sqrt(sum(pow(x - f, 2)) / count(*)) / stddev_pop(x), 6) AS nrmse
 FROM (SELECT *, 'zero' AS method, zero AS f FROM fl UNION ALL SELECT *, 'linear', linear FROM fl) GROUP BY k, method, channel""")
 def masked_runs(t: Tables) -> DataFrame:
     return rounded(rebuild.masked_runs(segments(t), ["ch0", "ch1"], [3, 7, 12], ["zero", "linear"], days()), 6, "r2", "nrmse")
@@ -137,9 +139,11 @@ e AS (SELECT src, seg_id, count(*) AS n, arg_min(t, pos) AS t0, arg_min(ch0, pos
 b AS (SELECT m.src, m.seg_id, a.t1 AS ta, a.x1 AS xa, c.t0 AS tc, c.x0 AS xc FROM e m JOIN e a ON a.src = m.src AND a.seg_id = m.seg_id - 1 JOIN e c ON c.src = m.src AND c.seg_id = m.seg_id + 1),
 gs AS (SELECT h.src, h.seg_id, tc - ta AS span, ch0 AS x, 0.0::DOUBLE AS zero, xa + (xc - xa) * (t - ta) / nullif(tc - ta, 0) AS linear FROM h JOIN b USING (src, seg_id) WHERE ch0 IS NOT NULL),
 y AS (SELECT *, x - avg(x) OVER s AS d, 0.0::DOUBLE AS dz, linear - avg(linear) OVER s AS dl FROM gs WINDOW s AS (PARTITION BY src, seg_id)),
-r AS (SELECT src, seg_id, 'zero' AS method, max(span) AS span, count(*) AS n, sum(pow(d - dz, 2)) AS sse, sum(d * d) AS sst FROM y GROUP BY 1, 2 UNION ALL SELECT src, seg_id, 'linear', max(span), count(*), sum(pow(d - dl, 2)), sum(d * d) FROM y GROUP BY 1, 2),
+r AS (SELECT src, seg_id, 'zero' AS method, max(span) AS span, count(*) AS n, sum(pow(d - dz, 2)) AS sse, sum(d * d) AS sst FROM y GROUP BY 1, 2 UNION ALL SELECT src, seg_id,
+  'linear', max(span), count(*), sum(pow(d - dl, 2)), sum(d * d) FROM y GROUP BY 1, 2),
 z AS (SELECT *, CASE WHEN span < 200 THEN 0.0::DOUBLE WHEN span < 400 THEN 200.0 WHEN span < 800 THEN 400.0 WHEN span < 1e6 THEN 800.0 END AS span_from FROM r)
-SELECT method, span_from, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n, round(1 - sum(sse) / nullif(sum(sst), 0), 6) AS r2, round(sqrt(sum(sse) / sum(n)) / nullif(sqrt(sum(sst) / sum(n)), 0), 6) AS nrmse FROM z WHERE span_from IS NOT NULL GROUP BY 1, 2""")
+SELECT method, span_from, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n, round(1 - sum(sse) / nullif(sum(sst), 0), 6) AS r2,
+  round(sqrt(sum(sse) / sum(n)) / nullif(sqrt(sum(sst) / sum(n)), 0), 6) AS nrmse FROM z WHERE span_from IS NOT NULL GROUP BY 1, 2""")
 def holdout_reconstruction(t: Tables) -> DataFrame:
     """Segments rebuilt from the one before and the one after, by the hours between these."""
     return rounded(rebuild.by_span(rebuild.held_out(segments(t), "ch0", hours()), _SPANS), 6, "r2", "nrmse")
@@ -169,7 +173,8 @@ def validated_join(t: Tables) -> DataFrame:
 _DECIDED = SCORES + """, th AS (SELECT fold, quantile_cont(score, 0.9) AS thr FROM sc WHERE label = 0 GROUP BY 1), hit AS (SELECT sc.*, score > thr AS h FROM sc JOIN th USING (fold)),
 run AS (SELECT *, sum(h::INT) OVER (PARTITION BY src, seg_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hits FROM hit),
 seg AS (SELECT fold, src, seg_id, label, bool_or(h) AS one, bool_or(hits >= 2) AS several FROM run GROUP BY 1, 2, 3, 4),
-dec AS (SELECT fold, rule, count(*) FILTER (WHERE label = 1 AND alarm) AS detected, count(*) FILTER (WHERE label = 1) AS n_out FROM (SELECT *, 'any' AS rule, one AS alarm FROM seg UNION ALL SELECT *, 'kofn', several FROM seg) GROUP BY 1, 2),
+dec AS (SELECT fold, rule, count(*) FILTER (WHERE label = 1 AND alarm) AS detected, count(*) FILTER (WHERE label = 1) AS n_out FROM (SELECT *, 'any' AS rule, one AS alarm FROM seg
+  UNION ALL SELECT *, 'kofn', several FROM seg) GROUP BY 1, 2),
 sm AS (SELECT fold, count(*) FILTER (WHERE h) / count(*)::DOUBLE AS fpr_sample FROM hit WHERE label = 0 GROUP BY 1)"""
 
 
@@ -251,8 +256,10 @@ def robust_summary(t: Tables) -> DataFrame:
     return rounded(made, 6, "median", "mad", "iqr")
 
 
-@query("""WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ac, corr(l_extendedprice, l_discount) AS bc FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL)
-SELECT 'l_quantity' AS feature, round(1 / (1 - (ab * ab + ac * ac - 2 * ab * ac * bc) / (1 - bc * bc)), 6) AS vif FROM c UNION ALL SELECT 'l_extendedprice', round(1 / (1 - (ab * ab + bc * bc - 2 * ab * ac * bc) / (1 - ac * ac)), 6) FROM c
+@query("""WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ac, corr(l_extendedprice, l_discount) AS bc FROM lineitem
+  WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL)
+SELECT 'l_quantity' AS feature, round(1 / (1 - (ab * ab + ac * ac - 2 * ab * ac * bc) / (1 - bc * bc)), 6) AS vif FROM c UNION ALL SELECT 'l_extendedprice',
+  round(1 / (1 - (ab * ab + bc * bc - 2 * ab * ac * bc) / (1 - ac * ac)), 6) FROM c
 UNION ALL SELECT 'l_discount', round(1 / (1 - (ac * ac + bc * bc - 2 * ab * ac * bc) / (1 - ab * ab)), 6) FROM c""")
 def vif_table(t: Tables) -> DataFrame:
     """How far each column follows from the others; a row a column."""
@@ -260,7 +267,8 @@ def vif_table(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "feature string, vif double")
 
 
-_CELLS = KEYS + """, cl AS (SELECT CAST(src % 5 AS INTEGER) AS fold, count(*) FILTER (WHERE state = 1 AND label = 1) AS a, count(*) FILTER (WHERE state = 1 AND label = 0) AS b, count(*) FILTER (WHERE state = 0 AND label = 1) AS c, count(*) FILTER (WHERE state = 0 AND label = 0) AS d FROM k GROUP BY 1)"""
+_CELLS = KEYS + """, cl AS (SELECT CAST(src % 5 AS INTEGER) AS fold, count(*) FILTER (WHERE state = 1 AND label = 1) AS a, count(*) FILTER (WHERE state = 1 AND label = 0) AS b,
+  count(*) FILTER (WHERE state = 0 AND label = 1) AS c, count(*) FILTER (WHERE state = 0 AND label = 0) AS d FROM k GROUP BY 1)"""
 
 
 def cells(t: Tables) -> DataFrame:
@@ -270,8 +278,10 @@ def cells(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_CELLS}, xs AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM cl),
-lp AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS m, lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1) AS g, lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1) AS g0 FROM xs)
-SELECT fold, a, b, c, d, round(CASE WHEN max(b * c) <> 0 THEN max(a * d) / max(b * c)::DOUBLE END, 6) AS odds_ratio, round(least(1.0, sum(exp(m - g)) FILTER (WHERE m - g <= m - g0 + 1e-7)), 6) AS p FROM lp GROUP BY fold, a, b, c, d""")
+lp AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS m,
+  lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1) AS g, lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1) AS g0 FROM xs)
+SELECT fold, a, b, c, d, round(CASE WHEN max(b * c) <> 0 THEN max(a * d) / max(b * c)::DOUBLE END, 6) AS odds_ratio, round(least(1.0,
+  sum(exp(m - g)) FILTER (WHERE m - g <= m - g0 + 1e-7)), 6) AS p FROM lp GROUP BY fold, a, b, c, d""")
 def fisher_by_fold(t: Tables) -> DataFrame:
     """Exact test of label by state in each fold; a row a fold."""
     exact = F.pandas_udf(lambda a, b, c, d: pd.Series([stats.fisher_exact(*map(int, x)) for x in zip(a, b, c, d, strict=True)]), "double")
@@ -318,7 +328,8 @@ rl AS (SELECT src, seg_id, pos, corr(ch0, ch1) {_CUM.replace('UNBOUNDED PRECEDIN
   {', '.join(f"{_ac_sql(c, 'CURRENT ROW', 9)} AS {c}_ac1_win, {_ac_sql(c, 'UNBOUNDED PRECEDING', 9)} AS {c}_ac1_cum" for c in ('ch0', 'ch1'))} FROM nx)"""
 
 
-@query(_ALL + f""" SELECT w.src, w.seg_id, w.pos, {_amp_sql('ch0')}, {_amp_sql('ch1')}, round(ch0_rms / nullif(ch1_rms, 0), 5) AS rms_ratio, CASE WHEN ch0_hi > ch0_lo AND ch1_hi > ch1_lo THEN round(corr_win, 3) END AS corr_win, round(corr_cum, 3) AS corr_cum,
+@query(_ALL + f""" SELECT w.src, w.seg_id, w.pos, {_amp_sql('ch0')}, {_amp_sql('ch1')}, round(ch0_rms / nullif(ch1_rms, 0), 5) AS rms_ratio,
+  CASE WHEN ch0_hi > ch0_lo AND ch1_hi > ch1_lo THEN round(corr_win, 3) END AS corr_win, round(corr_cum, 3) AS corr_cum,
   round(ch0_ac1_win, 3) AS ch0_ac1_win, round(ch0_ac1_cum, 3) AS ch0_ac1_cum, round(ch1_ac1_win, 3) AS ch1_ac1_win, round(ch1_ac1_cum, 3) AS ch1_ac1_cum FROM w JOIN rl USING (src, seg_id, pos)""")
 def full_window_features(t: Tables) -> DataFrame:
     """All features of windows of ten samples of both channels."""
@@ -328,8 +339,10 @@ def full_window_features(t: Tables) -> DataFrame:
     return rounded(own, 5, "rms_ratio").drop("n", "ts")
 
 
-@query(f"""WITH {SEGMENTS}, y AS (SELECT src, seg_id, pos, n, ch0 - avg(ch0) OVER (PARTITION BY src, seg_id) AS y FROM p), b AS (SELECT src, seg_id, n, kk, pow(sum(y * cos(2 * pi() * kk * pos / n)), 2) + pow(sum(y * sin(2 * pi() * kk * pos / n)), 2) AS pw
-  FROM y, LATERAL (SELECT unnest(range(1, n // 2 + 1)) AS kk) WHERE n > 1 GROUP BY 1, 2, 3, 4) SELECT src, seg_id, round(sum(CASE WHEN kk <= 0.1::DOUBLE * n THEN pw ELSE 0 END) / nullif(sum(pw), 0), 6) AS share FROM b GROUP BY 1, 2""")
+@query(f"""WITH {SEGMENTS}, y AS (SELECT src, seg_id, pos, n, ch0 - avg(ch0) OVER (PARTITION BY src, seg_id) AS y FROM p), b AS (SELECT src, seg_id, n, kk,
+  pow(sum(y * cos(2 * pi() * kk * pos / n)), 2) + pow(sum(y * sin(2 * pi() * kk * pos / n)), 2) AS pw
+  FROM y, LATERAL (SELECT unnest(range(1, n // 2 + 1)) AS kk) WHERE n > 1 GROUP BY 1, 2, 3, 4) SELECT src, seg_id,
+  round(sum(CASE WHEN kk <= 0.1::DOUBLE * n THEN pw ELSE 0 END) / nullif(sum(pw), 0), 6) AS share FROM b GROUP BY 1, 2""")
 def low_frequency_share(t: Tables) -> DataFrame:
     """Power of a segment below a tenth of the sampling rate."""
     return rounded(fe.low_frequency_share(segments(t), "ch0", 0.1), 6, "share")
@@ -352,7 +365,8 @@ def duplicate_column_scan(t: Tables) -> DataFrame:
 
 
 _TREND = f"""WITH RECURSIVE {KEYS}, x AS (SELECT src, seg_id, ln(greatest(rms0, 1e-6)) AS x, src % 5 <> 0 AND label = 0 AS train FROM k), i0 AS (SELECT median(x) AS m FROM x WHERE train),
-e AS (SELECT x.src, x.seg_id, x.train, 0.2 * x.x + 0.8 * m AS s FROM x CROSS JOIN i0 WHERE x.seg_id = 0 UNION ALL SELECT x.src, x.seg_id, x.train, 0.2 * x.x + 0.8 * e.s FROM e JOIN x ON x.src = e.src AND x.seg_id = e.seg_id + 1),
+e AS (SELECT x.src, x.seg_id, x.train, 0.2 * x.x + 0.8 * m AS s FROM x CROSS JOIN i0 WHERE x.seg_id = 0 UNION ALL SELECT x.src, x.seg_id, x.train, 0.2 * x.x + 0.8 * e.s FROM e
+  JOIN x ON x.src = e.src AND x.seg_id = e.seg_id + 1),
 tq AS (SELECT quantile_cont(s, 0.95) AS thr FROM e WHERE train)"""
 
 
@@ -365,8 +379,10 @@ def trend_alerts(t: Tables) -> DataFrame:
 
 @query("""WITH u AS (SELECT z.feature, z.x FROM lineitem, LATERAL (SELECT unnest([{'feature': 'l_quantity', 'x': l_quantity}, {'feature': 'l_extendedprice', 'x': l_extendedprice}]) AS z) WHERE z.x IS NOT NULL),
 w AS (SELECT feature, 'none' AS transform, x AS y FROM u UNION ALL SELECT feature, 'log1p', ln(x + 1) FROM u),
-m AS (SELECT feature, transform, count(*)::DOUBLE AS n, avg(y) AS mean, stddev_samp(y) AS sd FROM w GROUP BY 1, 2), c AS (SELECT w.feature, w.transform, avg(pow(y - mean, 2)) AS m2, avg(pow(y - mean, 3)) AS m3, avg(pow(y - mean, 4)) AS m4 FROM w JOIN m ON m.feature = w.feature AND m.transform = w.transform GROUP BY 1, 2)
-SELECT feature, transform, CAST(n AS BIGINT) AS n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 5) AS skew, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6), 4) AS kurt FROM m JOIN c USING (feature, transform)""")
+m AS (SELECT feature, transform, count(*)::DOUBLE AS n, avg(y) AS mean, stddev_samp(y) AS sd FROM w GROUP BY 1, 2), c AS (SELECT w.feature, w.transform, avg(pow(y - mean,
+  2)) AS m2, avg(pow(y - mean, 3)) AS m3, avg(pow(y - mean, 4)) AS m4 FROM w JOIN m ON m.feature = w.feature AND m.transform = w.transform GROUP BY 1, 2)
+SELECT feature, transform, CAST(n AS BIGINT) AS n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 5) AS skew,
+  round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6), 4) AS kurt FROM m JOIN c USING (feature, transform)""")
 def transform_effect(t: Tables) -> DataFrame:
     """Shape of two columns as they are and as logarithms."""
     return rounded(rounded(stats.transform_effect(t.lineitem, ["l_quantity", "l_extendedprice"]), 5, "mean", "sd", "skew"), 4, "kurt")
@@ -381,8 +397,10 @@ def pca_loadings(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {KEYS}, b AS (SELECT src, CAST(epoch_us(start) AS DOUBLE) / 1e6::DOUBLE AS t, round(rms0, 6) AS z FROM k), w AS (SELECT src, min(t) + 86400 AS t0, max(t) AS crit FROM b GROUP BY 1),
-h AS (SELECT src, max(crit) - min(CASE WHEN z > 80 AND t >= t0 THEN t END) AS la, max(crit) - min(CASE WHEN z > 60 AND t >= t0 THEN t END) AS lb FROM b JOIN w USING (src) GROUP BY 1), gn AS (SELECT *, lb - la AS gain FROM h)
-SELECT count(gain) AS n_both, count(*) FILTER (WHERE la IS NOT NULL AND lb IS NULL) AS n_only_first, count(*) FILTER (WHERE la IS NULL AND lb IS NOT NULL) AS n_only_second, round(avg(gain), 3) AS mean_gain, round(median(gain), 3) AS median_gain,
+h AS (SELECT src, max(crit) - min(CASE WHEN z > 80 AND t >= t0 THEN t END) AS la, max(crit) - min(CASE WHEN z > 60 AND t >= t0 THEN t END) AS lb FROM b JOIN w USING (src)
+  GROUP BY 1), gn AS (SELECT *, lb - la AS gain FROM h)
+SELECT count(gain) AS n_both, count(*) FILTER (WHERE la IS NOT NULL AND lb IS NULL) AS n_only_first, count(*) FILTER (WHERE la IS NULL AND lb IS NOT NULL) AS n_only_second,
+  round(avg(gain), 3) AS mean_gain, round(median(gain), 3) AS median_gain,
   round(avg(CASE WHEN gain > 0 THEN 1.0::DOUBLE WHEN gain <= 0 THEN 0.0 END), 6) AS share_gain FROM gn""")
 def paired_gain(t: Tables) -> DataFrame:
     """How much earlier a lower limit warns than a higher one, stream by stream."""

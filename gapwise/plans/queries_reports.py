@@ -83,8 +83,10 @@ def state_accuracy(t: Tables) -> DataFrame:
 
 
 @query(_SF + """, u AS (SELECT 'rms' AS feature, label, round(rms, 6) AS x FROM sf UNION ALL SELECT 'peak', label, peak FROM sf UNION ALL SELECT 'dc', label, round(abs(dc), 6) FROM sf
-  UNION ALL SELECT 'dc_share', label, round(abs(dc) / nullif(rms, 0), 8) FROM sf), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk FROM u WHERE x IS NOT NULL),
-a AS (SELECT feature, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * (count(*) - sum(label)), 0) AS auc, CAST(sum(label) AS BIGINT) AS n_pos, CAST(count(*) - sum(label) AS BIGINT) AS n_neg FROM r GROUP BY 1)
+  UNION ALL SELECT 'dc_share', label, round(abs(dc) / nullif(rms, 0), 8) FROM sf), r AS (SELECT *, rank() OVER (PARTITION BY feature
+  ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk FROM u WHERE x IS NOT NULL),
+a AS (SELECT feature, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * (count(*) - sum(label)), 0) AS auc, CAST(sum(label) AS BIGINT) AS n_pos,
+  CAST(count(*) - sum(label) AS BIGINT) AS n_neg FROM r GROUP BY 1)
 SELECT feature, round(auc, 6) AS auc, round(greatest(auc, 1 - auc), 6) AS symmetric, n_pos, n_neg FROM a""")
 def feature_auc(t: Tables) -> DataFrame:
     """Each feature's AUC, and that of the offset and its share of the RMS, which should tell nothing."""
@@ -150,7 +152,8 @@ def row_deciles(t: Tables) -> DataFrame:
     return rounded(rounded(fe.row_deciles(samples(t), "ch0"), 6, "mean"), 4, "rms")
 
 
-@query(f"""WITH {SCORES}, k AS (SELECT DISTINCT src, seg_id FROM sc WHERE label = 0), pl AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY seg_id) - 1) / (count(*) OVER (PARTITION BY src))::DOUBLE AS place FROM k),
+@query(f"""WITH {SCORES}, k AS (SELECT DISTINCT src, seg_id FROM sc WHERE label = 0), pl AS (SELECT *, (row_number() OVER (PARTITION BY src
+  ORDER BY seg_id) - 1) / (count(*) OVER (PARTITION BY src))::DOUBLE AS place FROM k),
 o AS (SELECT sc.*, place, f AS fraction FROM sc JOIN pl USING (src, seg_id) CROSS JOIN (SELECT unnest([0.4::DOUBLE, 0.6::DOUBLE]) AS f) WHERE label = 0),
 h AS (SELECT fraction, quantile_cont(score, 0.9) AS thr FROM o WHERE place < fraction GROUP BY 1),
 g2 AS (SELECT fraction, src, seg_id, max(thr) AS thr, bool_or(score > thr) AS a, count(*) AS n, count(*) FILTER (WHERE score > thr) AS k FROM o JOIN h USING (fraction) WHERE place >= fraction GROUP BY 1, 2, 3)
@@ -169,10 +172,13 @@ def delay_reasons(t: Tables) -> DataFrame:
     return rounded(rp.delay_table(segment_keys(t), ev.segment_alarms(above(t)), 10), 4, "delay")
 
 
-@query(_ALARMS + """, c AS (SELECT fold, count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp, count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn, count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn FROM a GROUP BY fold),
+@query(_ALARMS + """, c AS (SELECT fold, count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp,
+  count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn, count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn FROM a GROUP BY fold),
 s2 AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, (SELECT count(*) FROM ks WHERE label = 1 AND n < 10) AS miss FROM c)
-SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS "precision", round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall,
-round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1, CAST(fn + miss AS BIGINT) AS fn_all, round(tp / nullif(tp + fn + miss, 0)::DOUBLE, 6) AS recall_all, round(2 * tp / nullif(2 * tp + fp + fn + miss, 0)::DOUBLE, 6) AS f1_all FROM s2""")
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS "precision",
+  round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall,
+round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1, CAST(fn + miss AS BIGINT) AS fn_all, round(tp / nullif(tp + fn + miss, 0)::DOUBLE, 6) AS recall_all,
+  round(2 * tp / nullif(2 * tp + fp + fn + miss, 0)::DOUBLE, 6) AS f1_all FROM s2""")
 def pooled_confusion(t: Tables) -> DataFrame:
     """Counts of all folds pooled; abnormal segments too short for a window count as missed in fn_all."""
     by_fold = ev.confusion(ev.segment_alarms(above(t)).withColumn("fold", (F.col("src") % 5).cast("int")), ["fold"])
@@ -187,7 +193,8 @@ def state_rates(t: Tables) -> DataFrame:
     return rounded(rp.state_rates(above(t)), 6, "fpr_sample", "fpr_segment")
 
 
-@query(f"""WITH {SCORES}, m AS (SELECT state, src, seg_id, max(score) AS stat FROM sc WHERE label = 0 GROUP BY 1, 2, 3), r AS (SELECT state, stat, row_number() OVER (PARTITION BY state ORDER BY stat DESC, src, seg_id) AS rk, count(*) OVER (PARTITION BY state) AS total FROM m),
+@query(f"""WITH {SCORES}, m AS (SELECT state, src, seg_id, max(score) AS stat FROM sc WHERE label = 0 GROUP BY 1, 2, 3), r AS (SELECT state, stat,
+  row_number() OVER (PARTITION BY state ORDER BY stat DESC, src, seg_id) AS rk, count(*) OVER (PARTITION BY state) AS total FROM m),
 goal AS (SELECT unnest([0.05::DOUBLE, 0.2::DOUBLE]) AS target)
 SELECT state, target, total, CAST(floor(target * total + 1e-9) AS BIGINT) AS m, stat AS thr FROM r JOIN goal ON rk = least(floor(target * total + 1e-9) + 1, total)""")
 def state_operating_points(t: Tables) -> DataFrame:
@@ -200,8 +207,10 @@ def _rule_sql(name: str, k: int, n: int) -> str:
 
 
 @query(f"""WITH {THRESHOLD}, a AS ({_rule_sql('any', 1, 1)} UNION ALL {_rule_sql('2of3', 2, 3)}),
-c AS (SELECT rule, count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp, count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn, count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn, avg(delay) FILTER (WHERE label = 1) AS mean_delay FROM a GROUP BY rule)
-SELECT rule, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS "precision", round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1, round(mean_delay, 4) AS mean_delay FROM c""")
+c AS (SELECT rule, count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp, count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn,
+  count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn, avg(delay) FILTER (WHERE label = 1) AS mean_delay FROM a GROUP BY rule)
+SELECT rule, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS "precision", round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn,
+  0)::DOUBLE, 6) AS f1, round(mean_delay, 4) AS mean_delay FROM c""")
 def rule_metrics(t: Tables) -> DataFrame:
     out = rp.rule_metrics(above(t), {"any": ("any", 1, 1), "2of3": ("kofn", 2, 3)})
     return rounded(rounded(out, 6, "precision", "recall", "f1"), 4, "mean_delay")
@@ -241,14 +250,17 @@ _Z = f"""WITH {SCORES}, th AS (SELECT quantile_cont(score, 0.9) AS a, quantile_c
 ks AS (SELECT src, seg_id, count(*) AS n FROM p GROUP BY src, seg_id)"""
 
 
-@query(_Z + """, x AS (SELECT src, seg_id, count(*) AS k, bool_or(z1 > 1 OR z2 > 1) AS c, bool_or(z1 > 1 AND z2 > 1) AS a, min(CASE WHEN z1 > 1 OR z2 > 1 THEN t END) AS fc, min(CASE WHEN z1 > 1 AND z2 > 1 THEN t END) AS fa FROM z GROUP BY 1, 2)
-SELECT src, seg_id, n, coalesce(k, 0) AS n_windows, k IS NOT NULL AS judgable, c::INTEGER AS caution, a::INTEGER AS alarm, fc AS first_caution, fa AS first_alarm, CASE WHEN k IS NULL THEN 'shorter than 10 samples' END AS note
+@query(_Z + """, x AS (SELECT src, seg_id, count(*) AS k, bool_or(z1 > 1 OR z2 > 1) AS c, bool_or(z1 > 1 AND z2 > 1) AS a, min(CASE WHEN z1 > 1 OR z2 > 1 THEN t END) AS fc,
+  min(CASE WHEN z1 > 1 AND z2 > 1 THEN t END) AS fa FROM z GROUP BY 1, 2)
+SELECT src, seg_id, n, coalesce(k, 0) AS n_windows, k IS NOT NULL AS judgable, c::INTEGER AS caution, a::INTEGER AS alarm, fc AS first_caution, fa AS first_alarm,
+  CASE WHEN k IS NULL THEN 'shorter than 10 samples' END AS note
 FROM ks LEFT JOIN x USING (src, seg_id)""")
 def predictions(t: Tables) -> DataFrame:
     return rp.predictions(calibrated(t), segment_keys(t), 10)
 
 
-@query(_Z + """, c AS (SELECT count(*) FILTER (WHERE NOT coalesce(z1 >= 0 AND z2 >= 0, false)) AS a, count(*) FILTER (WHERE NOT coalesce(least(z1, z2) <= greatest(z1, z2), false)) AS b, count(*) FILTER (WHERE NOT coalesce(t % 5 = 0, false)) AS c, count(*) FILTER (WHERE NOT coalesce(z1 > 0.5, false)) AS d FROM z)
+@query(_Z + """, c AS (SELECT count(*) FILTER (WHERE NOT coalesce(z1 >= 0 AND z2 >= 0, false)) AS a, count(*) FILTER (WHERE NOT coalesce(least(z1, z2) <= greatest(z1, z2),
+  false)) AS b, count(*) FILTER (WHERE NOT coalesce(t % 5 = 0, false)) AS c, count(*) FILTER (WHERE NOT coalesce(z1 > 0.5, false)) AS d FROM z)
 SELECT 'not_negative' AS "check", a AS n_bad, a = 0 AS ok FROM c UNION ALL SELECT 'alarm_in_caution', b, b = 0 FROM c UNION ALL SELECT 'on_the_grid', c, c = 0 FROM c UNION ALL SELECT 'loud', d, d = 0 FROM c""")
 def contract_checks(t: Tables) -> DataFrame:
     z1, z2 = F.col("z1"), F.col("z2")
@@ -261,7 +273,8 @@ def score_margins(t: Tables) -> DataFrame:
     return rounded(rp.margins(above(t), ["label", "state"]), 5, "p5", "p50", "p95")
 
 
-@query(f"""WITH {SCORES}, f AS (SELECT unnest([0, 1, 2, 3, 4]) AS k) SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (WHERE fold <> k) AS train_windows, count(DISTINCT CASE WHEN fold <> k THEN src * 1000000 + seg_id END) AS train_segments,
+@query(f"""WITH {SCORES}, f AS (SELECT unnest([0, 1, 2, 3, 4]) AS k) SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (WHERE fold <> k) AS train_windows,
+  count(DISTINCT CASE WHEN fold <> k THEN src * 1000000 + seg_id END) AS train_segments,
 count(*) FILTER (WHERE fold = k) AS test_windows, count(DISTINCT CASE WHEN fold = k THEN src * 1000000 + seg_id END) AS test_segments FROM sc CROSS JOIN f GROUP BY k""")
 def split_sizes(t: Tables) -> DataFrame:
     seg = scores(t).groupBy("fold", "src", "seg_id").agg(F.count("*").alias("n"))
@@ -307,13 +320,15 @@ def degradation_ramp(t: Tables) -> DataFrame:
     return own.select("src", "event_id", R("severity", 6).alias("severity"), R(F.col("ch0") * (1 + F.col("severity")), 6).alias("degraded"))
 
 
-@query(f"""WITH {SEGMENTS}, c AS (SELECT *, CASE WHEN pos < 5 THEN 'start' WHEN pos < 20 THEN 'middle' ELSE 'late' END AS part FROM p) SELECT part, count(*) AS n, round(avg(ch0), 6) AS mean, round(stddev_pop(ch0), 5) AS sd FROM c GROUP BY part""")
+@query(f"""WITH {SEGMENTS}, c AS (SELECT *, CASE WHEN pos < 5 THEN 'start' WHEN pos < 20 THEN 'middle' ELSE 'late' END AS part FROM p) SELECT part, count(*) AS n, round(avg(ch0),
+  6) AS mean, round(stddev_pop(ch0), 5) AS sd FROM c GROUP BY part""")
 def position_bins(t: Tables) -> DataFrame:
     part = F.when(F.col("pos") < 5, "start").when(F.col("pos") < 20, "middle").otherwise("late")
     return segments(t).groupBy(part.alias("part")).agg(F.count("*").alias("n"), R(F.avg("ch0"), 6).alias("mean"), R(F.stddev_pop("ch0"), 5).alias("sd"))
 
 
-@query(_BURST + """, s3 AS (SELECT src, seg_id, ln(zc_mean) AS x, row_number() OVER (PARTITION BY src ORDER BY seg_id) AS i FROM bt WHERE zc_mean > 0), s4 AS (SELECT *, x - lag(x) OVER (PARTITION BY src ORDER BY i) AS step FROM s3)
+@query(_BURST + """, s3 AS (SELECT src, seg_id, ln(zc_mean) AS x, row_number() OVER (PARTITION BY src ORDER BY seg_id) AS i FROM bt WHERE zc_mean > 0), s4 AS (SELECT *,
+  x - lag(x) OVER (PARTITION BY src ORDER BY i) AS step FROM s3)
 SELECT src, count(*) AS n, round(avg(x), 5) AS mean_log, round(stddev_samp(step), 5) AS sd_step FROM s4 GROUP BY src""")
 def log_trend(t: Tables) -> DataFrame:
     from pyspark.sql import Window
@@ -323,13 +338,15 @@ def log_trend(t: Tables) -> DataFrame:
     return own.groupBy("src").agg(F.count("*").alias("n"), R(F.avg("x"), 5).alias("mean_log"), R(F.stddev_samp("step"), 5).alias("sd_step"))
 
 
-@query(f"""WITH {SCORES}, w2 AS (SELECT src, seg_id, t, avg(score) OVER (PARTITION BY src, seg_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS m FROM sc) SELECT src, seg_id, t, round(m, 6) AS window_score FROM w2""")
+@query(f"""WITH {SCORES}, w2 AS (SELECT src, seg_id, t, avg(score) OVER (PARTITION BY src, seg_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS m FROM sc) SELECT src,
+  seg_id, t, round(m, 6) AS window_score FROM w2""")
 def window_mean_score(t: Tables) -> DataFrame:
     own = scores(t).withColumn("pos", F.col("t"))
     return own.select("src", "seg_id", "t", R(F.avg("score").over(in_segment().rowsBetween(0, 2)), 6).alias("window_score"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '(?:guarantee[ds]?|never fails?|worthless|always safe)'))), ',') AS claims FROM documents WHERE regexp_matches(lower(text), '(?:guarantee[ds]?|never fails?|worthless|always safe)')""")
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '(?:guarantee[ds]?|never fails?|worthless|always safe)'))), ',') AS claims
+  FROM documents WHERE regexp_matches(lower(text), '(?:guarantee[ds]?|never fails?|worthless|always safe)')""")
 def unsafe_claims(t: Tables) -> DataFrame:
     from gapwise.operators.explain import citations
 

@@ -62,7 +62,8 @@ def false_positive_rates(t: Tables) -> DataFrame:
 
 
 _AUC = """r AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0 AS rk FROM {f} WHERE {x} IS NOT NULL)
-SELECT {by}, round(CASE WHEN sum({y}) > 0 AND sum({y}) < count(*) THEN (sum(rk * {y}) - sum({y}) * (sum({y}) + 1) / 2.0) / (sum({y}) * (count(*) - sum({y}))) END, 6) AS auc, CAST(sum({y}) AS BIGINT) AS n_pos, CAST(count(*) - sum({y}) AS BIGINT) AS n_neg FROM r GROUP BY {by}"""
+SELECT {by}, round(CASE WHEN sum({y}) > 0 AND sum({y}) < count(*) THEN (sum(rk * {y}) - sum({y}) * (sum({y}) + 1) / 2.0) / (sum({y}) * (count(*) - sum({y}))) END, 6) AS auc,
+  CAST(sum({y}) AS BIGINT) AS n_pos, CAST(count(*) - sum({y}) AS BIGINT) AS n_neg FROM r GROUP BY {by}"""
 
 
 @query(f"WITH {SCORES}, " + _AUC.format(by="fold", x="score", y="label", f="sc"))
@@ -84,7 +85,8 @@ def roc_curve(t: Tables) -> DataFrame:
     return ev.roc_points(own).select("thr", R("tpr", 6).alias("tpr"), R("fpr", 6).alias("fpr"), R("precision", 6).alias("precision"))
 
 
-@query(f"""WITH {THRESHOLD} SELECT src, seg_id, max(label) AS label, count(*) AS n_used, max(hit) = 1 AS alarm, min(CASE WHEN hit = 1 THEN t END) AS first_t, round(min(CASE WHEN hit = 1 THEN t END) + 0.9::DOUBLE, 4) AS delay FROM st GROUP BY src, seg_id""")
+@query(f"""WITH {THRESHOLD} SELECT src, seg_id, max(label) AS label, count(*) AS n_used, max(hit) = 1 AS alarm, min(CASE WHEN hit = 1 THEN t END) AS first_t,
+  round(min(CASE WHEN hit = 1 THEN t END) + 0.9::DOUBLE, 4) AS delay FROM st GROUP BY src, seg_id""")
 def alarm_any(t: Tables) -> DataFrame:
     return ev.segment_alarms(above(t)).withColumn("delay", R("delay"))
 
@@ -108,16 +110,19 @@ def alarm_quantile(t: Tables) -> DataFrame:
 _RATES = "round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS \"precision\", round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1"
 
 
-@query(_KOFN + f""", c AS (SELECT count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp, count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn, count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn FROM a)
+@query(_KOFN + f""", c AS (SELECT count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp,
+  count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn, count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn FROM a)
 SELECT *, {_RATES} FROM c""")
 def confusion_f1(t: Tables) -> DataFrame:
     out = ev.confusion(ev.segment_alarms(above(t), "kofn", 2, 3, skip_first=1))
     return out.withColumns({c: R(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query(f"""WITH {SCORES}, th AS (SELECT 0.8::DOUBLE AS q, quantile_cont(score, 0.8) AS thr FROM sc WHERE label = 0 UNION ALL SELECT 0.9::DOUBLE, quantile_cont(score, 0.9) FROM sc WHERE label = 0 UNION ALL SELECT 0.95::DOUBLE, quantile_cont(score, 0.95) FROM sc WHERE label = 0),
+@query(f"""WITH {SCORES}, th AS (SELECT 0.8::DOUBLE AS q, quantile_cont(score, 0.8) AS thr FROM sc WHERE label = 0 UNION ALL SELECT 0.9::DOUBLE, quantile_cont(score, 0.9) FROM sc
+  WHERE label = 0 UNION ALL SELECT 0.95::DOUBLE, quantile_cont(score, 0.95) FROM sc WHERE label = 0),
 a AS (SELECT q, src, seg_id, max(label) AS label, bool_or(score > thr) AS alarm FROM sc CROSS JOIN th GROUP BY q, src, seg_id),
-c AS (SELECT q, count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp, count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn, count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn FROM a GROUP BY q)
+c AS (SELECT q, count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp, count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn,
+  count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn FROM a GROUP BY q)
 SELECT *, {_RATES} FROM c""")
 def f1_grid(t: Tables) -> DataFrame:
     own, qs = scores(t), [0.8, 0.9, 0.95]
@@ -127,7 +132,8 @@ def f1_grid(t: Tables) -> DataFrame:
     return ev.confusion(alarms, ("q",)).withColumns({c: R(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query(f"""WITH {SCORES}, m AS (SELECT src, seg_id, max(score) AS stat FROM sc WHERE label = 0 GROUP BY src, seg_id), r AS (SELECT stat, row_number() OVER (ORDER BY stat DESC, src, seg_id) AS rk, count(*) OVER () AS total FROM m),
+@query(f"""WITH {SCORES}, m AS (SELECT src, seg_id, max(score) AS stat FROM sc WHERE label = 0 GROUP BY src, seg_id), r AS (SELECT stat, row_number() OVER (ORDER BY stat DESC, src,
+  seg_id) AS rk, count(*) OVER () AS total FROM m),
 goal AS (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS target)
 SELECT target, total, CAST(floor(target * total + 1e-9) AS BIGINT) AS m, stat AS thr FROM r JOIN goal ON rk = least(floor(target * total + 1e-9) + 1, total)""")
 def operating_point(t: Tables) -> DataFrame:
@@ -168,7 +174,8 @@ def fusion(t: Tables) -> DataFrame:
 
 
 @query(_TWO + """, a AS (SELECT fold, src, seg_id, bool_or(z1 > 1) AS a, bool_or(z2 > 1) AS b FROM z WHERE label = 0 GROUP BY fold, src, seg_id)
-SELECT fold, count(*) FILTER (WHERE a AND b) AS "both", count(*) FILTER (WHERE a OR b) AS either, round(coalesce(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a OR b), 0)::DOUBLE, 0), 6) AS jaccard FROM a GROUP BY fold""")
+SELECT fold, count(*) FILTER (WHERE a AND b) AS "both", count(*) FILTER (WHERE a OR b) AS either,
+  round(coalesce(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a OR b), 0)::DOUBLE, 0), 6) AS jaccard FROM a GROUP BY fold""")
 def fp_jaccard(t: Tables) -> DataFrame:
     own = calibrated(t).groupBy("fold", "src", "seg_id").agg(F.max("label").alias("label"), F.bool_or(F.col("z1") > 1).alias("a"), F.bool_or(F.col("z2") > 1).alias("b"))
     return ev.overlap(own, "a", "b", ("fold",)).withColumn("jaccard", R("jaccard", 6))
@@ -184,7 +191,8 @@ def two_level_alarm(t: Tables) -> DataFrame:
     return own.select("src", "seg_id", "caution_t", "alarm_t", (F.col("alarm_t") - F.col("caution_t")).alias("gap"), alarm_level(F.col("caution_t").isNotNull(), F.col("alarm_t").isNotNull()).alias("level"))
 
 
-@query(_TWO + """, a AS (SELECT src, seg_id, bool_or(z1 > 1) AS alarm FROM z WHERE label = 0 GROUP BY src, seg_id), h AS (SELECT user_id AS src, (max(epoch_us(ts)) - min(epoch_us(ts))) / 3.6e9::DOUBLE AS hours FROM events GROUP BY user_id)
+@query(_TWO + """, a AS (SELECT src, seg_id, bool_or(z1 > 1) AS alarm FROM z WHERE label = 0 GROUP BY src, seg_id), h AS (SELECT user_id AS src,
+  (max(epoch_us(ts)) - min(epoch_us(ts))) / 3.6e9::DOUBLE AS hours FROM events GROUP BY user_id)
 SELECT src, round(count(*) FILTER (WHERE alarm) / nullif(max(hours), 0), 6) AS per_hour FROM a JOIN h USING (src) GROUP BY src""")
 def hourly_rate(t: Tables) -> DataFrame:
     own = calibrated(t).filter("label = 0").groupBy("src", "seg_id").agg(F.bool_or(F.col("z1") > 1).alias("alarm"))
@@ -192,7 +200,8 @@ def hourly_rate(t: Tables) -> DataFrame:
     return own.join(hours, "src").groupBy("src").agg(R(ratio(F.count_if("alarm"), F.max("hours")), 6).alias("per_hour"))
 
 
-_CAL = f"""WITH {KEYS}, x AS (SELECT src, seg_id, state, round(rms0, 6) AS score, row_number() OVER (PARTITION BY src ORDER BY seg_id DESC) <= greatest(1, floor(0.5 * count(*) OVER (PARTITION BY src) + 0.5)) AS cal FROM k)"""
+_CAL = f"""WITH {KEYS}, x AS (SELECT src, seg_id, state, round(rms0, 6) AS score, row_number() OVER (PARTITION BY src ORDER BY seg_id DESC) <= greatest(1,
+  floor(0.5 * count(*) OVER (PARTITION BY src) + 0.5)) AS cal FROM k)"""
 
 
 def calibration(t: Tables) -> DataFrame:
@@ -214,7 +223,8 @@ def conformal_p(t: Tables) -> DataFrame:
 
 
 @query(_CAL + """, r AS (SELECT state, score, row_number() OVER (PARTITION BY state ORDER BY score) AS i, count(*) OVER (PARTITION BY state) AS n FROM x WHERE cal)
-SELECT state, max(n) AS n_cal, coalesce(max(CASE WHEN i = n + 1 - floor((n + 1) * 0.05::DOUBLE + 1e-9) THEN score END), 'Infinity'::DOUBLE) AS thr, bool_or(floor((n + 1) * 0.05::DOUBLE + 1e-9) > 0) AS attainable FROM r GROUP BY state""")
+SELECT state, max(n) AS n_cal, coalesce(max(CASE WHEN i = n + 1 - floor((n + 1) * 0.05::DOUBLE + 1e-9) THEN score END), 'Infinity'::DOUBLE) AS thr,
+  bool_or(floor((n + 1) * 0.05::DOUBLE + 1e-9) > 0) AS attainable FROM r GROUP BY state""")
 def conformal_threshold(t: Tables) -> DataFrame:
     return conformal.thresholds(calibration(t).filter("calibration"), "state", 0.05)
 

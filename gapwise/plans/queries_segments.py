@@ -91,7 +91,8 @@ def dc_expanding(t: Tables) -> DataFrame:
     return clean.remove_offset(segments(t), "ch0", "expanding").select("src", "event_id", R("clean", 8).alias("clean"))
 
 
-@query(f"""WITH {SEGMENTS} SELECT src, event_id, round(CASE WHEN n >= 3 THEN ch0 - (regr_intercept(ch0, pos) OVER s + regr_slope(ch0, pos) OVER s * pos) ELSE ch0 - avg(ch0) OVER s END, 7) AS clean FROM p WINDOW s AS (PARTITION BY src, seg_id)""")
+@query(f"""WITH {SEGMENTS} SELECT src, event_id, round(CASE WHEN n >= 3 THEN ch0 - (regr_intercept(ch0, pos) OVER s + regr_slope(ch0,
+  pos) OVER s * pos) ELSE ch0 - avg(ch0) OVER s END, 7) AS clean FROM p WINDOW s AS (PARTITION BY src, seg_id)""")
 def dc_detrend(t: Tables) -> DataFrame:
     return clean.remove_offset(segments(t), "ch0", "detrend").select("src", "event_id", R("clean", 7).alias("clean"))
 
@@ -144,7 +145,8 @@ def scalar_transforms(t: Tables) -> DataFrame:
     )
 
 
-@query(f"""WITH {SEGMENTS}, x AS (SELECT *, corr(ch0, ch1) OVER f AS c, max(ch0) OVER f > min(ch0) OVER f AND max(ch1) OVER f > min(ch1) OVER f AS ok FROM p WINDOW f AS (PARTITION BY src, seg_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
+@query(f"""WITH {SEGMENTS}, x AS (SELECT *, corr(ch0, ch1) OVER f AS c, max(ch0) OVER f > min(ch0) OVER f AND max(ch1) OVER f > min(ch1) OVER f AS ok FROM p
+  WINDOW f AS (PARTITION BY src, seg_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
 SELECT src, seg_id, pos, CASE WHEN ok THEN round(c, 3) END AS corr FROM x WHERE pos % 5 = 0 AND pos + 10 <= n""")
 def relation_windows(t: Tables) -> DataFrame:
     return seg.relation_windows(segments(t), WIN, STEP).select("src", "seg_id", "pos", R("corr", 3).alias("corr"))
@@ -196,13 +198,15 @@ def format_features(t: Tables) -> DataFrame:
     return own.groupBy("src", "seg_id").agg(R(F.countDistinct("ch0") / F.count("*"), 6).alias("uniq"), R(F.avg(grid), 6).alias("grid_share"), F.count_if(F.col("ch0") >= 0.99 * F.col("hi")).alias("n_clip"))
 
 
-@query(f"""WITH {KEYS}, f AS (SELECT unnest([0.6::DOUBLE, 2.4::DOUBLE, 7.3::DOUBLE]) AS f_true) SELECT f_true, fs, round(abs(f_true - fs * round_even(f_true / fs, 0)), 6) AS f_alias FROM f CROSS JOIN (SELECT unnest([5.0::DOUBLE, 10.0::DOUBLE]) AS fs)""".replace(KEYS + ", ", ""))
+@query(f"""WITH {KEYS}, f AS (SELECT unnest([0.6::DOUBLE, 2.4::DOUBLE, 7.3::DOUBLE]) AS f_true) SELECT f_true, fs, round(abs(f_true - fs * round_even(f_true / fs, 0)),
+  6) AS f_alias FROM f CROSS JOIN (SELECT unnest([5.0::DOUBLE, 10.0::DOUBLE]) AS fs)""".replace(KEYS + ", ", ""))
 def alias_table(t: Tables) -> DataFrame:
     own = t.spark.createDataFrame([(x,) for x in (0.6, 2.4, 7.3)], "f_true double").crossJoin(t.spark.createDataFrame([(5.0,), (10.0,)], "fs double"))
     return own.select("f_true", "fs", R(F.abs(F.col("f_true") - F.col("fs") * F.rint(F.col("f_true") / F.col("fs"))), 6).alias("f_alias"))
 
 
-@query(f"""WITH {SEGMENTS}, m AS (SELECT avg(ch0) AS mu, stddev_samp(ch0) AS sd FROM p WHERE (src + seg_id) % 7 <> 0) SELECT src, round(avg(CASE WHEN abs((ch0 - mu) / sd) > 3 THEN 1.0 ELSE 0.0 END), 6) AS share FROM p CROSS JOIN m GROUP BY src""")
+@query(f"""WITH {SEGMENTS}, m AS (SELECT avg(ch0) AS mu, stddev_samp(ch0) AS sd FROM p WHERE (src + seg_id) % 7 <> 0) SELECT src,
+  round(avg(CASE WHEN abs((ch0 - mu) / sd) > 3 THEN 1.0 ELSE 0.0 END), 6) AS share FROM p CROSS JOIN m GROUP BY src""")
 def outlier_share(t: Tables) -> DataFrame:
     own = segments(t)
     ref = own.filter("(src + seg_id) % 7 != 0").agg(F.avg("ch0").alias("mu"), F.stddev_samp("ch0").alias("sd"))

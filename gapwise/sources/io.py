@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import io
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,33 @@ def require_columns(frame: DataFrame, columns: Sequence[str], what: str = "table
     return frame
 
 
+def probe(spark: SparkSession, path: str, kind: str = "csv") -> dict[str, str]:
+    """Columns of a table and their types, without reading its rows; all columns of a CSV table are text, as its first line alone is read."""
+    reader = spark.read.option("header", True) if kind == "csv" else spark.read
+    return dict(reader.format(kind).load(path).dtypes)
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to the end at a path, in any store that Spark reads."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def materialised(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table of a path; made and written first where it isn't there, or a writer was lost before its end."""
+    if not is_there(spark, path):
+        make().write.parquet(path, mode="overwrite")
+    return spark.read.parquet(path)
+
+
+def job_folder(base: str, job: str, *parts: object) -> str:
+    """The folder of a job's outputs: its name and parameters, as far as names of folders can hold them. Different ones don't share one."""
+    def plain(x: object) -> str:
+        return "".join(c if c.isascii() and (c.isalnum() or c in "-_") else f"%{ord(c):x}%" for c in str(x)) or "%"
+
+    return "/".join([base.rstrip("/"), plain(job), *map(plain, parts)])
+
+
 def sniff(head: bytes) -> str:
     """The first encoding that a file's head can be read in; a mark at its start decides."""
     if head.startswith(b"\xef\xbb\xbf"):

@@ -281,3 +281,16 @@ def test_small_helpers(spark):
     assert {r.seg_id: [z.x for z in r.samples] for r in segments.segment_arrays(rows, ("x",)).collect()} == {0: [2.0, 4.0, 9.0], 1: [1.0]}
     assert rows.agg(robust_scale(F.col("x"))).first()[0] == pytest.approx((np.quantile([2, 4, 9, 1], 0.75) - np.quantile([2, 4, 9, 1], 0.25)) / 1.349)
     assert spark.range(1).select(evaluate.hourly(F.lit(0.5), F.lit(20), F.lit(4.0))).first()[0] == 2.5
+
+
+def test_tables_that_are_made_when_missing(spark, tmp_path):
+    made, path = [], str(tmp_path / "t")
+    make = lambda: made.append(1) or spark.range(3)
+    assert not io.is_there(spark, path) and io.materialised(spark, path, make).count() == 3 and io.materialised(spark, path, make).count() == 3 and made == [1]
+    (tmp_path / "t" / "_SUCCESS").unlink()  # as if the writer had been lost
+    assert io.materialised(spark, path, make).count() == 3 and made == [1, 1]
+    assert io.probe(spark, path, "parquet") == {"id": "bigint"}
+    io.write_csv(spark.range(2).withColumn("x", F.lit("a")), str(tmp_path / "c"))
+    assert io.probe(spark, str(tmp_path / "c")) == {"id": "string", "x": "string"}
+    names = {io.job_folder("/b/", *x) for x in (("a", 1), ("a", "1/2"), ("a/1", 2), ("a", "1", "2"), ("a", ""), ("a",))}
+    assert len(names) == 6 and io.job_folder("/b", "fit", 3, "é") == "/b/fit/3/%e9%"
