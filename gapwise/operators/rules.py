@@ -177,7 +177,7 @@ def calibration_study(keys: DataFrame, by: str, fraction: float, alphas: Sequenc
     """alpha, rule, n_reps, rate_mean, rate_min, rate_max: false alarms of segments (by, src, seg_id, score) where calibration is drawn by seeded hashes, beside the latest ones.
 
     A draw takes floor(fraction * n + 0.5) segments of each group, one at least. All draws go through the same passes,
-    as groups of one table; a draw's rate is over the groups that can attain the level.
+    as groups of one table; a draw's rate is over the groups that can attain the level, and n_reps is 0 where none can.
     """
     draws = keys.withColumn("rep", F.explode(F.array(*map(F.lit, [-1, *seeds]))))  # -1: the latest
     order = F.when(F.col("rep") < 0, -F.col("seg_id")).otherwise(F.xxhash64("rep", "src", "seg_id"))
@@ -187,7 +187,9 @@ def calibration_study(keys: DataFrame, by: str, fraction: float, alphas: Sequenc
     own = operating_levels_by(draws.filter("not _cal"), draws.filter("_cal"), alphas)
     rates = own.groupBy("alpha", "rep").agg(ratio(F.sum("n_false"), F.sum("n_test")).alias("rate"))
     rule = F.when(F.col("rep") < 0, "latest").otherwise("random")
-    return rates.groupBy("alpha", rule.alias("rule")).agg(F.count("rate").alias("n_reps"), F.avg("rate").alias("rate_mean"), F.min("rate").alias("rate_min"), F.max("rate").alias("rate_max"))
+    made = rates.groupBy("alpha", rule.alias("rule")).agg(F.count("rate").alias("n_reps"), F.avg("rate").alias("rate_mean"), F.min("rate").alias("rate_min"), F.max("rate").alias("rate_max"))
+    every = keys.sparkSession.createDataFrame([(float(a), r) for a in alphas for r in ("latest", "random")], "alpha double, rule string")
+    return every.join(made, ["alpha", "rule"], "left").fillna(0, ["n_reps"])
 
 
 def operating_levels_by(test: DataFrame, calibration: DataFrame, alphas: Sequence[float]) -> DataFrame:
