@@ -27,6 +27,28 @@ def _shares(sizes: np.ndarray) -> Iterator[np.ndarray]:
         start += most
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of a partition that is sorted by keys, in pieces of whole groups, and where each group of a piece begins."""
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        parts = [x for x in (rest, batch) if x is not None and len(x)]
+        if not parts:
+            continue
+        rows = pd.concat(parts, ignore_index=True)
+        new = np.zeros(len(rows), bool)
+        new[0] = True
+        for k in keys:
+            x = rows[k].to_numpy()
+            same = (x[1:] == x[:-1]) | (pd.isna(x[1:]) & pd.isna(x[:-1]))
+            new[1:] |= ~same
+        starts = np.flatnonzero(new)
+        end = len(rows) if batch is None else int(starts[-1])  # the last group may go on
+        rest = rows.iloc[end:] if batch is not None else None
+        starts = starts[starts < end]
+        if len(starts):
+            yield rows.iloc[:end], starts
+
+
 def side_by_side(segments: DataFrame, inputs: dict[str, Column], run: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], outputs: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """src, seg_id, pos, ``keep`` and outputs: what ``run`` makes of the inputs of many segments at a time.
 
@@ -37,19 +59,8 @@ def side_by_side(segments: DataFrame, inputs: dict[str, Column], run: Callable[[
     extra = [c for c in keep if c not in ("src", "seg_id", "pos")]
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            parts = [x for x in (rest, batch) if x is not None and len(x)]
-            if not parts:
-                continue
-            rows = pd.concat(parts, ignore_index=True)
-            key = rows[["src", "seg_id"]].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-            end = len(rows) if batch is None else int(starts[-1])  # the last segment may go on
-            rest = rows.iloc[end:] if batch is not None else None
-            starts = starts[starts < end]
-            if not len(starts):
-                continue
+        for rows, starts in whole_groups(batches, ["src", "seg_id"]):
+            end = len(rows)
             sizes = np.diff(np.append(starts, end))
             made = {c: np.full(end, np.nan) for c in outputs}
             values = {c: rows[c].to_numpy(float) for c in names}
@@ -63,7 +74,7 @@ def side_by_side(segments: DataFrame, inputs: dict[str, Column], run: Callable[[
                     padded[c][owner, at] = values[c][place]
                 for c, x in run(padded, n).items():
                     made[c][place] = x[owner, at]
-            yield rows.iloc[:end][["src", "seg_id", "pos", *extra]].assign(**made)
+            yield rows[["src", "seg_id", "pos", *extra]].assign(**made)
 
     own = segments.select("src", "seg_id", "pos", *extra, *(c.cast("double").alias(k) for k, c in inputs.items()))
     own = own.repartition("src", "seg_id").sortWithinPartitions("src", "seg_id", "pos")
@@ -202,24 +213,34 @@ def _powers(step: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class FromZero:
+    """What comes out of a recursion, and the state at the end, from a state of zeros. Blocks of samples go through matrices; states pass from block to block."""
+
+    def __init__(self, direct: float, step: np.ndarray, into: np.ndarray, block: int = 64):
+        self.direct, self.step, self.into, self.block = direct, step, into, block
+        powers = _powers(step, block)
+        reply = np.concatenate([[direct], powers[:-1, 0, :] @ into])[:block]  # to a single 1
+        lag = np.subtract.outer(np.arange(block), np.arange(block))
+        self.inside = np.where(lag >= 0, reply[np.maximum(lag, 0)], 0.0)
+        self.kept = powers[np.arange(block - 1, -1, -1)] @ into  # what a sample leaves in the state at the block's end
+        self.shown, self.over = powers[:block, 0, :], powers[block]
+
+    def __call__(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = len(v) // self.block
+        x = v[: whole * self.block].reshape(whole, self.block)
+        y, left, s = x @ self.inside.T, x @ self.kept, np.zeros(len(self.into))
+        for i in range(whole):
+            y[i] += self.shown @ s
+            s = self.over @ s + left[i]
+        rest = np.empty(len(v) - whole * self.block)
+        for i, u in enumerate(v[whole * self.block :]):
+            rest[i] = s[0] + self.direct * u
+            s = self.step @ s + self.into * u
+        return np.concatenate([y.ravel(), rest]), s
+
+
 def filtered_from_zero(v: np.ndarray, direct: float, step: np.ndarray, into: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """What comes out, and the state at the end, from a state of zeros. Blocks of samples go through matrices; states pass from block to block."""
-    powers = _powers(step, block)
-    reply = np.concatenate([[direct], powers[:-1, 0, :] @ into])[:block]  # to a single 1
-    lag = np.subtract.outer(np.arange(block), np.arange(block))
-    inside = np.where(lag >= 0, reply[np.maximum(lag, 0)], 0.0)
-    kept = powers[np.arange(block - 1, -1, -1)] @ into  # what a sample leaves in the state at the block's end
-    whole = len(v) // block
-    x = v[: whole * block].reshape(whole, block)
-    y, left, s = x @ inside.T, x @ kept, np.zeros(len(into))
-    for i in range(whole):
-        y[i] += powers[:block, 0, :] @ s
-        s = powers[block] @ s + left[i]
-    rest = np.empty(len(v) - whole * block)
-    for i, u in enumerate(v[whole * block :]):
-        rest[i] = s[0] + direct * u
-        s = step @ s + into * u
-    return np.concatenate([y.ravel(), rest]), s
+    return FromZero(direct, step, into, block)(v)
 
 
 def recursive_filter(samples: DataFrame, x: str, b: Sequence[float], a: Sequence[float], by: Sequence[str], order: str, part: int = 4096, reverse: bool = False, first: str | None = None) -> DataFrame:
@@ -246,28 +267,37 @@ def recursive_filter(samples: DataFrame, x: str, b: Sequence[float], a: Sequence
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*by).schema.fields)
     states = [f"_s{i}" for i in range(k)]
 
-    def zero_state(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at")
-        v = np.nan_to_num(rows["_x"].to_numpy(float))
-        y, s = filtered_from_zero(v, b[0], step, into)
-        out = rows[[*by, "_order", "_at", "_part", "_first"]].assign(_y=np.where(rows["_x"].isna(), np.nan, y), _n=len(v))
-        return out.assign(**dict(zip(states, s, strict=True)))
+    from_zero = FromZero(b[0], step, into)
+
+    def zero_state(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, [*by, "_part"]):
+            x = rows["_x"].to_numpy(float)
+            v, ends = np.nan_to_num(x), np.append(starts[1:], len(rows))
+            y, left = np.empty(len(v)), np.empty((len(starts), k))
+            for i, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
+                y[lo:hi], left[i] = from_zero(v[lo:hi])
+            y[np.isnan(x)] = np.nan
+            sizes = ends - starts
+            out = rows[[*by, "_order", "_at", "_part", "_first"]].assign(_y=y, _n=np.repeat(sizes, sizes))
+            yield out.assign(**dict(zip(states, np.repeat(left, sizes, axis=0).T, strict=True)))
 
     schema = f"{kinds}, _order {own.schema['_order'].dataType.simpleString()}, _at long, _part long, _first double, _y double, _n long, " + ", ".join(f"{c} double" for c in states)
-    made = written(own.groupBy(*by, "_part").applyInPandas(zero_state, schema))
+    made = written(own.repartition(*by, "_part").sortWithinPartitions(*by, "_part", "_at").mapInPandas(zero_state, schema))
     ends = made.groupBy(*by, "_part").agg(F.max("_n").alias("_n"), F.max_by("_first", -F.col("_at")).alias("_first"), *(F.max(c).alias(c) for c in states))
 
-    def entering(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_part").reset_index(drop=True)
-        start = rows["_first"].iloc[0]
-        s, out = rest * (0.0 if np.isnan(start) else start), np.empty((len(rows), k))
-        own_states = rows[states].to_numpy(float)
-        for i, n in enumerate(rows["_n"].to_numpy()):
-            out[i] = s
-            s = powers[n] @ s + own_states[i]
-        return rows[[*by, "_part"]].assign(**{f"_e{i}": out[:, i] for i in range(k)})
-
-    enter = ends.groupBy(*by).applyInPandas(entering, f"{kinds}, _part long, " + ", ".join(f"_e{i} double" for i in range(k)))
+    def entering(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, by):
+            first, left, sizes = rows["_first"].to_numpy(float), rows[states].to_numpy(float), rows["_n"].to_numpy()
+            out = np.empty((len(rows), k))
+            for lo, hi in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+                s = rest * (0.0 if np.isnan(first[lo]) else first[lo])
+                for i in range(lo, hi):
+                    out[i] = s
+                    s = powers[sizes[i]] @ s + left[i]
+            yield rows[[*by, "_part"]].assign(**{f"_e{i}": out[:, i] for i in range(k)})
+
+    ordered = ends.repartition(*by).sortWithinPartitions(*by, "_part")  # a row a part
+    enter = ordered.mapInPandas(entering, f"{kinds}, _part long, " + ", ".join(f"_e{i} double" for i in range(k)))
     both = made.join(enter, [*by, "_part"])
     first_rows = powers[:part, 0, :]  # what a state adds to the rows after it
 
