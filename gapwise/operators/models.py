@@ -291,13 +291,20 @@ def tree_samples(rows: DataFrame, columns: list[str], keys: list[str], trees: in
             limits.append(below)
             part *= (trees - k) / (k + 1) * share / (1 - share)
         u = F.shiftrightunsigned(F.col("_h"), 11) / float(1 << 53)
-        own = rows.withColumn("_h", h).withColumn("_k", F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= u))).filter("_k > 0")
+        # u is below 1, so limits beyond its largest value count nothing
+        times = sum((F.when(u >= x, 1).otherwise(0) for x in limits if x <= 1 - 2.0**-53), F.lit(0))
+        own = rows.withColumn("_h", h).withColumn("_k", times).filter("_k > 0")
     else:
         own = rows.withColumn("_h", h).withColumn("_k", F.lit(trees))
+    k = F.col("_k")
+    # a few trees are the first different ones of a row of draws, many those of lowest draws among all
+    few = F.slice(F.array_distinct(F.transform(F.sequence(F.lit(0), 3 * k + 19), lambda i: F.pmod(F.xxhash64("_h", i), F.lit(trees)).cast("int"))), F.lit(1), k)
     draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.struct(F.xxhash64("_h", i).alias("draw"), i.alias("tree")))
-    own = own.select(*columns, *(k for k in keys if k not in columns), "_h", F.explode(F.slice(F.sort_array(draws), F.lit(1), F.col("_k"))).alias("_d"))
-    order = Window.partitionBy("_d.tree").orderBy(F.xxhash64("_h", "_d.tree", F.lit(1)), *keys, *columns)
-    return own.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= sample).select(F.col("_d.tree").alias("tree"), *columns)
+    many = F.transform(F.slice(F.sort_array(draws), F.lit(1), k), lambda x: x["tree"])
+    chosen = F.explode(F.when(k <= trees // 4, few).otherwise(many))
+    own = own.select(*columns, *(c for c in keys if c not in columns), "_h", chosen.alias("_t"))
+    order = Window.partitionBy("_t").orderBy(F.xxhash64("_h", "_t", F.lit(1)), *keys, *columns)
+    return own.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= sample).select(F.col("_t").alias("tree"), *columns)
 
 
 def path_lengths(x: np.ndarray, column: np.ndarray, cut: np.ndarray, child: np.ndarray, length: np.ndarray, roots: np.ndarray, depth: int, block: int = 128) -> np.ndarray:
