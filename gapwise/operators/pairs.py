@@ -9,6 +9,7 @@ cell, of a fixed number of points, however long the stream is and however many v
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gapwise.functions.storage import checkpoint
 from gapwise.operators.order import cumulative
+from gapwise.operators.series import whole_groups
 
 #: Points of a cell.
 CELL = 1 << 17
@@ -71,11 +73,13 @@ def signed_pairs(points: DataFrame, by: list[str], cell: int = CELL) -> DataFram
     placed = checkpoint(_numbered(own, by).withColumns({"pc": F.floor(F.col("p") / cell).cast("long"), "rc": F.floor(F.col("r") / cell).cast("long")}))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*by).schema.fields)
 
-    def in_times(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("p")
-        r = rows["r"].to_numpy()
-        both = 0 if rows["n_all"].iloc[0] <= cell else inversions(r, rows["rc"].to_numpy())
-        return rows[by].head(1).assign(inv=inversions(r) - both)
+    def in_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, [*by, "pc"]):
+            r, rc, n_all, out = rows["r"].to_numpy(), rows["rc"].to_numpy(), rows["n_all"].to_numpy(), []
+            for lo, hi in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+                both = 0 if n_all[lo] <= cell else inversions(r[lo:hi], rc[lo:hi])
+                out.append(inversions(r[lo:hi]) - both)
+            yield rows.iloc[starts][by].assign(inv=out)
 
     def in_values(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("p")
@@ -93,7 +97,8 @@ def signed_pairs(points: DataFrame, by: list[str], cell: int = CELL) -> DataFram
     schema = f"{kinds}, inv long"
     long_ones = placed.filter(F.col("n_all") > cell)
     cells = long_ones.groupBy(*by, "pc", "rc").agg(F.count("*").alias("n"))
-    parts = placed.groupBy(*by, "pc").applyInPandas(in_times, schema).unionByName(long_ones.groupBy(*by, "rc").applyInPandas(in_values, schema)).unionByName(cells.groupBy(*by).applyInPandas(between, schema))
+    ordered = placed.repartition(*by, "pc").sortWithinPartitions(*by, "pc", "p")
+    parts = ordered.mapInPandas(in_times, schema).unionByName(long_ones.groupBy(*by, "rc").applyInPandas(in_values, schema)).unionByName(cells.groupBy(*by).applyInPandas(between, schema))
     found = parts.groupBy(*by).agg(F.sum("inv").alias("inv"))
     n = F.col("n")
     return found.join(same_time, by).join(same_value, by).select(
@@ -106,7 +111,7 @@ def mann_kendall(series: DataFrame, by: str, t: str, value: str, cell: int = CEL
 
     Pairs of equal time count neither way; rows with a null among time and value are left out; without spread Z is null.
     """
-    own = series.filter(F.col(t).isNotNull() & F.col(value).isNotNull())
+    own = checkpoint(series.filter(F.col(t).isNotNull() & F.col(value).isNotNull()).select(by, t, value))  # read by each of the counts
     made = signed_pairs(own.select(by, F.col(t).alias("t"), F.col(value).alias("x")), [by], cell)
     ties = own.groupBy(by, value).agg(F.count("*").alias("k")).groupBy(by).agg(F.sum(F.col("k") * (F.col("k") - 1) * (2 * F.col("k") + 5)).alias("tie"))
     n, s = F.col("n"), F.col("s").cast("double")
