@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapwise.functions import guarded_corr, ratio, rms
 from gapwise.operators.evaluate import auc
-from gapwise.operators.order import cumulative, lagged, quantiles
+from gapwise.operators.order import cumulative, following, lagged, quantiles
 from gapwise.operators.segments import hop_windows, in_segment, spectrum
 
 #: Columns that name a window or tell what it is; no model's input.
@@ -161,10 +161,10 @@ def filled(segments: DataFrame, x: str, method: str = "linear") -> DataFrame:
     w = in_segment()
     if method == "zero":
         return segments.withColumn("filled", F.coalesce(F.col(x), F.lit(0.0)))
-    known = F.when(F.col(x).isNotNull(), F.struct("pos", F.col(x).alias("v")))
-    a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    own = segments.withColumn("_a", a).withColumn("_b", b)
+    known = segments.withColumn("_known", F.when(F.col(x).isNotNull(), F.struct("pos", F.col(x).alias("v"))))
+    a = F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    b = F.coalesce("_known", following("_known", ["src", "seg_id"], ["pos"]))
+    own = known.withColumn("_a", a).withColumn("_b", b).drop("_known")
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * ratio(F.col("pos") - F.col("_a.pos"), F.col("_b.pos") - F.col("_a.pos"))
     return own.withColumn("filled", F.coalesce(F.col(x), line, F.col("_a.v"), F.col("_b.v"))).drop("_a", "_b")
 

@@ -54,6 +54,11 @@ def _ranked(name: str, rank: Column) -> Column:
     return F.when(i < 0, b["before"]).when(j < 0, b["lo"]).when(k < 0, inside).when(k < b["at_hi"], b["hi"]).otherwise(b["after"])
 
 
+def following(name: str, by: Sequence[str], order: Sequence[str]) -> Column:
+    """The next value of a column that isn't null, of the rows after this one, found by one walk: a frame up to the group's end would be read anew for each row."""
+    return F.expr(f"lead({name}) IGNORE NULLS OVER (PARTITION BY {', '.join(by)} ORDER BY {', '.join(order)})")
+
+
 def cumulative(frame: DataFrame, order: Sequence[Column], sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """Adds each of ``sums`` taken over the rows of the group that come earlier in ``order`` (0 for the first), which must tell rows apart.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gapwise.functions import guarded_corr, micros, ratio, rms, shape_stats
-from gapwise.operators.order import cumulative, lagged
+from gapwise.operators.order import cumulative, following, lagged
 
 BY_TIME = ("ts", "event_id")
 
@@ -44,7 +44,7 @@ def gap_segments(samples: DataFrame, gap: float, part: float | None = None) -> D
         F.min(F.when(step > gap * 1e6, F.col("_at"))).alias("_first"), F.max(F.when(step > gap * 1e6, F.col("_at"))).alias("_last"),
     )
     s = Window.partitionBy("src").orderBy("_part")
-    earlier, later = s.rowsBetween(Window.unboundedPreceding, -1), s.rowsBetween(1, Window.unboundedFollowing)
+    earlier = s.rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_carried", F.lag("_to").over(s))
     opens = (F.col("_from") - F.col("_carried")) > gap * 1e6  # the part's first sample begins a segment
     parts = parts.withColumn("_opens", F.coalesce(opens, F.lit(False)))
@@ -54,7 +54,7 @@ def gap_segments(samples: DataFrame, gap: float, part: float | None = None) -> D
     parts = parts.withColumns({"_start": first, "_end": last, "_new": F.col("_gaps") + F.col("_opens").cast("long")})
     parts = parts.select(
         "src", "_part", "_carried", "_opens", "_rows", F.coalesce(F.sum("_new").over(earlier), F.lit(0)).alias("_seg"), F.coalesce(F.last("_end", True).over(earlier), F.lit(0)).alias("_open_at"),
-        F.coalesce(F.first("_start", True).over(later), F.sum("_size").over(Window.partitionBy("src"))).alias("_next"),
+        F.coalesce(following("_start", ["src"], ["_part"]), F.sum("_size").over(Window.partitionBy("src"))).alias("_next"),
     )
     both = own.join(parts, ["src", "_part"])
     before = F.when(F.col("_at") == 0, F.col("_carried")).otherwise(F.col("_before"))
@@ -62,7 +62,8 @@ def gap_segments(samples: DataFrame, gap: float, part: float | None = None) -> D
     both = both.withColumn("dt", (F.col("_us") - before) / 1e6).withColumn("_begins", begins)
     at = F.col("_rows") + F.col("_at")
     start = F.coalesce(F.max(F.when(F.col("_begins"), at)).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open_at"))
-    after = F.coalesce(F.min(F.when(F.col("_begins"), at)).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("_next"))
+    both = both.withColumn("_begin", F.when(F.col("_begins"), at))
+    after = F.coalesce(following("_begin", ["src", "_part"], BY_TIME), F.col("_next"))
     seg = F.col("_seg") + F.sum(F.col("_begins").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return both.select(*samples.columns, "dt", seg.alias("seg_id"), (at - start).alias("pos"), (after - start).alias("n"))
 
