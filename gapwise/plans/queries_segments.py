@@ -137,11 +137,12 @@ def median_imputation(t: Tables) -> DataFrame:
 def scalar_transforms(t: Tables) -> DataFrame:
     ch0, ch1 = F.col("ch0"), F.col("ch1")
     us = micros("ts")
+    ln = lambda x, log: F.when(x == 0, float("-inf")).otherwise(log)  # noqa: E731  as in the SQL; Spark's own has no logarithm of 0
     return samples(t).select(
-        "src", "event_id", R(F.hypot(ch0, ch1), 3).alias("norm"), R(F.when(ch0 > 0, F.log(ch0))).alias("ln0"), R(F.log1p(ch1)).alias("log1p1"), R(ratio(ch0, ch1), 8).alias("load"),
+        "src", "event_id", R(F.hypot(ch0, ch1), 3).alias("norm"), R(ln(ch0, F.log(ch0))).alias("ln0"), R(ln(1 + ch1, F.log1p(ch1))).alias("log1p1"), R(ratio(ch0, ch1), 8).alias("load"),
         clean.labelled_bins(ch0, [0, 10, 100, 1000], ["low", "mid", "high"]).alias("bin"),
         F.concat_ws("+", F.when(ch0 > 100, "value"), F.when(ch1 > 90, "k"), F.when(F.col("event_type") == "error", "type")).alias("criteria"),
-        (F.col("ts") + F.expr("INTERVAL 90 SECOND")).alias("later"), R((us - F.min(us).over(Window.partitionBy("src"))) / 1e6).alias("since"),
+        (F.col("ts") + F.expr("INTERVAL 90 SECOND")).alias("later"), (R((us - F.min(us).over(Window.partitionBy("src"))) / 1e6 * 1e4, 0) / 1e4).alias("since"),  # rounded in binary, as the SQL is
     )
 
 

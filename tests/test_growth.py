@@ -3,8 +3,10 @@
 import datetime as dt
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
+from gapwise import plans
 from gapwise.operators import features
 from gapwise.operators.segments import gap_segments
 
@@ -32,3 +34,14 @@ def test_no_frame_is_read_anew_for_each_row(spark):
     filled = features.filled(holes, "x")
     assert not TO_THE_END.search(plan(filled))
     assert [r.filled for r in filled.orderBy("event_id").collect()] == [0, 1, 2, 50, 50, 200, 201, 201]
+
+
+def test_transforms_of_zero_and_of_halves_are_those_of_the_sql(spark, tmp_path):
+    times = [0, 0.5, 2_227_037.63665, 2_220_869.41925, 1_390_162.00445, 7.00005]
+    rows = [(i, T0 + dt.timedelta(microseconds=round(t * 1e6)), 1, "error", v, f'{{"k": {k}}}') for i, (t, v, k) in enumerate(zip(times, [0.0, 1.0, 250.5, 0.0, 99.0, 3.0], [3, -1, 0, 95, 7, 1]))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.QUERIES["scalar_transforms"](spark, str(tmp_path)).orderBy("event_id").select("event_id", "norm", "ln0", "log1p1", "load", "since").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT event_id, norm, ln0, log1p1, load, since FROM ({plans.SQL['scalar_transforms']}) ORDER BY event_id").fetchall()
+    assert [tuple(r) for r in got] == want and want[0][2] == float("-inf")
