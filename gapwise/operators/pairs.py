@@ -22,32 +22,49 @@ from gapwise.operators.series import whole_groups
 
 #: Points of a cell.
 CELL = 1 << 17
+#: Pairs that a task makes at once, of streams so short that this is cheaper than halving.
+PAIRS = 1 << 18
 
 
-def inversions(ranks: np.ndarray, group: np.ndarray | None = None) -> int:
-    """Pairs of a sequence of distinct numbers that stand in falling order, of the same group; bit by bit from the highest."""
+def inversions_of(ranks: np.ndarray, owner: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Of each owner (numbered from 0, in order), pairs of its distinct numbers that stand in falling order, of the same group; bit by bit from the highest."""
     n = len(ranks)
+    out = np.zeros(int(owner[-1]) + 1 if n else 0, np.int64)
     if n < 2:
-        return 0
+        return out
     order = np.argsort(ranks, kind="stable")
     dense = np.empty(n, np.int64)
     dense[order] = np.arange(n)
-    groups = np.zeros(n, np.int64) if group is None else np.unique(group, return_inverse=True)[1].astype(np.int64)
-    total, bits = 0, int(n - 1).bit_length()
+    groups = owner.astype(np.int64)
+    if group is not None:
+        kinds = np.unique(group, return_inverse=True)[1].astype(np.int64)
+        groups = np.unique(groups * (int(kinds.max()) + 1) + kinds, return_inverse=True)[1].astype(np.int64)
     at = np.argsort(groups, kind="stable")
-    key, value = groups[at], dense[at]
-    for bit in range(bits - 1, -1, -1):
+    key, value, whose = groups[at], dense[at], owner[at]
+    for bit in range(int(n - 1).bit_length() - 1, -1, -1):
         # rows lie by group and higher bits, in their order
         one = (value >> bit) & 1
         before = np.cumsum(one) - one
         start = np.concatenate([[True], key[1:] != key[:-1]])
         first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        total += int((before - before[first])[one == 0].sum())
+        falls = np.cumsum(np.where(one == 0, before - before[first], 0))  # owners lie together
+        ends = np.flatnonzero(np.concatenate([whose[1:] != whose[:-1], [True]]))
+        out[whose[ends]] += np.diff(falls[ends], prepend=0)
         key = key * 2 + one
         at = np.argsort(key, kind="stable")
-        key, value = key[at], value[at]
+        key, value, whose = key[at], value[at], whose[at]
         key = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    return total
+    return out
+
+
+def inversions(ranks: np.ndarray, group: np.ndarray | None = None) -> int:
+    """Pairs of a sequence of distinct numbers that stand in falling order, of the same group."""
+    return int(inversions_of(ranks, np.zeros(len(ranks), np.int64), group).sum())
+
+
+def _owners(starts: np.ndarray, n: int) -> np.ndarray:
+    """Number of the group that each row is in."""
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
 
 
 def _numbered(points: DataFrame, by: list[str]) -> DataFrame:
@@ -75,30 +92,37 @@ def signed_pairs(points: DataFrame, by: list[str], cell: int = CELL) -> DataFram
 
     def in_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in whole_groups(batches, [*by, "pc"]):
-            r, rc, n_all, out = rows["r"].to_numpy(), rows["rc"].to_numpy(), rows["n_all"].to_numpy(), []
+            r, rc, owner = rows["r"].to_numpy(), rows["rc"].to_numpy(), _owners(starts, len(rows))
+            own = np.flatnonzero(rows["n_all"].to_numpy() > cell)  # a stream of one cell has no pairs in others
+            both = np.zeros(len(starts), np.int64)
+            if len(own):
+                both[: owner[own[-1]] + 1] = inversions_of(r[own], owner[own], rc[own])
+            yield rows.iloc[starts][by].assign(inv=inversions_of(r, owner) - both)
+
+    def in_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, [*by, "rc"]):
+            yield rows.iloc[starts][by].assign(inv=inversions_of(rows["r"].to_numpy(), _owners(starts, len(rows))))
+
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, by):
+            pc, rc, n, out = rows["pc"].to_numpy(), rows["rc"].to_numpy(), rows["n"].to_numpy(), []
             for lo, hi in zip(starts, np.append(starts[1:], len(rows)), strict=True):
-                both = 0 if n_all[lo] <= cell else inversions(r[lo:hi], rc[lo:hi])
-                out.append(inversions(r[lo:hi]) - both)
+                total, seen = 0, np.zeros(int(rc[lo:hi].max()) + 1, np.int64)
+                parts = lo + np.flatnonzero(np.diff(pc[lo:hi], prepend=-1))
+                for a, b in zip(parts, np.append(parts[1:], hi), strict=True):
+                    above = seen[::-1].cumsum()[::-1]
+                    total += int((n[a:b] * (above[rc[a:b]] - seen[rc[a:b]])).sum())
+                    seen[rc[a:b]] += n[a:b]
+                out.append(total)
             yield rows.iloc[starts][by].assign(inv=out)
 
-    def in_values(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("p")
-        return rows[by].head(1).assign(inv=inversions(rows["r"].to_numpy()))
-
-    def between(rows: pd.DataFrame) -> pd.DataFrame:
-        total, seen = 0, np.zeros(int(rows["rc"].max()) + 1, np.int64)
-        for _, part in rows.sort_values("pc").groupby("pc", sort=True):
-            rc, n = part["rc"].to_numpy(), part["n"].to_numpy()
-            above = seen[::-1].cumsum()[::-1]
-            total += int((n * (above[rc] - seen[rc])).sum())
-            np.add.at(seen, rc, n)
-        return rows[by].head(1).assign(inv=total)
-
     schema = f"{kinds}, inv long"
     long_ones = placed.filter(F.col("n_all") > cell)
     cells = long_ones.groupBy(*by, "pc", "rc").agg(F.count("*").alias("n"))
-    ordered = placed.repartition(*by, "pc").sortWithinPartitions(*by, "pc", "p")
-    parts = ordered.mapInPandas(in_times, schema).unionByName(long_ones.groupBy(*by, "rc").applyInPandas(in_values, schema)).unionByName(cells.groupBy(*by).applyInPandas(between, schema))
+    # many streams a batch
+    by_pc, by_rc = placed.repartition(*by, "pc").sortWithinPartitions(*by, "pc", "p"), long_ones.repartition(*by, "rc").sortWithinPartitions(*by, "rc", "p")
+    by_stream = cells.repartition(*by).sortWithinPartitions(*by, "pc")
+    parts = by_pc.mapInPandas(in_times, schema).unionByName(by_rc.mapInPandas(in_values, schema)).unionByName(by_stream.mapInPandas(between, schema))
     found = parts.groupBy(*by).agg(F.sum("inv").alias("inv"))
     n = F.col("n")
     return found.join(same_time, by).join(same_value, by).select(
@@ -168,6 +192,28 @@ def median_slope(t: np.ndarray, x: np.ndarray) -> float:
     return float(np.mean(found))
 
 
+def median_slopes(t: np.ndarray, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """median_slope() of many streams that follow one another, each in order of time: short ones of equal length side by side, by their pairs."""
+    sizes = np.diff(np.append(starts, len(t)))
+    out = np.full(len(starts), np.nan)
+    for n in np.unique(sizes):
+        same = np.flatnonzero(sizes == n)
+        pairs = int(n) * (int(n) - 1) // 2
+        if pairs > PAIRS:
+            for i in same:
+                out[i] = median_slope(t[starts[i] : starts[i] + n], x[starts[i] : starts[i] + n])
+        elif pairs:
+            a, b = np.triu_indices(n, 1)
+            for some in np.array_split(same, -(-len(same) * pairs // PAIRS)):
+                at = starts[some][:, None] + np.arange(n)
+                later = t[at[:, b]] - t[at[:, a]]
+                with np.errstate(all="ignore"):
+                    slopes = np.sort(np.where(later > 0, (x[at[:, b]] - x[at[:, a]]) / later, np.nan), axis=1)  # nan comes last
+                m, i = np.count_nonzero(later > 0, axis=1), np.arange(len(some))
+                out[some] = np.where(m > 0, (slopes[i, np.maximum(m - 1, 0) // 2] + slopes[i, np.minimum(m // 2, pairs - 1)]) / 2, np.nan)
+    return out
+
+
 def theil_sen(series: DataFrame, by: str, t: str, value: str, cell: int = CELL, guesses: int = 15) -> DataFrame:
     """by, slope: the median slope over pairs of points of different times, null without one.
 
@@ -178,10 +224,11 @@ def theil_sen(series: DataFrame, by: str, t: str, value: str, cell: int = CELL,
     sizes = own.groupBy(by).agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.avg("x").alias("x0"), (F.max("x") - F.min("x")).alias("range"))
     kind = own.schema[by].dataType.simpleString()
 
-    def small(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[[by]].head(1).assign(slope=median_slope(rows["t"].to_numpy(), rows["x"].to_numpy()))
+    def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, [by]):
+            yield rows.iloc[starts][[by]].assign(slope=median_slopes(rows["t"].to_numpy(), rows["x"].to_numpy(), starts))
 
-    short = own.join(sizes.filter(F.col("n") <= cell).select(by), by).groupBy(by).applyInPandas(small, f"{by} {kind}, slope double")
+    short = own.join(sizes.filter(F.col("n") <= cell).select(by), by).repartition(by).sortWithinPartitions(by, "t").mapInPandas(small, f"{by} {kind}, slope double")
     out = short.withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))
     large = sizes.filter(F.col("n") > cell)
     if large.isEmpty():

@@ -4,10 +4,11 @@ import datetime as dt
 import re
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from gapwise import plans
-from gapwise.operators import features
+from gapwise.operators import features, pairs
 from gapwise.operators.segments import gap_segments
 
 T0 = dt.datetime(2024, 1, 1)
@@ -45,3 +46,17 @@ def test_transforms_of_zero_and_of_halves_are_those_of_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = con.execute(f"SELECT event_id, norm, ln0, log1p1, load, since FROM ({plans.SQL['scalar_transforms']}) ORDER BY event_id").fetchall()
     assert [tuple(r) for r in got] == want and want[0][2] == float("-inf")
+
+
+def test_short_streams_are_solved_side_by_side(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, int(t), float(x)) for s in range(40) for t, x in zip(rng.integers(0, 9, s % 7 + 1), rng.normal(0, 1, s % 7 + 1).round(2))]
+    own = spark.createDataFrame(rows, "src long, t long, x double")
+    made = pairs.theil_sen(own, "src", "t", "x")
+    assert "FlatMapGroupsInPandas" not in plan(made)
+    got = {r.src: r.slope for r in made.collect()}
+    for s in range(40):
+        slopes = [(b - a) / (u - t) for _, t, a in filter(lambda r: r[0] == s, rows) for _, u, b in filter(lambda r: r[0] == s, rows) if u > t]
+        assert got[s] is None if not slopes else abs(got[s] - np.median(slopes)) < 1e-12
+    t, x = np.sort(rng.normal(0, 1, 800)), rng.normal(0, 1, 800)  # more pairs than are made at once
+    assert abs(pairs.median_slopes(t, x, np.array([0]))[0] - np.median([(x[j] - x[i]) / (t[j] - t[i]) for i in range(800) for j in range(i + 1, 800)])) < 1e-9
