@@ -60,3 +60,15 @@ def test_short_streams_are_solved_side_by_side(spark):
         assert got[s] is None if not slopes else abs(got[s] - np.median(slopes)) < 1e-12
     t, x = np.sort(rng.normal(0, 1, 800)), rng.normal(0, 1, 800)  # more pairs than are made at once
     assert abs(pairs.median_slopes(t, x, np.array([0]))[0] - np.median([(x[j] - x[i]) / (t[j] - t[i]) for i in range(800) for j in range(i + 1, 800)])) < 1e-9
+
+
+def test_cells_of_many_streams_are_counted_in_a_batch(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, int(t), float(x)) for s in range(25) for t, x in zip(rng.integers(0, 12, s + 1), rng.integers(0, 6, s + 1))]
+    made = pairs.signed_pairs(spark.createDataFrame(rows, "src long, t long, x double"), ["src"], 4)
+    assert "FlatMapGroupsInPandas" not in plan(made)
+    got = {r.src: (r.n, r.n_pairs, r.s) for r in made.collect()}
+    for s in range(25):
+        own = [r[1:] for r in rows if r[0] == s]
+        signs = [np.sign(b - a) for t, a in own for u, b in own if u > t]
+        assert got[s] == (len(own), len(signs), sum(signs))
