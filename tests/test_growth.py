@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gapwise import plans
-from gapwise.operators import features, pairs
+from gapwise.operators import features, pairs, periodic
 from gapwise.operators.segments import gap_segments
 
 T0 = dt.datetime(2024, 1, 1)
@@ -72,3 +72,20 @@ def test_cells_of_many_streams_are_counted_in_a_batch(spark):
         own = [r[1:] for r in rows if r[0] == s]
         signs = [np.sign(b - a) for t, a in own for u, b in own if u > t]
         assert got[s] == (len(own), len(signs), sum(signs))
+
+
+def test_sines_of_many_segments_are_fitted_side_by_side_in_as_many_tasks_as_are_set(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, 0, i, float(t), float(x)) for s in range(30) for i, (t, x) in enumerate(zip(np.sort(rng.uniform(0, rng.uniform(0.1, 8), s % 6 + 4)), rng.gamma(2, 30, s % 6 + 4)))]
+    fits = periodic.sine_fit(spark.createDataFrame(rows, "src long, seg_id long, pos long, t double, x double"), "x", F.col("t"))
+    assert "FlatMapGroupsInPandas" not in plan(fits)
+    assert fits.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grid = np.geomspace(0.01, 5, 500)
+    for r in fits.collect():
+        own = np.array([q[3:] for q in rows if q[0] == r.src])
+        assert r.n == len(own) and (r.freq is None) == (len(own) < 5)
+        if r.freq is not None:
+            t, x = own[:, 0] - own[0, 0], own[:, 1] - own[:, 1].mean()
+            design = [np.column_stack([np.sin(2 * np.pi * f * t), np.cos(2 * np.pi * f * t), np.ones_like(t)]) for f in grid]
+            left = [((x - d @ (np.linalg.pinv(d.T @ d, rcond=1e-9, hermitian=True) @ (d.T @ x))) ** 2).sum() for d in design]
+            assert r.resid_rms <= 1.01 * np.sqrt(min(left) / len(t)) + 1e-6  # the finer steps may just miss the best coarse one
