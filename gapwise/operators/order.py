@@ -11,6 +11,8 @@ from gapwise.functions.storage import checkpoint
 
 #: Ranks that a quantile's bracket is off by at most, as a share of all rows.
 BRACKET = 100_000
+#: Groups whose bounds are broadcast.
+FEW = 10_000
 
 
 def quantiles(frame: DataFrame, value: str | Column, qs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
@@ -24,7 +26,12 @@ def quantiles(frame: DataFrame, value: str | Column, qs: Sequence[float], by: Se
     own = frame.select(*by, x.cast("double").alias("_x")).filter("_x is not null")
     edges = [min(1.0, max(0.0, q + side * 2.5 / BRACKET)) for q in qs for side in (-1, 1)]
     probe = own.groupBy(*by).agg(F.percentile_approx("_x", edges, BRACKET).alias("_e"), F.count("*").alias("_n"))
-    both = own.join(probe, list(by)) if by else own.crossJoin(F.broadcast(probe))
+    if by:
+        probe = checkpoint(probe)
+        # to join a few large groups by their key would take each of them to one task
+        both = own.join(F.broadcast(probe) if probe.count() <= FEW else probe, list(by))
+    else:
+        both = own.crossJoin(F.broadcast(probe))
     made = both.groupBy(*by).agg(F.max("_n").alias("_n"), *(_around(i).alias(f"_b{i}") for i in range(len(qs))))
     out = []
     for i, (q, name) in enumerate(zip(qs, names, strict=True)):

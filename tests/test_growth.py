@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gapwise import plans
 from gapwise.operators import features, pairs, periodic
+from gapwise.operators.order import quantiles
 from gapwise.operators.segments import gap_segments
 
 T0 = dt.datetime(2024, 1, 1)
@@ -89,3 +90,14 @@ def test_sines_of_many_segments_are_fitted_side_by_side_in_as_many_tasks_as_are_
             design = [np.column_stack([np.sin(2 * np.pi * f * t), np.cos(2 * np.pi * f * t), np.ones_like(t)]) for f in grid]
             left = [((x - d @ (np.linalg.pinv(d.T @ d, rcond=1e-9, hermitian=True) @ (d.T @ x))) ** 2).sum() for d in design]
             assert r.resid_rms <= 1.01 * np.sqrt(min(left) / len(t)) + 1e-6  # the finer steps may just miss the best coarse one
+
+
+def test_quantiles_of_a_few_large_groups_take_no_group_to_one_task(spark):
+    own = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 1009).cast("double").alias("v"))
+    made = quantiles(own.unionByName(spark.createDataFrame([(None, 5.0)], "g long, v double")), "v", [0.1, 0.99], ["g"])
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString() and "rightHint=(strategy=broadcast)" in plan(made)
+    got = {r.g: (r.q0, r.q1) for r in made.collect()}
+    for g in range(3):
+        x = [float(i * 37 % 1009) for i in range(4000) if i % 3 == g]
+        assert np.allclose(got[g], np.quantile(x, [0.1, 0.99]), atol=1e-9)
+    assert len(got) == 3
