@@ -157,16 +157,24 @@ def log_probabilities(grams: np.ndarray, count: np.ndarray, low: Low, order: int
 
 
 def distinct_grams(bodies: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct grams of texts and their counts in those to learn from."""
-    keys, counts = [], []
+    """Sorted distinct grams of texts and their counts in those to learn from.
+
+    Pieces are merged when they are as many as what has been merged, so that about twice the result is held.
+    """
+    keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+    held, held_n, waiting = [], [], 0
     for flag in (True, False):
-        own = [x for x, t in zip(bodies, train, strict=True) if t is flag]
-        for part in chunks([len(x) for x in own], PIECE):
-            code = np.sort(gram_codes(own[part])[0])
+        own = [i for i, t in enumerate(train) if t is flag]
+        for part in chunks([len(bodies[i]) for i in own], PIECE):
+            code = np.sort(gram_codes([bodies[i] for i in own[part]])[0])
             at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            keys.append(code[at])
-            counts.append(np.diff(np.append(at, len(code))) if flag else np.zeros(len(at), np.int64))
-    return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            held.append(code[at])
+            held_n.append(np.diff(np.append(at, len(code))) if flag else np.zeros(len(at), np.int64))
+            waiting += len(at)
+            if waiting >= max(len(keys), 2 * PIECE):
+                keys, n = summed(np.concatenate([keys, *held]), np.concatenate([n, *held_n]))
+                held, held_n, waiting = [], [], 0
+    return summed(np.concatenate([keys, *held]), np.concatenate([n, *held_n])) if held else (keys, n)
 
 
 def _packed(array: np.ndarray) -> bytes:

@@ -81,3 +81,22 @@ def test_whole_licences_and_their_versions(spark):
         assert got[i] & set(own) == {label}, (label, got[i])
         assert label not in got[100 + i]
     assert "bsd" in got[own.index("bsd-2-clause")] and "mit" in got[own.index("mit-text")] and "apache" in got[own.index("apache-2.0")]
+
+
+def test_grams_of_many_pieces_are_merged_as_they_come(monkeypatch):
+    import numpy as np
+
+    from gapwise.llm import ppm
+
+    rng = np.random.default_rng(5)
+    bodies = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(0, 60, 80)]
+    train = [i % 10 != 0 for i in range(80)]
+    want = ppm.distinct_grams(bodies, train)
+    monkeypatch.setattr(ppm, "PIECE", 50)
+    most, summed = [], ppm.summed
+    monkeypatch.setattr(ppm, "summed", lambda keys, n: most.append(len(keys)) or summed(keys, n))
+    got = ppm.distinct_grams(bodies, train)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    assert int(got[1].sum()) == sum(len(x) + 1 for x, t in zip(bodies, train, strict=True) if t)
+    assert len(most) > 2 and max(most) < 3 * len(got[0])  # before: all pieces at once
+    assert ppm.distinct_grams([], [])[0].size == 0
