@@ -26,33 +26,35 @@ CELL = 1 << 17
 PAIRS = 1 << 18
 
 
-def inversions_of(ranks: np.ndarray, owner: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-    """Of each owner (numbered from 0, in order), pairs of its distinct numbers that stand in falling order, of the same group; bit by bit from the highest."""
+def inversions_of(ranks: np.ndarray, owner: np.ndarray, group: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+    """Of each owner (numbered from 0, in order), pairs of its distinct numbers that stand in falling order, of the same group; a pair counts the product of its weights. Bit by bit from the highest."""
     n = len(ranks)
     out = np.zeros(int(owner[-1]) + 1 if n else 0, np.int64)
     if n < 2:
         return out
-    order = np.argsort(ranks, kind="stable")
+    order = np.lexsort((ranks, owner))
+    places = np.arange(n)
     dense = np.empty(n, np.int64)
-    dense[order] = np.arange(n)
+    dense[order] = places - np.maximum.accumulate(np.where(np.diff(owner, prepend=-1) != 0, places, 0))
     groups = owner.astype(np.int64)
     if group is not None:
         kinds = np.unique(group, return_inverse=True)[1].astype(np.int64)
         groups = np.unique(groups * (int(kinds.max()) + 1) + kinds, return_inverse=True)[1].astype(np.int64)
     at = np.argsort(groups, kind="stable")
     key, value, whose = groups[at], dense[at], owner[at]
-    for bit in range(int(n - 1).bit_length() - 1, -1, -1):
+    w = np.ones(n, np.int64) if weight is None else weight[at].astype(np.int64)
+    for bit in range(int(dense.max()).bit_length() - 1, -1, -1):
         # rows lie by group and higher bits, in their order
         one = (value >> bit) & 1
-        before = np.cumsum(one) - one
+        before = np.cumsum(one * w) - one * w
         start = np.concatenate([[True], key[1:] != key[:-1]])
-        first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        falls = np.cumsum(np.where(one == 0, before - before[first], 0))  # owners lie together
+        first = np.maximum.accumulate(np.where(start, places, 0))
+        falls = np.cumsum(np.where(one == 0, w * (before - before[first]), 0))  # owners lie together
         ends = np.flatnonzero(np.concatenate([whose[1:] != whose[:-1], [True]]))
         out[whose[ends]] += np.diff(falls[ends], prepend=0)
         key = key * 2 + one
         at = np.argsort(key, kind="stable")
-        key, value, whose = key[at], value[at], whose[at]
+        key, value, whose, w = key[at], value[at], whose[at], w[at]
         key = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     return out
 
@@ -67,63 +69,57 @@ def _owners(starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
 
 
-def _numbered(points: DataFrame, by: list[str]) -> DataFrame:
-    """by, p, r, n_all: places of points (t, x) in order of time, then falling value, and in order of value, then falling time."""
-    own = checkpoint(points.withColumn("_id", F.monotonically_increasing_id()))
-    own = cumulative(own, [F.asc("t"), F.desc("x"), F.asc("_id")], {"p": F.lit(1)}, by)
-    own = cumulative(own, [F.asc("x"), F.desc("p")], {"r": F.lit(1)}, by)
-    sizes = own.groupBy(*by).agg(F.count("*").alias("n_all"))
-    return own.select(*by, "p", "r").join(sizes, by)
+def _placed(points: DataFrame, order: list, place: str, held: str, cell: int) -> DataFrame:
+    """The points in parts by ranges of ``order``, which tells them apart, each sorted: place rises along all parts, held is the first place of the cell that a point is in."""
+    own = points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    return own.withColumn(held, F.col(place) - F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) % cell)  # the lower 33 bits number a part's rows
 
 
 def signed_pairs(points: DataFrame, by: list[str], cell: int = CELL) -> DataFrame:
     """by, n, n_pairs, s: points, pairs of different times, and over these the number that rise less the number that fall.
 
-    ``points`` has t and x; rows with a null among them are left out, and equal points count each. Cells of a stream
-    are tasks of their own; the counts of pairs of cells, at most (n / cell) ** 2 of a stream, pass through one in order.
+    ``points`` has t and x; rows with a null among them are left out, and equal points count each. Points go to parts
+    by their order of value, then by their order of time; a part counts the pairs of each of its cells. The counts of
+    pairs of cells, at most (n / cell + 2) ** 2 of a stream, pass through one task.
     """
-    own = points.filter("t is not null and x is not null").select(*by, "t", "x")
+    own = checkpoint(points.filter("t is not null and x is not null").select(*by, "t", "x", F.monotonically_increasing_id().alias("_id")))
     # pairs of equal time come out as falling unless their values are equal, pairs of equal value as falling
-    by_time = own.groupBy(*by, "t", "x").agg(F.count("*").alias("k")).groupBy(*by, "t").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    same_time = by_time.groupBy(*by).agg(F.sum("m").alias("n"), (F.sum(F.col("m") * F.col("m") - F.col("kk")) / 2).cast("long").alias("same_t"), (F.sum(F.col("m") * (F.col("m") - 1)) / 2).cast("long").alias("all_t"))
+    at_time = own.groupBy(*by, "t", "x").agg(F.count("*").alias("k")).groupBy(*by, "t").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    same_time = at_time.groupBy(*by).agg(F.sum("m").alias("n"), (F.sum(F.col("m") * F.col("m") - F.col("kk")) / 2).cast("long").alias("same_t"), (F.sum(F.col("m") * (F.col("m") - 1)) / 2).cast("long").alias("all_t"))
     same_value = own.groupBy(*by, "x").agg(F.count("*").alias("k")).groupBy(*by).agg((F.sum(F.col("k") * (F.col("k") - 1)) / 2).cast("long").alias("same_x"))
-    placed = checkpoint(_numbered(own, by).withColumns({"pc": F.floor(F.col("p") / cell).cast("long"), "rc": F.floor(F.col("r") / cell).cast("long")}))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*by).schema.fields)
+    by_value = checkpoint(_placed(own, [*by, F.asc("x"), F.desc("t"), F.desc("_id")], "r", "rc", cell).drop("_id"))
+
+    def in_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, [*by, "rc"]):
+            owner = _owners(starts, len(rows))
+            order = np.lexsort((-np.arange(len(rows)), rows["t"].to_numpy(), owner))  # of equal times the higher value first
+            yield rows.iloc[starts][by].assign(pc=-1, rc=-1, n=0, inv=inversions_of(order, owner))
 
     def in_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in whole_groups(batches, [*by, "pc"]):
             r, rc, owner = rows["r"].to_numpy(), rows["rc"].to_numpy(), _owners(starts, len(rows))
-            own = np.flatnonzero(rows["n_all"].to_numpy() > cell)  # a stream of one cell has no pairs in others
-            both = np.zeros(len(starts), np.int64)
-            if len(own):
-                both[: owner[own[-1]] + 1] = inversions_of(r[own], owner[own], rc[own])
-            yield rows.iloc[starts][by].assign(inv=inversions_of(r, owner) - both)
-
-    def in_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts in whole_groups(batches, [*by, "rc"]):
-            yield rows.iloc[starts][by].assign(inv=inversions_of(rows["r"].to_numpy(), _owners(starts, len(rows))))
+            order = np.lexsort((rc, owner))
+            new = np.flatnonzero((np.diff(owner[order], prepend=-1) != 0) | (np.diff(rc[order], prepend=-1) != 0))
+            cells = rows.iloc[order[new]][[*by, "pc", "rc"]].assign(n=np.diff(np.append(new, len(rows))), inv=0)
+            # pairs of one cell of values are counted there
+            cells.iloc[np.flatnonzero(np.diff(owner[order[new]], prepend=-1)), -1] = inversions_of(r, owner) - inversions_of(r, owner, rc)
+            yield cells
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in whole_groups(batches, by):
-            pc, rc, n, out = rows["pc"].to_numpy(), rows["rc"].to_numpy(), rows["n"].to_numpy(), []
-            for lo, hi in zip(starts, np.append(starts[1:], len(rows)), strict=True):
-                total, seen = 0, np.zeros(int(rc[lo:hi].max()) + 1, np.int64)
-                parts = lo + np.flatnonzero(np.diff(pc[lo:hi], prepend=-1))
-                for a, b in zip(parts, np.append(parts[1:], hi), strict=True):
-                    above = seen[::-1].cumsum()[::-1]
-                    total += int((n[a:b] * (above[rc[a:b]] - seen[rc[a:b]])).sum())
-                    seen[rc[a:b]] += n[a:b]
-                out.append(total)
-            yield rows.iloc[starts][by].assign(inv=out)
-
-    schema = f"{kinds}, inv long"
-    long_ones = placed.filter(F.col("n_all") > cell)
-    cells = long_ones.groupBy(*by, "pc", "rc").agg(F.count("*").alias("n"))
+            # cells lie by time and value; those that share either don't fall
+            owner, n = _owners(starts, len(rows)), rows["n"].to_numpy()
+            order = np.lexsort((rows["pc"].to_numpy(), rows["rc"].to_numpy(), owner))
+            rank = np.empty(len(rows), np.int64)
+            rank[order] = np.arange(len(rows))
+            yield rows.iloc[starts][by].assign(inv=np.add.reduceat(rows["inv"].to_numpy(), starts) + inversions_of(rank, owner, weight=n))
+
+    by_time = _placed(by_value, [*by, F.asc("t"), F.desc("x"), F.desc("r")], "p", "pc", cell).select(*by, "pc", "r", "rc")
+    schema = f"{kinds}, pc long, rc long, n long, inv long"
     # many streams a batch
-    by_pc, by_rc = placed.repartition(*by, "pc").sortWithinPartitions(*by, "pc", "p"), long_ones.repartition(*by, "rc").sortWithinPartitions(*by, "rc", "p")
-    by_stream = cells.repartition(*by).sortWithinPartitions(*by, "pc")
-    parts = by_pc.mapInPandas(in_times, schema).unionByName(by_rc.mapInPandas(in_values, schema)).unionByName(by_stream.mapInPandas(between, schema))
-    found = parts.groupBy(*by).agg(F.sum("inv").alias("inv"))
+    parts = by_value.select(*by, "t", "rc").mapInPandas(in_values, schema).unionByName(by_time.mapInPandas(in_times, schema))
+    found = parts.repartition(*by).sortWithinPartitions(*by, "pc", "rc").mapInPandas(between, f"{kinds}, inv long")
     n = F.col("n")
     return found.join(same_time, by).join(same_value, by).select(
         *by, "n", ((n * (n - 1) / 2).cast("long") - F.col("all_t")).alias("n_pairs"), ((n * (n - 1) / 2).cast("long") - 2 * F.col("inv") + F.col("same_x") + F.col("same_t")).alias("s")

@@ -101,3 +101,16 @@ def test_quantiles_of_a_few_large_groups_take_no_group_to_one_task(spark):
         x = [float(i * 37 % 1009) for i in range(4000) if i % 3 == g]
         assert np.allclose(got[g], np.quantile(x, [0.1, 0.99]), atol=1e-9)
     assert len(got) == 3
+
+
+def test_points_of_streams_are_kept_twice_only_and_cells_need_no_place_in_the_stream(spark, monkeypatch):
+    made, kept = type(spark.range(1)).checkpoint, []
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a, **k: kept.append(1) or made(self, *a, **k))
+    rng = np.random.default_rng(4)
+    rows = [(s, int(t), float(x)) for s in range(6) for t, x in zip(rng.integers(0, 40, 30 * s + 1), rng.integers(-5, 5, 30 * s + 1))] + [(9, 1, 2.0)] * 50
+    got = {r.src: (r.n, r.n_pairs, r.s) for r in pairs.signed_pairs(spark.createDataFrame(rows, "src long, t long, x double"), ["src"], 8).collect()}
+    assert len(kept) <= 2  # places in the whole stream took four
+    for s in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == s]
+        signs = [np.sign(b - a) for t, a in own for u, b in own if u > t]
+        assert got[s] == (len(own), len(signs), sum(signs))
