@@ -39,21 +39,21 @@ def frame_autocorrelation(x: str, first: int, last: int, least: int = 4) -> Colu
 def window_features(segments: DataFrame, wins: Sequence[int], step: int, a: str = "ch0", b: str = "ch1") -> DataFrame:
     """One row per window of each length: amplitudes of both channels, their ratio, correlation and autocorrelation in the window and from the segment's start.
 
-    All frames share one sort of the segment. A segment shorter than a window has no row of that length.
+    All lengths share one pass over the samples, and one sort of the segment. A segment shorter than a window has no row of that length.
     """
-    out = None
+    made = {}
     for win in wins:
         f = in_segment().rowsBetween(0, win - 1)
         so_far = in_segment().rowsBetween(Window.unboundedPreceding, win - 1)
         x, y = rms(a, f), rms(b, f)
-        columns = {
+        made[f"_w{win}"] = {
             "rms0": x, "rms1": y, "peak0": F.max(F.abs(F.col(a))).over(f), "p2p0": F.max(a).over(f) - F.min(a).over(f), "rms_ratio": ratio(x, y),
             "corr_win": guarded_corr(F.col(a), F.col(b), over=f), "ac1_win": frame_autocorrelation(a, 0, win - 1), "corr_cum": guarded_corr(F.col(a), F.col(b), over=so_far),
         }
-        own = segments.select("src", "seg_id", "pos", "n", F.lit(win).alias("win"), *(c.alias(k) for k, c in columns.items()))
-        own = own.filter((F.col("pos") % step == 0) & (F.col("pos") + win <= F.col("n")))
-        out = own if out is None else out.unionByName(own)
-    return out
+    own = segments.select("src", "seg_id", "pos", "n", *(c.alias(f"{w}_{k}") for w, columns in made.items() for k, c in columns.items()))
+    rows = [F.struct(F.lit(win).alias("win"), *(F.col(f"_w{win}_{k}").alias(k) for k in made[f"_w{win}"])) for win in wins]
+    own = own.filter((F.col("pos") % step == 0) & (F.col("pos") + min(wins) <= F.col("n"))).select("src", "seg_id", "pos", "n", F.explode(F.array(*rows)).alias("_r"))
+    return own.select("src", "seg_id", "pos", "n", "_r.*").filter(F.col("pos") + F.col("win") <= F.col("n"))
 
 
 def full_windows(segments: DataFrame, win: int, step: int, channels: Sequence[str] = ("ch0", "ch1")) -> DataFrame:

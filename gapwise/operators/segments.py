@@ -56,7 +56,8 @@ def gap_segments(samples: DataFrame, gap: float, part: float | None = None) -> D
         "src", "_part", "_carried", "_opens", "_rows", F.coalesce(F.sum("_new").over(earlier), F.lit(0)).alias("_seg"), F.coalesce(F.last("_end", True).over(earlier), F.lit(0)).alias("_open_at"),
         F.coalesce(following("_start", ["src"], ["_part"]), F.sum("_size").over(Window.partitionBy("src"))).alias("_next"),
     )
-    both = own.join(parts, ["src", "_part"])
+    # merged where both lie by part: samples whose file is small would be broadcast, and the rest would run in the few tasks that the parts take
+    both = own.join(parts.hint("merge"), ["src", "_part"])
     before = F.when(F.col("_at") == 0, F.col("_carried")).otherwise(F.col("_before"))
     begins = F.when(F.col("_at") == 0, F.col("_opens")).otherwise(F.coalesce(step > gap * 1e6, F.lit(False)))
     both = both.withColumn("dt", (F.col("_us") - before) / 1e6).withColumn("_begins", begins)

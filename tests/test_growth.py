@@ -114,3 +114,14 @@ def test_points_of_streams_are_kept_twice_only_and_cells_need_no_place_in_the_st
         own = [r[1:] for r in rows if r[0] == s]
         signs = [np.sign(b - a) for t, a in own for u, b in own if u > t]
         assert got[s] == (len(own), len(signs), sum(signs))
+
+
+def test_windows_of_all_lengths_are_made_in_one_pass_and_samples_are_not_broadcast(spark):
+    own = gap_segments(stream(spark, [*range(14), *range(100, 107), *range(200, 225)]).withColumn("ch1", F.col("ch0") * 2), 5.0, 100.0)
+    made = features.window_features(own, (4, 8, 20), 2)
+    physical = made._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan(made) and "BroadcastHashJoin" not in physical and "SortMergeJoin" in physical
+    want = {(s, p, w) for s, n in ((0, 14), (1, 7), (2, 25)) for w in (4, 8, 20) for p in range(0, n, 2) if p + w <= n}
+    rows = made.collect()
+    assert {(r.seg_id, r.pos, r.win) for r in rows} == want and len(rows) == len(want)
+    assert all(abs(r.p2p0 - (r.win - 1)) < 1e-9 and abs(r.corr_win - 1) < 1e-9 and abs(r.rms_ratio - 0.5) < 1e-9 for r in rows)
