@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,21 +111,102 @@ def equal_error_threshold(scores: DataFrame) -> DataFrame:
     return points.filter("recall is not null").agg(best.alias("z")).select("z.*")
 
 
+#: A uniform number is above so many of these bounds as a Poisson(1) number is large.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
+def _uniform(rep: Column | str, seed: int) -> Column:
+    """53 bits of a hash of segment and rep."""
+    return F.xxhash64(*SEGMENT, rep, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))
+
+
 def poisson_draws(keys: DataFrame, reps: int, seed: int) -> DataFrame:
     """The rows of ``keys`` (src, seg_id and more) once for each rep with times, a Poisson(1) number from a hash of key and rep."""
-    cut = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
     own = keys.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = F.xxhash64(*SEGMENT, "rep", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    return own.withColumn("times", sum((F.when(u > c, 1).otherwise(0) for c in cut), F.lit(0))).filter("times > 0")
-
-
-def weighted_auc(rows: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
-    """AUC of rows that count ``times`` each, by groups; null if there is one class only."""
-    own = rows.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col("times") * F.col("label")).alias("p"), F.sum(F.col("times") * (1 - F.col("label"))).alias("m"))
-    below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    own = own.withColumn("less", F.coalesce(F.sum("m").over(below), F.lit(0)))
-    made = own.groupBy(*by).agg(F.sum(F.col("p") * (F.col("less") + F.col("m") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("m").alias("m"))
-    return made.select(*by, ratio(F.col("u"), F.col("p") * F.col("m")).alias("auc"))
+    u = _uniform("rep", seed) / float(1 << 53)
+    return own.withColumn("times", sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))).filter("times > 0")
+
+
+class _Areas:
+    """Of the rows of a part that have one column's scores, in their order: what each rep counts at the first and at the last score, and what it has strictly between."""
+
+    def __init__(self, reps: int):
+        self.edges, self.low = [], None
+        self.open = None
+        self.u, self.p, self.m = np.zeros(reps), np.zeros(reps, np.int64), np.zeros(reps, np.int64)
+
+    def add(self, s: np.ndarray, label: np.ndarray, times: np.ndarray) -> None:
+        """Rows in order of their score; times by rows and reps."""
+        same = (s[1:] == s[:-1]) | (np.isnan(s[1:]) & np.isnan(s[:-1]))
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        p, m = (np.add.reduceat(times * y[:, None], starts) for y in (label, 1 - label))
+        s = s[starts]
+        if self.open:
+            x, before_p, before_m = self.open
+            if x == s[0] or (np.isnan(x) and np.isnan(s[0])):
+                p[0] += before_p
+                m[0] += before_m
+            else:
+                s, p, m = np.append(x, s), np.vstack([before_p, p]), np.vstack([before_m, m])
+        self.open = (float(s[-1]), p[-1], m[-1])  # the last score may go on
+        s, p, m = s[:-1], p[:-1], m[:-1]
+        if len(s) and not self.edges:
+            self.edges.append((float(s[0]), p[0], m[0]))
+            s, p, m = s[1:], p[1:], m[1:]
+        if len(s):
+            self.low = float(s[0]) if self.low is None else self.low
+            self.u += (p * (self.m + np.cumsum(m, axis=0) - m / 2)).sum(axis=0)
+            self.p += p.sum(axis=0)
+            self.m += m.sum(axis=0)
+
+    def rows(self, column: str) -> pa.RecordBatch:
+        own = [(s, p, m, np.zeros(len(p)), True) for s, p, m in [*self.edges, self.open]] + ([(self.low, self.p, self.m, self.u, False)] if self.low is not None else [])
+        n, reps = len(own), len(self.p)
+        parts = [np.concatenate([x[i] for x in own]) for i in (1, 2, 3)]
+        flat = [pa.array([column] * (n * reps)), pa.array(np.tile(np.arange(reps, dtype=np.int32), n)), *(pa.array(np.repeat([x[0] for x in own], reps)),), *map(pa.array, parts), pa.array(np.repeat([x[4] for x in own], reps))]
+        return pa.RecordBatch.from_arrays(flat, ["column", "rep", "s", "p", "m", "u", "edge"])
+
+
+def resampled_auc(scores: DataFrame, columns: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """rep and the AUC of each of ``columns`` over a resample of segments with all their rows; null if there is one class only.
+
+    Rows aren't repeated by rep: they are dealt by ranges of score, a part counts all reps side by side, and what it
+    had at its first and last score and between them is put together, three rows a part, column and rep.
+    """
+    own = scores.filter(" and ".join(f"{c} is not null" for c in (*SEGMENT, "label"))).select(*SEGMENT, F.col("label").cast("long").alias("label"), *(F.col(c).cast("double").alias(c) for c in columns))
+    own = own.unpivot([*SEGMENT, "label"], list(columns), "column", "s").filter("s is not null")
+    order = ["column", "s", *SEGMENT]  # rows of one score may be many
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda i: _uniform(i, seed))
+    own = own.repartitionByRange(*order).sortWithinPartitions(*order).select("column", "s", "label", drawn.alias("drawn"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column, areas = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            names, s, label = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            u = batch.column(3).flatten().to_numpy().reshape(n, reps) / float(1 << 53)
+            times = np.zeros((n, reps), np.int64)
+            for c in POISSON:
+                times += u > c
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), n]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if names[lo] != column:
+                    if areas:
+                        yield areas.rows(column)
+                    column, areas = str(names[lo]), _Areas(reps)
+                areas.add(s[lo:hi], label[lo:hi], times[lo:hi])
+        if areas:
+            yield areas.rows(column)
+
+    parts = own.mapInArrow(count, "column string, rep int, s double, p long, m long, u double, edge boolean")
+    parts = parts.groupBy("column", "rep", "s").agg(*(F.sum(c).alias(c) for c in "pmu"), F.bool_or("edge").alias("edge"))
+    below = Window.partitionBy("column", "rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    less, p, m = F.coalesce(F.sum("m").over(below), F.lit(0)), F.col("p"), F.col("m")
+    parts = parts.withColumn("u", F.col("u") + p * (less + F.when(F.col("edge"), m / 2).otherwise(0.0)))
+    made = parts.groupBy("column", "rep").agg(ratio(F.sum("u"), F.sum("p") * F.sum("m")).alias("auc"))
+    return made.groupBy("rep").agg(*(F.max(F.when(F.col("column") == c, F.col("auc"))).alias(c) for c in columns))
 
 
 def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
@@ -135,11 +218,8 @@ def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
 
 def bootstrap_auc(scores: DataFrame, reps: int, seed: int, a: str = "score", b: str | None = None) -> DataFrame:
     """Resamples segments with all their rows: interval of the AUC of score a, or of its difference to that of b."""
-    drawn = scores.join(poisson_draws(scores.select(*SEGMENT).distinct(), reps, seed), list(SEGMENT))
-    made = weighted_auc(drawn, a, ["rep"])
-    if b:
-        made = made.join(weighted_auc(drawn, b, ["rep"]).withColumnRenamed("auc", "other"), "rep").withColumn("auc", F.col("auc") - F.col("other"))
-    return interval(made, "auc")
+    made = resampled_auc(scores, [a, b] if b else [a], reps, seed)
+    return interval(made.select((F.col(a) - F.col(b) if b else F.col(a)).alias("auc")), "auc")
 
 
 def bootstrap_rate_difference(alarms: DataFrame, reps: int, seed: int, a: str, b: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapwise.functions.storage import checkpoint
 from gapwise.operators import evaluate as ev, features as fe, reports as rp
 from gapwise.operators.segments import in_segment
 from gapwise.plans.base import KEYS, SAMPLES, SCORES, SEGMENTS, STEP, THRESHOLD, marked, samples, scores, segment_keys, segments
@@ -235,8 +236,9 @@ def equal_error_threshold(t: Tables) -> DataFrame:
 @query()
 def bootstrap_auc(t: Tables) -> DataFrame:
     """AUC of either score, and of their difference, with intervals over resampled segments."""
-    own = scores(t)
-    made = [rp.bootstrap_auc(own, 100, 3, a, b).select(F.lit(name).alias("what"), "*") for name, a, b in (("score", "score", None), ("score2", "score2", None), ("difference", "score", "score2"))]
+    areas = checkpoint(rp.resampled_auc(scores(t), ["score", "score2"], 100, 3))  # a row a resample
+    auc = {"score": F.col("score"), "score2": F.col("score2"), "difference": F.col("score") - F.col("score2")}
+    made = [rp.interval(areas.select(c.alias("auc")), "auc").select(F.lit(name).alias("what"), "*") for name, c in auc.items()]
     return rounded(made[0].unionByName(made[1]).unionByName(made[2]), 6, "mean", "lo", "hi", "p")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gapwise import plans
-from gapwise.operators import features, pairs, periodic
+from gapwise.operators import features, pairs, periodic, reports
 from gapwise.operators.order import quantiles
 from gapwise.operators.segments import gap_segments
 
@@ -125,3 +125,22 @@ def test_windows_of_all_lengths_are_made_in_one_pass_and_samples_are_not_broadca
     rows = made.collect()
     assert {(r.seg_id, r.pos, r.win) for r in rows} == want and len(rows) == len(want)
     assert all(abs(r.p2p0 - (r.win - 1)) < 1e-9 and abs(r.corr_win - 1) < 1e-9 and abs(r.rms_ratio - 0.5) < 1e-9 for r in rows)
+
+
+def test_rows_are_not_repeated_for_each_resample(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, g, int((s + g) % 3 == 0), float(x), float(rng.normal())) for s in range(12) for g in range(3) for x in rng.integers(0, 4, 9)]
+    frame = spark.createDataFrame([*rows, (None, 1, 1, 0.0, 0.0), (1, 0, 0, None, 0.5)], "src long, seg_id long, label int, score double, score2 double")
+    made = reports.resampled_auc(frame.repartition(3), ["score", "score2"], 20, 7)
+    assert "Join" not in plan(made) and "Generate explode" not in plan(reports.bootstrap_auc(frame, 20, 7))
+    times = {(r.rep, r.src, r.seg_id): r.times for r in reports.poisson_draws(frame.select("src", "seg_id").distinct(), 20, 7).collect()}
+    got = {r.rep: (r.score, r.score2) for r in made.collect()}
+    for rep in range(20):
+        w, y, x = (np.array(z, float) for z in zip(*((times.get((rep, s, g), 0), label, (a, b)) for s, g, label, a, b in rows)))
+        for i in range(2):
+            pos, neg = x[y == 1, i][:, None], x[y == 0, i][None, :]
+            weight = w[y == 1][:, None] * w[y == 0][None, :]
+            if i == 1:  # the row without a score has one of the other kind
+                extra = times.get((rep, 1, 0), 0)
+                neg, weight = np.append(neg, [[0.5]], axis=1), np.append(weight, w[y == 1][:, None] * extra, axis=1)
+            assert abs(got[rep][i] - (weight * ((pos > neg) + 0.5 * (pos == neg))).sum() / weight.sum()) < 1e-12
