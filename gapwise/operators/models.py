@@ -293,7 +293,7 @@ def tree_samples(rows: DataFrame, columns: list[str], keys: list[str], trees: in
         u = F.shiftrightunsigned(F.col("_h"), 11) / float(1 << 53)
         # u is below 1, so limits beyond its largest value count nothing
         times = sum((F.when(u >= x, 1).otherwise(0) for x in limits if x <= 1 - 2.0**-53), F.lit(0))
-        own = rows.withColumn("_h", h).withColumn("_k", times).filter("_k > 0")
+        own = rows.withColumn("_h", h).filter(u >= limits[0]).withColumn("_k", times)  # most rows are in no tree, which one comparison tells
     else:
         own = rows.withColumn("_h", h).withColumn("_k", F.lit(trees))
     k = F.col("_k")
@@ -326,6 +326,86 @@ def path_lengths(x: np.ndarray, column: np.ndarray, cut: np.ndarray, child: np.n
     return total
 
 
+class PathSteps:
+    """path_lengths() of the rows of a task. Rows that lie alike to the cuts of all columns but one share a function of that one, which steps at some of its cuts.
+
+    Such a function is made once ``often`` rows of its kind have come, and kept while all have up to ``most`` steps; other rows go down the trees.
+    """
+
+    def __init__(self, column: np.ndarray, cut: np.ndarray, child: np.ndarray, length: np.ndarray, roots: np.ndarray, depth: int, often: int = 64, most: int = 1 << 21):
+        self.nodes, self.depth, self.often, self.most = (column, cut, child, length, roots), depth, often, most if len(roots) else 0
+        self.seen: dict[int, int] = {}
+        self.number: dict[int, int] = {}
+        self.at, self.total = [np.zeros(0, np.int64)], [np.zeros(0)]
+        self.along = None
+        self.n_steps = 0
+
+    def begin(self, x: np.ndarray) -> None:
+        column, cut = self.nodes[:2]
+        self.cuts = [np.unique(cut[(column == c) & (cut < math.inf)]) for c in range(len(x))]
+        self.along = int(np.argmax([len(np.unique(self.bins(c, v))) for c, v in enumerate(x)]))
+        self.width = len(self.cuts[self.along]) + 1
+        self.others = [c for c in range(len(x)) if c != self.along]
+        if math.prod(len(self.cuts[c]) + 1 for c in self.others) > 1 << 62:
+            self.most = 0  # kinds have no number
+
+    def bins(self, c: int, values: np.ndarray) -> np.ndarray:
+        """How many cuts of a column a value reaches; none, if it is missing."""
+        return np.where(np.isnan(values), 0, np.searchsorted(self.cuts[c], values, side="right"))
+
+    def make(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bins of the column along which the path lengths of rows like x change, and their sums from there on."""
+        column, cut, child, length, roots = self.nodes
+        node, lo, hi = roots.astype(np.int64), np.full(len(roots), -math.inf), np.full(len(roots), math.inf)
+        for _ in range(self.depth):
+            both = (column[node] == self.along) & (cut[node] < math.inf)
+            at, one = cut[node], ~both
+            with np.errstate(invalid="ignore"):
+                right = x[column[node]] >= at
+            left_on, right_on = both & (lo < at), both & (hi > at)
+            node, lo, hi = (
+                np.concatenate([child[node[one]] + right[one], child[node[left_on]], child[node[right_on]] + 1]),
+                np.concatenate([lo[one], lo[left_on], np.maximum(lo, at)[right_on]]),
+                np.concatenate([hi[one], np.minimum(hi, at)[left_on], hi[right_on]]),
+            )
+        ends = hi < math.inf
+        where = np.concatenate([np.where(lo > -math.inf, np.searchsorted(self.cuts[self.along], lo) + 1, 0), np.searchsorted(self.cuts[self.along], hi[ends]) + 1])
+        at, which = np.unique(where, return_inverse=True)
+        return at, np.cumsum(np.bincount(which, np.concatenate([length[node], -length[node[ends]]])))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Sums of x (columns, rows)."""
+        if not x.shape[1]:
+            return np.zeros(0)
+        if self.along is None:
+            self.begin(x)
+        if not self.most:
+            return path_lengths(x, *self.nodes, self.depth)
+        kind = np.zeros(x.shape[1], np.int64)
+        for c in self.others:
+            kind = kind * (len(self.cuts[c]) + 1) + self.bins(c, x[c])
+        kinds, first, which, counts = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
+        made = len(self.number)
+        for k, i, n in zip(kinds.tolist(), first.tolist(), counts.tolist(), strict=True):
+            if k in self.number or (k not in self.seen and len(self.seen) >= self.most >> 4):
+                continue
+            self.seen[k] = self.seen.get(k, 0) + n
+            if self.seen[k] >= self.often and self.n_steps < self.most:
+                at, total = self.make(x[:, i])
+                self.at.append(at + len(self.number) * self.width)
+                self.total.append(total)
+                self.n_steps += len(at)
+                self.number[k] = len(self.number)
+        if len(self.number) > made:
+            self.at, self.total = [np.concatenate(self.at)], [np.concatenate(self.total)]
+        number = np.array([self.number.get(k, -1) for k in kinds.tolist()])[which]
+        out, known = np.empty(x.shape[1]), number >= 0
+        out[known] = self.total[0][np.searchsorted(self.at[0], number[known] * self.width + self.bins(self.along, x[self.along][known]), side="right") - 1] if known.any() else 0.0
+        if not known.all():
+            out[~known] = path_lengths(x[:, ~known], *self.nodes, self.depth)
+        return out
+
+
 def isolation_forest(frame: DataFrame, train: Column, columns: list[str], trees: int = 300, sample: int = 256, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
     """Isolation forest: each tree is fitted on its own sample of training rows, as the method says; all rows are scored.
 
@@ -384,11 +464,12 @@ def isolation_forest(frame: DataFrame, train: Column, columns: list[str], trees:
     nodes = [np.array(z, k) for z, k in ((column, np.int32), (cut, float), (child, np.int32), (length, float), (roots, np.int32))]
     deepest, scale = max(1, math.ceil(math.log2(max(size, 2)))), max(len(forest), 1) * max(harmonic(size), 1e-9)
 
-    def score(*values: pd.Series) -> pd.Series:
-        own = np.stack([v.to_numpy(float) for v in values])
-        return pd.Series(2 ** (-path_lengths(own, *nodes, deepest) / scale))
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        paths = PathSteps(*nodes, deepest)
+        for rows in batches:
+            yield pd.Series(2 ** (-paths(np.stack([rows[c].to_numpy(float) for c in columns])) / scale))
 
-    return frame.withColumn("score", F.pandas_udf(score, "double")(*columns))
+    return frame.withColumn("score", F.pandas_udf(score, "double")(F.struct(*columns)))
 
 
 def injected(segments: DataFrame, kind: str, strength: float, a: str, b: str, seed: int = 0) -> DataFrame:

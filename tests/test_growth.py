@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gapwise import plans
-from gapwise.operators import features, pairs, periodic, reports
+from gapwise.operators import features, models, pairs, periodic, reports
 from gapwise.operators.order import quantiles
 from gapwise.operators.segments import gap_segments
 
@@ -144,3 +144,26 @@ def test_rows_are_not_repeated_for_each_resample(spark):
                 extra = times.get((rep, 1, 0), 0)
                 neg, weight = np.append(neg, [[0.5]], axis=1), np.append(weight, w[y == 1][:, None] * extra, axis=1)
             assert abs(got[rep][i] - (weight * ((pos > neg) + 0.5 * (pos == neg))).sum() / weight.sum()) < 1e-12
+
+
+def test_paths_of_rows_alike_but_for_one_column_are_looked_up(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    nodes: list = [[], [], [], [], []]
+    for _ in range(40):  # full trees of depth 4
+        first = len(nodes[0])
+        nodes[4].append(first)
+        for i in range(31):
+            leaf = i >= 15
+            for k, v in enumerate((0 if leaf else rng.integers(3), np.inf if leaf else rng.uniform(0, 6), first + i if leaf else first + 2 * i + 1, rng.uniform(1, 5) if leaf else 0.0)):
+                nodes[k].append(v)
+    table = [np.array(z, k) for z, k in zip(nodes, (np.int32, float, np.int32, float, np.int32))]
+    x = np.stack([rng.integers(0, 3, 5000).astype(float), rng.uniform(-1, 7, 5000), rng.integers(0, 4, 5000).astype(float)])
+    x[1, ::50], x[2, ::70] = np.nan, np.nan
+    want, asked = models.path_lengths(x, *table, 4), []
+    walk = models.path_lengths
+    monkeypatch.setattr(models, "path_lengths", lambda y, *a: asked.append(y.shape[1]) or walk(y, *a))
+    for often, most in ((64, 1 << 21), (64, 400), (1 << 30, 1 << 21)):
+        paths, asked[:] = models.PathSteps(*table, 4, often, most), []
+        assert np.allclose(np.concatenate([paths(x[:, i : i + 500]) for i in range(0, 5000, 500)]), want, atol=1e-9)
+        assert (sum(asked) < 2500) == (most > 400 and often < 5000)
+    assert np.allclose(models.PathSteps(*table, 4)(rng.normal(0, 3, (3, 300)))[:0], [])
